@@ -30,4 +30,41 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-SQL = {"op8_mixing": OP8}
+OP5 = r"""
+WITH w AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, array_to_string(ws[i : i + 9], ' ') AS win, LEAST(len(ws), 10) AS n
+  FROM (SELECT item_id, ws, unnest(range(1, GREATEST(len(ws) - 8, 2))) AS i FROM w WHERE len(ws) > 0)
+), lens AS (SELECT DISTINCT n FROM win
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws
+  FROM documents
+), p AS (
+  SELECT r, i, n, array_to_string(ws[i : i + n - 1], ' ') AS win
+  FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, lens WHERE len(ws) >= n)
+), h AS (SELECT p.r, p.i, p.n, win.item_id FROM p JOIN win USING (win, n)
+), hw AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS word FROM h) GROUP BY r
+), hi AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM h) GROUP BY r
+)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, COALESCE(n_items, 0)::BIGINT AS n_items,
+       sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
+"""
+
+OP6 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+  FROM (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS ls FROM documents)
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), r AS (
+  SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), m AS (SELECT k.*, r.first_doc IS NOT NULL AND k.doc_id <> r.first_doc AS dropped FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped,
+       sha256(COALESCE(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+SQL = {"op5_decontamination": OP5, "op6_line_dedup": OP6, "op8_mixing": OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import decontamination, lines, mixing, sharding, tokens
+from tracewise.llm import decontamination, lines, mixing, neardup, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_shard_size").alias("size"), F.col("_shard_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +49,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_tokens, op5_decontamination, op6_line_dedup, op8_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_near_dedup, op3_tokens, op5_decontamination, op6_line_dedup, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

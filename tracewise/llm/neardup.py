@@ -2,17 +2,18 @@
 
 1. Documents with equal word sequences form a class, by a grouping on a 128-bit digest; only the
    smallest id of a class goes on, so copies cost one row each.
-2. Each representative gets BANDS * ROWS MinHash values of its shingle set, as band hashes and as
-   a signature of one byte per value.
+2. Each representative gets VALUES MinHash values of its shingle set: the first BANDS * ROWS as
+   band hashes, and all as a signature of one byte per value.
 3. Representatives that share a band are candidates. A band's hub is the one that shares bands
    with most others: a member is compared with the hub and with its NEAR neighbours in the band.
 4. A pair's signatures are compared a batch at a time. After each batch the posterior of the
    similarity (a Beta distribution) gives the chance that it reaches the threshold; a pair below
    MISS is dropped.
 5. Survivors are verified on their full shingle sets. The links give components.
-6. Bands that still hold several components give every pair between different components that has
-   not been compared, and 4 and 5 settle these. So a pair in a band is left out only when it
-   is in one component already, and no count of partners is capped.
+6. In bands that still hold several components, every pair between different components is compared
+   and verified as in 4 and 5, in blocks of BLOCK members against BLOCK inside tasks, which give
+   out links alone. So a pair in a band is left out only when it is in one component already, no
+   count of partners is capped, and no band meets in one task.
 
 A pair at the threshold shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 1.4e-7.
 
@@ -40,15 +41,17 @@ from pyspark.sql import types as T
 from tracewise.llm.components import components
 from tracewise.llm.shared import NOT_SPACE, chunks, drop_written, mix64, word_table, written
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS, VALUES = 40, 5, 400
 #: Signature values that a batch adds, and the chance of dropping a pair at the threshold that is accepted.
-BATCH, MISS = 40, 1e-9
+BATCH, MISS = 40, 1e-6
 #: Neighbours in a band that a member is compared with, besides the hub.
 NEAR = 2
+#: Members of a band that meet those of another block, or of their own, in a task.
+BLOCK = 2048
 
 _rng = np.random.default_rng(20240229)
-_FACTOR = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_SHIFT = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+_FACTOR = (_rng.integers(0, 1 << 32, VALUES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_SHIFT = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32)
 _FOLD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -94,14 +97,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
     """A hash for each band of each signature; equal values in different bands hash apart."""
-    parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    parts = sig[:, : BANDS * ROWS].reshape(len(sig), BANDS, ROWS).astype(np.uint64)
     h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), BANDS)).copy()
     for j in range(ROWS):
         h = h * _FOLD + parts[:, :, j] + np.uint64(1)
     return mix64(h).view(np.int64)
 
 
-def least_matches(percent: int, batch: int = BATCH, total: int = BANDS * ROWS, miss: float = MISS) -> dict[int, int]:
+def least_matches(percent: int, batch: int = BATCH, total: int = VALUES, miss: float = MISS) -> dict[int, int]:
     """By values compared: matches below which the posterior chance of the threshold is below miss.
 
     With a uniform prior, the similarity after m matches of n is Beta(m + 1, n - m + 1), and its
@@ -161,6 +164,67 @@ def _pruner(percent: int):
     return prune
 
 
+def _cross_links(percent: int):
+    """Over runs of equal (band, x, y), sorted: links between different components, verified on full sets.
+
+    A pair that shares several bands is compared in the first of them alone.
+    """
+    least = least_matches(percent)
+
+    def compare(band: int, same: bool, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        docs, comps, blocks, sizes, bands, sigs = (np.concatenate([r[c] for r in rows]) for c in range(6))
+        sets = [x for r in rows for x in r[6]]
+        for i in range(len(docs) - 1):
+            rest = slice(i + 1, None)
+            fits = (comps[rest] != comps[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
+            if not same:
+                fits &= blocks[rest] != blocks[i]
+            alive = np.flatnonzero(fits) + i + 1
+            matches = np.zeros(len(alive), dtype=np.int64)
+            for n, m in least.items():
+                matches += (sigs[alive, n - BATCH : n] == sigs[i, n - BATCH : n]).sum(axis=1)
+                go = matches >= m
+                alive, matches = alive[go], matches[go]
+            if len(alive):
+                alive = alive[bands[i, (bands[alive] == bands[i]).argmax(axis=1)] == band]
+            if not len(alive):
+                continue
+            own, others = sets[i], np.concatenate([sets[j] for j in alive])
+            at = np.searchsorted(own, others)
+            at[at == len(own)] = 0
+            both = np.add.reduceat(own[at] == others, np.cumsum([0, *sizes[alive[:-1]]]), dtype=np.int64)
+            for j in alive[100 * both >= percent * (sizes[i] + sizes[alive] - both)].tolist():
+                yield min(int(docs[i]), int(docs[j])), max(int(docs[i]), int(docs[j]))
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        held_key = None
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            found = list(compare(held_key[0], held_key[1] == held_key[2], held)) if held else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            n = batch.num_rows
+            band, x, y, doc, comp, block, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
+            bands = np.array(batch.column(7).to_pylist(), dtype=np.int64).reshape(n, BANDS)
+            sig = np.frombuffer(b"".join(batch.column(8).to_pylist()), dtype=np.uint8).reshape(n, VALUES)
+            sets = [np.frombuffer(v, dtype=np.uint64) for v in batch.column(9).to_pylist()]
+            cuts = (np.flatnonzero((np.diff(band) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, n], strict=True):
+                if a == b:
+                    continue
+                own = (int(band[a]), int(x[a]), int(y[a]))
+                if own != held_key:
+                    yield from settled()
+                    held, held_key = [], own
+                held.append((doc[a:b], comp[a:b], block[a:b], size[a:b], bands[a:b], sig[a:b], sets[a:b]))
+        yield from settled()
+
+    return cross
+
+
 def _verifier(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,18 +251,44 @@ def _packed_sets(k: int):
     return pack
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, written."""
+def _survivors(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures do not rule out."""
     side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    survivors = written(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(percent), "a long, b long"), "survivors")
-    ends = survivors.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    full = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).join(ends, "node", "left_semi").mapInArrow(_packed_sets(k), "node long, shingles binary")
-    full = written(full, "shingles")
+    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(percent), "a long, b long")
+
+
+def _full_sets(ends: DataFrame, docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """(node, shingles) of the documents named in ends (node), written."""
+    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).join(ends.distinct(), "node", "left_semi")
+    return written(texts.mapInArrow(_packed_sets(k), "node long, shingles binary"), "shingles")
+
+
+def _links(survivors: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """The pairs of survivors, a written table, whose full sets reach the threshold; written."""
+    full = _full_sets(survivors.select(F.explode(F.array("a", "b")).alias("node")), docs, k, key, text)
     own = lambda c: full.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
     links = survivors.join(own("a"), "a").join(own("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(_verifier(percent), "a long, b long")
     links = written(links, "links")
-    drop_written(survivors)
+    drop_written(full)
+    return links
+
+
+def _links_across(entries: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """Links between different components that share a band; written.
+
+    Bands of NEAR + 2 members or fewer have had all their pairs compared.
+    """
+    labelled = entries.where(F.col("n") > NEAR + 2).join(found, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+    members = written(labelled.join(mixed, "band", "left_semi"), "open-bands")
+    full = _full_sets(members.select(F.col("doc_id").alias("node")), docs, k, key, text)
+    about = nodes.select("doc_id", "n_shingles", "bands", "sig").join(full, F.col("doc_id") == F.col("node")).drop("node")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    members = members.join(about, "doc_id").select("band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "c", "block", "n_shingles", "bands", "sig", "shingles")
+    links = members.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_cross_links(percent), "a long, b long")
+    links = written(links, "links")
     drop_written(full)
     return links
 
@@ -218,18 +308,12 @@ def _found(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tuple[
     pairs = entries.join(weight, "doc_id").select("doc_id", F.array_distinct(F.array_compact(F.array(*partners))).alias("partners"))
     pairs = pairs.select("doc_id", F.explode("partners").alias("p")).where("p <> doc_id")
     pairs = written(pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct(), "pairs")
-    links = _linked(pairs, nodes, docs, k, percent, key, text)
+    links = _links(written(_survivors(pairs, nodes, percent), "survivors"), docs, k, percent, key, text)
 
-    same_text = base.join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     found = written(components(links), "components")
-    label = F.coalesce("component", "doc_id")
-    labelled = entries.join(found, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", label.alias("c"))
-    mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    labelled = written(labelled.join(mixed, "band", "left_semi"), "open-bands")
-    rest = labelled.select("band", F.col("doc_id").alias("a"), F.col("c").alias("ca")).join(labelled.select("band", F.col("doc_id").alias("b"), F.col("c").alias("cb")), "band").where("ca <> cb AND a < b")
-    rest = written(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = _linked(rest, nodes, docs, k, percent, key, text)
+    more = _links_across(entries, found, nodes, docs, k, percent, key, text)
 
+    same_text = base.join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     whole = written(components(links.unionByName(more).unionByName(same_text)), "components")
     return base.select("doc_id", "n_shingles"), whole
 

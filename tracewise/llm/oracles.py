@@ -67,4 +67,56 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS
 FROM m GROUP BY doc_id
 """
 
-SQL = {"op5_decontamination": OP5, "op6_line_dedup": OP6, "op8_mixing": OP8}
+OP4 = r"""
+WITH p AS (
+  SELECT page_id, COALESCE(html, '') AS html, sha1(COALESCE(html, '')) AS h, min(page_id) OVER (PARTITION BY sha1(COALESCE(html, ''))) AS first_page
+  FROM pages
+), b AS (
+  SELECT *, array_to_string(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS digest
+  FROM p
+)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id > first_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_page THEN first_page END AS refers_to
+FROM b
+"""
+
+
+def _licenses() -> str:
+    from tracewise.llm import licenses
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(licenses.normalised(v))}, {quoted(k)})" for k, v in licenses.SENTENCES.items())
+    rules = ", ".join(f"({n}, {quoted(name)}, [{', '.join(map(quoted, parts))}])" for n, (name, parts) in enumerate(licenses.RULES))
+    return rf"""
+WITH RECURSIVE known(s, sid) AS (VALUES {known}), rules(rule, license, parts) AS (VALUES {rules}),
+t AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_replace(translate(regexp_replace(regexp_replace(COALESCE(text, ''), '\n([^a-z]|\z)', chr(1) || '\1', 'g'), '[.!?][\x20\x09-\x0D]', chr(1), 'g'),
+                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\x01]+', ' ', 'g') AS plain
+  FROM documents
+), s AS (SELECT r, doc_id, list_filter(list_transform(string_split(plain, chr(1)), lambda x: trim(x)), lambda x: x <> '') AS sents FROM t
+), e AS (
+  SELECT s.r, s.i, known.sid FROM (SELECT r, unnest(sents) AS sent, generate_subscripts(sents, 1) AS i FROM s) s JOIN known ON s.sent = known.s
+), m AS (
+  SELECT e.r, e.i AS first, min(rule) AS rule FROM e JOIN rules ON e.sid = rules.parts[1]
+  WHERE (SELECT count(*) FROM e AS o WHERE o.r = e.r AND o.i >= e.i AND o.i < e.i + len(rules.parts) AND o.sid = rules.parts[o.i - e.i + 1]) = len(rules.parts)
+  GROUP BY e.r, e.i
+), n AS (SELECT m.r, m.first, m.first + len(rules.parts) AS after, rules.license FROM m JOIN rules USING (rule)
+), walk AS (
+  SELECT r, first, after, license FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY first) AS k FROM n) WHERE k = 1
+  UNION ALL
+  SELECT r, first, after, license FROM (
+    SELECT n.*, row_number() OVER (PARTITION BY n.r ORDER BY n.first) AS k FROM walk JOIN n ON n.r = walk.r AND n.first >= walk.after
+  ) WHERE k = 1
+)
+SELECT s.doc_id, len(s.sents)::BIGINT AS n_sentences,
+       (SELECT count(*) FROM e WHERE e.r = s.r)::BIGINT AS n_known,
+       (SELECT count(*) FROM walk WHERE walk.r = s.r)::BIGINT AS n_matches,
+       COALESCE((SELECT string_agg(license, ',' ORDER BY license) FROM (SELECT DISTINCT license FROM walk WHERE walk.r = s.r)), '') AS licenses
+FROM s
+"""
+
+
+SQL = {"op4_warc": OP4, "op5_decontamination": OP5, "op6_line_dedup": OP6, "op7_license_scan": _licenses(), "op8_mixing": OP8}

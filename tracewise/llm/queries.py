@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import decontamination, lines, mixing, neardup, sharding, tokens
+from tracewise.llm import decontamination, lines, licenses, mixing, neardup, quality, sharding, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    rows = warc.lookup(archive, archive.captures.select("url_key", "page_id").distinct())
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
@@ -43,13 +49,32 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduped(docs, store).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",")
+    return rows.select("doc_id", "n_sentences", "n_known", F.size("matches").cast("long").alias("n_matches"), found.alias("licenses"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
     return mixing.mix(docs, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fitted(docs, _table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_near_dedup, op3_tokens, op5_decontamination, op6_line_dedup, op8_mixing)}
+    numbered = (op1_sharding, op2_near_dedup, op3_tokens, op4_warc, op5_decontamination, op6_line_dedup, op7_license_scan, op8_mixing, op9_quality)
+    return {f.__name__: f for f in numbered} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import chunks, word_table
+from tracewise.llm.shared import chunks, small_batches, word_table
 
 #: Text bytes of a benchmark block, and of a training shard.
 BLOCK_BYTES = 8 << 20
@@ -220,6 +220,7 @@ def cut(text: bytes, spans: list[dict]) -> bytes:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", clean: bool = False) -> DataFrame:
     """docs with n_words, n_hit, items (ids of the items with occurring windows) and spans (merged, of words and of UTF-8 bytes); with clean also clean_text, the text without its spans."""
     spark = docs.sparkSession
+    small_batches(spark)
     bench = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL")
     total = bench.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import new_path
+from tracewise.llm.shared import new_path, small_batches
 
 SHARDS = 256
 _KEY = ["shard", "hi", "lo"]
@@ -160,6 +160,7 @@ class LineStore:
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = 10, shards: int = SHARDS):
+        small_batches(spark)
         self.spark, self.path, self.min_chars, self.shards, self.version = spark, path or new_path(spark, "line-store"), min_chars, shards, 0
 
     def _read(self, what: str, version: int) -> DataFrame:

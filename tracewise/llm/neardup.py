@@ -4,16 +4,18 @@
    smallest id of a class goes on, so copies cost one row each.
 2. Each representative gets VALUES MinHash values of its shingle set: the first BANDS * ROWS as
    band hashes, and all as a signature of one byte per value.
-3. Representatives that share a band are candidates. A band's hub is the one that shares bands
-   with most others: a member is compared with the hub and with its NEAR neighbours in the band.
-4. A pair's signatures are compared a batch at a time. After each batch the posterior of the
+3. Representatives that share a band are candidates. A band's hub is the member that shares bands
+   with most others; the members of all bands of one hub form its cluster, so a document goes
+   to a cluster once, however many bands it shares with the hub's other members.
+4. In a cluster, signatures are compared a batch at a time. After each batch the posterior of the
    similarity (a Beta distribution) gives the chance that it reaches the threshold; a pair below
-   MISS is dropped.
-5. Survivors are verified on their full shingle sets. The links give components.
-6. In bands that still hold several components, every pair between different components is compared
-   and verified as in 4 and 5, in blocks of BLOCK members against BLOCK inside tasks, which give
-   out links alone. So a pair in a band is left out only when it is in one component already, no
-   count of partners is capped, and no band meets in one task.
+   MISS is dropped. Members with a partner left are likely.
+5. Likely members get their full shingle sets, and pairs left by 4 are verified exactly. A pair in
+   one component already is not compared, so a cluster gives out a spanning forest, never all
+   pairs. The links give components.
+6. A cluster of more than BLOCK members is dealt out in blocks, each with the hub. If it still
+   holds several components, 4 and 5 follow for each two blocks, between different components.
+   So no count of partners is capped and no cluster meets in one task.
 
 A pair at the threshold shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 1.4e-7.
 
@@ -39,14 +41,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewise.llm.components import components
-from tracewise.llm.shared import NOT_SPACE, chunks, drop_written, mix64, word_table, written
+from tracewise.llm.shared import NOT_SPACE, chunks, drop_written, mix64, small_batches, word_table, written
 
 BANDS, ROWS, VALUES = 40, 5, 400
 #: Signature values that a batch adds, and the chance of dropping a pair at the threshold that is accepted.
 BATCH, MISS = 40, 1e-6
-#: Neighbours in a band that a member is compared with, besides the hub.
-NEAR = 2
-#: Members of a band that meet those of another block, or of their own, in a task.
+#: Members of a cluster that meet in a task, about.
 BLOCK = 2048
 
 _rng = np.random.default_rng(20240229)
@@ -147,96 +147,106 @@ def described(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text")
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(describe, schema)
 
 
-def _pruner(percent: int):
-    least = least_matches(percent)
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alive = np.arange(batch.num_rows)
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
-            matches = np.zeros(batch.num_rows, dtype=np.int64)
-            for n, m in least.items():
-                matches[alive] += (one[alive, n - BATCH : n] == two[alive, n - BATCH : n]).sum(axis=1)
-                alive = alive[matches[alive] >= m]
-            kept = batch.take(pa.array(alive))
-            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
-
-    return prune
-
-
-def _cross_links(percent: int):
-    """Over runs of equal (band, x, y), sorted: links between different components, verified on full sets.
+_RUN = ["hub", "x", "y"]
 
-    A pair that shares several bands is compared in the first of them alone.
-    """
-    least = least_matches(percent)
 
-    def compare(band: int, same: bool, rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        docs, comps, blocks, sizes, bands, sigs = (np.concatenate([r[c] for r in rows]) for c in range(6))
-        sets = [x for r in rows for x in r[6]]
-        for i in range(len(docs) - 1):
-            rest = slice(i + 1, None)
-            fits = (comps[rest] != comps[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
-            if not same:
-                fits &= blocks[rest] != blocks[i]
-            alive = np.flatnonzero(fits) + i + 1
-            matches = np.zeros(len(alive), dtype=np.int64)
-            for n, m in least.items():
-                matches += (sigs[alive, n - BATCH : n] == sigs[i, n - BATCH : n]).sum(axis=1)
-                go = matches >= m
-                alive, matches = alive[go], matches[go]
-            if len(alive):
-                alive = alive[bands[i, (bands[alive] == bands[i]).argmax(axis=1)] == band]
-            if not len(alive):
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
+    """The rows of each (hub, x, y), the first three columns of rows that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)])
+        cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
                 continue
-            own, others = sets[i], np.concatenate([sets[j] for j in alive])
-            at = np.searchsorted(own, others)
-            at[at == len(own)] = 0
-            both = np.add.reduceat(own[at] == others, np.cumsum([0, *sizes[alive[:-1]]]), dtype=np.int64)
-            for j in alive[100 * both >= percent * (sizes[i] + sizes[alive] - both)].tolist():
-                yield min(int(docs[i]), int(docs[j])), max(int(docs[i]), int(docs[j]))
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        held_key = None
-
-        def settled() -> Iterator[pa.RecordBatch]:
-            found = list(compare(held_key[0], held_key[1] == held_key[2], held)) if held else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+            own = tuple(keys[:, a].tolist())
+            if own != held_key:
+                if held:
+                    yield held_key, pa.Table.from_batches(held)
+                held, held_key = [], own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held_key, pa.Table.from_batches(held)
+
+
+def _columns(key: tuple[int, int, int], rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """doc_id, component, block, n_shingles and sig of a run, with the hub first."""
+    doc, comp, block, size = (rows.column(c).to_numpy() for c in ("doc_id", "c", "block", "n_shingles"))
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(len(doc), VALUES)
+    order = np.argsort(doc != key[0], kind="stable")
+    return order, doc[order], comp[order], block[order], size[order], sig[order]
+
+
+def _partners(i: int, rest: np.ndarray, percent: int, least: dict[int, int], size: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Those of rest that sizes and signatures do not rule out as links of i."""
+    rest = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
+    matches = np.zeros(len(rest), dtype=np.int64)
+    for n, m in least.items():
+        if not len(rest):
+            break
+        matches += (sig[rest, n - BATCH : n] == sig[i, n - BATCH : n]).sum(axis=1)
+        go = matches >= m
+        rest, matches = rest[go], matches[go]
+    return rest
+
+
+def _likely(percent: int):
+    """Over runs: the members that may have a link to another component."""
+    least = least_matches(percent)
 
-        for batch in batches:
-            n = batch.num_rows
-            band, x, y, doc, comp, block, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
-            bands = np.array(batch.column(7).to_pylist(), dtype=np.int64).reshape(n, BANDS)
-            sig = np.frombuffer(b"".join(batch.column(8).to_pylist()), dtype=np.uint8).reshape(n, VALUES)
-            sets = [np.frombuffer(v, dtype=np.uint64) for v in batch.column(9).to_pylist()]
-            cuts = (np.flatnonzero((np.diff(band) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist()
-            for a, b in zip([0, *cuts], [*cuts, n], strict=True):
-                if a == b:
-                    continue
-                own = (int(band[a]), int(x[a]), int(y[a]))
-                if own != held_key:
-                    yield from settled()
-                    held, held_key = [], own
-                held.append((doc[a:b], comp[a:b], block[a:b], size[a:b], bands[a:b], sig[a:b], sets[a:b]))
-        yield from settled()
-
-    return cross
-
-
-def _verifier(percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = len(one) + len(two) - len(np.union1d(one, two))
-                linked.append(100 * both >= percent * (len(one) + len(two) - both))
-            kept = batch.filter(pa.array(linked, type=pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _runs(batches):
+            order, doc, comp, block, size, sig = _columns(key, rows)
+            found = np.zeros(len(doc), dtype=bool)
+            for i in range(len(doc) - 1):
+                rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+                if key[1] != key[2]:
+                    rest = rest[block[rest] != block[i]]
+                if found[i]:
+                    rest = rest[~found[rest]]
+                partners = _partners(i, rest, percent, least, size, sig)
+                if len(partners):
+                    found[i] = found[partners] = True
+            if found.any():
+                kept = np.sort(order[found])
+                for batch in rows.select([*_RUN, "doc_id", "c", "block"]).take(pa.array(kept)).combine_chunks().to_batches():
+                    yield batch
+
+    return mark
+
+
+def _linker(percent: int):
+    """Over runs with full sets: verified links that join components, a forest for each run."""
+    least = least_matches(percent)
 
-    return verify
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _runs(batches):
+            order, doc, comp, block, size, sig = _columns(key, rows)
+            packed = rows.column("shingles").to_pylist()
+            sets = [np.frombuffer(packed[k], dtype=np.uint64) for k in order]
+            comp = comp.copy()
+            links = []
+            for i in range(len(doc) - 1):
+                rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+                if key[1] != key[2]:
+                    rest = rest[block[rest] != block[i]]
+                for part in np.array_split(rest, max(1, len(rest) // 64)):
+                    partners = _partners(i, part[comp[part] != comp[i]], percent, least, size, sig)
+                    if not len(partners):
+                        continue
+                    own, others = sets[i], np.concatenate([sets[j] for j in partners])
+                    at = np.searchsorted(own, others)
+                    at[at == len(own)] = 0
+                    both = np.add.reduceat(own[at] == others, np.cumsum([0, *size[partners[:-1]]]), dtype=np.int64)
+                    for j in partners[100 * both >= percent * (size[i] + size[partners] - both)].tolist():
+                        if comp[j] != comp[i]:
+                            links.append((int(doc[i]), int(doc[j])))
+                            comp[comp == comp[j]] = comp[i]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return link
 
 
 def _packed_sets(k: int):
@@ -244,77 +254,67 @@ def _packed_sets(k: int):
         for batch in batches:
             done = 0
             for part in chunks([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
-                packed = [s.tobytes() for s in shingle_sets(part, k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.array(packed, type=pa.binary())], names=["node", "shingles"])
+                sets = shingle_sets(part, k)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                small = signatures([sets[i] for i in full]).astype(np.uint8)
+                columns = [batch.column(0).slice(done, len(part)), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())]
+                sigs: list = [None] * len(part)
+                for row, i in enumerate(full):
+                    sigs[i] = small[row].tobytes()
+                made = pa.RecordBatch.from_arrays([*columns, pa.array(sigs, type=pa.binary())], names=["doc_id", "n_shingles", "shingles", "sig"])
+                yield made.take(pa.array(full, type=pa.int64()))
                 done += len(part)
 
     return pack
 
 
-def _survivors(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and signatures do not rule out."""
-    side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(percent), "a long, b long")
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_RUN).sortWithinPartitions(*_RUN)
 
 
-def _full_sets(ends: DataFrame, docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(node, shingles) of the documents named in ends (node), written."""
-    texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).join(ends.distinct(), "node", "left_semi")
-    return written(texts.mapInArrow(_packed_sets(k), "node long, shingles binary"), "shingles")
-
-
-def _links(survivors: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs of survivors, a written table, whose full sets reach the threshold; written."""
-    full = _full_sets(survivors.select(F.explode(F.array("a", "b")).alias("node")), docs, k, key, text)
-    own = lambda c: full.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}"))
-    links = survivors.join(own("a"), "a").join(own("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(_verifier(percent), "a long, b long")
-    links = written(links, "links")
-    drop_written(full)
-    return links
-
-
-def _links_across(entries: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
-    """Links between different components that share a band; written.
-
-    Bands of NEAR + 2 members or fewer have had all their pairs compared.
-    """
-    labelled = entries.where(F.col("n") > NEAR + 2).join(found, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    members = written(labelled.join(mixed, "band", "left_semi"), "open-bands")
-    full = _full_sets(members.select(F.col("doc_id").alias("node")), docs, k, key, text)
-    about = nodes.select("doc_id", "n_shingles", "bands", "sig").join(full, F.col("doc_id") == F.col("node")).drop("node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    members = members.join(about, "doc_id").select("band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "c", "block", "n_shingles", "bands", "sig", "shingles")
-    links = members.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_cross_links(percent), "a long, b long")
-    links = written(links, "links")
-    drop_written(full)
+def _linked(runs: DataFrame, base: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """Links (a, b) in runs (hub, x, y, doc_id, c, block), written."""
+    about = base.where("sig IS NOT NULL").select("doc_id", "n_shingles", "sig")
+    marked = _dealt(runs.join(about, "doc_id").select(*_RUN, "doc_id", "c", "block", "n_shingles", "sig"))
+    likely = written(marked.mapInArrow(_likely(percent), "hub long, x int, y int, doc_id long, c long, block int").distinct(), "likely")
+    ends = likely.select("doc_id").distinct()
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).join(ends, "doc_id", "left_semi")
+    sets = texts.mapInArrow(_packed_sets(k), "doc_id long, n_shingles long, shingles binary, sig binary")
+    whole = _dealt(likely.join(sets, "doc_id").select(*_RUN, "doc_id", "c", "block", "n_shingles", "sig", "shingles"))
+    links = written(whole.mapInArrow(_linker(percent), "a long, b long"), "links")
+    drop_written(likely)
     return links
 
 
 def _found(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of described() without signatures, and (node, component) of all linked nodes."""
+    """(doc_id, n_shingles) of each row, and (node, component) of all linked nodes."""
+    small_batches(docs.sparkSession)
     base = written(described(docs, k, key, text), "described")
     classes = written(base.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    nodes = base.where("sig IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    entries = nodes.select("doc_id", F.explode("bands").alias("band"))
+    nodes = base.where("sig IS NOT NULL").select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     in_band = Window.partitionBy("band")
-    entries = written(entries.withColumn("n", F.count("*").over(in_band)).where("n > 1").distinct(), "bands")
+    entries = nodes.select("doc_id", F.explode("bands").alias("band")).withColumn("n", F.count("*").over(in_band)).where("n > 1")
+    entries = written(entries.distinct(), "bands")
 
     weight = entries.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    order = in_band.orderBy(F.col("weight").desc(), "doc_id")
-    partners = [F.first("doc_id").over(order), *[F.lag("doc_id", j).over(order) for j in range(1, NEAR + 1)]]
-    pairs = entries.join(weight, "doc_id").select("doc_id", F.array_distinct(F.array_compact(F.array(*partners))).alias("partners"))
-    pairs = pairs.select("doc_id", F.explode("partners").alias("p")).where("p <> doc_id")
-    pairs = written(pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct(), "pairs")
-    links = _links(written(_survivors(pairs, nodes, percent), "survivors"), docs, k, percent, key, text)
-
-    found = written(components(links), "components")
-    more = _links_across(entries, found, nodes, docs, k, percent, key, text)
+    hub = F.first("doc_id").over(in_band.orderBy(F.col("weight").desc(), "doc_id"))
+    members = written(entries.join(weight, "doc_id").select(hub.alias("hub"), "doc_id").distinct(), "members")
+    blocks = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    own = members.withColumn("x", F.explode(F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    links = _linked(own.withColumn("y", F.col("x")).withColumn("c", F.col("doc_id")), base, docs, k, percent, key, text)
+
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        found = written(components(links), "components")
+        large = large.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id"))
+        split = large.groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hub")
+        other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))
+        pairs = large.join(split, "hub", "left_semi").withColumn("o", F.explode(other)).withColumn("x", F.least("block", "o")).withColumn("y", F.greatest("block", "o"))
+        links = links.unionByName(_linked(pairs, base, docs, k, percent, key, text))
 
     same_text = base.join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    whole = written(components(links.unionByName(more).unionByName(same_text)), "components")
+    whole = written(components(links.unionByName(same_text)), "components")
     return base.select("doc_id", "n_shingles"), whole
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import NOT_SPACE, chunks, word_table
+from tracewise.llm.shared import NOT_SPACE, chunks, small_batches, word_table
 
 WORD_SLOTS = 1 << 12
 RANK = 8
@@ -174,6 +174,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Machine | Constant:
     """A model of the labels, from rows that are not held out."""
+    small_batches(docs.sparkSession)
     own = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_q_id")).agg(F.max(label).cast("double").alias("y"))
     own = own.where(~held_out(F.col("_q_id"))).orderBy(F.md5(F.col("_q_id").cast("string")), "_q_id").limit(rows)
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_q_doc"), F.col(text).alias("t"))
@@ -192,6 +193,7 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 def scored(docs: DataFrame, model: Machine | Constant, text: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from a score of 0.5)."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in ("score", "predicted") if c in docs.columns])
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -26,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of few bytes for this session, so that long texts do not fill a task's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import chunks
+from tracewise.llm.shared import chunks, small_batches
 
 #: Pre-tokens of byte-level BPE: a fixed pattern of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -100,6 +100,7 @@ def _of(path: str) -> Counts:
 
 def counted(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with n_bytes (UTF-8) and n_tokens. path: the tokenizer's file, at the same place on every executor."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in ("n_bytes", "n_tokens") if c in docs.columns])
     schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 

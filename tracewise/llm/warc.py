@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.llm.shared import new_path, written
+from tracewise.llm.shared import new_path, small_batches, written
 
 #: Captures in a compressed block, and bytes after which a task begins another archive.
 BLOCK_LINES, ARCHIVE_BYTES = 300, 1 << 30
@@ -161,6 +161,7 @@ def _index_writer(store: str):
 
 def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_dedup: int = 0, store: str | None = None) -> Archive:
     """Writes pages as archives and their index into store, a folder that all executors share."""
+    small_batches(pages.sparkSession)
     store = store or new_path(pages.sparkSession, "warc")
     files, root = _open(store)
     files.create_dir(root, recursive=True)

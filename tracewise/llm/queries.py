@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm import decontamination, lines, licenses, mixing, neardup, quality, sharding, tokens, warc
+from tracewise.llm import ann, decontamination, lines, licenses, mixing, neardup, quality, sharding, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +77,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_sharding, op2_near_dedup, op3_tokens, op4_warc, op5_decontamination, op6_line_dedup, op7_license_scan, op8_mixing, op9_quality)
+    numbered = (op1_sharding, op2_near_dedup, op3_tokens, op4_warc, op5_decontamination, op6_line_dedup, op7_license_scan, op8_mixing, op9_quality, op10_nearest)
     return {f.__name__: f for f in numbered} | {"pipeline": _pipeline}
 
 

@@ -1,8 +1,8 @@
 """Near-duplicate groups by MinHash with sequential Bayesian verification.
 
-1. Documents with equal word sequences form a class, by a grouping on a 128-bit digest; only the
-   smallest id of a class goes on, so copies cost one row each.
-2. Each representative gets VALUES MinHash values of its shingle set: the first BANDS * ROWS as
+1. Documents with equal word sequences form a class, known by a 128-bit digest. Only the smallest
+   id of a class goes on, its representative; copies take its component at the end.
+2. Each document gets VALUES MinHash values of its shingle set: the first BANDS * ROWS as
    band hashes, and all as a signature of one byte per value.
 3. Representatives that share a band are candidates. A band's hub is the member that shares bands
    with most others; the members of all bands of one hub form its cluster, so a document goes
@@ -23,8 +23,8 @@ Words: `[^\\x20\\x09-\\x0D]+` with ASCII letters lower-cased. Shingles are disti
 words, held as 64-bit hashes; with fewer words, the whole sequence is one.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is
-its own component; rows with equal ids are one node; a row with a null id takes part in no link
-and has a null component; repeated rows come back repeated; an empty table gives an empty result;
+its own component; of rows with equal ids and different texts each has the component of its own
+text; a row with a null id takes part in no link and has a null component; repeated rows come back repeated; an empty table gives an empty result;
 deduped() keeps all columns of its rows.
 """
 
@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from tracewise.llm.components import components
 from tracewise.llm.shared import NOT_SPACE, chunks, drop_written, mix64, small_batches, word_table, written
 
-BANDS, ROWS, VALUES = 40, 5, 400
+BANDS, ROWS, VALUES = 40, 5, 200
 #: Signature values that a batch adds, and the chance of dropping a pair at the threshold that is accepted.
 BATCH, MISS = 40, 1e-6
 #: Members of a cluster that meet in a task, about.
@@ -286,15 +286,15 @@ def _linked(runs: DataFrame, base: DataFrame, docs: DataFrame, k: int, percent:
     return links
 
 
-def _found(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles) of each row, and (node, component) of all linked nodes."""
+def _rows(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row."""
     small_batches(docs.sparkSession)
     base = written(described(docs, k, key, text), "described")
-    classes = written(base.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    nodes = base.where("sig IS NOT NULL").select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     in_band = Window.partitionBy("band")
-    entries = nodes.select("doc_id", F.explode("bands").alias("band")).withColumn("n", F.count("*").over(in_band)).where("n > 1")
-    entries = written(entries.distinct(), "bands")
+    entries = base.where("doc_id IS NOT NULL AND sig IS NOT NULL").select("doc_id", F.xxhash64("digest").alias("text_hash"), F.explode("bands").alias("band"))
+    first = F.row_number().over(Window.partitionBy("band", "text_hash").orderBy("doc_id"))
+    entries = entries.repartition("band").withColumn("copy", first).where("copy = 1").withColumn("n", F.count("*").over(in_band)).where("n > 1")
+    entries = written(entries.select("band", "doc_id", "n").distinct(), "bands")
 
     weight = entries.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     hub = F.first("doc_id").over(in_band.orderBy(F.col("weight").desc(), "doc_id"))
@@ -313,22 +313,25 @@ def _found(docs: DataFrame, k: int, percent: int, key: str, text: str) -> tuple[
         pairs = large.join(split, "hub", "left_semi").withColumn("o", F.explode(other)).withColumn("x", F.least("block", "o")).withColumn("y", F.greatest("block", "o"))
         links = links.unionByName(_linked(pairs, base, docs, k, percent, key, text))
 
-    same_text = base.join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    whole = written(components(links.unionByName(same_text)), "components")
-    return base.select("doc_id", "n_shingles"), whole
+    found = written(components(links), "components")
+    classes = base.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("own"), F.coalesce("component", "rep").alias("component"))
+    classes = written(classes, "classes")
+    rows = base.select("doc_id", "digest", "n_shingles").join(classes, F.col("digest") == F.col("own"), "left")
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    return rows.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links) and kept (doc_id is that id)."""
-    rows, whole = _found(docs, k, percent, key, text)
-    rows = rows.join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = _rows(docs, k, percent, key, text)
     return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def deduped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs for each group. Of rows that share the kept id, that with the smallest text stays; rows with a null id all stay."""
-    _, whole = _found(docs, k, percent, key, text)
-    gone = whole.where("node <> component").select(F.col("node").alias("_near_node"))
+    rows = _rows(docs, k, percent, key, text)
+    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("_near_node")).distinct()
     first = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last())
     rows = docs.join(gone, F.col(key) == F.col("_near_node"), "left_anti").withColumn("_near_row", F.row_number().over(first))
     return rows.where((F.col("_near_row") == 1) | F.col(key).isNull()).drop("_near_row")

@@ -79,12 +79,17 @@ def balanced_sample(rows: DataFrame, group: str, key: str, n: int, seed: int = 4
     return kept.orderBy("_n", hash_order(seed, group, "_n"), group).limit(n).drop("_n")
 
 
-def per_request_sample(requests: DataFrame, pool: DataFrame, on: str, request: str, item: str, k: int) -> DataFrame:
-    """(request, items): k pool items of the request's kind, by a digest of request seed and item. The pool is a small dimension, at most one row per example."""
-    digest = F.sha2(F.concat_ws(":", F.col("generation_seed").cast("string"), F.col(item).cast("string")), 256)
-    hits = requests.join(pool, on).select(request, digest.alias("_h"), item)
-    best = hits.withColumn("_n", F.row_number().over(Window.partitionBy(request).orderBy("_h", item))).where(F.col("_n") <= k)
-    return best.groupBy(request).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", item))), lambda x: x[item]).alias("items"))
+def per_request_sample(requests: DataFrame, pool: DataFrame, on: str, request: str, item: str, k: int, pool_limit: int = 10_000) -> DataFrame:
+    """(request, items): k pool items of the request's kind, by a digest of request seed and item.
+
+    The pool is a row per kind that holds its items, at most pool_limit in all, so requests are
+    neither multiplied nor shuffled.
+    """
+    if pool.limit(pool_limit + 1).count() > pool_limit:
+        raise ValueError(f"a pool has at most {pool_limit} items")
+    kinds = F.broadcast(pool.groupBy(on).agg(F.collect_list(item).alias("_items")))
+    ranked = F.array_sort(F.transform("_items", lambda i: F.struct(F.sha2(F.concat_ws(":", F.col("generation_seed").cast("string"), i.cast("string")), 256).alias("h"), i.alias("i"))))
+    return requests.join(kinds, on).select(request, F.transform(F.slice(ranked, 1, k), lambda x: x["i"]).alias("items"))
 
 
 def head_split(rows: DataFrame, order: list[str], eval_ratio: float) -> DataFrame:

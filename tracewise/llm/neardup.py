@@ -299,8 +299,9 @@ def _rows(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFra
     weight = entries.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     hub = F.first("doc_id").over(in_band.orderBy(F.col("weight").desc(), "doc_id"))
     members = written(entries.join(weight, "doc_id").select(hub.alias("hub"), "doc_id").distinct(), "members")
-    blocks = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    crowds = written(members.groupBy("hub").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "crowds")
+    members = members.join(crowds, "hub", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")).drop("size")
+    members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     own = members.withColumn("x", F.explode(F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
     links = _linked(own.withColumn("y", F.col("x")).withColumn("c", F.col("doc_id")), base, docs, k, percent, key, text)
 

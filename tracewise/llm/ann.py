@@ -4,14 +4,15 @@ Equal vectors form a class, of which the smallest id is the node and the LIMIT +
 are kept; an answer never needs more of them. The graph gives each node its DEGREE best
 neighbours. It begins from random projections: nodes are range-sorted on each of TREES
 directions and compared within leaves of LEAF neighbours on the line. Rounds of NN-descent follow:
-each node, with its neighbours and up to REVERSE nodes that list it, is an owner whose members are
-compared with each other where one of the two is new to it; a member gets the candidates better than
+each node, with its neighbours and up to REVERSE nodes that newly list it, is an owner whose members
+are compared with each other where one of the two is new to it; owners without news are left out; a member gets the candidates better than
 its worst neighbour. Owners, members and lists meet by joins and exchanges on node ids; a
-round's lists are written to the shared folder. Rounds end when fewer than SETTLED of all list places
-change, or after ROUNDS.
+round's lists are written to the shared folder. Rounds end after LEAST_ROUNDS when fewer than SETTLED of
+all list places change, or after ROUNDS.
 
-A query searches greedily: its pool of POOL best nodes is expanded, BEAM unexpanded nodes a hop, by
-joins with the graph and with the vectors, until no query has a node left to expand. Search and
+A query searches greedily: it begins with its node's list and keeps a pool of the POOL best nodes; of
+the WIDE best, BEAM unexpanded ones a hop are joined with the graph, whose rows carry the
+neighbours' vectors, until no query has one left. Search and
 graph use vectors of one byte per component; the pool is scored again in double precision on the
 original vectors. Reverse lists and leaves bound the work per node; what they miss is measured
 as recall in the tests.
@@ -34,12 +35,14 @@ from pyspark.sql import functions as F
 
 from tracewise.llm.shared import drop_written, small_batches, written
 
-DEGREE, REVERSE, LEAF, TREES = 32, 32, 2048, 8
-ROUNDS, SETTLED = 8, 0.01
-POOL, BEAM, HOPS = 64, 12, 12
+DEGREE, REVERSE, LEAF, TREES = 56, 32, 2048, 8
+ROUNDS, LEAST_ROUNDS, SETTLED = 8, 2, 0.01
+POOL, WIDE, BEAM, HOPS = 128, 96, 32, 12
+#: Rows (query, node) of a hop that are broadcast at most, 16 bytes each; more of them are joined by an exchange.
+BROADCAST_ROWS = 500_000
 LIMIT = 20
 #: Candidates that an owner gives a member in a round at most.
-GIVEN = 16
+GIVEN = 24
 
 _LISTS = "node long, ids array<long>, sims array<float>, fresh array<boolean>"
 
@@ -206,10 +209,13 @@ def _offers(lists: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
     worst = F.when(F.size("ids") >= DEGREE, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float")
     about = lists.join(nodes.select("node", "short"), "node").withColumn("worst", worst)
     about = written(about, "about")
-    edges = about.select(F.col("node").alias("owner"), F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("owner", F.col("e.ids").alias("node"), F.col("e.fresh").alias("fresh"))
-    forward = edges.join(about.select("node", "short", "worst"), "node").select("owner", "node", "fresh", "short", "worst")
-    order = Window.partitionBy("owner").orderBy(F.desc("fresh"), F.xxhash64("owner", "node"))
-    back = about.select("node", "short", "worst", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select(F.col("e.ids").alias("owner"), "node", F.col("e.fresh").alias("fresh"), "short", "worst")
+    fresh = F.filter(F.arrays_zip("ids", "fresh"), lambda e: e["fresh"])
+    back = about.select("node", "short", "worst", F.explode(F.transform(fresh, lambda e: e["ids"])).alias("owner"))
+    back = back.select("owner", "node", F.lit(True).alias("fresh"), "short", "worst")
+    busy = about.where(F.exists("fresh", lambda f: f)).select("node").unionByName(back.select(F.col("owner").alias("node"))).distinct()
+    edges = lists.join(busy, "node", "left_semi").select(F.col("node").alias("owner"), F.explode(F.arrays_zip("ids", "fresh")).alias("e"))
+    forward = edges.select("owner", F.col("e.ids").alias("node"), F.col("e.fresh").alias("fresh")).join(about.select("node", "short", "worst"), "node").select("owner", "node", "fresh", "short", "worst")
+    order = Window.partitionBy("owner").orderBy(F.xxhash64("owner", "node"))
     back = back.withColumn("n", F.row_number().over(order)).where(F.col("n") <= REVERSE).drop("n")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,13 +248,13 @@ def _offers(lists: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
 def graph(nodes: DataFrame, dim: int) -> DataFrame:
     """(node, ids, sims, fresh): lists of all nodes that have a neighbour, best first; written."""
     lists = written(_merged(_first_lists(nodes, dim).withColumn("old", F.lit(False))), "lists")
-    for _ in range(ROUNDS):
+    for n in range(1, ROUNDS + 1):
         offers = _offers(lists, nodes, dim).withColumn("old", F.lit(False))
         after = written(_merged(lists.select("node", "ids", "sims", F.lit(True).alias("old")).unionByName(offers)), "lists")
         drop_written(lists)
         lists = after
         changed = lists.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("ids"))).first()
-        if (changed[0] or 0) <= SETTLED * (changed[1] or 0):
+        if n >= LEAST_ROUNDS and (changed[0] or 0) <= SETTLED * (changed[1] or 0):
             break
     return lists
 
@@ -257,10 +263,12 @@ def search(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int) ->
     """(query_id, node, vec, query_vec): the pools of queries (query_id, start, query_vec), start a node of the graph."""
     back = lists.select(F.col("node").alias("n"), F.explode(F.arrays_zip("ids", "sims")).alias("e")).select(F.col("e.ids").alias("node"), "n", F.col("e.sims").alias("sim"))
     back = back.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "n"))).where(F.col("k") <= REVERSE // 2)
-    around = lists.select("node", F.explode("ids").alias("next")).unionByName(back.select("node", F.col("n").alias("next")))
-    around = written(around, "around")
-    pools = queries.select("query_id", F.col("start").alias("node"), F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("done"))
-    pools = written(pools, "pools")
+    edges = lists.select("node", F.explode("ids").alias("next")).unionByName(back.select("node", F.col("n").alias("next")))
+    around = written(edges.join(nodes.select(F.col("node").alias("next"), "short"), "next").select("node", "next", "short"), "around")
+    begun = queries.select("query_id", F.col("start").alias("node"), F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("done"), F.lit(True).alias("go"))
+    near = queries.select("query_id", F.col("start").alias("node")).join(lists, "node").select("query_id", F.posexplode(F.arrays_zip("ids", "sims")).alias("at", "e"))
+    near = near.select("query_id", F.col("e.ids").alias("node"), F.col("e.sims").alias("sim"), F.lit(False).alias("done"), (F.col("at") < BEAM - 1).alias("go"))
+    pools = written(begun.unionByName(near), "pools")
     wide = queries.select(F.col("query_id"), "query_vec")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,27 +286,26 @@ def search(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int) ->
                 else:
                     ids, sims, seen = node[keep], sim[keep], done[keep]
                 best = np.lexsort((ids, -sims))[:POOL]
-                for i in best:
-                    yield query, ids[i], sims[i], seen[i]
+                go = np.zeros(len(best), dtype=bool)
+                go[np.flatnonzero(~seen[best][:WIDE])[:BEAM]] = True
+                for i, g in zip(best, go, strict=True):
+                    yield query, ids[i], sims[i], seen[i], g
 
         for part in _parts(rows(), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float32(), pa.bool_()))], names=["query_id", "node", "sim", "done"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float32(), pa.bool_(), pa.bool_()))], names=["query_id", "node", "sim", "done", "go"])
 
     for _ in range(HOPS):
-        rank = F.row_number().over(Window.partitionBy("query_id", "done").orderBy(F.desc("sim"), "node"))
-        marked = pools.withColumn("go", ~F.col("done") & (rank <= BEAM))
-        marked = written(marked, "marked")
-        if marked.where("go").isEmpty():
+        ask = pools.where("go").select("query_id", "node")
+        if not (asked := ask.count()):
             break
-        found = marked.where("go").select("query_id", "node").join(around, "node").select("query_id", F.col("next").alias("node")).distinct()
-        found = found.join(nodes.select("node", "short"), "node").select("query_id", "node", "short", F.lit(None).cast("binary").alias("query_vec"), F.lit(0).cast("float").alias("sim"), F.lit(False).alias("done"), F.lit(1).alias("kind"))
+        found = around.join(F.broadcast(ask) if asked <= BROADCAST_ROWS else ask, "node")
+        found = found.select("query_id", F.col("next").alias("node"), "short", F.lit(None).cast("binary").alias("query_vec"), F.lit(0).cast("float").alias("sim"), F.lit(False).alias("done"), F.lit(1).alias("kind"))
         none = F.lit(None).cast("binary")
-        kept = marked.select("query_id", "node", none.alias("short"), none.alias("query_vec"), "sim", (F.col("done") | F.col("go")).alias("done"), F.lit(0).alias("kind"))
+        kept = pools.select("query_id", "node", none.alias("short"), none.alias("query_vec"), "sim", (F.col("done") | F.col("go")).alias("done"), F.lit(0).alias("kind"))
         own = wide.select("query_id", F.lit(-1).cast("long").alias("node"), none.alias("short"), "query_vec", F.lit(0).cast("float").alias("sim"), F.lit(True).alias("done"), F.lit(2).alias("kind"))
         met = found.unionByName(kept).unionByName(own).repartition("query_id").sortWithinPartitions("query_id")
-        after = written(met.mapInArrow(score, "query_id long, node long, sim float, done boolean"), "pools")
+        after = written(met.mapInArrow(score, "query_id long, node long, sim float, done boolean, go boolean"), "pools")
         drop_written(pools)
-        drop_written(marked)
         pools = after
     return pools.join(nodes.select("node", "vec", "ids"), "node").join(wide, "query_id")
 

@@ -82,14 +82,23 @@ def balanced_sample(rows: DataFrame, group: str, key: str, n: int, seed: int = 4
 def per_request_sample(requests: DataFrame, pool: DataFrame, on: str, request: str, item: str, k: int, pool_limit: int = 10_000) -> DataFrame:
     """(request, items): k pool items of the request's kind, by a digest of request seed and item.
 
-    The pool is a row per kind that holds its items, at most pool_limit in all, so requests are
-    neither multiplied nor shuffled.
+    The pool is a row per kind and block; a block holds about pool_limit items, dealt by hash. A pool
+    of one block is broadcast, so requests are neither multiplied nor shuffled. A larger pool meets
+    the distinct seeds block by block, without a broadcast: each block gives its first k, and the
+    first k of those are the sample. The order depends on seed and item, so each seed is hashed with each item.
     """
-    if pool.limit(pool_limit + 1).count() > pool_limit:
-        raise ValueError(f"a pool has at most {pool_limit} items")
-    kinds = F.broadcast(pool.groupBy(on).agg(F.collect_list(item).alias("_items")))
+    n_blocks = max(1, -(-pool.count() // pool_limit))
+    copies = pool.where(F.col(item).isNotNull()).groupBy(on, item).agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("_c"))
+    blocks = copies.groupBy(on, F.pmod(F.xxhash64(item), F.lit(n_blocks)).alias("_block")).agg(F.flatten(F.collect_list(F.array_repeat(item, F.col("_c")))).alias("_items")).drop("_block")
     ranked = F.array_sort(F.transform("_items", lambda i: F.struct(F.sha2(F.concat_ws(":", F.col("generation_seed").cast("string"), i.cast("string")), 256).alias("h"), i.alias("i"))))
-    return requests.join(kinds, on).select(request, F.transform(F.slice(ranked, 1, k), lambda x: x["i"]).alias("items"))
+    first = lambda x: F.slice(x, 1, k)
+    items = lambda x: F.transform(x, lambda y: y["i"]).alias("items")
+    if n_blocks == 1:
+        return requests.join(F.broadcast(blocks), on).select(request, items(first(ranked)))
+    seeds = requests.select(on, "generation_seed").distinct()
+    best = seeds.hint("shuffle_replicate_nl").join(blocks, on).select(on, F.col("generation_seed").alias("_seed"), first(ranked).alias("_best"))
+    best = best.groupBy(on, "_seed").agg(first(F.array_sort(F.flatten(F.collect_list("_best")))).alias("_best")).withColumnRenamed(on, "_on")
+    return requests.join(best, (F.col(on) == F.col("_on")) & F.col("generation_seed").eqNullSafe(F.col("_seed"))).select(request, items(F.col("_best")))
 
 
 def head_split(rows: DataFrame, order: list[str], eval_ratio: float) -> DataFrame:

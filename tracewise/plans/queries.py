@@ -284,7 +284,7 @@ def head_split(spark, d):
 def few_shots(spark, d):
     requests = P.generation_requests(D.traces(spark, d)).select("pair_id", "generation_type", "generation_seed")
     pool = D.table(spark, d, "benchmark").select(F.col("item_id").alias("example_id"), F.when(F.col("item_id") % 2 == 0, "hard_negative").otherwise("positive_paraphrase").alias("generation_type"))
-    rows = B.per_request_sample(requests, pool.where("example_id < 1000"), "generation_type", "pair_id", "example_id", 3)
+    rows = B.per_request_sample(requests, pool, "generation_type", "pair_id", "example_id", 3)
     return rows.select("pair_id", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 

@@ -9,6 +9,11 @@ with a lower-case letter (a wrapped line). Normalised: ASCII letters
 lower-cased, each run of other characters than ASCII letters and digits a space, trimmed; empty
 sentences do not count.
 
+A known sentence may also go over lines that begin with indentation, comment marks, digits or
+capitals, though not over a blank line: its pieces are joined to one sentence. A list number or
+letter before it (`1.`, `2)`, `(a)`) is not a sentence of its own. All other sentences stay as above.
+Comment marks are signs; words such as `dnl` or `REM` are not taken for marks.
+
 Defined results: a null or empty text has no sentences; repeated rows get the same answer each; an
 empty table gives an empty result; extra columns are kept, and n_sentences, n_known and matches
 are replaced.
@@ -80,12 +85,30 @@ def normalised(text: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text).lower().split())
 
 
+def _joined(plain: Column) -> Column:
+    """plain with each known sentence between ends of sentences, without line ends inside and without its list number."""
+    begin, end = r"(?: ?\x03(?:[0-9]{1,2}|[a-z]) ?\x01? ?|(?<![^\x01\x02]) ?)", r"(?= ?(?:[\x01-\x03]|\z))"
+    known = sorted({normalised(v) for v in SENTENCES.values()}, key=lambda s: (-len(s), s))
+    wrapped = [s.replace(" ", r"(?: ?\x02 ?| )") for s in known]
+    out = plain
+    for s, w in zip(known, wrapped):
+        out = F.regexp_replace(out, begin + w + end, f"\u0001{s}\u0001")
+    return F.when(F.rlike(plain, F.lit(f"{begin}(?:{'|'.join(wrapped)}){end}")), out).otherwise(plain)
+
+
 def _sentences(text: Column) -> Column:
-    """Normalised sentences: the whole text is marked and normalised before it is split."""
-    lines = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"\n([^a-z]|\z)", "\u0001$1")
-    ends = F.regexp_replace(lines, r"[.!?][\x20\x09-\x0D]", "\u0001")
-    plain = F.regexp_replace(F.translate(ends, _UPPER, _LOWER), "[^a-z0-9\u0001]+", " ")
-    return F.filter(F.transform(F.split(plain, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
+    """Normalised sentences: the whole text is marked and normalised before it is split.
+
+    Marks: 1 the end of a sentence, 2 a line end that only a known sentence goes over, 3 a list number.
+    """
+    lines = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\u0002\u0003", "  ")
+    lines = F.regexp_replace(lines, r"\n(?=[^A-Za-z0-9\n]*(?:\n|\z))", "\u0001")
+    lines = F.regexp_replace(lines, r"\n(?=[^a-z]|\z)", "\u0002")
+    lines = F.regexp_replace(lines, r"(?<![^\n\x01\x02])([^A-Za-z0-9\n\x01\x02]*)([0-9]{1,2}|[A-Za-z])(?=[.)][\x20\x09])", "$1\u0003$2")
+    ends = F.regexp_replace(lines, r"[.!?][\x20\x09-\x0D\x02]", "\u0001")
+    plain = F.regexp_replace(F.translate(ends, _UPPER, _LOWER), "[^a-z0-9\u0001-\u0003]+", " ")
+    whole = F.translate(_joined(plain), "\u0003", " ")
+    return F.filter(F.transform(F.split(whole, "[\u0001\u0002]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:

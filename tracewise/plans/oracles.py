@@ -194,7 +194,7 @@ FROM s WHERE scorer = 'nli' GROUP BY ALL""",
     "score_unpivot": f"""WITH {_S}, u AS (SELECT scorer, 'raw_score' AS score_field, raw_score AS score FROM s UNION ALL SELECT scorer, 'E_ba', E_ba FROM s UNION ALL SELECT scorer, 'C_ab', C_ab FROM s WHERE scorer = 'nli')
 SELECT scorer, score_field, count(*)::BIGINT AS n, round(avg(score), 6) AS mean FROM u GROUP BY ALL""",
     "dedupe_first": f"""WITH {_S}, n AS (SELECT *, row_number() OVER (PARTITION BY case_id, scorer, negative_type, pair_type ORDER BY line, value) AS k FROM v)
-SELECT scorer, negative_type, count(*)::BIGINT AS n, sum(line)::BIGINT AS lines FROM n WHERE k = 1 GROUP BY ALL""",
+SELECT scorer, negative_type, count(*)::BIGINT AS n, sum(line % 1000003)::BIGINT AS lines FROM n WHERE k = 1 GROUP BY ALL""",
     "tau_sensitivity": f"""{_FAM}, g AS (
   SELECT scorer, score_field, tau, avg((value >= tau)::INT) FILTER (family = 'hn' AND pair_type = 'negative') AS hn, avg((value >= tau)::INT) FILTER (family = 'neg' AND pair_type = 'negative') AS neg, avg((value >= tau)::INT) FILTER (family = 'num' AND pair_type = 'negative') AS num
   FROM f, (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS tau) GROUP BY ALL

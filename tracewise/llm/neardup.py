@@ -6,7 +6,9 @@
    band hashes, and all as a signature of one byte per value.
 3. Representatives that share a band are candidates. A band's hub is the member that shares bands
    with most others; the members of all bands of one hub form its cluster, so a document goes
-   to a cluster once, however many bands it shares with the hub's other members.
+   to a cluster once, however many bands it shares with the hub's other members. Counts and hubs
+   are partial aggregates, and joins on bands and digests broadcast the few keys that hold a large
+   share of all rows (shared.spread_join), so no band or class is a hot task.
 4. In a cluster, signatures are compared a batch at a time. After each batch the posterior of the
    similarity (a Beta distribution) gives the chance that it reaches the threshold; a pair below
    MISS is dropped. Members with a partner left are likely.
@@ -14,8 +16,10 @@
    one component already is not compared, so a cluster gives out a spanning forest, never all
    pairs. The links give components.
 6. A cluster of more than BLOCK members is dealt out in blocks, each with the hub. If it still
-   holds several components, 4 and 5 follow for each two blocks, between different components.
-   So no count of partners is capped and no cluster meets in one task.
+   holds several components, its members outside the largest one, the strays, are compared with all
+   of its members: 4 and 5 follow for each block and each BLOCK strays. So no count of partners is
+   capped, no cluster meets in one task, and what is shipped grows with members plus strays times
+   blocks, not with the square of the cluster unless most of its members are strays.
 
 A pair at the threshold shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 1.4e-7.
 
@@ -24,8 +28,10 @@ words, held as 64-bit hashes; with fewer words, the whole sequence is one.
 
 Defined results: a null text or one without words has an empty set, is linked with nothing and is
 its own component; of rows with equal ids and different texts each has the component of its own
-text; a row with a null id takes part in no link and has a null component; repeated rows come back repeated; an empty table gives an empty result;
-deduped() keeps all columns of its rows.
+text; a row with a null id has a null component and is always kept by deduped; repeated
+rows get the same answer each; ties (equal sets) are links; a very long text makes a numpy pass of its own,
+of about 60 bytes for each byte of it; an empty table gives an empty result; groups leaves extra
+columns out, and deduped keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,18 +42,17 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracewise.llm.components import components
-from tracewise.llm.shared import NOT_SPACE, chunks, drop_written, mix64, small_batches, word_table, written
+from tracewise.llm.shared import NOT_SPACE, chunks, drop_written, held, mix64, small_batches, spread_join, word_table, written
 
 BANDS, ROWS, VALUES = 40, 5, 200
 #: Signature values that a batch adds, and the chance of dropping a pair at the threshold that is accepted.
 BATCH, MISS = 40, 1e-6
 #: Members of a cluster that meet in a task, about.
-BLOCK = 2048
+BLOCK = 512
 
 _rng = np.random.default_rng(20240229)
 _FACTOR = (_rng.integers(0, 1 << 32, VALUES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -290,49 +295,70 @@ def _rows(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFra
     """(doc_id, n_shingles, component_id) of each row."""
     small_batches(docs.sparkSession)
     base = written(described(docs, k, key, text), "described")
-    in_band = Window.partitionBy("band")
-    entries = base.where("doc_id IS NOT NULL AND sig IS NOT NULL").select("doc_id", F.xxhash64("digest").alias("text_hash"), F.explode("bands").alias("band"))
-    first = F.row_number().over(Window.partitionBy("band", "text_hash").orderBy("doc_id"))
-    entries = entries.repartition("band").withColumn("copy", first).where("copy = 1").withColumn("n", F.count("*").over(in_band)).where("n > 1")
-    entries = written(entries.select("band", "doc_id", "n").distinct(), "bands")
+    full = base.where("doc_id IS NOT NULL AND sig IS NOT NULL")
+    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    own = full.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
+    entries = own.select("doc_id", F.explode("bands").alias("band"))
+    bands = written(entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    entries = written(spread_join(entries, bands, "band", "n").distinct(), "entries")
 
     weight = entries.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    hub = F.first("doc_id").over(in_band.orderBy(F.col("weight").desc(), "doc_id"))
-    members = written(entries.join(weight, "doc_id").select(hub.alias("hub"), "doc_id").distinct(), "members")
-    crowds = written(members.groupBy("hub").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "crowds")
-    members = members.join(crowds, "hub", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")).drop("size")
+    hubs = entries.join(weight, "doc_id").groupBy("band").agg(F.min(F.struct(-F.col("weight"), "doc_id"))["doc_id"].alias("hub"), F.count("*").alias("m"))
+    members = written(spread_join(entries.select("band", "doc_id"), written(hubs, "hubs"), "band", "m").select("hub", "doc_id").distinct(), "members")
+    sizes = written(members.groupBy("hub").agg(F.count("*").alias("size")), "sizes")
+    members = spread_join(members, sizes, "hub", "size").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size")
     members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    own = members.withColumn("x", F.explode(F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    links = _linked(own.withColumn("y", F.col("x")).withColumn("c", F.col("doc_id")), base, docs, k, percent, key, text)
+    dealt = members.withColumn("x", F.explode(F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    links = _linked(dealt.withColumn("y", F.col("x")).withColumn("c", F.col("doc_id")), base, docs, k, percent, key, text)
 
     large = members.where("blocks > 1")
     if not large.isEmpty():
-        found = written(components(links), "components")
-        large = large.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id"))
-        split = large.groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hub")
-        other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))
-        pairs = large.join(split, "hub", "left_semi").withColumn("o", F.explode(other)).withColumn("x", F.least("block", "o")).withColumn("y", F.greatest("block", "o"))
-        links = links.unionByName(_linked(pairs, base, docs, k, percent, key, text))
-
-    found = written(components(links), "components")
-    classes = base.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("own"), F.coalesce("component", "rep").alias("component"))
-    classes = written(classes, "classes")
-    rows = base.select("doc_id", "digest", "n_shingles").join(classes, F.col("digest") == F.col("own"), "left")
+        links = links.unionByName(_linked(_strays(large, links), base, docs, k, percent, key, text))
+
+    found = components(links).withColumnRenamed("node", "rep")
+    classes = written(classes.join(found, "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component")), "class-components")
+    rows = spread_join(base.select("doc_id", "digest", "n_shingles"), classes, "digest", "copies", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return rows.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def _strays(large: DataFrame, links: DataFrame) -> DataFrame:
+    """Runs (hub, x, y, doc_id, c, block) that hold each stray with each member of its hub: x is a block of members, y less than 0 a part of the strays, whose block is -1."""
+    found = components(links)
+    large = large.join(found, F.col("doc_id") == F.col("node"), "left").select("hub", "doc_id", "blocks", "block", F.coalesce("component", "doc_id").alias("c"))
+    large = written(large, "large")
+    parts = large.groupBy("hub", "c").agg(F.count("*").alias("m"))
+    most = parts.groupBy("hub").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.sum("m").alias("n"), F.max("m").alias("top")).where("n > top")
+    most = written(most.select("hub", "main", "n", F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int").alias("parts")), "split")
+    rows = spread_join(large, most, "hub", "n")
+    own = rows.select("hub", F.col("block").alias("x"), F.explode(F.sequence(F.lit(1), "parts")).alias("y"), "doc_id", "c", "block")
+    stray = rows.where("c <> main").withColumn("y", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int") + 1)
+    stray = stray.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "y", "doc_id", "c", F.lit(-1).alias("block"))
+    return own.unionByName(stray).withColumn("y", (-F.col("y")).cast("int"))
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links) and kept (doc_id is that id)."""
-    rows = _rows(docs, k, percent, key, text)
+    rows, _ = held(docs, {"doc_id": key, "text": text}, packed=False)
+    rows = _rows(rows, k, percent, "doc_id", "text")
     return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def deduped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs for each group. Of rows that share the kept id, that with the smallest text stays; rows with a null id all stay."""
-    rows = _rows(docs, k, percent, key, text)
-    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias("_near_node")).distinct()
-    first = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last())
-    rows = docs.join(gone, F.col(key) == F.col("_near_node"), "left_anti").withColumn("_near_row", F.row_number().over(first))
-    return rows.where((F.col("_near_row") == 1) | F.col(key).isNull()).drop("_near_row")
+    """One row of docs for each group. Of rows that share the kept id, that with the smallest text stays; rows with a null id all stay.
+
+    Rows that share a kept id are found by ids alone and reduced by a partial aggregate, so texts
+    of other rows stay in place.
+    """
+    rows, back = held(docs, {"doc_id": key, "text": text})
+    slim, _ = held(docs, {"doc_id": key, "text": text}, packed=False)
+    found = written(_rows(slim, k, percent, "doc_id", "text").select("doc_id", "component_id"), "found")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    rows = rows.join(gone, "doc_id", "left_anti")
+    twice = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1"), "repeated")
+    if twice.isEmpty():
+        return rows.select(*back)
+    ids = twice.select("doc_id")
+    whole = F.struct(*[c for c in rows.columns if c != "doc_id"])
+    first = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct(F.col("text").isNull(), F.col("text"))).alias("_row"))
+    return rows.join(ids, "doc_id", "left_anti").unionByName(first.select("doc_id", "_row.*")).select(*back)

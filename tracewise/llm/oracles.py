@@ -3,7 +3,7 @@
 OP8 = r"""
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, md5(COALESCE(text, '')))), 1, 15))::BIGINT AS k
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -56,8 +56,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
-    return mixing.mix(docs, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, mixing.n_words(F.col("text")), tie=F.md5(F.coalesce("text", F.lit("")))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

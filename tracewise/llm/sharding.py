@@ -1,14 +1,21 @@
 """Sharding by fixed virtual slots.
 
 Each record hashes into one of SLOTS virtual slots for good. Bytes are summed per slot, and a
-versioned table maps slots to shards. Rebalancing never rehashes records: it edits the map,
-moving as few slots as even sizes need, and writes the result as the next version. Only
+versioned table maps slots to shards. Rebalancing never rehashes records: it edits the newest
+map, moving as few slots as even sizes need, and writes the result as the next version. Only
 DataFrame functions touch records; the map has SLOTS rows at any input size, so editing it on
 the driver and broadcasting it are bounded.
 
-Defined results: a null text counts as no bytes; a null key hashes by its text; repeated rows
-each get a place of their own; an empty table gives an empty result and an even map; extra
-columns are kept, and names that begin with `_shard_` are reserved.
+A record's place is the rows of its shard in earlier virtual slots, plus those of its slot in earlier
+parts (PARTS by further bits of its hash), plus its rank in its part. So a task sorts 1 of
+SLOTS * PARTS shares of the records, and the offsets have at most SLOTS * PARTS rows.
+
+Defined results: a null text counts as no bytes; a null key hashes by its text; ties (equal keys and
+texts) are alike, and which of them comes first is open; repeated rows each get a place of their
+own, but hash alike, so they share a shard; a very long text is one record, measured by built-in
+functions without a copy of it in Python, and makes its shard heavier by its own bytes at most; an
+empty table gives an empty result and an even map; extra columns are kept, whatever their names,
+and columns named as those made here (in any case) are replaced.
 """
 
 from __future__ import annotations
@@ -20,28 +27,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import new_path
+from tracewise.llm.shared import held, new_path, written
 
-#: Virtual slots: fixed for the life of a dataset.
-SLOTS = 4096
+#: Virtual slots, and the parts of each in which rows are ranked: fixed for the life of a dataset.
+SLOTS, PARTS = 4096, 64
 
 _MAP = T.StructType([T.StructField("virtual_slot", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("bytes", T.LongType()), T.StructField("rows", T.LongType()), T.StructField("first_place", T.LongType())])
 
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with _shard_size (UTF-8 bytes plus 1), _shard_crc and _shard_vslot."""
+    """docs with _shard_size (UTF-8 bytes plus 1), _shard_crc, _shard_vslot and _shard_part."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return (
         docs.withColumn("_shard_size", (F.octet_length(body) + 1).cast("long"))
         .withColumn("_shard_crc", F.crc32(body.cast("binary")))
-        .withColumn("_shard_vslot", F.pmod(F.xxhash64(F.col(key), F.col("_shard_crc")), F.lit(SLOTS)).cast("int"))
+        .withColumn("_shard_hash", F.xxhash64(F.col(key), F.col("_shard_crc")))
+        .withColumn("_shard_vslot", F.pmod("_shard_hash", F.lit(SLOTS)).cast("int"))
+        .withColumn("_shard_part", F.pmod(F.shiftright("_shard_hash", 12), F.lit(PARTS)).cast("int"))
+        .drop("_shard_hash")
     )
 
 
-def slot_sums(rows: DataFrame) -> list[tuple[int, int]]:
-    """Bytes and rows of each virtual slot: SLOTS pairs."""
+def slot_sums(parts: DataFrame) -> list[tuple[int, int]]:
+    """Bytes and rows of each virtual slot: SLOTS pairs. parts: (_shard_vslot, b, n)."""
     sums = [(0, 0)] * SLOTS
-    for r in rows.groupBy("_shard_vslot").agg(F.sum("_shard_size").alias("b"), F.count("*").alias("n")).collect():
+    for r in parts.groupBy("_shard_vslot").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).collect():
         sums[r["_shard_vslot"]] = (r["b"], r["n"])
     return sums
 
@@ -113,27 +123,58 @@ def load_map(spark: SparkSession, store: str, version: int) -> DataFrame:
     return spark.read.schema(_MAP).parquet(f"{store}/version={version}")
 
 
+def newest_version(spark: SparkSession, store: str) -> int | None:
+    """The highest map version in a store, None if it has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = files.listStatus(path) if files.exists(path) else []
+    names = [f.getPath().getName() for f in found]
+    return max((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), default=None)
+
+
+def owners(spark: SparkSession, store: str, version: int) -> list[int]:
+    """The shard of each virtual slot in a stored map: SLOTS rows."""
+    owner = [0] * SLOTS
+    for r in load_map(spark, store, version).select("virtual_slot", "shard").collect():
+        owner[r["virtual_slot"]] = r["shard"]
+    return owner
+
+
+def rebalance(spark: SparkSession, store: str, shards: int, sums: list[tuple[int, int]] | None = None) -> int:
+    """Edits the newest stored map for a number of shards, and for new sums of slots if given, and stores it as the next version, which is returned. A new store begins with version 0, even by slot count."""
+    version = newest_version(spark, store)
+    if version is None:
+        version = 0
+        save_map(spark, store, 0, first_map(shards), sums or [(0, 0)] * SLOTS)
+    if sums is None:
+        sums = [(0, 0)] * SLOTS
+        for r in load_map(spark, store, version).collect():
+            sums[r["virtual_slot"]] = (r["bytes"], r["rows"])
+    save_map(spark, store, version + 1, rebalanced(owners(spark, store, version), [b for b, _ in sums], shards), sums)
+    return version + 1
+
+
 def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", store: str | None = None) -> DataFrame:
-    """docs with `shard`, `slot` (place in its shard, gapless from 0), `virtual_slot`, `map_version`, `_shard_size` and `_shard_crc`.
+    """docs, the whole dataset as it is now, with `shard`, `slot` (place in its shard, gapless from 0), `virtual_slot`, `map_version`, `_shard_size` and `_shard_crc`.
 
-    Writes map versions 0 (even by slot count) and 1 (edited to even bytes) into store.
+    The newest map in store is edited for the bytes of docs and stored as the next version, so
+    with the same store more documents or another number of shards move only the slots that even
+    sizes need.
     """
     spark = docs.sparkSession
     store = store or new_path(spark, "slot-map")
-    taken = [c for c in ("shard", "slot", "virtual_slot", "map_version") if c in docs.columns]
-    rows = measured(docs.drop(*taken), key, text)
-    sums = slot_sums(rows.select("_shard_vslot", "_shard_size"))
-    owner = first_map(shards)
-    save_map(spark, store, 0, owner, sums)
-    slots = save_map(spark, store, 1, rebalanced(owner, [b for b, _ in sums], shards), sums)
-    within = Window.partitionBy("_shard_vslot").orderBy(F.col(key).asc_nulls_first(), "_shard_crc", "_shard_size")
-    slots = slots.select(F.col("virtual_slot").alias("_shard_v"), F.col("shard").alias("_shard_to"), F.col("first_place").alias("_shard_place"))
-    return (
-        rows.withColumn("_shard_row", F.row_number().over(within))
-        .join(F.broadcast(slots), F.col("_shard_vslot") == F.col("_shard_v"))
-        .withColumn("shard", F.col("_shard_to"))
-        .withColumn("slot", (F.col("_shard_place") + F.col("_shard_row") - 1).cast("long"))
-        .withColumn("virtual_slot", F.col("_shard_vslot"))
-        .withColumn("map_version", F.lit(1))
-        .drop("_shard_v", "_shard_to", "_shard_place", "_shard_row", "_shard_vslot")
+    made = ("shard", "slot", "virtual_slot", "map_version", "_shard_size", "_shard_crc")
+    rows, back = held(docs, {"_shard_key": key, "_shard_text": text}, made)
+    slim, _ = held(docs, {"_shard_key": key, "_shard_text": text}, packed=False)
+    parts = written(measured(slim, "_shard_key", "_shard_text").groupBy("_shard_vslot", "_shard_part").agg(F.sum("_shard_size").alias("b"), F.count("*").alias("n")), "slot-sums")
+    version = rebalance(spark, store, shards, slot_sums(parts))
+    slots = load_map(spark, store, version).select(F.col("virtual_slot").alias("_shard_vslot"), "shard", "first_place")
+    earlier = Window.partitionBy("_shard_vslot").orderBy("_shard_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.join(F.broadcast(slots), "_shard_vslot").select(
+        F.col("_shard_vslot").alias("_v"), F.col("_shard_part").alias("_p"), F.col("shard").alias("_to"), (F.col("first_place") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("_place")
     )
+    within = Window.partitionBy("_shard_vslot", "_shard_part").orderBy(F.col("_shard_key").asc_nulls_first(), "_shard_crc", "_shard_size")
+    placed = measured(rows, "_shard_key", "_shard_text").withColumn("_row", F.row_number().over(within))
+    placed = placed.join(F.broadcast(offsets), (F.col("_shard_vslot") == F.col("_v")) & (F.col("_shard_part") == F.col("_p")))
+    new = {"shard": F.col("_to"), "slot": (F.col("_place") + F.col("_row") - 1).cast("long"), "virtual_slot": F.col("_shard_vslot"), "map_version": F.lit(version), "_shard_size": F.col("_shard_size"), "_shard_crc": F.col("_shard_crc")}
+    return placed.select(*back, *[c.alias(name) for name, c in new.items()])

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass takes. A longer document makes a pass of its own.
 CHUNK_BYTES = 1 << 20
@@ -17,10 +18,18 @@ _BASE = _U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BASE_INV = _U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+#: A key that more than one in so many rows hold is broadcast by spread_join; there are at most so many of them.
+HOT_SHARE = 4096
+#: Keys of fewer rows are never hot.
+LEAST_HOT = 256
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a temp folder of this session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local session gets a temp folder; on a cluster that is an error."""
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tracewise.shared.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = f"file://{tempfile.mkdtemp(prefix='tracewise-')}"
         spark.conf.set("tracewise.shared.dir", own)
     return own.rstrip("/")
@@ -53,6 +62,45 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def quoted(name: str) -> str:
+    """A column name as it can stand in an expression, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def held(docs: DataFrame, used: dict[str, str], made: tuple[str, ...] = (), packed: bool = True) -> tuple[DataFrame, list[Column]]:
+    """docs as an operator works on them, and the expressions that give the columns of docs back.
+
+    used: the operator's name of each column that it reads, and its name in docs. All other columns are
+    in one struct `_rest`, so no name of theirs, in any case and with any sign, meets one of the
+    operator's. Columns of docs named as one of made (in any case) are left out: the operator replaces
+    them. Without packed, only the columns used are kept.
+    """
+    low = {c.lower(): name for name, c in used.items()}
+    replaced = {m.lower() for m in made}
+    rest = [c for c in docs.columns if c.lower() not in low and c.lower() not in replaced]
+    columns = [F.col(quoted(c)).alias(name) for name, c in used.items()]
+    if packed and rest:
+        columns.append(F.struct(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(rest)]).alias("_rest"))
+    at = {c: k for k, c in enumerate(rest)}
+    back = [F.col(low[c.lower()] if c.lower() in low else f"_rest.c{at[c]}").alias(c) for c in docs.columns if c.lower() in low or c in at]
+    return docs.select(*columns), back
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """rows joined with table, a written table with a row for each key whose n says how many of rows hold it.
+
+    A key of more than 1 / HOT_SHARE of all rows would fill a task. There are at most HOT_SHARE such
+    keys at any size, so they are broadcast and their rows stay where they are; the rest are shuffled.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    least = max(LEAST_HOT, total // HOT_SHARE)
+    hot, cold = table.where(F.col(n) > least), table.where(F.col(n) <= least)
+    if hot.isEmpty():
+        return rows.join(table, key, how)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
+
+
 def chunks(texts: Iterable[bytes], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
     """Runs of texts of about limit bytes; keeps the order."""
     part: list[bytes] = []

@@ -3,16 +3,20 @@
 A text's features are its words hashed into WORD_SLOTS (square roots of counts, of length 1), and
 structure statistics: shares of character kinds, lengths of words and lines, and how often words
 and lines repeat, each put into STEPS overlapping steps between quantiles of the sample. The only
-metadata is the character count, taken from the text itself. The model is w0 + sum w_i x_i +
+metadata is the text's length in bytes, taken from the text itself. The model is w0 + sum w_i x_i +
 sum over pairs <v_i, v_j> x_i x_j; the pairwise term is summed in linear time as half of
 |sum v_i x_i|^2 - sum |v_i|^2 x_i^2. It is fitted by Adam on the driver, on at most FIT_ROWS
-labelled rows taken by a hash of their id; their features, at most FIT_WORDS words each, are all
-that the driver gets. Every row is scored on its whole text, in tasks, without a shuffle.
+labelled rows taken by a hash of their id. The driver gets all features of those rows and no others:
+at most WORD_SLOTS pairs of 6 bytes a row, so at most 100 MB at any input size. Every row is scored
+on its whole text, in tasks, without a shuffle.
 
 Defined results: a null or empty text has zero features and still a score; rows without a label or
-with a null text do not train; if fewer than two classes can train, every score is the share of
-good rows, or 0.5 without any; repeated rows score alike; an empty table gives an empty result;
-extra columns are kept, and score and predicted are replaced.
+with a null text do not train; labels of one id that differ count as the larger; of texts of one id the
+smallest trains; a score of exactly 0.5 is predicted 1; if fewer than two classes can train,
+every score is the share of good rows, or 0.5 without any; repeated rows score alike; a very long
+text is a numpy pass of its own, of about 60 bytes for each byte of it; an empty table gives an
+empty result; extra columns are kept, whatever their names, and columns named score or predicted
+(in any case) are replaced.
 """
 
 from __future__ import annotations
@@ -25,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import NOT_SPACE, chunks, small_batches, word_table
+from tracewise.llm.shared import NOT_SPACE, chunks, held, quoted, small_batches, word_table
 
 WORD_SLOTS = 1 << 12
 RANK = 8
 STEPS = 8
-#: Labelled rows that the model is fitted on at most, and distinct word slots of each that are sent.
-FIT_ROWS, FIT_WORDS = 4000, 2048
+#: Labelled rows that the model is fitted on at most.
+FIT_ROWS = 4000
 EPOCHS, BATCH_ROWS, RATE, DECAY = 12, 128, 0.02, 1e-4
 
 _CLASSES = np.zeros(256, dtype=np.uint8)  # 0 other ASCII, 1 lower, 2 upper, 3 digit, 4 space, 5 mark of a sentence, 6 beyond ASCII
@@ -166,8 +170,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for d in range(len(part)):
                 own = slice(ends[d], ends[d + 1])
-                top = np.sort(np.argsort(-values[own], kind="stable")[:FIT_WORDS])
-                rows.append((stats[d].tobytes(), slots[own][top].astype(np.int32).tobytes(), values[own][top].astype(np.float32).tobytes()))
+                rows.append((stats[d].tobytes(), slots[own].astype(np.int16).tobytes(), values[own].astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], type=pa.binary()) for k in range(3)], batch.column(1).slice(done, len(part))], names=["stats", "slots", "amounts", "y"])
             done += len(part)
 
@@ -175,7 +178,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Machine | Constant:
     """A model of the labels, from rows that are not held out."""
     small_batches(docs.sparkSession)
-    own = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_q_id")).agg(F.max(label).cast("double").alias("y"))
+    key, text, label = quoted(key), quoted(text), quoted(label)
+    own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_q_id")).agg(F.max(label).cast("double").alias("y"))
     own = own.where(~held_out(F.col("_q_id"))).orderBy(F.md5(F.col("_q_id").cast("string")), "_q_id").limit(rows)
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_q_doc"), F.col(text).alias("t"))
     one = texts.join(F.broadcast(own), F.col("_q_doc") == F.col("_q_id")).groupBy("_q_id").agg(F.min("t").alias("t"), F.max("y").alias("y"))
@@ -187,21 +191,21 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     stats = np.array([np.frombuffer(r[0]) for r in got])
     steps = Steps(stats)
     model = Machine(steps, float(np.log(y.mean() / (1 - y.mean()))))
-    model.fit(steps(stats), [(np.frombuffer(r[1], dtype=np.int32).astype(np.int64), np.frombuffer(r[2], dtype=np.float32).astype(float)) for r in got], y)
+    model.fit(steps(stats), [(np.frombuffer(r[1], dtype=np.int16).astype(np.int64), np.frombuffer(r[2], dtype=np.float32).astype(float)) for r in got], y)
     return model
 
 
 def scored(docs: DataFrame, model: Machine | Constant, text: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from a score of 0.5)."""
     small_batches(docs.sparkSession)
-    docs = docs.drop(*[c for c in ("score", "predicted") if c in docs.columns])
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    rows, back = held(docs, {"text": text}, ("score", "predicted"))
+    model_ = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()]
-            got = np.concatenate([np.zeros(0), *[held.value.score(part) for part in chunks(texts)]])
+            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            got = np.concatenate([np.zeros(0), *[model_.value.score(part) for part in chunks(texts)]])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(score, schema)
+    return rows.mapInArrow(score, schema).select(*back, "score", "predicted")

@@ -86,7 +86,7 @@ def held(docs: DataFrame, used: dict[str, str], made: tuple[str, ...] = (), pack
     return docs.select(*columns), back
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], n: str, how: str = "inner") -> DataFrame:
     """rows joined with table, a written table with a row for each key whose n says how many of rows hold it.
 
     A key of more than 1 / HOT_SHARE of all rows would fill a task. There are at most HOT_SHARE such
@@ -97,7 +97,7 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, how: str =
     hot, cold = table.where(F.col(n) > least), table.where(F.col(n) <= least)
     if hot.isEmpty():
         return rows.join(table, key, how)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")  # a null key is in neither
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
 
 

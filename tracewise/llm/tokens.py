@@ -5,13 +5,20 @@ whole. Texts are split into pre-tokens as the tokenizer does, and whole ones
 count as one directly. Only the rest are merged, through the tokenizer, with the counts kept in
 a bounded cache. Nothing is shuffled.
 
+A tokenizer file is checked when it is loaded: the split and the shortcut hold for byte-level BPE with
+the usual pre-tokens, without normalizer, prefix space or special flags of added tokens. Any other
+file raises ValueError, so no count is silently wrong.
+
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens; strings of special
 tokens inside a text are one token each, as the library's default has it; texts are whole, of any
-length; repeated rows count each; extra columns are kept, and n_bytes and n_tokens are replaced.
+length (a very long one is split into pre-tokens at once, about 60 bytes for each byte of it); repeated rows
+and ties count each; an empty table gives an empty result; extra columns are kept, whatever their
+names, and columns named n_bytes or n_tokens (in any case) are replaced.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -21,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import chunks, small_batches
+from tracewise.llm.shared import chunks, held, small_batches
 
 #: Pre-tokens of byte-level BPE: a fixed pattern of the format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -54,17 +61,37 @@ def whole_tokens(tokenizer) -> frozenset[str]:
     return frozenset(s for s, i, e in zip(strings, ids, encoded, strict=True) if e.ids == [i])
 
 
+def check_supported(tokenizer) -> None:
+    """Raises ValueError unless the file is of the form that PATTERN and whole_tokens are right for."""
+    form = json.loads(tokenizer.to_str())
+    pre, model = form.get("pre_tokenizer") or {}, form.get("model") or {}
+    wrong = []
+    if form.get("normalizer"):
+        wrong.append("a normalizer")
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        wrong.append(f"the pre-tokenizer {pre.get('type')}")
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+        wrong.append(f"the model {model.get('type')} with its options")
+    for t in form.get("added_tokens") or ():
+        if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") and form.get("normalizer"):
+            wrong.append(f"the added token {t.get('content')!r}")
+    if wrong:
+        raise ValueError(f"token counts do not support {', '.join(wrong)}")
+
+
 class Counts:
     """Counts tokens of texts with one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
+        """whole: the proof, if it was made already."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        check_supported(self.tokenizer)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.whole = whole_tokens(self.tokenizer)
+        self.whole = whole_tokens(self.tokenizer) if whole is None else whole
         self.cost = dict.fromkeys(self.whole, 1)
         self.split, self.latin_split = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
         self.beyond_latin = re.compile("[^\x00-\u024f]").search
@@ -92,23 +119,24 @@ class Counts:
 _loaded: dict[str, Counts] = {}
 
 
-def _of(path: str) -> Counts:
+def _of(path: str, whole: frozenset[str] | None = None) -> Counts:
     if path not in _loaded:
-        _loaded[path] = Counts(path)
+        _loaded[path] = Counts(path, whole)
     return _loaded[path]
 
 
 def counted(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with n_bytes (UTF-8) and n_tokens. path: the tokenizer's file, at the same place on every executor."""
+    """docs with n_bytes (UTF-8) and n_tokens. path: the tokenizer's file, at the same place on the driver and every executor. The proof is made once, on the driver, and broadcast: at most the vocabulary."""
     small_batches(docs.sparkSession)
-    docs = docs.drop(*[c for c in ("n_bytes", "n_tokens") if c in docs.columns])
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    rows, back = held(docs, {"text": text}, ("n_bytes", "n_tokens"))
+    proof = docs.sparkSession.sparkContext.broadcast(_of(path).whole)
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _of(path)
+        own = _of(path, proof.value)
         for batch in batches:
-            texts = [x or b"" for x in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()]
+            texts = [x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]
             tokens = [n for part in chunks(texts) for n in own.count([x.decode() for x in part])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(len, texts), type=pa.int64()), pa.array(tokens, type=pa.int64())], names=[*batch.schema.names, "n_bytes", "n_tokens"])
 
-    return docs.mapInArrow(count, schema)
+    return rows.mapInArrow(count, schema).select(*back, "n_bytes", "n_tokens")

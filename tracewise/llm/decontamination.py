@@ -5,33 +5,44 @@ where benchmark words follow each other for at least the shortest window: no win
 elsewhere. The sequence gets a suffix array, its Burrows-Wheeler transform a wavelet matrix, and
 all windows are backward-searched together through its ranks. Occurrences are located by walking
 to sampled suffix positions and merged into spans per document. Documents are never shuffled and
-no group of copies meets in a task. The benchmark goes to the tasks in blocks of at most
-BLOCK_BYTES of text, one pass each, so what is broadcast is bounded at any benchmark size.
+no group of copies meets in a task.
+
+The benchmark is dealt by hash into blocks of about BLOCK_BYTES of text. Tasks turn each block into
+packed windows, written to the shared folder; the driver gets only the names of the blocks. There is one
+pass over the documents at any size of the benchmark: a task holds one block at a time, and with several blocks
+takes HELD_BYTES of text through all of them before it goes on.
 
 Words: ASCII letters lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. A window: `window`
 consecutive item words, or the whole item if it has fewer but not none.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no
-window; repeated rows get the same answer each; items with equal ids count once; an empty
-benchmark hits nothing; extra columns are kept, and the columns n_words, n_hit, items, spans and
-clean_text are replaced.
+window; an item without id has the id of an empty text; repeated rows and ties get the same answer each; items
+with equal ids count once; a very long text is a shard of its own, of about 100 bytes of arrays for each byte
+of it; an empty table gives an empty result; an empty benchmark hits nothing; extra columns are
+kept, whatever their names, and columns named n_words, n_hit, items, spans or clean_text (in any case) are replaced.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import chunks, small_batches, word_table
+from tracewise.llm.shared import chunks, held, new_path, quoted, small_batches, word_table
 
 #: Text bytes of a benchmark block, and of a training shard.
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 2 << 20
+#: Text bytes that a task takes through all blocks at a time, if there are several.
+HELD_BYTES = 64 << 20
 #: One in so many suffix positions is kept for locating.
 SAMPLE = 8
 
@@ -217,40 +228,78 @@ def cut(text: bytes, spans: list[dict]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
+def _block_writer(store: str, window: int):
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        files, root = fs.FileSystem.from_uri(store)
+        name = f"block-{pdf['b'].iloc[0]:06d}-{TaskContext.get().taskAttemptId()}"
+        with files.open_output_stream(f"{root}/{name}", compression=None) as f:
+            f.write(pickle.dumps(Windows([(i, t.encode()) for i, t in zip(pdf["i"], pdf["t"], strict=True)], window)))
+        return pd.DataFrame({"name": [name]})
+
+    return write
+
+
+_loaded: dict[str, Windows] = {}
+
+
+def _block(store: str, name: str) -> Windows:
+    """A block's windows. A process keeps the last one."""
+    if name not in _loaded:
+        files, root = fs.FileSystem.from_uri(store)
+        _loaded.clear()
+        with files.open_input_stream(f"{root}/{name}", compression=None) as f:
+            _loaded[name] = pickle.loads(f.read())
+    return _loaded[name]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", clean: bool = False) -> DataFrame:
     """docs with n_words, n_hit, items (ids of the items with occurring windows) and spans (merged, of words and of UTF-8 bytes); with clean also clean_text, the text without its spans."""
     spark = docs.sparkSession
     small_batches(spark)
-    bench = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL")
-    total = bench.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    out = docs.drop(*[c for c in (*_MADE, "clean_text") if c in docs.columns])
-    columns = out.columns
-    for k in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
-        held = spark.sparkContext.broadcast(Windows([(r["i"], r["t"].encode()) for r in rows], window))
-        made = dict(_MADE) | ({"clean_text": "string"} if clean and k == blocks - 1 else {})
-        schema = T.StructType([*[f for f in out.schema if f.name in columns], *T.StructType.fromDDL(", ".join(f"{a} {b}" for a, b in made.items())).fields])
-        out = out.mapInArrow(_searcher(held, text, len(columns), tuple(made), k > 0), schema)
-    return out
-
-
-def _searcher(held, text: str, n_columns: int, made: tuple[str, ...], later: bool):
+    bench = benchmark.select(F.coalesce(F.col(quoted(item_id)).cast("string"), F.lit("")).alias("i"), F.col(quoted(item_text)).cast("string").alias("t")).where("t IS NOT NULL").distinct()
+    blocks = max(1, -(-(bench.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0) // BLOCK_BYTES))
+    store = new_path(spark, "benchmark")
+    files, root = fs.FileSystem.from_uri(store)
+    files.create_dir(root, recursive=True)
+    dealt = bench.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
+    names = sorted(r["name"] for r in dealt.groupBy("b").applyInPandas(_block_writer(store, window), "name string").collect())  # one row per block
+
+    made = dict(_MADE) | ({"clean_text": "string"} if clean else {})
+    rows, back = held(docs, {"text": text}, (*_MADE, "clean_text"))
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(", ".join(f"{a} {b}" for a, b in made.items())).fields])
+    return rows.mapInArrow(_searcher(store, names, window, tuple(made)), schema).select(*back, *made)
+
+
+def _searcher(store: str, names: list[str], window: int, made: tuple[str, ...]):
     span = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("first_byte", pa.int64()), ("end_byte", pa.int64())]))
     types = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": span}
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = held.value
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
-            texts = [x or b"" for x in column.to_pylist()]
-            prior = list(zip(batch.column("items").to_pylist(), batch.column("spans").to_pylist(), strict=True)) if later else [(None, None)] * len(texts)
-            rows: list[tuple] = []
+    def searched(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [b.column(0).cast(pa.binary()).to_pylist() for b in batches]
+        texts = [x or b"" for c in columns for x in c]
+        rows: list[tuple] = [(0, 0, None, None)] * len(texts)
+        for windows in (_block(store, n) for n in names) if names else [Windows([], window)]:
+            at = 0
             for part in chunks(texts, SHARD_BYTES):
-                rows += _search_shard(part, prior[len(rows) : len(rows) + len(part)], windows, len(part))
-            arrays = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types.values())]
+                rows[at : at + len(part)] = _search_shard(part, [r[2:] for r in rows[at : at + len(part)]], windows, len(part))
+                at += len(part)
+        at = 0
+        for batch, column in zip(batches, columns, strict=True):
+            own = rows[at : at + len(column)]
+            at += len(column)
+            arrays = [pa.array([r[k] for r in own], type=t) for k, t in enumerate(types.values())]
             if "clean_text" in made:
-                arrays.append(pa.array([None if x is None else cut(t, r[3]).decode() for x, t, r in zip(column.is_valid().to_pylist(), texts, rows, strict=True) for x in [x or None]], type=pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], *arrays], names=[*batch.schema.names[:n_columns], *made])
+                arrays.append(pa.array([None if t is None else cut(t, r[3]).decode() for t, r in zip(column, own, strict=True)], type=pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *made])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            if len(names) < 2 or sum(b.nbytes for b in waiting) >= HELD_BYTES:
+                yield from searched(waiting)
+                waiting = []
+        if waiting:
+            yield from searched(waiting)
 
     return search

@@ -12,10 +12,15 @@ Files are read and written through pyarrow's filesystems, so the folder may be a
 open. A task names its files by its attempt, and only rows of tasks that succeeded name archives,
 so lost executors leave no half record in an index.
 
+Equal payloads are found by their digests alone; a digest that a large share of all pages have, such as
+that of empty pages, is broadcast (shared.spread_join), so no task gets all of its pages. Exchanges have
+as many partitions as records and bytes ask for.
+
 Defined results: a null payload is empty; payloads under min_dedup bytes are all responses; a null
-or malformed URL is keyed as it stands; rows with equal page_ids give a record each; a null
-page_id is the smallest and refers to nothing; an empty table gives no archives and empty results;
-other columns of pages are left out.
+or malformed URL is keyed as it stands; rows with equal page_ids give a record each, ties (equal in all) too;
+a null page_id is the smallest and refers to nothing; a very long payload is one record, held about four times
+over in its task; an empty table gives no archives and empty results; other columns of pages are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,22 +36,31 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewise.llm.shared import new_path, small_batches, written
+from tracewise.llm.shared import held, new_path, small_batches, spread_join, written
 
 #: Captures in a compressed block, and bytes after which a task begins another archive.
 BLOCK_LINES, ARCHIVE_BYTES = 300, 1 << 30
+#: Captures of an index shard, bytes of records that a task reads, and archives that a task keeps open.
+SHARD_LINES, TASK_BYTES, OPEN_FILES = 1 << 20, 64 << 20, 16
 _CAPTURE = "url_key string, page_id long, archive string, offset long, length long"
 _RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, url_key string, archive string"
 
 
 class Archive(NamedTuple):
-    """captures: a row per record; shards: a row per index shard, in key order."""
+    """captures: a row per record; shards: a row per index shard, in key order; store: the folder; mean: bytes of a record."""
 
     captures: DataFrame
     shards: DataFrame
+    store: str
+    mean: float
+
+
+def _parts(spark: SparkSession, count: int, share: int) -> int:
+    """Partitions of about share rows, and fewer rows where cores would idle."""
+    return max(1, -(-count // share), min(spark.sparkContext.defaultParallelism, count // 500))
 
 
 def url_key(url: str | None) -> str:
@@ -161,21 +175,24 @@ def _index_writer(store: str):
 
 def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_dedup: int = 0, store: str | None = None) -> Archive:
     """Writes pages as archives and their index into store, a folder that all executors share."""
-    small_batches(pages.sparkSession)
-    store = store or new_path(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    small_batches(spark)
+    store = store or new_path(spark, "warc")
     files, root = _open(store)
     files.create_dir(root, recursive=True)
-    body: Column = F.coalesce(F.col(payload).cast("string").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload"))
-    copies = rows.where(F.octet_length("payload") >= min_dedup).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("copied"), "first_page")
+    source, _ = held(pages, {"page_id": page_id, "url": url, "payload": payload}, packed=False)
+    body: Column = F.coalesce(F.col("payload").cast("string").cast("binary"), F.lit(b""))
+    rows = source.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload"))
+    copies = rows.where(F.octet_length("payload") >= min_dedup).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).where("n > 1")
     copies = written(copies, "payloads")
     known = (F.octet_length("payload") >= min_dedup) & (F.col("page_id") > F.col("first_page"))
-    records = rows.join(copies, F.col("digest") == F.col("copied"), "left").select("page_id", "url", "payload", "digest", F.when(known, F.col("first_page")).alias("refers_to"))
+    records = spread_join(rows, copies, "digest", "n", "left").select("page_id", "url", "payload", "digest", F.when(known, F.col("first_page")).alias("refers_to"))
     captures = written(records.mapInArrow(_record_writer(store), _CAPTURE), "captures")
-    ordered = captures.repartitionByRange("url_key", F.col("page_id").asc_nulls_first()).sortWithinPartitions("url_key", F.col("page_id").asc_nulls_first())
+    count, size = captures.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    order = ("url_key", F.col("page_id").asc_nulls_first())
+    ordered = captures.repartitionByRange(_parts(spark, count, SHARD_LINES), *order).sortWithinPartitions(*order)
     shards = written(ordered.mapInArrow(_index_writer(store), "url_key string, page_id long, shard string, blocks long"), "index-shards")
-    captures._warc_store = store
-    return Archive(captures, shards)
+    return Archive(captures, shards, store, size / max(1, count))
 
 
 class _Index:
@@ -185,10 +202,14 @@ class _Index:
         self.files, self.root = _open(store)
         self.shards, self.keys = [s[2] for s in shards], [_line_key(s[0], s[1]) for s in shards]
         self.shard = self.directory = self.block = None
+        self.open: dict[str, pa.NativeFile] = {}
 
     def _range(self, name: str, offset: int, length: int) -> bytes:
-        with self.files.open_input_file(f"{self.root}/{name}") as f:
-            return f.read_at(length, offset)
+        if name not in self.open:
+            if len(self.open) >= OPEN_FILES:  # the one that was opened first goes
+                self.open.pop(next(iter(self.open))).close()
+            self.open[name] = self.files.open_input_file(f"{self.root}/{name}")
+        return self.open[name].read_at(length, offset)
 
     def _directory(self, n: int) -> tuple[list, list]:
         if self.shard != n:
@@ -224,7 +245,7 @@ class _Index:
 
 def lookup(archive: Archive, captures: DataFrame) -> DataFrame:
     """The records of captures (url_key, page_id), through the index."""
-    store = archive.captures._warc_store
+    store = archive.store
     shards = sorted((tuple(r) for r in archive.shards.collect()), key=lambda r: _line_key(r[0], r[1]))  # one row per index partition
     order = ("url_key", F.col("page_id").asc_nulls_first())
 
@@ -242,7 +263,9 @@ def lookup(archive: Archive, captures: DataFrame) -> DataFrame:
                     rows, held = [], 0
             yield _records(rows)
 
-    return captures.select("url_key", F.col("page_id").cast("long")).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(read, _RECORD)
+    asked = captures.select("url_key", F.col("page_id").cast("long"))
+    parts = _parts(asked.sparkSession, asked.count(), max(1, int(TASK_BYTES / max(1.0, archive.mean))))
+    return asked.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(read, _RECORD)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:

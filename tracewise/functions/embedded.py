@@ -7,7 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 _DECODER = json.JSONDecoder()
 
@@ -38,3 +38,49 @@ def generated_segment(texts: pd.Series) -> pd.Series:
         hits = (o.get("generated_segment") for o in objects(t or ""))
         out.append(next((h.strip() for h in hits if isinstance(h, str) and h.strip()), None))
     return pd.Series(out, dtype=object)
+
+
+#: Keys of an object that may hold its text, in the order they are tried.
+TEXT_KEYS = ("text", "content", "value", "response", "reasoning", "solution")
+
+
+def _plain(value: object) -> str:
+    if value is None:
+        return ""
+    if isinstance(value, str):
+        return value.strip()
+    if isinstance(value, list):
+        return "\n".join(t for t in map(_plain, value) if t)
+    if isinstance(value, dict):
+        texts = (_plain(value.get(k)) for k in TEXT_KEYS)
+        return next((t for t in texts if t), None) or json.dumps(value, ensure_ascii=False, sort_keys=True)
+    return str(value).strip()
+
+
+@pandas_udf(StringType())
+def nested_text(values: pd.Series) -> pd.Series:
+    """The text of a JSON value at any depth: a list's by line, an object's first of TEXT_KEYS, else the object; null for null."""
+    return pd.Series([None if v is None else _plain(json.loads(v)) for v in values], dtype=object)
+
+
+def _scalar(value: object) -> str:
+    if value is None:
+        return ""
+    return value.strip() if isinstance(value, str) else str(value) if isinstance(value, (int, float)) else json.dumps(value, sort_keys=True)
+
+
+def _content(value: object) -> str:
+    if not isinstance(value, list):
+        return _scalar(value)
+    parts = (_scalar(x.get("text")) if isinstance(x, dict) else _scalar(x) for x in value if not isinstance(x, dict) or "text" in x or x.get("type") == "text")
+    return "\n".join(p for p in parts if p).strip()
+
+
+@pandas_udf(ArrayType(StringType()))
+def content_texts(values: pd.Series) -> pd.Series:
+    """The texts of a list of chat messages as JSON, one for each, empty for what is no message; null for null or no list."""
+    out = []
+    for v in values:
+        said = None if v is None else json.loads(v)
+        out.append([_content(m.get("content", m.get("value", ""))) if isinstance(m, dict) else "" for m in said] if isinstance(said, list) else None)
+    return pd.Series(out, dtype=object)

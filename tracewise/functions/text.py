@@ -40,22 +40,36 @@ def ordered_unique(*arrays: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.array(*arrays)), lambda t: t.isNotNull() & (t != "")))
 
 
+#: White space of Unicode, spelled out: a class of ranges is much faster than the regex engine's Unicode mode.
+SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
+def _marker_pattern() -> str:
+    """Of texts with single spaces: nothing but signs around nothing, a marker, or a step number. Signs may stand between letters too."""
+    sign, gap = "[^A-Za-z0-9 ]*", "[^A-Za-z0-9]*"
+    spread = lambda word: sign.join(word)
+    words = [f"{sign} {gap}".join(spread(w) for w in m.split(" ")) for m in sorted(MARKERS, key=len, reverse=True)]
+    number = f"(?:{spread('step')}{gap})?[0-9](?:{sign}[0-9])*(?:{sign}[a-z])?"
+    return f"(?i)^{gap}(?:{'|'.join([*words, number])})?{gap}\\z"
+
+
+_MARKER = _marker_pattern()
+
+
 def marker_only(segment: Column) -> Column:
-    """Whether a segment has no content besides list signs, a marker or a step number."""
-    plain = F.regexp_replace(strip(segment), r"(?U)^[\s>*#-]+", "")
-    plain = F.lower(squeeze(F.regexp_replace(plain, "[^A-Za-z0-9 ]+", "")))
-    return (plain == "") | plain.isin(*MARKERS) | plain.rlike(r"^(step\s*)?\d+[a-z]?$")
+    """Whether a segment, its white space squeezed, has no content besides list signs, a marker or a step number."""
+    return segment.rlike(_MARKER)
 
 
 def segments(text: Column) -> Column:
     """Sentence-like segments: lines, split after . ! ? ; : before white space, without markers."""
-    blocks = F.split(F.coalesce(text, F.lit("")), r"[\r\n]+")
-    parts = F.flatten(F.transform(blocks, lambda b: F.split(strip(b), r"(?U)(?<=[.!?;:])\s+")))
-    return F.filter(F.transform(parts, squeeze), lambda s: (s != "") & ~marker_only(s))
+    inner = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{SPACE}&&[^\r\n]]+", " ")
+    parts = F.split(inner, r"(?<=[.!?;:])[ \r\n]+|[\r\n]+")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: ~marker_only(s))
 
 
 def numeric_or_symbolic(segment: Column) -> Column:
-    return segment.rlike(r"(?U)\d") | segment.rlike(r"[=<>+\-*/^%$(){}\[\]|√∑π∞≤≥±×÷]")
+    return segment.rlike(r"[=<>+\-*/^%$(){}\[\]|√∑π∞≤≥±×÷\p{Nd}]")
 
 
 def eligible_segments(text: Column) -> Column:
@@ -73,7 +87,9 @@ def flip_number(text: Column) -> Column:
     """The first number plus 1, null without one; decimals keep a fraction."""
     pattern = r"(?U)\d+(?:\.\d+)?"
     number, at = F.regexp_extract(text, f"({pattern})", 1), F.regexp_instr(text, F.lit(pattern))
-    whole = (number.try_cast("decimal(38,0)") + 1).cast("string")
+    head, nines = F.regexp_extract(number, "^0*([0-9]*?)(9*)$", 1), F.regexp_extract(number, "^0*([0-9]*?)(9*)$", 2)
+    last = F.coalesce((F.right(head, F.lit(1)).try_cast("int") + 1).cast("string"), F.lit("1"))
+    whole = F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), last, F.repeat(F.lit("0"), F.char_length(nines)))  # of any length
     value = number.try_cast("double") + 1
     plain = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,6)").cast("string"), "0+$", ""), r"\.$", ".0")
     fraction = F.when(F.abs(value) < 1e7, value.cast("string")).otherwise(plain)
@@ -124,6 +140,21 @@ def candidate_paths(url: Column, prefixes: tuple[str, ...]) -> Column:
     return F.array(*[F.concat(F.lit(p), name) for p in prefixes])
 
 
+#: Endings that a label loses, and parts of a path that do not name a subcategory.
+SUFFIXES = ("jsonl", "json", "parquet", "csv", "txt")
+PLAIN_FOLDERS = ("images", "train", "val", "test", "raw")
+
+
 def clean_label(text: Column) -> Column:
-    """A label in lower case, runs of other characters than letters and digits as one underscore."""
-    return F.regexp_replace(F.regexp_replace(F.lower(coerce_text(text)), r"[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """A text's last path part without a known ending, other characters than ASCII letters, digits, dot, minus and underscore as one underscore; unknown if nothing is left of a text, empty for an empty one."""
+    plain = coerce_text(text)
+    name = F.regexp_replace(F.regexp_extract(plain, r"([^/]*)/*\z", 1), rf"\.(?:{'|'.join(SUFFIXES)})\z", "")
+    clean = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_.-]+", "_"), r"^_+|_+\z", "")
+    return F.when(plain == "", F.lit("")).otherwise(F.coalesce(F.nullif(clean, F.lit("")), F.lit("unknown")))
+
+
+def source_subcategory(path: Column, skip: str = "VisualPRM400K") -> Column:
+    """The first folder of a path that names a subcategory: no plain folder, no file, none that begins with skip; else the path's own label."""
+    plain = coerce_text(path)
+    parts = F.filter(F.split(plain, r"[\\/]+"), lambda p: (p != "") & ~p.startswith(skip) & ~F.lower(p).isin(*PLAIN_FOLDERS) & ~p.rlike(rf"(?i)\.(?:png|jpg|jpeg|webp|{'|'.join(SUFFIXES)})\z"))
+    return F.when(plain == "", F.lit("")).otherwise(clean_label(F.coalesce(F.try_element_at(parts, F.lit(1)), plain)))

@@ -54,31 +54,65 @@ def parse_tau_grid(text: str) -> list[float]:
     return taus
 
 
-def case_margins(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """By keys: ranking accuracy and mean margin of (case, negative type) pairs: the case's first positive less the type's hardest negative."""
-    ranking = rows.where("mode = 'ranking'")
-    kind = F.when(F.col("pair_type") == "negative", F.coalesce(F.nullif("negative_type", F.lit("")), F.lit("__all__")))
-    case = list(dict.fromkeys([*keys, "dataset", "case_id"]))
-    by_type = ranking.groupBy(*case, kind.alias("_kind")).agg(F.min_by("calibrated_score", F.when(F.col("pair_type") == "positive", F.col("row_id"))).alias("_pos"), F.max(F.when(F.col("pair_type") == "negative", F.col("calibrated_score"))).alias("_neg"))
-    by_type = by_type.withColumn("_first", F.max("_pos").over(Window.partitionBy(*case))).where("_neg IS NOT NULL AND _first IS NOT NULL")
-    margin = F.col("_first") - F.col("_neg")
-    return by_type.groupBy(*keys).agg(F.avg((margin > 0).cast("double")).alias("ranking_acc"), F.avg(margin).alias("mean_margin"))
-
-
 def rate(label: int, tau: float | Column) -> Column:
     return F.avg(F.when(F.col("label") == label, passes(F.col("calibrated_score"), F.lit(tau) if isinstance(tau, float) else tau)))
 
 
-def metrics(rows: DataFrame, keys: list[str], tau: float) -> DataFrame:
-    """Threshold and ranking metrics by keys."""
-    by = rows.groupBy(*keys).agg(
-        F.count_distinct("dataset", "case_id").alias("num_cases"), F.count("*").alias("num_pairs"), rate(1, tau).alias("tpr_at_tau"), rate(0, tau).alias("fpr_at_tau"),
-        F.avg(F.when(F.col("label") == 1, F.col("calibrated_score"))).alias("mean_positive_score"), F.avg(F.when(F.col("label") == 0, F.col("calibrated_score"))).alias("mean_negative_score"),
-    )
-    margins = case_margins(rows, keys)
-    out = by.join(margins, keys, "left") if keys else by.join(F.broadcast(margins))
+def _case_parts(rows: DataFrame, keys: list[str], tau: float) -> DataFrame:
+    """A row per case and kind within keys, with the sums that all metrics follow from: the one exchange of whole rows."""
+    score, label, ranking = F.col("calibrated_score"), F.col("label"), F.col("mode") == "ranking"
+    pos, neg = F.col("pair_type") == "positive", F.col("pair_type") == "negative"
+    kind = F.when(neg, F.coalesce(F.nullif("negative_type", F.lit("")), F.lit("__all__")))
+    sums = [F.count("*").alias("_rows")]
+    for k in (0, 1):
+        own = F.when(label == k, score)
+        sums += [F.count(own).alias(f"_n{k}"), F.sum(own).alias(f"_s{k}"), F.sum(F.when(label == k, passes(score, F.lit(tau)))).alias(f"_t{k}")]
+    first = F.min(F.when(ranking & pos & F.col("row_id").isNotNull(), F.struct("row_id", "calibrated_score"))).alias("_pos")
+    case = list(dict.fromkeys([*keys, "dataset", "case_id"]))
+    return rows.groupBy(*case, kind.alias("_kind")).agg(*sums, first, F.max(F.when(ranking & neg, score)).alias("_neg"))
+
+
+def _margins(parts: DataFrame, keys: list[str], levels: list[list[str]]) -> DataFrame:
+    """By each level: ranking accuracy and mean margin of (case, negative type) pairs within keys: the case's first positive less the type's hardest negative."""
+    case = list(dict.fromkeys([*keys, "dataset", "case_id"]))
+    by_type = parts.groupBy(*case, "_kind").agg(F.min("_pos").alias("_pos"), F.max("_neg").alias("_neg"))
+    by_type = by_type.withColumn("_first", F.min("_pos").over(Window.partitionBy(*case))["calibrated_score"]).where("_neg IS NOT NULL AND _first IS NOT NULL")
+    margin = F.col("_first") - F.col("_neg")
+    return _grouped(by_type, levels, F.avg((margin > 0).cast("double")).alias("ranking_acc"), F.avg(margin).alias("mean_margin"))
+
+
+def _grouped(rows: DataFrame, levels: list[list[str]], *columns: Column) -> DataFrame:
+    """One pass for all levels: _level counts a row's keys. Each level's keys begin with those of the level before."""
+    deepest = max(levels, key=len)
+    grouped = rows.groupingSets([[F.col(k) for k in ks] for ks in levels], *[F.col(k) for k in deepest]).agg(F.grouping_id().alias("_g"), *columns)
+    level = F.create_map(*[F.lit(x) for ks in levels for x in ((1 << (len(deepest) - len(ks))) - 1, len(ks))])[F.col("_g").cast("int")]
+    return grouped.withColumn("_level", level).drop("_g")
+
+
+def metrics(rows: DataFrame, levels: list[list[str]], tau: float) -> DataFrame:
+    """Threshold and ranking metrics at levels of keys, each beginning with the one before; _level is the number of keys. Rows are exchanged once, by case; what follows has a row per case and kind."""
+    deepest = max(levels, key=len)
+    parts = _case_parts(rows, deepest, tau)
+    sums = [F.sum(c).alias(c) for c in ("_rows", "_n0", "_n1", "_s0", "_s1", "_t0", "_t1")]
+    by = _grouped(parts, levels, F.count_distinct("dataset", "case_id").alias("num_cases"), *sums)
+    # a case is ranked within the keys of its level, but dataset and case tell cases apart already
+    plain = [ks for ks in levels if set(ks) <= {deepest[0], "dataset"}]
+    deep = [ks for ks in levels if ks not in plain]
+    margins = [_margins(parts, [*ks], [ks]) for ks in deep]
+    if plain:
+        margins.append(_margins(parts, max(plain, key=len), plain))
+    all_margins = margins[0]
+    for m in margins[1:]:
+        all_margins = all_margins.unionByName(m, allowMissingColumns=True)
+    on = F.col("_level") == F.col("m_level")
+    for k in deepest:
+        on &= F.col(k).eqNullSafe(F.col(f"m_{k}"))
+    renamed = all_margins.select(F.col("_level").alias("m_level"), *[F.col(k).alias(f"m_{k}") for k in deepest], "ranking_acc", "mean_margin")
+    out = by.join(renamed, on, "left").drop("m_level", *[f"m_{k}" for k in deepest])
+    ratio = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    out = out.withColumns({"num_pairs": F.col("_rows"), "tpr_at_tau": ratio("_t1", "_n1"), "fpr_at_tau": ratio("_t0", "_n0"), "mean_positive_score": ratio("_s1", "_n1"), "mean_negative_score": ratio("_s0", "_n0")})
     tpr, fpr = F.col("tpr_at_tau"), F.col("fpr_at_tau")
-    out = out.withColumn("threshold_balanced_acc", 0.5 * tpr + 0.5 * (1.0 - fpr))
+    out = out.withColumn("threshold_balanced_acc", 0.5 * tpr + 0.5 * (1.0 - fpr)).drop("_rows", "_n0", "_n1", "_s0", "_s1", "_t0", "_t1")
     mode = F.when(F.col("ranking_acc").isNotNull(), "ranking").when(tpr.isNotNull() & fpr.isNotNull(), "mixed").when(fpr.isNotNull(), "separation").when(tpr.isNotNull(), "positive_only").otherwise("")
     return out.withColumns({"mode": mode, "component": F.coalesce("threshold_balanced_acc", 1.0 - fpr, tpr)})
 
@@ -91,8 +125,10 @@ def tau_table(rows: DataFrame, taus: list[float]) -> DataFrame:
     return long.groupBy("tau").agg(F.avg("tpr").alias("tpr"), F.avg("fpr").alias("fpr"), F.avg("balanced").alias("balanced"))
 
 
-def choose_tau(table: DataFrame, metric: str = "fpr_at_fixed_tpr", target_tpr: float = 0.96) -> DataFrame:
-    """The row of tau_table that is best, the smallest tau among equals, with selection_score."""
+def choose_tau(table: DataFrame, metric: str = "fpr_at_fixed_tpr", target_tpr: float = 0.96, fixed_tau: float | None = None) -> DataFrame:
+    """The row of tau_table that is best, the smallest tau among equals, with selection_score. With metric fixed_tau, the row of that tau, which the table must have; its score is its fpr."""
+    if metric == "fixed_tau":
+        return table.where(F.abs(F.col("tau") - F.lit(fixed_tau)) < 1e-12).withColumn("selection_score", F.col("fpr"))
     low, high = F.lit(float("-inf")), F.lit(float("inf"))
     tpr, fpr, balanced = F.coalesce("tpr", low), F.coalesce("fpr", high), F.coalesce("balanced", low)
     met = F.coalesce(F.col("tpr") >= target_tpr, F.lit(False))
@@ -109,16 +145,10 @@ def choose_tau(table: DataFrame, metric: str = "fpr_at_fixed_tpr", target_tpr: f
 
 def report(rows: DataFrame, tau: float) -> DataFrame:
     """Metrics of each split: overall (component is the mean of its datasets'), by dataset and by subcategory."""
-    parts = []
-    by_dataset = metrics(rows, ["split", "dataset"], tau)
-    mean = by_dataset.groupBy("split").agg(F.avg("component").alias("_mean"))
-    whole = metrics(rows, ["split"], tau).join(mean, "split").withColumn("component", F.col("_mean")).drop("_mean")
-    for name, table in (("overall", whole), ("dataset", by_dataset), ("subcategory", metrics(rows, ["split", "dataset", "subcategory"], tau))):
-        parts.append(table.withColumn("table", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    out = metrics(rows, [["split"], ["split", "dataset"], ["split", "dataset", "subcategory"]], tau)
+    names = F.create_map(F.lit(1), F.lit("overall"), F.lit(2), F.lit("dataset"), F.lit(3), F.lit("subcategory"))
+    mean = F.avg(F.when(F.col("_level") == 2, F.col("component"))).over(Window.partitionBy("split"))  # a row per subcategory at most
+    return out.withColumns({"table": names[F.col("_level")], "component": F.when(F.col("_level") == 1, mean).otherwise(F.col("component"))}).drop("_level")
 
 
 def by_negative_type(rows: DataFrame, tau: float) -> DataFrame:
@@ -126,7 +156,7 @@ def by_negative_type(rows: DataFrame, tau: float) -> DataFrame:
     negatives = rows.where("pair_type = 'negative'").withColumn("kind", F.coalesce(F.nullif("negative_type", F.lit("")), F.lit("__all__")))
     kinds = negatives.select("dataset", "case_id", "kind").distinct()
     positives = rows.where("pair_type = 'positive'").join(kinds, ["dataset", "case_id"])
-    return metrics(negatives.unionByName(positives), ["split", "dataset", "kind"], tau)
+    return metrics(negatives.unionByName(positives), [["split", "dataset", "kind"]], tau).drop("_level")
 
 
 def scored(rows: DataFrame, weights: list[float], bias: float) -> DataFrame:

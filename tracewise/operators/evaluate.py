@@ -63,17 +63,20 @@ def metrics_by_dimension(predicted: DataFrame, dimensions: list[str]) -> DataFra
     return with_metrics(grouped.withColumns({"dimension": name, "value": value}).drop("_g", *dimensions))
 
 
-def auc(predicted: DataFrame, keys: list[str]) -> DataFrame:
+def auc(predicted: DataFrame, keys: list[str], ranges: int = 4096) -> DataFrame:
     """Area under the ROC curve by average ranks, null with one class only.
 
-    Equal scores are counted first and cumulated per score, so the window has a row per distinct
-    score of a group, not one per prediction.
+    Equal scores are counted first. Counts of ranges of scores are cumulated by group, and within a range its
+    scores, so a task sorts the scores of one range; scores are probabilities, and those outside [0, 1] fall in the ranges at the ends.
     """
     rows = predicted.where(~F.col("is_neutral"))
-    scores = rows.groupBy(*keys, "p_positive").agg(F.count_if(F.col("compatibility_label") == 1).alias("_p"), F.count_if(F.col("compatibility_label") != 1).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("p_positive").rowsBetween(Window.unboundedPreceding, -1)
-    scores = scores.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    wins = F.sum(F.col("_p") * (F.col("_below") + 0.5 * F.col("_n")))
+    place = F.least(F.greatest(F.floor(F.col("p_positive") * ranges), F.lit(-1)), F.lit(ranges)).cast("int")
+    scores = rows.groupBy(*keys, place.alias("_range"), "p_positive").agg(F.count_if(F.col("compatibility_label") == 1).alias("_p"), F.count_if(F.col("compatibility_label") != 1).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*keys, place.alias("_range")).agg(F.count_if(F.col("compatibility_label") != 1).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*keys, "_range").orderBy("p_positive").rowsBetween(Window.unboundedPreceding, -1)
+    scores = scores.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, [*keys, "_range"])
+    wins = F.sum(F.col("_p") * (F.col("_before") + F.col("_inside") + 0.5 * F.col("_n")))
     return scores.groupBy(*keys).agg(F.try_divide(wins, (F.sum("_p") * F.sum("_n")).cast("double")).alias("auc"))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hash_order(seed: int, *keys: str | Column) -> Column:
@@ -19,29 +20,62 @@ def capped(rows: DataFrame, group: list[str], key: list[str], cap: int, seed: in
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
 
 
+#: Ranges of the digest that places are counted by, in a group.
+RANGES = 256
+
+
 def ranked_groups(rows: DataFrame, within: list[str], key: str, seed: int) -> DataFrame:
-    """Distinct keys with _n, their place in hash order, and _of, their number, in each group of within."""
-    ids = rows.select(*within, key).distinct()
+    """Distinct keys with _n, their place in hash order, and _of, their number, in each group of within. Ranges of the digest are counted first, so no task sorts all keys of a group."""
+    ids = rows.select(*within, key).distinct().withColumn("_h", hash_order(seed, *within, key)).withColumn("_b", F.substring("_h", 1, 2))
+    counts = ids.groupBy(*within, "_b").agg(F.count("*").alias("_c"))
     own = Window.partitionBy(*within)
-    return ids.withColumn("_n", F.row_number().over(own.orderBy(hash_order(seed, *within, key), key))).withColumn("_of", F.count("*").over(own))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_of", F.sum("_c").over(own)).drop("_c")
+    n = F.col("_before") + F.row_number().over(Window.partitionBy(*within, "_b").orderBy("_h", key))
+    return ids.join(counts, [*within, "_b"]).withColumn("_n", n).drop("_h", "_b", "_before")
 
 
 def calibration_split(rows: DataFrame, fraction: float = 0.85, dataset: str = "dataset", case: str = "case_id", seed: int = 42) -> DataFrame:
     """rows with split: of each dataset's cases, the rounded fraction (half to even; at least 1, and 1 less than all) is `calib`, the rest `heldout`."""
     ids = ranked_groups(rows, [dataset], case, seed)
-    n = F.when(F.col("_of") == 1, 1).otherwise(F.greatest(F.lit(1), F.least(F.bround(F.col("_of") * F.lit(fraction)).cast("int"), (F.col("_of") - 1).cast("int"))))
+    n = F.when(F.col("_of") == 1, 1).otherwise(F.greatest(F.lit(1), F.least(F.bround(F.col("_of") * F.lit(fraction)).cast("long"), F.col("_of") - 1)))
     ids = ids.select(dataset, case, F.when(F.col("_n") <= n, "calib").otherwise("heldout").alias("split"))
     return rows.join(ids, [dataset, case])
 
 
+def _numbered(rows: DataFrame, bucket: Column, order: list[str]) -> tuple[DataFrame, int]:
+    """rows with _n, their place in order, which must rise with bucket, and their number. Buckets are counted first, so a task sorts one."""
+    rows = rows.withColumn("_b", bucket)
+    counts = rows.groupBy("_b").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    named = counts.select(F.col("_b").alias("_bucket"), "_before")  # a row per bucket
+    numbered = rows.join(F.broadcast(named), F.col("_b").eqNullSafe(F.col("_bucket"))).withColumn("_n", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    return numbered.drop("_b", "_bucket", "_before"), counts.agg(F.sum("_c")).first()[0] or 0
+
+
 def _placed(rows: DataFrame, key: str, seed: int, buckets: int) -> tuple[DataFrame, int]:
-    """Distinct keys with _n, their place in the whole hash order. Ranges of the digest are counted first, so no task sorts all keys."""
-    width = len(f"{buckets - 1:x}")
-    ids = rows.select(key).distinct().withColumn("_h", hash_order(seed, key)).withColumn("_b", F.substring("_h", 1, width))
-    counts = ids.groupBy("_b").agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ids = ids.join(counts.select("_b", "_before"), "_b").withColumn("_n", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
-    return ids.select(key, "_n"), counts.agg(F.sum("_c")).first()[0] or 0
+    """Distinct keys with _n, their place in the whole hash order, and their number."""
+    ids = rows.select(key).distinct().withColumn("_h", hash_order(seed, key))
+    ids, total = _numbered(ids, F.substring("_h", 1, len(f"{buckets - 1:x}")), ["_h", key])
+    return ids.select(key, "_n"), total
+
+
+def order_number(rows: DataFrame, column: str) -> Column:
+    """A column as a number that rises with it: numbers and times as they are, texts by their first six bytes in UTF-8."""
+    kind = rows.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType)):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
+
+
+def placed_in_order(rows: DataFrame, order: list[str], buckets: int = RANGES) -> tuple[DataFrame, int]:
+    """rows with _n, their place in the order of columns, from 1, and their number. Bounds are approximate quantiles of the first column, so a task sorts about one of buckets parts."""
+    number = order_number(rows, order[0])
+    bounds = rows.agg(F.percentile_approx(number, [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0] or []
+    found = sorted(set(bounds))  # at most buckets numbers
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in found]), lambda b: b < number)) if found else F.lit(0)
+    return _numbered(rows, F.when(number.isNull(), -1).otherwise(at), [F.col(c).asc_nulls_first() for c in order])
 
 
 def grouped_split(rows: DataFrame, key: str, train: float = 0.8, val: float = 0.1, seed: int = 42, buckets: int = 256) -> DataFrame:
@@ -64,12 +98,14 @@ def holdout_split(rows: DataFrame, key: str, ratio: float, seed: int = 42, bucke
     return rows.join(ids.select(key, F.when(F.col("_n") <= n, "val").otherwise("train").alias("split")), key)
 
 
-def ratio_sample(rows: DataFrame, key: str, ratio: float, cap: int | None = None, seed: int = 42) -> DataFrame:
-    """max(1, floor(n * ratio)) rows, at most cap."""
+def ratio_sample(rows: DataFrame, key: str, ratio: float, cap: int | None = None, seed: int = 42, buckets: int = RANGES) -> DataFrame:
+    """max(1, floor(n * ratio)) rows, at most cap. Rows are placed by counted digest ranges, so no task holds the sample."""
     if not 0 < ratio <= 1:
         raise ValueError(f"ratio must be in (0, 1]: {ratio}")
-    n = max(1, int(rows.count() * ratio))
-    return rows.orderBy(hash_order(seed, key), key).limit(n if cap is None else min(n, cap))
+    placed = rows.withColumn("_h", hash_order(seed, key))
+    placed, total = _numbered(placed, F.substring("_h", 1, len(f"{buckets - 1:x}")), ["_h", key])
+    n = max(1, int(total * ratio))
+    return placed.where(F.col("_n") <= (n if cap is None else min(n, cap))).drop("_h", "_n")
 
 
 def balanced_sample(rows: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -79,36 +115,56 @@ def balanced_sample(rows: DataFrame, group: str, key: str, n: int, seed: int = 4
     return kept.orderBy("_n", hash_order(seed, group, "_n"), group).limit(n).drop("_n")
 
 
-def per_request_sample(requests: DataFrame, pool: DataFrame, on: str, request: str, item: str, k: int, pool_limit: int = 10_000) -> DataFrame:
-    """(request, items): k pool items of the request's kind, by a digest of request seed and item.
+def _draws(seed: Column, size: Column, k: int) -> Column:
+    """k distinct places from 1 to size, by seed: each draw is a digest's number among the places that are left."""
+    picks, taken = [], F.array().cast("array<bigint>")
+    for j in range(k):
+        number = F.conv(F.substring(F.sha2(F.concat_ws(":", seed.cast("string"), F.lit(str(j))), 256), 1, 12), 16, 10).cast("long")
+        at = F.when(size > j, F.pmod(number, size - j) + 1)
+        pick = F.aggregate(taken, at, lambda p, t: F.when(t <= p, p + 1).otherwise(p))  # past those taken, in rising order
+        picks.append(pick)
+        taken = F.array_sort(F.array(*picks))
+    return F.array(*picks)
+
 
-    The pool is a row per kind and block; a block holds about pool_limit items, dealt by hash. A pool
-    of one block is broadcast, so requests are neither multiplied nor shuffled. A larger pool meets
-    the distinct seeds block by block, without a broadcast: each block gives its first k, and the
-    first k of those are the sample. The order depends on seed and item, so each seed is hashed with each item.
+def per_request_sample(requests: DataFrame, pool: DataFrame, on: str, request: str, item: str, k: int, short: str = "raise", seed: int = 42) -> DataFrame:
+    """(request, items): k distinct pool items of the request's kind, drawn by the request's generation_seed.
+
+    Items are numbered once by kind, in hash order, and a request draws k places, so work is k rows a request and a place an
+    item at any size of the pool. A kind with fewer than k items raises, or with short="drop" gives what it has, and nothing if it has none.
+    Repeated items count once; a null item is none.
     """
-    n_blocks = max(1, -(-pool.count() // pool_limit))
-    copies = pool.where(F.col(item).isNotNull()).groupBy(on, item).agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("_c"))
-    blocks = copies.groupBy(on, F.pmod(F.xxhash64(item), F.lit(n_blocks)).alias("_block")).agg(F.flatten(F.collect_list(F.array_repeat(item, F.col("_c")))).alias("_items")).drop("_block")
-    ranked = F.array_sort(F.transform("_items", lambda i: F.struct(F.sha2(F.concat_ws(":", F.col("generation_seed").cast("string"), i.cast("string")), 256).alias("h"), i.alias("i"))))
-    first = lambda x: F.slice(x, 1, k)
-    items = lambda x: F.transform(x, lambda y: y["i"]).alias("items")
-    if n_blocks == 1:
-        return requests.join(F.broadcast(blocks), on).select(request, items(first(ranked)))
-    seeds = requests.select(on, "generation_seed").distinct()
-    best = seeds.hint("shuffle_replicate_nl").join(blocks, on).select(on, F.col("generation_seed").alias("_seed"), first(ranked).alias("_best"))
-    best = best.groupBy(on, "_seed").agg(first(F.array_sort(F.flatten(F.collect_list("_best")))).alias("_best")).withColumnRenamed(on, "_on")
-    return requests.join(best, (F.col(on) == F.col("_on")) & F.col("generation_seed").eqNullSafe(F.col("_seed"))).select(request, items(F.col("_best")))
+    items = ranked_groups(pool.where(F.col(item).isNotNull()), [on], item, seed).select(F.col(on).alias("_on"), F.col("_n").alias("_place"), F.col(item).alias("_item"))
+    sizes = items.groupBy("_on").agg(F.count("*").alias("_of"))
+    asked = requests.join(sizes, F.col(on) == F.col("_on"), "left").drop("_on")
+    size = F.coalesce("_of", F.lit(0).cast("long"))
+    if short == "raise":
+        message = F.concat(F.lit(f"{k} items asked of the pool "), F.coalesce(F.col(on).cast("string"), F.lit("null")), F.lit(" of "), size.cast("string"))
+        size = F.when(size < k, F.raise_error(message).cast("long")).otherwise(size)
+    drawn = asked.select(request, F.col(on).alias("_kind"), F.posexplode(F.filter(_draws(F.coalesce(F.col("generation_seed"), F.lit(0)), size, k), lambda p: p.isNotNull())).alias("_j", "_place"))
+    found = drawn.join(items, (F.col("_kind") == F.col("_on")) & (drawn["_place"] == items["_place"]))
+    picked = F.transform(F.array_sort(F.collect_list(F.struct("_j", "_item"))), lambda x: x["_item"])
+    return found.groupBy(request).agg(picked.alias("items"))
 
 
 def head_split(rows: DataFrame, order: list[str], eval_ratio: float) -> DataFrame:
     """rows with split: the first max(1, floor(n * ratio)) in order, at most n - 1, are `val`. A single row is both, so it comes twice."""
-    n = rows.count()
+    placed, n = placed_in_order(rows, order)
     if n == 1:
         return rows.withColumn("split", F.explode(F.array(F.lit("val"), F.lit("train"))))
     k = min(max(1, int(n * eval_ratio)), n - 1)
-    head = rows.orderBy(*order).limit(k).withColumn("split", F.lit("val"))
-    return head.unionByName(rows.orderBy(*order).offset(k).withColumn("split", F.lit("train")))
+    return placed.withColumn("split", F.when(F.col("_n") <= k, "val").otherwise("train")).drop("_n")
+
+
+def capped_groups(rows: DataFrame, group: list[str], key: str, cap: int, seed: int = 42) -> DataFrame:
+    """All rows of at most cap keys of each group."""
+    ids = ranked_groups(rows, group, key, seed).where(F.col("_n") <= cap).select(*group, key)
+    return rows.join(ids, [*group, key])
+
+
+def shuffled(rows: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
+    """rows in hash order, by ranges of the digest: an order that looks random and is the same on every run."""
+    return rows.orderBy(hash_order(seed, *keys), *keys)
 
 
 def leaks(rows: DataFrame, key: str) -> DataFrame:

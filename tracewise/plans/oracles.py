@@ -1,4 +1,6 @@
-"""DuckDB SQL for the registered queries, written apart from the Spark code."""
+"""DuckDB SQL for the registered queries, written apart from the Spark code; only fixed texts are shared."""
+
+from tracewise.operators.generation import HARD_NEGATIVE, PARAPHRASE, SEGMENT_TEMPLATE
 
 _S = """
 s AS (
@@ -112,14 +114,12 @@ WITH a AS (
   FROM m
 )"""
 
-_STATE = """
-l AS (
-  SELECT 'pair_' || event_id % 4000 AS pair_id, ts, (props->>'$.k')::INT % 5 = 0 AS failed, event_id, (props->>'$.k')::INT % 2 = 0 AS long FROM events WHERE event_id % 2 = 0
-), la AS (
-  SELECT pair_id, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status, CASE WHEN NOT failed THEN '{"event_id":' || event_id || '}' END AS pair_json,
-         CASE WHEN failed THEN CASE WHEN long THEN '{"error_type":"PromptTooLong"}' ELSE '{"error_type":"Other"}' END END AS error_json, long
-  FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY ts DESC) AS n FROM l) WHERE n = 1
-)"""
+_LOGGED = """CASE WHEN k % 5 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN k % 5 <> 0 THEN '{"event_id":' || event_id || ',"compatibility_label":' || k % 2 || '}' END AS pair_json,
+         CASE WHEN k % 5 = 0 THEN CASE WHEN k % 2 = 0 THEN '{"error_type":"PromptTooLong"}' ELSE '{"error_type":"Other"}' END END AS error_json"""
+_LAST = "ORDER BY ts DESC, status DESC, pair_json DESC NULLS LAST, error_json DESC NULLS LAST"
+_STATE = f"""
+l AS (SELECT 'pair_' || user_id || '_' || event_type AS pair_id, ts, {_LOGGED} FROM (SELECT *, (props->>'$.k')::INT AS k FROM events)),
+la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id {_LAST}) AS n FROM l) WHERE n = 1)"""
 
 _JUDGED = """
 e AS (
@@ -183,6 +183,43 @@ _FAM = "WITH " + _S + ", f AS (SELECT *, CASE WHEN trace_id % 3 = 0 THEN 'num' W
 
 _CASES = "WITH cs AS (SELECT p_partkey AS case_id, p_brand AS dataset, CASE p_partkey % 3 WHEN 0 THEN 'ranking' WHEN 1 THEN 'separation' ELSE 'other' END AS mode, p_name AS anchor, p_type AS positive, [p_brand, p_name || ' not'] AS negatives FROM part)"
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _label(text: str) -> str:
+    """The rule of labels: base name, without a known ending, other characters than letters, digits, _ . and - as one _, none at the ends, else unknown."""
+    base = rf"regexp_replace(string_split({text}, '/')[-1], '\.(jsonl|json|parquet|csv|txt)$', '')"
+    return f"COALESCE(nullif(trim(regexp_replace({base}, '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'unknown')"
+
+
+_COLLECTED = (
+    "WITH "
+    + _S
+    + """, ca AS (
+  SELECT * REPLACE (CASE WHEN scorer = 'nli' AND trace_id % 50 <> 0 THEN E_ba END AS E_ba, CASE WHEN trace_id % 31 = 0 THEN 'odd' ELSE pair_type END AS pair_type), E_ba AS t FROM s
+), nu AS (
+  SELECT * REPLACE (CASE WHEN scorer = 'bge_reranker' THEN 'sigmoid_raw_score' ELSE score_field END AS score_field, CASE WHEN trace_id % 2 = 0 THEN dataset ELSE 'visualprm' END AS dataset), E_ab * 0.5 + E_ba * 0.25 AS score FROM s
+), nd AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, trace_id, negative_type, pair_type, scorer, score_field, CASE WHEN scorer = 'nli' THEN E_ab ELSE score END, CASE WHEN scorer = 'nli' THEN [E_ba, C_ab, C_ba] END ORDER BY line) AS n FROM nu) WHERE n = 1
+), co AS (
+  SELECT * FROM (
+    SELECT 'caption_negation' AS source, dataset, subcategory, scorer, f AS score_field, pair_type, v AS value FROM (
+      SELECT *, unnest(CASE scorer WHEN 'nli' THEN ['nli_heuristic'] WHEN 'bertscore' THEN ['bertscore_precision', 'bertscore_recall', 'bertscore_f1'] WHEN 'bge_reranker' THEN ['sigmoid_raw_score'] ELSE ['raw_score'] END) AS f,
+             unnest(CASE scorer WHEN 'nli' THEN [0.5::DOUBLE * E_ab + 0.5::DOUBLE * E_ba - greatest(C_ab, C_ba)] WHEN 'bertscore' THEN [raw_score, t, (raw_score + t) / 2] WHEN 'bge_reranker' THEN [1.0::DOUBLE / (1.0::DOUBLE + exp(-raw_score))] ELSE [raw_score] END) AS v FROM ca)
+    UNION ALL
+    SELECT 'visualprm_numeric', dataset, subcategory, scorer, score_field, pair_type, CASE scorer WHEN 'nli' THEN 0.5::DOUBLE * E_ab + 0.5::DOUBLE * E_ba - greatest(C_ab, C_ba) WHEN 'bge_reranker' THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-score)) ELSE score END FROM nd
+    UNION ALL
+    SELECT src, dataset, subcategory, 'nli_calibrated_logistic', 'calibrated_score', pair_type, CASE WHEN E_ba IS NOT NULL THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-(1.5::DOUBLE * E_ab + 0.75::DOUBLE * E_ba + (-1.25::DOUBLE) * greatest(C_ab, C_ba) + (-0.5::DOUBLE) * greatest(N_ab, N_ba) + 0.1::DOUBLE))) END
+    FROM (SELECT 'caption_negation' AS src, * FROM ca WHERE scorer = 'nli' UNION ALL BY NAME SELECT 'visualprm_numeric' AS src, * FROM nd WHERE scorer = 'nli')
+  ) WHERE value IS NOT NULL AND pair_type <> 'odd'
+)"""
+)
+
+_GENERATED = """WITH v AS (SELECT *, p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS value, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS relation FROM part), g AS (
+  SELECT *, CASE WHEN k % 7 = 0 THEN 'No valid JSON object found in generation' WHEN k % 6 = 0 THEN 'Generation is missing positive' WHEN value IS NULL AND relation IS NULL THEN 'Generation has no valid negatives' END AS error FROM v
+)"""
+
 SQL = {
     "reward_by_dataset": f"WITH {_S} SELECT dataset, scorer, score_field, {_means(_SCALED)} FROM v GROUP BY ALL",
     "reward_grouping_sets": f"""WITH {_S} SELECT CASE grouping(dataset) * 2 + grouping(subcategory) WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS level, dataset, subcategory, scorer, {_means(_PLAIN)}
@@ -237,8 +274,15 @@ SELECT 'conversations' AS data_source, 'math' AS ability, conv_id, prompt AS con
     "context_examples": f"""WITH {_STEPS}, c AS (SELECT *, list(step) OVER (PARTITION BY source_sample_id ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM st)
 SELECT source_sample_id, step_index, md5('Question:' || chr(10) || 'Question of ' || source_sample_id || CASE WHEN step_index > 0 THEN chr(10) || chr(10) || 'Previous response steps:' || chr(10) || array_to_string(list_transform(prev, lambda x, i: i || '. ' || x), chr(10)) ELSE '' END) AS anchor, step AS generated, label AS compatibility_label FROM c""",
     "state_latest": f"WITH {_STATE} SELECT pair_id, status, pair_json, error_json FROM la",
-    "state_counts": f"WITH {_STATE} SELECT count(*)::BIGINT AS n, count(*) FILTER (status = 'ok')::BIGINT AS n_ok, count(*) FILTER (status = 'error')::BIGINT AS n_error, count(*) FILTER (status = 'error' AND long)::BIGINT AS n_too_long FROM la",
-    "pending_requests": f"WITH {_STATE} SELECT 'pair_' || event_id AS pair_id, event_type FROM events WHERE 'pair_' || event_id NOT IN (SELECT pair_id FROM l)",
+    "state_counts": f"""WITH {_STATE} SELECT count(*)::BIGINT AS n, count(*) FILTER (status = 'ok')::BIGINT AS n_ok, count(*) FILTER (status = 'error')::BIGINT AS n_error, count(*) FILTER (error_json LIKE '%PromptTooLong%')::BIGINT AS n_too_long,
+  count(*) FILTER (pair_json->>'$.compatibility_label' = '1')::BIGINT AS n_positive, count(*) FILTER (pair_json->>'$.compatibility_label' = '0')::BIGINT AS n_negative FROM la""",
+    "state_errors": f"WITH {_STATE} SELECT error_json->>'$.error_type' AS error_type, count(*)::BIGINT AS n FROM la WHERE status = 'error' GROUP BY 1",
+    "pending_requests": "SELECT 'pair_' || event_id AS pair_id, event_type FROM events WHERE event_type NOT IN ('click', 'view')",
+    "legacy_import": f"""WITH e AS (SELECT *, (props->>'$.k')::INT AS k FROM events), g AS (
+  SELECT user_id, status, error_json IS NOT NULL AS bad FROM (SELECT *, row_number() OVER (PARTITION BY user_id {_LAST}) AS n FROM (SELECT user_id, ts, {_LOGGED} FROM e WHERE event_type = 'signup')) WHERE n = 1
+), u AS (SELECT user_id, bool_or(event_type = 'view') AS pair, bool_or(event_type = 'error') AS bad, bool_or(event_type = 'click') AS raw FROM e WHERE user_id NOT IN (SELECT user_id FROM g) GROUP BY user_id),
+m AS (SELECT status, bad, false AS raw FROM g UNION ALL SELECT CASE WHEN pair THEN 'ok' ELSE 'error' END, bad, raw FROM u WHERE pair OR bad)
+SELECT status, count(*)::BIGINT AS n, count(*) FILTER (raw)::BIGINT AS n_raw, count(*) FILTER (bad)::BIGINT AS n_errors FROM m GROUP BY status""",
     "group_split": _split("round_even(total * 0.8, 0) AS a, round_even(total * 0.8, 0) + round_even(total * 0.1, 0) AS b", "CASE WHEN n <= b.a THEN 'train' WHEN n <= b.b THEN 'val' ELSE 'test' END"),
     "holdout_split": _split("least(greatest(round_even(total * 0.05, 0), 1), total - 1) AS a", "CASE WHEN n <= b.a THEN 'val' ELSE 'train' END"),
     "calib_split": f"""WITH {_S}, i AS (SELECT dataset, case_id, row_number() OVER (PARTITION BY dataset ORDER BY {_hash("dataset", "case_id")}, case_id) AS n, count(*) OVER (PARTITION BY dataset) AS total FROM (SELECT DISTINCT dataset, case_id FROM s)),
@@ -249,9 +293,11 @@ SELECT dataset, split, count(DISTINCT case_id)::BIGINT AS n_cases, count(*)::BIG
 SELECT c_mktsegment, c_custkey FROM n ORDER BY n, {_hash("c_mktsegment", "n")}, c_mktsegment LIMIT 123""",
     "ratio_sample": f"SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY {_hash('c_custkey')}, c_custkey) AS n, count(*) OVER () AS total FROM customer) WHERE n <= least(greatest(1, floor(total * 0.1)), 400)",
     "head_split": "SELECT s_suppkey, CASE WHEN n <= least(greatest(1, floor(total * 0.1)), total - 1) THEN 'val' ELSE 'train' END AS split FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS n, count(*) OVER () AS total FROM supplier)",
-    "few_shots": f"""{_REQUESTS}, p AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'hard_negative' ELSE 'positive_paraphrase' END AS generation_type FROM benchmark WHERE item_id < 1000),
-h AS (SELECT pair_id, item_id, row_number() OVER (PARTITION BY pair_id ORDER BY sha256(generation_seed || ':' || item_id), item_id) AS n FROM r JOIN p USING (generation_type))
-SELECT pair_id, string_agg(item_id::VARCHAR, ',' ORDER BY n) AS items FROM h WHERE n <= 3 GROUP BY pair_id""",
+    "few_shots": f"""{_REQUESTS}, p AS (SELECT DISTINCT item_id, CASE WHEN item_id % 2 = 0 THEN 'hard_negative' ELSE 'positive_paraphrase' END AS generation_type FROM benchmark WHERE item_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY generation_type ORDER BY {_hash("generation_type", "item_id")}, item_id) AS place, count(*) OVER (PARTITION BY generation_type) AS size FROM p),
+d AS (SELECT pair_id, generation_type, size, [('0x' || substr(sha256(generation_seed || ':' || j), 1, 12))::BIGINT % (size - j) + 1 FOR j IN [0, 1, 2]] AS t FROM r JOIN (SELECT DISTINCT generation_type, size FROM n) USING (generation_type)),
+e AS (SELECT *, t[1] AS a, t[2] + (t[1] <= t[2])::INT AS b FROM d), f AS (SELECT *, t[3] + (least(a, b) <= t[3])::INT AS x FROM e), h AS (SELECT pair_id, generation_type, a, b, x + (greatest(a, b) <= x)::INT AS c FROM f)
+SELECT pair_id, i.item_id || ',' || j.item_id || ',' || k.item_id AS items FROM h JOIN n i ON i.generation_type = h.generation_type AND i.place = a JOIN n j ON j.generation_type = h.generation_type AND j.place = b JOIN n k ON k.generation_type = h.generation_type AND k.place = c""",
     "split_leak_check": "SELECT o_custkey, count(DISTINCT o_orderkey % 10 = 0)::BIGINT AS n_splits FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 10 = 0) > 1",
     "eval_by_dimension": f"""WITH {_JUDGED}, c AS (
   SELECT 'data_source' AS dimension, data_source AS value, {_COUNTED} FROM j GROUP BY data_source UNION ALL SELECT 'policy_model', policy_model, {_COUNTED} FROM j GROUP BY policy_model UNION ALL SELECT 'all', '', {_COUNTED} FROM j
@@ -283,6 +329,80 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
 SELECT page_id, CASE WHEN name IN (SELECT member FROM m) THEN name WHEN 'images/' || name IN (SELECT member FROM m) THEN 'images/' || name END AS member FROM p""",
     "label_reconcile": """WITH f AS (SELECT c_custkey, c_custkey % 2 = 0 AS a, CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS b, c_custkey % 7 = 0 AS bad FROM customer)
 SELECT c_custkey, CASE WHEN bad OR (b IS NOT NULL AND a <> b) THEN NULL ELSE a::INT END AS label, bad OR (b IS NOT NULL AND a <> b) AS conflict FROM f""",
-    "text_coercion": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_name END AS first, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_type || '|' || p_name || '|' || p_name END AS texts,
-  CASE WHEN p_partkey % 2 = 0 THEN '  ' ELSE p_name END || '|' || ' ' || chr(9) || p_type || chr(10) AS "unique", trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS label FROM part""",
+    "text_coercion": rf"""WITH p AS (SELECT *, 'Images/' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand || '\' END || CASE WHEN p_partkey % 5 = 0 THEN '_ .' ELSE p_name END || '.jsonl' AS path FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_name END AS first, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_type || '|' || p_name || '|' || p_name END AS texts,
+  CASE WHEN p_partkey % 2 = 0 THEN '  ' ELSE p_name END || '|' || ' ' || chr(9) || p_type || chr(10) AS "unique", {_label("p_type")} AS label, {_label("path")} AS path_label,
+  CASE WHEN p_partkey % 3 = 0 THEN {_label("path")} ELSE {_label("p_brand")} END AS subcategory FROM p""",
+    "json_in_text": "SELECT event_id, json(props)::VARCHAR AS object, 's' || event_id AS segment FROM events",
+    "bertscore": """WITH t AS (SELECT vec_id // 16 AS pair, vec_id % 2 AS odd, vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT a.pair, a.vec_id AS i, b.vec_id AS j, list_dot_product(a.e, b.e) AS s FROM t a JOIN t b ON a.pair = b.pair AND a.odd = 0 AND b.odd = 1),
+g AS (SELECT DISTINCT pair FROM t), p AS (SELECT pair, avg(m) AS p FROM (SELECT pair, j, max(s) AS m FROM c GROUP BY ALL) GROUP BY pair), r AS (SELECT pair, avg(m) AS r FROM (SELECT pair, i, max(s) AS m FROM c GROUP BY ALL) GROUP BY pair)
+SELECT pair, round(COALESCE(p, 0), 6) AS "precision", round(COALESCE(r, 0), 6) AS recall, round(COALESCE(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) END, 0), 6) AS f1 FROM g LEFT JOIN p USING (pair) LEFT JOIN r USING (pair)""",
+    "lexical_scorer": rf"""{_CASES}, n AS (SELECT *, unnest(negatives) AS neg, generate_subscripts(negatives, 1) - 1 AS i FROM cs), q AS (
+  SELECT case_id, 'positive_pair' AS pair_type, NULL::INT AS negative_index, anchor AS a, positive AS b FROM cs WHERE mode = 'ranking' UNION ALL SELECT case_id, 'negative_pair', i::INT, CASE WHEN mode = 'ranking' THEN anchor ELSE positive END, neg FROM n WHERE mode <> 'other'
+), w AS (SELECT *, list_distinct(regexp_extract_all(lower(a), '\S+')) AS x, list_distinct(regexp_extract_all(lower(b), '\S+')) AS y FROM q)
+SELECT case_id, pair_type, negative_index, round(len(list_intersect(x, y)) / len(list_distinct(x || y)), 6) AS raw_score, NULL::VARCHAR AS error FROM w""",
+    "reward_levels": f"""{_COLLECTED} SELECT CASE WHEN grouping(source) = 1 THEN 2 WHEN grouping(subcategory) = 1 THEN 0 ELSE 1 END AS level, source, dataset, subcategory, scorer, score_field, {_means(_SCALED)}
+FROM co GROUP BY GROUPING SETS ((source, dataset, scorer, score_field), (source, dataset, subcategory, scorer, score_field), (scorer, score_field))""",
+    "sorted_rewards": f"{_COLLECTED} SELECT scorer, score_field, {_means(_PLAIN)} FROM co WHERE source = 'caption_negation' AND scorer <> 'nli_calibrated_logistic' GROUP BY ALL ORDER BY scorer, score_field LIMIT 5",
+    "sensitivity_fields": f"""{_COLLECTED}, su AS (
+  SELECT scorer, f AS score_field, CASE WHEN mode = 'ranking' THEN 'hn' ELSE 'neg' END AS family, mode, pair_type, case_id, v AS value, line FROM (
+    SELECT *, unnest(['nli_score_coverage', 'nli_score_equiv', 'E_ab', 'E_ba', 'C_ab', 'C_ba']) AS f, unnest([E_ab * 0.5, t * 0.5, E_ab, E_ba, C_ab, C_ba]) AS v FROM ca WHERE scorer = 'nli'
+    UNION ALL BY NAME SELECT *, unnest(['bertscore_precision', 'bertscore_recall', 'bertscore_f1']) AS f, unnest([raw_score, t, (raw_score + t) / 2]) AS v FROM ca WHERE scorer = 'bertscore'
+    UNION ALL BY NAME SELECT *, CASE WHEN scorer = 'bge_reranker' THEN 'sigmoid_raw_score' ELSE 'raw_score' END AS f, CASE WHEN scorer = 'bge_reranker' THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-raw_score)) ELSE raw_score END AS v FROM ca WHERE scorer NOT IN ('nli', 'bertscore'))
+  UNION ALL
+  SELECT scorer, score_field, 'num', mode, pair_type, case_id, CASE WHEN scorer = 'bge_reranker' THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-score)) ELSE score END, line
+  FROM (SELECT *, row_number() OVER (PARTITION BY case_id, negative_type, pair_type, scorer, score_field, score ORDER BY line) AS n FROM nu) WHERE n = 1
+), g AS (
+  SELECT scorer, score_field, tau, avg((value >= tau)::INT) FILTER (family = 'hn' AND pair_type = 'negative') AS hn, avg((value >= tau)::INT) FILTER (family = 'neg' AND pair_type = 'negative') AS neg, avg((value >= tau)::INT) FILTER (family = 'num' AND pair_type = 'negative') AS num
+  FROM (SELECT * FROM su WHERE value IS NOT NULL), (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS tau) GROUP BY ALL
+), m AS (
+  SELECT scorer, score_field, family, case_id, arg_max(value, line) FILTER (pair_type = 'positive') - max(value) FILTER (pair_type = 'negative') AS margin FROM su WHERE value IS NOT NULL AND mode = 'ranking' AND family IN ('hn', 'num') GROUP BY ALL
+), r AS (
+  SELECT scorer, score_field, avg((margin > 0)::INT) AS acc, avg((margin > 0)::INT) FILTER (family = 'hn') AS hacc, avg((margin > 0)::INT) FILTER (family = 'num') AS nacc FROM m WHERE margin IS NOT NULL GROUP BY ALL
+) SELECT scorer, score_field, tau, round(hn, 6) AS hn_fpr, round(neg, 6) AS neg_fpr, round(num, 6) AS num_fpr, round(acc, 6) AS ranking_acc, round(hacc, 6) AS hn_ranking_acc, round(nacc, 6) AS num_ranking_acc FROM g LEFT JOIN r USING (scorer, score_field)""",
+    "calibration_load": f"""{_COLLECTED}, e AS (SELECT *, CASE WHEN pair_type = 'odd' THEN 'Unsupported pair_type' WHEN E_ba IS NULL THEN 'Missing NLI fields: E_ba' END AS error FROM ca WHERE scorer = 'nli'),
+d AS (SELECT *, row_number() OVER (PARTITION BY dataset, case_id, mode, pair_type, negative_type, E_ab, E_ba, C_ab, C_ba, N_ab, N_ba, CASE WHEN error IS NOT NULL THEN line END ORDER BY line) AS n FROM e)
+SELECT dataset, subcategory, mode, error, count(*)::BIGINT AS n, sum(CASE pair_type WHEN 'positive' THEN 1 WHEN 'negative' THEN 0 END)::BIGINT AS n_positive, round(sum(greatest(C_ab, C_ba)) FILTER (E_ba IS NOT NULL), 4) AS c_max FROM d WHERE n = 1 GROUP BY ALL""",
+    "calibration_predictions": f"{_CAL} SELECT dataset, label, score >= 0.5 AS predicted_compatible, count(*)::BIGINT AS n, round(avg(E_ab), 6) AS E_ab, round(avg(greatest(C_ab, C_ba)), 6) AS C_max, round(avg(greatest(N_ab, N_ba)), 6) AS N_max FROM c GROUP BY ALL",
+    "fixed_tau": f"{_TAU_TABLE} SELECT tau, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(balanced, 6) AS balanced, round(fpr, 6) AS selection_score FROM tt WHERE abs(tau - 0.6) < 1e-9",
+    "separation_cases": """SELECT 'parts::' || p_brand || '::' || p_partkey AS case_id, 'parts' AS dataset, p_brand AS subcategory, 'separation' AS mode, p_name AS anchor, p_name AS positive, 'no ' || p_name AS negatives
+FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 5 <> 0) WHERE n <= 20""",
+    "ranking_cases": """SELECT 'parts::types::' || CASE WHEN p_partkey % 4 = 0 THEN p_partkey - (SELECT min(p_partkey) FROM part) ELSE p_partkey END AS case_id, 'parts' AS dataset, 'types' AS subcategory, 'ranking' AS mode, p_name AS anchor, p_type AS positive, 'no ' || p_name AS negatives
+FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0""",
+    "choice_cases": """WITH c AS (SELECT *, p_partkey % 6 = 0 AS plain, p_partkey % 2 = 1 AS second FROM part)
+SELECT 'choices::parts::file::' || p_partkey AS case_id, 'choices' AS dataset, 'parts' AS subcategory, 'separation' AS mode, CASE WHEN plain OR NOT second THEN p_name ELSE p_type END AS anchor, anchor AS positive,
+  CASE WHEN plain THEN CASE WHEN p_brand = p_type THEN p_brand ELSE p_brand || '|' || p_type END ELSE CASE WHEN second THEN p_name ELSE p_type END || CASE WHEN p_partkey % 4 <> 0 THEN '|' || p_brand ELSE '' END END AS negatives FROM c""",
+    "evaluation_input": """WITH c AS (SELECT *, c_custkey AS k FROM customer) SELECT k AS row_index, CASE WHEN k % 11 = 0 THEN '' ELSE c_name END AS anchor, CASE WHEN k % 13 <> 0 THEN c_mktsegment || ' "é"' END AS generated, CASE k % 4 WHEN 1 THEN 1 WHEN 0 THEN -1 END AS compatibility_label,
+  CASE WHEN k % 2 = 0 THEN c_mktsegment ELSE 'UNKNOWN' END AS data_source, (k % 3)::VARCHAR AS policy_model, CASE WHEN k % 17 = 0 THEN '' ELSE k::VARCHAR END AS pair_id, CASE WHEN k % 3 = 0 THEN k % 9 END AS step_index, '"c"' AS category,
+  CASE WHEN k % 11 = 0 THEN 'no non-empty string ''anchor''' WHEN k % 13 = 0 THEN 'no non-empty string ''generated''' WHEN k % 4 > 1 THEN 'invalid ''compatibility_label''' WHEN k % 17 = 0 THEN 'invalid ''pair_id''' END AS error FROM c""",
+    "normalized_pairs": """WITH c AS (
+  SELECT c_custkey AS k, c_mktsegment AS seg, CASE WHEN k % 11 = 0 THEN '' ELSE c_name END AS anchor, CASE WHEN k % 13 <> 0 THEN c_mktsegment || ' "é"' END AS generated, CASE WHEN k % 3 = 0 THEN k % 9 END AS step,
+         CASE WHEN k % 5 < 3 THEN (k % 2 = 0)::INT END AS word, CASE WHEN k % 5 > 1 THEN CASE k % 3 WHEN 2 THEN 1 WHEN 0 THEN 0 END END AS process FROM customer
+), e AS (SELECT *, CASE WHEN anchor = '' THEN 'no non-empty string ''anchor''' WHEN generated IS NULL THEN 'no non-empty string ''generated''' WHEN word <> process THEN 'conflicting labels' END AS error, COALESCE(process, word) AS label,
+  CASE WHEN k % 4 = 0 THEN k::VARCHAR ELSE 'vpb_' || substr(sha256('{"anchor":"' || anchor || '","data_source":"' || seg || '","image":null,"policy_model":null,"question":"why?"}'), 1, 20) END AS sample FROM c)
+SELECT k AS line, CASE WHEN error IS NULL THEN 'pair_' || substr(sha256('{"anchor":"' || anchor || '","generated":"' || replace(generated, '"', '\\"') || '","source_sample_id":' || CASE WHEN k % 4 = 0 THEN sample ELSE '"' || sample || '"' END || ',"step_index":' || COALESCE(step::VARCHAR, 'null') || '}'), 1, 20) END AS pair_id,
+  sample AS source_sample_id, step AS step_index, seg AS data_source, anchor, generated, label AS compatibility_label, error FROM e WHERE error IS NOT NULL OR label IS NOT NULL""",
+    "trace_rows": rf"""SELECT o_orderkey AS line, CASE WHEN o_orderkey % 4 IN (0, 2) THEN o_orderkey::VARCHAR ELSE 'visualprm_' || lpad(o_orderkey::VARCHAR, greatest(6, length(o_orderkey::VARCHAR))::INT, '0') END AS trace_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus ELSE '' END AS question,
+  CASE o_orderkey % 4 WHEN 0 THEN 'a' || chr(10) || o_orderpriority WHEN 1 THEN o_orderpriority WHEN 2 THEN '{{"a": ' || o_orderkey || ', "z": "' || o_orderstatus || '"}}' ELSE '' END AS reasoning,
+  CASE o_orderkey % 4 WHEN 0 THEN 'x_y' WHEN 1 THEN {_label("o_orderstatus")} ELSE 'orders' END AS subcategory, CASE WHEN o_orderkey % 4 = 0 THEN 'raw/x y.jsonl' ELSE 'orders.jsonl' END AS source, CASE WHEN o_orderkey % 4 = 3 THEN 'not a JSON object' END AS error FROM orders""",
+    "canonical_rows": f"""WITH {_STEPS}, g AS (SELECT source_sample_id AS name, regexp_extract(source_sample_id, '[0-9]+')::BIGINT AS line, list(step ORDER BY step_index) AS steps FROM st GROUP BY 1)
+SELECT line, 'Question of ' || name AS question, 'a.png|b.png' AS images, len(steps)::BIGINT AS n_steps, md5(array_to_string(steps, '|')) AS digest,
+  CASE WHEN line % 3 = 0 THEN line::VARCHAR ELSE 'visualprm_' || substr(sha256('{{"images": ["a.png", "b.png"], "question": "Question of ' || name || '", "steps": ["' || array_to_string(steps, '", "') || '"]}}'), 1, 20) END AS source_sample_id, NULL::VARCHAR AS error FROM g""",
+    "step_label_counts": f"WITH {_STEPS} SELECT label, count(*)::BIGINT AS n FROM st GROUP BY label",
+    "canonical_violations": """SELECT o_orderkey AS line, 'row ' || o_orderkey || ' ' || CASE WHEN o_orderkey % 11 = 0 THEN 'is missing fields: images' WHEN o_orderkey % 5 = 0 THEN 'has misaligned steps and step_labels' WHEN o_orderkey % 7 = 0 THEN 'contains an empty or non-string step'
+  WHEN o_orderkey % 3 = 0 THEN 'contains a label outside -1, 0, 1' WHEN o_orderkey % 13 = 0 THEN 'is missing metadata.source_sample_id' END AS violation FROM orders""",
+    "supervised_examples": r"""WITH c AS (SELECT c_custkey AS line, CASE c_custkey % 3 WHEN 0 THEN 'be brief' || chr(10) || c_name WHEN 1 THEN '<image> ' || c_name END AS prompt, c_mktsegment AS response FROM customer)
+SELECT *, 'j.png|i.png' AS images, '[{"role":"user","content":[{"type":"image","image":"j.png"},{"type":"image","image":"i.png"},{"type":"text"' || COALESCE(',"text":"' || replace(regexp_replace(prompt, '^<image> ', ''), chr(10), '\n') || '"', '') || '}]},{"role":"assistant","content":[{"type":"text","text":"' || response || '"}]}]' AS chat,
+  CASE WHEN prompt IS NULL THEN 'no prompt and response fields' END AS error FROM c""",
+    "generated_cases": f"{_GENERATED} SELECT k AS case_id, CASE WHEN k % 7 <> 0 AND k % 6 <> 0 THEN p_name END AS positive, CASE WHEN k % 7 = 0 THEN '' ELSE concat_ws('|', 'value_flip:' || value, 'relation_flip:' || relation) END AS negatives, error FROM g",
+    "numeric_pairs": f"""{_GENERATED} SELECT k AS case_id, k % 10 AS trace_id, 'visualprm' AS dataset, p_brand AS subcategory, 'ranking' AS mode, u.kind AS negative_type, CASE WHEN u.kind IS NULL THEN 'positive' ELSE 'negative' END AS pair_type, p_name AS text_a, u.said AS text_b
+FROM (SELECT *, unnest([{{'kind': NULL, 'said': p_name}}, {{'kind': 'value_flip', 'said': value}}, {{'kind': 'relation_flip', 'said': relation}}]) AS u FROM g WHERE error IS NULL) WHERE u.said IS NOT NULL""",
+    "prompts": f"""SELECT p_partkey, md5(CASE WHEN p_partkey % 3 = 0 THEN {_quoted(HARD_NEGATIVE)} ELSE {_quoted(PARAPHRASE)} END || chr(10) || 'Return only {{"generated_segment":"..."}}.' ||
+  CASE WHEN p_partkey % 2 = 0 THEN repeat(chr(10), 2) || 'Examples:' || chr(10) || array_to_string(list_transform([1, 2], lambda i: 'Anchor:' || chr(10) || p_type || chr(10) || 'Generated:' || chr(10) || p_brand), repeat(chr(10), 2)) ELSE '' END || repeat(chr(10), 2) || 'Anchor:' || chr(10) || p_name) AS pair,
+  md5(replace({_quoted(SEGMENT_TEMPLATE)}, '{{segment}}', p_name)) AS segment FROM part""",
+    "token_gates": """WITH r AS (SELECT o_orderkey, (o_custkey % 300)::INT AS a, (o_orderkey % 4200)::INT AS p FROM orders), b AS (SELECT *, greatest(0, least(greatest(64, floor(a * 1.1::DOUBLE)::INT + 16), 4096 - p, 512)) AS m FROM r)
+SELECT o_orderkey, m AS max_output_tokens, CASE WHEN a > 224 THEN 'DebertaAnchorTooLong' WHEN m < 64 OR p + m > 4096 THEN 'QwenContextOverflow' END AS error_type FROM b""",
+    "profiles": f"{_REQUESTS} SELECT pair_id, source_sample_id, step_index, compatibility_label, anchor, upper(anchor) AS generated, generation_type, generation_seed FROM r",
+    "capped_cases": f"""WITH {_S}, i AS (SELECT dataset, case_id, row_number() OVER (PARTITION BY dataset ORDER BY {_hash("dataset", "case_id")}, case_id) AS n FROM (SELECT DISTINCT dataset, case_id FROM s))
+SELECT dataset, count(DISTINCT case_id)::BIGINT AS n_cases, count(*)::BIGINT AS n_rows, sum(case_id)::BIGINT AS sum_cases FROM s JOIN i USING (dataset, case_id) WHERE n <= 100 GROUP BY dataset""",
 }

@@ -40,6 +40,28 @@ def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("value", M.reward_value(F.col("scorer"), F.col("score_field"), F.col("raw_score"), heuristic))
 
 
+#: Weights of a stored calibration by feature.
+NLI_WEIGHTS = {"E_ab": 1.5, "E_ba": 0.75, "C_max": -1.25, "N_max": -0.5}
+
+
+def caption_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score rows as caption scores have them: a column for each score field, null where the scorer has none; some lack a value or have an odd pair type."""
+    rows = score_rows(spark, sf_dir).drop("value")
+    nli, bert = F.col("scorer") == "nli", F.col("scorer") == "bertscore"
+    own = {"raw_score": ~nli & ~bert, "E_ab": nli, "E_ba": nli & (F.col("trace_id") % 50 != 0), "C_ab": nli, "C_ba": nli, "N_ab": nli, "N_ba": nli}
+    d, t = F.col("raw_score"), F.col("E_ba")
+    made = {"bertscore_precision": F.when(bert, d), "bertscore_recall": F.when(bert, t), "bertscore_f1": F.when(bert, (d + t) / 2), "nli_score_coverage": F.when(nli, d * 0.5), "nli_score_equiv": F.when(nli, t * 0.5), "pair_type": F.when(F.col("trace_id") % 31 == 0, "odd").otherwise(F.col("pair_type")), "file": F.lit("caption")}
+    return rows.withColumns(made).withColumns({c: F.when(w, F.col(c)) for c, w in own.items()})
+
+
+def numeric_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score rows as numeric scores have them: long, with the NLI values nested, and every seventh trace twice."""
+    rows = score_rows(spark, sf_dir).drop("value", "raw_score")
+    values = F.when(F.col("scorer") == "nli", F.struct(*[F.col(c) for c in ("E_ab", "E_ba", "C_ab", "C_ba", "N_ab", "N_ba")]))
+    rows = rows.select("case_id", "trace_id", F.when(F.col("trace_id") % 2 == 0, F.col("dataset")).alias("dataset"), "subcategory", "scorer", F.when(F.col("scorer") != "bge_reranker", F.col("score_field")).alias("score_field"), "pair_type", "negative_type", "mode", (F.col("E_ab") * 0.5 + F.col("E_ba") * 0.25).alias("score"), values.alias("all_raw_values"), "line", F.lit("numeric").alias("file"))
+    return rows.withColumn("_twice", F.explode(F.when(F.col("trace_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_twice")
+
+
 def calibration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NLI score rows with label and features."""
     rows = score_rows(spark, sf_dir).withColumn("pair_type", M.pair_type(F.col("pair_type")))

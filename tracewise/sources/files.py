@@ -29,9 +29,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, missing_ok:
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, line, value) of non-blank lines, line from 1. A file is read whole, for its line numbers."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "value"))
-    return whole.where(F.trim("value") != "").select("file", (F.col("n") + 1).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+    """(file, line, value) of non-blank lines, line from 1, blank ones counted.
+
+    Files are read in splits: a row knows the split that it is in and its place there, splits are
+    counted, and the lines of a file's earlier splits are added. So no file is one value or one task.
+    """
+    from pyspark.sql import Window
+
+    made = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    first = made.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))  # a row per split
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.broadcast(first.select("file", "start", (before - F.col("first") + 1).alias("shift")))
+    rows = made.join(first, ["file", "start"]).select("file", (F.col("id") + F.col("shift")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+    return rows.where(F.trim("value") != "")
 
 
 def read_objects(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -101,6 +111,28 @@ def read_zip_lines(spark: SparkSession, path: str, suffix: str = ".jsonl") -> Da
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_zip_lines(suffix), _MEMBER)
 
 
+def indexed_zip_lines(spark: SparkSession, path: str, suffix: str = ".jsonl", limit: int | None = None) -> DataFrame:
+    """read_zip_lines with row_index: the row's place by archive, member and line, from 0; limit keeps the first rows. Members are counted first, so no task numbers all rows."""
+    from pyspark.sql import Window
+
+    rows = read_zip_lines(spark, path, suffix)
+    sizes = rows.groupBy("archive", "member").agg(F.count("*").alias("_c"))  # a row per member
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("archive", "member").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("archive", "member").orderBy("line"))
+    out = rows.join(sizes.select("archive", "member", before.alias("_before")), ["archive", "member"]).withColumn("row_index", F.col("_before") + place - 1).drop("_before")
+    return out if limit is None else out.where(F.col("row_index") < limit)
+
+
+def count_zip_rows(rows: DataFrame) -> DataFrame:
+    """Rows of each archive."""
+    return rows.groupBy("archive").agg(F.count("*").alias("n"))
+
+
+def zip_references(members: DataFrame) -> DataFrame:
+    """Archive members with `uri`, by which a reader finds one without unpacking the rest."""
+    return members.withColumn("uri", F.concat(F.lit("zip://"), "archive", F.lit("::"), "member"))
+
+
 def _zip_members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import io
 

@@ -280,7 +280,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def _linked(runs: DataFrame, base: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
     """Links (a, b) in runs (hub, x, y, doc_id, c, block), written."""
     about = base.where("sig IS NOT NULL").select("doc_id", "n_shingles", "sig")
-    marked = _dealt(runs.join(about, "doc_id").select(*_RUN, "doc_id", "c", "block", "n_shingles", "sig"))
+    marked = _dealt(runs.join(about.hint("merge"), "doc_id").select(*_RUN, "doc_id", "c", "block", "n_shingles", "sig"))
     likely = written(marked.mapInArrow(_likely(percent), "hub long, x int, y int, doc_id long, c long, block int").distinct(), "likely")
     ends = likely.select("doc_id").distinct()
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).join(ends, "doc_id", "left_semi")
@@ -297,13 +297,13 @@ def _rows(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFra
     base = written(described(docs, k, key, text), "described")
     full = base.where("doc_id IS NOT NULL AND sig IS NOT NULL")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    own = full.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
+    own = full.join(classes.select("rep").distinct().hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
     entries = own.select("doc_id", F.explode("bands").alias("band"))
     bands = written(entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     entries = written(spread_join(entries, bands, "band", "n").distinct(), "entries")
 
     weight = entries.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    hubs = entries.join(weight, "doc_id").groupBy("band").agg(F.min(F.struct(-F.col("weight"), "doc_id"))["doc_id"].alias("hub"), F.count("*").alias("m"))
+    hubs = entries.join(weight.hint("merge"), "doc_id").groupBy("band").agg(F.min(F.struct(-F.col("weight"), "doc_id"))["doc_id"].alias("hub"), F.count("*").alias("m"))
     members = written(spread_join(entries.select("band", "doc_id"), written(hubs, "hubs"), "band", "m").select("hub", "doc_id").distinct(), "members")
     sizes = written(members.groupBy("hub").agg(F.count("*").alias("size")), "sizes")
     members = spread_join(members, sizes, "hub", "size").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size")

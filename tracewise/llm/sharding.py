@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tracewise.llm.shared import held, new_path, written
 
 #: Virtual slots, and the parts of each in which rows are ranked: fixed for the life of a dataset.
-SLOTS, PARTS = 4096, 64
+SLOTS, PARTS = 4096, 16
 
 _MAP = T.StructType([T.StructField("virtual_slot", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("bytes", T.LongType()), T.StructField("rows", T.LongType()), T.StructField("first_place", T.LongType())])
 
@@ -175,6 +175,6 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     )
     within = Window.partitionBy("_shard_vslot", "_shard_part").orderBy(F.col("_shard_key").asc_nulls_first(), "_shard_crc", "_shard_size")
     placed = measured(rows, "_shard_key", "_shard_text").withColumn("_row", F.row_number().over(within))
-    placed = placed.join(F.broadcast(offsets), (F.col("_shard_vslot") == F.col("_v")) & (F.col("_shard_part") == F.col("_p")))
+    placed = placed.join(offsets.hint("merge"), (F.col("_shard_vslot") == F.col("_v")) & (F.col("_shard_part") == F.col("_p")))  # rows lie by slot and part already
     new = {"shard": F.col("_to"), "slot": (F.col("_place") + F.col("_row") - 1).cast("long"), "virtual_slot": F.col("_shard_vslot"), "map_version": F.lit(version), "_shard_size": F.col("_shard_size"), "_shard_crc": F.col("_shard_crc")}
     return placed.select(*back, *[c.alias(name) for name, c in new.items()])

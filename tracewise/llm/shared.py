@@ -21,7 +21,7 @@ _BASE_INV = _U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A key that more than one in so many rows hold is broadcast by spread_join; there are at most so many of them.
 HOT_SHARE = 4096
 #: Keys of fewer rows are never hot.
-LEAST_HOT = 256
+LEAST_HOT = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,13 +90,14 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], n: str,
     """rows joined with table, a written table with a row for each key whose n says how many of rows hold it.
 
     A key of more than 1 / HOT_SHARE of all rows would fill a task. There are at most HOT_SHARE such
-    keys at any size, so they are broadcast and their rows stay where they are; the rest are shuffled.
+    keys at any size, so they are broadcast and their rows stay where they are; the rest meet by a
+    shuffle at any size, so that small tables are planned as large ones are.
     """
     total = table.agg(F.sum(n)).first()[0] or 0
     least = max(LEAST_HOT, total // HOT_SHARE)
-    hot, cold = table.where(F.col(n) > least), table.where(F.col(n) <= least)
+    hot, cold = table.where(F.col(n) > least), table.where(F.col(n) <= least).hint("merge")
     if hot.isEmpty():
-        return rows.join(table, key, how)
+        return rows.join(table.hint("merge"), key, how)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")  # a null key is in neither
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
 

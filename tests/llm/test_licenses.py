@@ -95,3 +95,21 @@ def test_other_sentences_stay(spark):
     texts = ["1. one\n2. two\n(a) three", "\x02a\x03b\n\n\nc\n D. e", "Redistributions of source code must retain the above copyright notice, this\n\n list of conditions and the following disclaimer.", "a MIT License", "1. Licensed under CC BY 4.0. 2. Text"]
     got = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "i long, text string")).collect()
     assert [(r["n_sentences"], r["n_known"]) for r in got] == [(5, 0), (4, 0), (2, 0), (1, 0), (3, 1)]
+
+
+@pytest.mark.parametrize("dress", ("plain", "indented", "hash", "crlf"))
+def test_whole_license_files(spark, dress):
+    """Each license of the catalogue is found in its own text, as one run or several, and so is a copy with a sentence changed."""
+    from importlib import resources
+
+    texts = {p.name.removesuffix(".txt"): p.read_text(encoding="utf-8") for p in resources.files("tracewise.llm").joinpath("license_texts").iterdir()}
+    rows = [(n, DRESS[dress](t)) for n, t in texts.items()] + [(n, DRESS[dress](t.replace("warranty", "warrantee"))) for n, t in texts.items() if len(t) > 15_000]
+    got = licenses.scanned(spark.createDataFrame(rows, "name string, text string")).collect()
+    for r in got:
+        assert r["name"] in {m["license"] for m in r["matches"]} and r["n_known"] >= 0.6 * r["n_sentences"], r["name"]
+
+
+def test_catalogue():
+    known, rules = licenses.catalogue()
+    assert len(known) > 900 and len(rules) > 100 and all(" " in s for s in known)
+    assert {p for _, parts in rules for p in parts} <= set(known.values()) and rules[: len(licenses.RULES)] == licenses.RULES

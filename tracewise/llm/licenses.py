@@ -1,29 +1,42 @@
 """License scans by sentence rules.
 
-A text's sentences are normalised and looked up among known license sentences; runs of their
-identifiers are then matched against ordered rules, the longest rule first, without overlaps. All
-of it is array functions on the row, so nothing is shuffled and no group of copies meets.
+A text's sentences are normalised and looked up, by hash and then by text, among known license
+sentences; runs of their identifiers are then matched against ordered rules, the longest rule first,
+without overlaps. All of it is array functions on the row, so nothing is shuffled and no group of
+copies meets.
 
-A sentence ends at `.`, `!` or `?` before white space, and at a newline unless the next line goes on
-with a lower-case letter (a wrapped line). Normalised: ASCII letters
+Known are SENTENCES, the short notices, and every sentence of the whole licenses in `license_texts`, which
+are read and split when the module is loaded: about a thousand. Rules are RULES, then the runs of each
+whole license.
+
+A sentence ends at `.`, `!` or `?` before white space, at a blank line, and at a newline unless the next
+line goes on with a lower-case letter (a wrapped line). Normalised: ASCII letters
 lower-cased, each run of other characters than ASCII letters and digits a space, trimmed; empty
 sentences do not count.
 
 A known sentence may also go over lines that begin with indentation, comment marks, digits or
-capitals, though not over a blank line: its pieces are joined to one sentence. A list number or
+capitals, though not over a blank line or more than MOST_LINES lines: its pieces are joined to one sentence.
+Its first line must hold its first two words. A list number or
 letter before it (`1.`, `2)`, `(a)`) is not a sentence of its own. All other sentences stay as above.
 Comment marks are signs; words such as `dnl` or `REM` are not taken for marks.
 
-Defined results: a null or empty text has no sentences; repeated rows get the same answer each; an
-empty table gives an empty result; extra columns are kept, and n_sentences, n_known and matches
-are replaced.
+Defined results: a null or empty text has no sentences; repeated rows and ties get the same answer each; of known
+sentences that begin at one line the longest counts; a very long text is an array of its pieces, of about 100 bytes for
+each, in one task; an empty table gives an empty result; extra columns are kept, whatever their names, and
+columns named n_sentences, n_known or matches (in any case) are replaced.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewise.llm.shared import held
+
 #: Known sentences by identifier, as licenses have them.
 SENTENCES = {
     "mit-ref": "Released under the MIT License.",
@@ -85,51 +98,130 @@ def normalised(text: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text).lower().split())
 
 
-def _joined(plain: Column) -> Column:
-    """plain with each known sentence between ends of sentences, without line ends inside and without its list number."""
-    begin, end = r"(?: ?\x03(?:[0-9]{1,2}|[a-z]) ?\x01? ?|(?<![^\x01\x02]) ?)", r"(?= ?(?:[\x01-\x03]|\z))"
-    known = sorted({normalised(v) for v in SENTENCES.values()}, key=lambda s: (-len(s), s))
-    wrapped = [s.replace(" ", r"(?: ?\x02 ?| )") for s in known]
-    out = plain
-    for s, w in zip(known, wrapped):
-        out = F.regexp_replace(out, begin + w + end, f"\u0001{s}\u0001")
-    return F.when(F.rlike(plain, F.lit(f"{begin}(?:{'|'.join(wrapped)}){end}")), out).otherwise(plain)
+#: Lines that a known sentence may go over, and sentences that a run of a whole license must have to be a rule.
+MOST_LINES, LEAST_RUN = 24, 3
+#: Sentences of a part of a long run.
+PART = 8
+
+
+def sentences_of(text: str) -> list[str]:
+    """A license text's normalised sentences in order: paragraphs are joined and split after . ! ? and white space; list numbers before a sentence are cut."""
+    out = []
+    for block in re.split(r"\n[^A-Za-z0-9\n]*\n\s*", text):
+        for part in re.split(r"[.!?]\s", " ".join(block.split()) + " "):
+            plain = re.sub(r"^\W*(?:[0-9]{1,2}|[A-Za-z])[.)] ", "", part.strip())
+            out.append(normalised(plain))
+    return out
+
+
+def catalogue() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
+    """Identifiers by normalised sentence, and rules: the fixed ones, the runs of whole licenses, then parts of long runs, so that a changed or cut copy is found too.
+
+    A sentence of one word is none and parts runs; a list number goes with the sentence after it.
+    """
+    known, rules, parts = {normalised(v): k for k, v in SENTENCES.items()}, list(RULES), []
+    for path in sorted(resources.files("tracewise.llm").joinpath("license_texts").iterdir(), key=lambda p: p.name):
+        name, run, runs = path.name.removesuffix(".txt"), [], []
+        for n, sentence in enumerate(s for s in sentences_of(path.read_text(encoding="utf-8")) if s and not re.fullmatch("[0-9]{1,2}|[a-z]", s)):
+            if " " in sentence:
+                run.append(known.setdefault(sentence, f"{name}/{n}"))
+            elif run:
+                runs.append(run)
+                run = []
+        runs = [r for r in [*runs, run] if r]
+        runs = [r for r in runs if len(r) >= LEAST_RUN] or runs
+        rules += [(name, tuple(r)) for r in runs]
+        parts += [(name, tuple(r[i : i + PART])) for r in runs for i in range(0, len(r) - PART + 1, PART) if len(r) > PART]
+    return known, rules + parts
+
+
+KNOWN, ALL_RULES = catalogue()
 
 
-def _sentences(text: Column) -> Column:
-    """Normalised sentences: the whole text is marked and normalised before it is split.
+def _pieces(text: Column) -> Column:
+    """Normalised pieces between ends of sentences and lines; a piece that a known sentence may go on from ends in mark 2, and one that begins with a list number in mark 3.
 
     Marks: 1 the end of a sentence, 2 a line end that only a known sentence goes over, 3 a list number.
     """
-    lines = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\u0002\u0003", "  ")
+    lines = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\u0001\u0002\u0003", "\n  ")
     lines = F.regexp_replace(lines, r"\n(?=[^A-Za-z0-9\n]*(?:\n|\z))", "\u0001")
     lines = F.regexp_replace(lines, r"\n(?=[^a-z]|\z)", "\u0002")
     lines = F.regexp_replace(lines, r"(?<![^\n\x01\x02])([^A-Za-z0-9\n\x01\x02]*)([0-9]{1,2}|[A-Za-z])(?=[.)][\x20\x09])", "$1\u0003$2")
     ends = F.regexp_replace(lines, r"[.!?][\x20\x09-\x0D\x02]", "\u0001")
     plain = F.regexp_replace(F.translate(ends, _UPPER, _LOWER), "[^a-z0-9\u0001-\u0003]+", " ")
-    whole = F.translate(_joined(plain), "\u0003", " ")
-    return F.filter(F.transform(F.split(whole, "[\u0001\u0002]"), lambda s: F.trim(s)), lambda s: s != "")
+    plain = F.regexp_replace(plain, r"[ \x02]*\x01[ \x01\x02]*", "\u0001")
+    plain = F.regexp_replace(plain, r" ?\x02[ \x02]*", "\u0002\u0001")
+    return F.filter(F.transform(F.split(plain, "\u0001"), lambda s: F.trim(s)), lambda s: ~s.isin("", "\u0002"))
+
+
+def _text(piece: Column, first: bool) -> Column:
+    """A piece without its marks; as a first piece also without its list number."""
+    plain = F.translate(piece, "\u0002\u0003", "")
+    return F.when(piece.startswith("\u0003"), F.trim(F.regexp_replace(piece, "^\u0003[a-z0-9]{1,2}|\u0002", ""))).otherwise(plain) if first else plain
+
+
+def _key(sentence: Column) -> Column:
+    return F.crc32(sentence.cast("binary"))
+
+
+def _found(pieces: Column) -> Column:
+    """For each piece the known sentence that begins there, as (sentence number from 1, pieces), else null. The longest counts."""
+    names = list(KNOWN)
+    table: dict[int, list[int]] = {}
+    for n, s in enumerate(names, 1):
+        table.setdefault(zlib.crc32(s.encode()), []).append(n)
+    keys = F.lit(list(table))
+    numbers = F.lit([ns[0] for ns in table.values()])
+    if any(len(ns) > 1 for ns in table.values()):
+        raise ValueError("two known sentences share a key")
+    texts = F.lit(names)
+    starts = F.lit(sorted({zlib.crc32(" ".join(s.split(" ")[:2]).encode()) for s in names}))
+    longest = max(map(len, names))
+
+    def looked_up(sentence: Column) -> Column:
+        """The number of a known sentence; null for any other."""
+        n = F.element_at(numbers, F.array_position(keys, _key(sentence)).cast("int"))
+        return F.when(F.array_contains(keys, _key(sentence)) & (F.char_length(sentence) <= longest), F.when(F.element_at(texts, n) == sentence, n))
+
+    def at(piece: Column, i: Column) -> Column:
+        first = _text(piece, True)
+        near = F.slice(pieces, i + 1, F.lit(MOST_LINES))
+        open_ = F.coalesce(F.nullif(F.array_position(F.transform(near, lambda p: ~F.endswith(p, F.lit("\u0002"))), True), F.lit(0).cast("long")), F.size(near).cast("long")).cast("int")
+        tries = F.transform(F.sequence(open_, F.lit(1), F.lit(-1)), lambda k: F.struct(looked_up(F.concat_ws(" ", first, F.when(k > 1, F.array_join(F.transform(F.slice(near, 2, k - 1), lambda p: _text(p, False)), " ")))).alias("n"), k.alias("k")))
+        best = F.try_element_at(F.filter(tries, lambda t: t["n"].isNotNull()), F.lit(1))
+        return F.when(F.array_contains(starts, _key(F.substring_index(first, " ", 2))), best)
+
+    return F.transform(pieces, at)
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_sentences, n_known (sentences of SENTENCES) and matches: license, rule (its place in RULES), first and end sentence."""
+    """docs with n_sentences, n_known (known sentences) and matches: license, rule (its place in ALL_RULES), first and end sentence."""
     made = ("n_sentences", "n_known", "matches")
-    known = {normalised(v): k for k, v in SENTENCES.items()}
-    ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    def at(sids: Column, i: Column) -> Column:
+    number = {s: n for n, s in enumerate(KNOWN.values(), 1)}
+
+    def at(ids: Column, i: Column) -> Column:
         """The first rule that matches at sentence i, else null."""
         out = F.lit(None).cast("struct<license:string,rule:int,first:int,end:int>")
-        for n, (name, parts) in reversed(list(enumerate(RULES))):
-            same = F.slice(sids, i + 1, len(parts)) == F.array(*[F.lit(p) for p in parts])
+        for n, (name, parts) in reversed(list(enumerate(ALL_RULES))):
+            same = (ids[i] == number[parts[0]]) & (F.slice(ids, i + 1, len(parts)) == F.lit([number[p] for p in parts]))
             hit = F.struct(F.lit(name).alias("license"), F.lit(n).alias("rule"), i.cast("int").alias("first"), (i + len(parts)).cast("int").alias("end"))
             out = F.when(same, hit).otherwise(out)
         return out
 
-    rows = docs.drop(*[c for c in made if c in docs.columns]).withColumn("_lic_sents", _sentences(F.col(text)))
-    rows = rows.withColumn("n_sentences", F.size("_lic_sents").cast("long"))
-    rows = rows.withColumn("_lic_ids", F.transform("_lic_sents", lambda s: F.when(F.array_contains(F.array(*[F.lit(k) for k in known]), s), ids[s]))).drop("_lic_sents")
-    rows = rows.withColumn("n_known", F.size(F.array_compact("_lic_ids")).cast("long"))
-    found = F.filter(F.transform("_lic_ids", lambda s, i: F.when(s.isNotNull(), at(F.col("_lic_ids"), i))), lambda m: m.isNotNull())
+    rows, back = held(docs, {"_lic_text": text}, made)
+    rows = rows.withColumn("_lic_pieces", _pieces(F.col("_lic_text")))
+    rows = rows.withColumn("_lic_found", _found(F.col("_lic_pieces")))
+    # pieces that a known sentence before them goes over are none of their own, nor is a bare list number before one
+    found, pieces = F.col("_lic_found"), F.col("_lic_pieces")
+    before = lambda i: F.slice(found, F.greatest(i - MOST_LINES + 2, F.lit(1)), F.least(i, F.lit(MOST_LINES - 1)))
+    over = lambda i: F.exists(F.transform(before(i), lambda f, k: F.coalesce(f["k"] > F.least(i, F.lit(MOST_LINES - 1)) - k, F.lit(False))), lambda x: x)
+    bare = lambda p, i: p.rlike("^\u0003[a-z0-9]{1,2}\\z") & F.get(found, i + 1).isNotNull()
+    ids = F.filter(F.transform(pieces, lambda p, i: F.when(over(i) | bare(p, i), F.lit(-1)).otherwise(F.coalesce(F.get(found, i)["n"], F.lit(0)))), lambda n: n >= 0)
+    any_ = F.exists(found, lambda f: f.isNotNull())
+    rows = rows.withColumn("_lic_ids", F.when(any_, ids)).withColumn("n_sentences", F.coalesce(F.size("_lic_ids"), F.size("_lic_pieces")).cast("long"))
+    rows = rows.withColumn("n_sentences", F.when(any_, F.size("_lic_ids")).otherwise(F.size("_lic_pieces")).cast("long"))
+    rows = rows.withColumn("n_known", F.when(any_, F.size(F.filter("_lic_ids", lambda n: n > 0))).otherwise(0).cast("long"))
+    hits = F.filter(F.transform("_lic_ids", lambda n, i: F.when(n > 0, at(F.col("_lic_ids"), i))), lambda m: m.isNotNull())
     none = F.array().cast("array<struct<license:string,rule:int,first:int,end:int>>")
-    apart = F.aggregate(found, none, lambda done, m: F.when(F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) <= m["first"], F.concat(done, F.array(m))).otherwise(done))
-    return rows.withColumn("matches", F.when(F.col("n_known") > 0, apart).otherwise(none)).drop("_lic_ids")
+    apart = F.aggregate(hits, none, lambda done, m: F.when(F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) <= m["first"], F.concat(done, F.array(m))).otherwise(done))
+    return rows.withColumn("matches", F.when(any_, apart).otherwise(none)).select(*back, *made)

@@ -15,8 +15,8 @@
 5. Likely members get their full shingle sets, and pairs left by 4 are verified exactly. A pair in
    one component already is not compared, so a cluster gives out a spanning forest, never all
    pairs. The links give components.
-6. A cluster of more than BLOCK members is dealt out in blocks, each with the hub. If it still
-   holds several components, its members outside the largest one, the strays, are compared with all
+6. A cluster of more than BLOCK members is dealt out in blocks, each with the hub. Members that
+   their block does not link with the hub, the strays, are compared with all
    of its members: 4 and 5 follow for each block and each BLOCK strays. So no count of partners is
    capped, no cluster meets in one task, and what is shipped grows with members plus strays times
    blocks, not with the square of the cluster unless most of its members are strays.
@@ -222,7 +222,7 @@ def _likely(percent: int):
 
 
 def _linker(percent: int):
-    """Over runs with full sets: verified links that join components, a forest for each run."""
+    """Over runs with full sets: where verified links join components, a link of each member that changed its component to one that did not. The component of the hub, named by its id, does not."""
     least = least_matches(percent)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,14 +230,13 @@ def _linker(percent: int):
             order, doc, comp, block, size, sig = _columns(key, rows)
             packed = rows.column("shingles").to_pylist()
             sets = [np.frombuffer(packed[k], dtype=np.uint64) for k in order]
-            comp = comp.copy()
-            links = []
+            joined = comp.copy()
             for i in range(len(doc) - 1):
-                rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+                rest = np.flatnonzero(joined[i + 1 :] != joined[i]) + i + 1
                 if key[1] != key[2]:
                     rest = rest[block[rest] != block[i]]
                 for part in np.array_split(rest, max(1, len(rest) // 64)):
-                    partners = _partners(i, part[comp[part] != comp[i]], percent, least, size, sig)
+                    partners = _partners(i, part[joined[part] != joined[i]], percent, least, size, sig)
                     if not len(partners):
                         continue
                     own, others = sets[i], np.concatenate([sets[j] for j in partners])
@@ -245,11 +244,12 @@ def _linker(percent: int):
                     at[at == len(own)] = 0
                     both = np.add.reduceat(own[at] == others, np.cumsum([0, *size[partners[:-1]]]), dtype=np.int64)
                     for j in partners[100 * both >= percent * (size[i] + size[partners] - both)].tolist():
-                        if comp[j] != comp[i]:
-                            links.append((int(doc[i]), int(doc[j])))
-                            comp[comp == comp[j]] = comp[i]
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+                        kept, gone = (joined[i], joined[j]) if joined[j] != key[0] else (joined[j], joined[i])  # the hub's component keeps its name
+                        joined[joined == gone] = kept
+            root = {int(c): int(d) for c, d, j in zip(comp[::-1], doc[::-1], joined[::-1], strict=True) if c == j}  # a member that kept its component's name
+            new = np.flatnonzero(joined != comp)
+            if len(new):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), key[0])), pa.array(doc[new]), pa.array([root[c] for c in joined[new].tolist()], type=pa.int64())], names=["hub", "a", "b"])
 
     return link
 
@@ -278,7 +278,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _linked(runs: DataFrame, base: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
-    """Links (a, b) in runs (hub, x, y, doc_id, c, block), written."""
+    """Links (hub, a, b) in runs (hub, x, y, doc_id, c, block), written."""
     about = base.where("sig IS NOT NULL").select("doc_id", "n_shingles", "sig")
     marked = _dealt(runs.join(about.hint("merge"), "doc_id").select(*_RUN, "doc_id", "c", "block", "n_shingles", "sig"))
     likely = written(marked.mapInArrow(_likely(percent), "hub long, x int, y int, doc_id long, c long, block int").distinct(), "likely")
@@ -286,7 +286,7 @@ def _linked(runs: DataFrame, base: DataFrame, docs: DataFrame, k: int, percent:
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).join(ends, "doc_id", "left_semi")
     sets = texts.mapInArrow(_packed_sets(k), "doc_id long, n_shingles long, shingles binary, sig binary")
     whole = _dealt(likely.join(sets, "doc_id").select(*_RUN, "doc_id", "c", "block", "n_shingles", "sig", "shingles"))
-    links = written(whole.mapInArrow(_linker(percent), "a long, b long"), "links")
+    links = written(whole.mapInArrow(_linker(percent), "hub long, a long, b long"), "links")
     drop_written(likely)
     return links
 
@@ -297,13 +297,13 @@ def _rows(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFra
     base = written(described(docs, k, key, text), "described")
     full = base.where("doc_id IS NOT NULL AND sig IS NOT NULL")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    own = full.join(classes.select("rep").distinct().hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
+    own = full.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
     entries = own.select("doc_id", F.explode("bands").alias("band"))
     bands = written(entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
-    entries = written(spread_join(entries, bands, "band", "n").distinct(), "entries")
+    entries = written(spread_join(entries, bands, "band", "n", hint="merge").distinct(), "entries")
 
     weight = entries.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    hubs = entries.join(weight.hint("merge"), "doc_id").groupBy("band").agg(F.min(F.struct(-F.col("weight"), "doc_id"))["doc_id"].alias("hub"), F.count("*").alias("m"))
+    hubs = entries.join(weight, "doc_id").groupBy("band").agg(F.min(F.struct(-F.col("weight"), "doc_id"))["doc_id"].alias("hub"), F.count("*").alias("m"))
     members = written(spread_join(entries.select("band", "doc_id"), written(hubs, "hubs"), "band", "m").select("hub", "doc_id").distinct(), "members")
     sizes = written(members.groupBy("hub").agg(F.count("*").alias("size")), "sizes")
     members = spread_join(members, sizes, "hub", "size").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size")
@@ -311,9 +311,9 @@ def _rows(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFra
     dealt = members.withColumn("x", F.explode(F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
     links = _linked(dealt.withColumn("y", F.col("x")).withColumn("c", F.col("doc_id")), base, docs, k, percent, key, text)
 
-    large = members.where("blocks > 1")
-    if not large.isEmpty():
-        links = links.unionByName(_linked(_strays(large, links), base, docs, k, percent, key, text))
+    strays = _strays(members, links)
+    if strays is not None:
+        links = links.unionByName(_linked(strays, base, docs, k, percent, key, text))
 
     found = components(links).withColumnRenamed("node", "rep")
     classes = written(classes.join(found, "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component")), "class-components")
@@ -322,19 +322,20 @@ def _rows(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFra
     return rows.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def _strays(large: DataFrame, links: DataFrame) -> DataFrame:
-    """Runs (hub, x, y, doc_id, c, block) that hold each stray with each member of its hub: x is a block of members, y less than 0 a part of the strays, whose block is -1."""
-    found = components(links)
-    large = large.join(found, F.col("doc_id") == F.col("node"), "left").select("hub", "doc_id", "blocks", "block", F.coalesce("component", "doc_id").alias("c"))
+def _strays(members: DataFrame, links: DataFrame) -> DataFrame | None:
+    """Runs (hub, x, y, doc_id, c, block) that hold each stray of a crowded hub, a member that its block does not link with the hub, with each member of the hub: x is a block of members, y less than 0 a part of the strays, whose block is -1. None if no hub is crowded or none has strays."""
+    own = links.groupBy("hub", F.col("a").alias("doc_id")).agg(F.min("b").alias("c"))
+    large = members.where("blocks > 1").join(own, ["hub", "doc_id"], "left").withColumn("c", F.when(F.col("doc_id") == F.col("hub"), F.col("hub")).otherwise(F.coalesce("c", "doc_id")))
     large = written(large, "large")
-    parts = large.groupBy("hub", "c").agg(F.count("*").alias("m"))
-    most = parts.groupBy("hub").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.sum("m").alias("n"), F.max("m").alias("top")).where("n > top")
-    most = written(most.select("hub", "main", "n", F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int").alias("parts")), "split")
-    rows = spread_join(large, most, "hub", "n")
-    own = rows.select("hub", F.col("block").alias("x"), F.explode(F.sequence(F.lit(1), "parts")).alias("y"), "doc_id", "c", "block")
-    stray = rows.where("c <> main").withColumn("y", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int") + 1)
+    parts = large.groupBy("hub").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("hub")).alias("strays")).where("strays > 0")
+    parts = written(parts.select("hub", "n", F.ceil(F.col("strays") / BLOCK).cast("int").alias("parts")), "strays")
+    if parts.isEmpty():
+        return None
+    rows = spread_join(large, parts, "hub", "n")
+    whole = rows.select("hub", F.col("block").alias("x"), F.explode(F.sequence(F.lit(1), "parts")).alias("y"), "doc_id", "c", "block")
+    stray = rows.where("c <> hub").withColumn("y", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int") + 1)
     stray = stray.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), "y", "doc_id", "c", F.lit(-1).alias("block"))
-    return own.unionByName(stray).withColumn("y", (-F.col("y")).cast("int"))
+    return whole.unionByName(stray).withColumn("y", (-F.col("y")).cast("int"))
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -87,8 +87,8 @@ def _licenses() -> str:
     from tracewise.llm import licenses
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(licenses.normalised(v))}, {quoted(k)})" for k, v in licenses.SENTENCES.items())
-    rules = ", ".join(f"({n}, {quoted(name)}, [{', '.join(map(quoted, parts))}])" for n, (name, parts) in enumerate(licenses.RULES))
+    known = ", ".join(f"({quoted(s)}, {quoted(k)})" for s, k in licenses.KNOWN.items())
+    rules = ", ".join(f"({n}, {quoted(name)}, [{', '.join(map(quoted, parts))}])" for n, (name, parts) in enumerate(licenses.ALL_RULES))
     return rf"""
 WITH RECURSIVE known(s, sid) AS (VALUES {known}), rules(rule, license, parts) AS (VALUES {rules}),
 t AS (

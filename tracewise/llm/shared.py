@@ -86,20 +86,21 @@ def held(docs: DataFrame, used: dict[str, str], made: tuple[str, ...] = (), pack
     return docs.select(*columns), back
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], n: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str | list[str], n: str, how: str = "inner", hint: str | None = None) -> DataFrame:
     """rows joined with table, a written table with a row for each key whose n says how many of rows hold it.
 
     A key of more than 1 / HOT_SHARE of all rows would fill a task. There are at most HOT_SHARE such
     keys at any size, so they are broadcast and their rows stay where they are; the rest meet by a
-    shuffle at any size, so that small tables are planned as large ones are.
+    plain join, with hint "merge" by a shuffle at any size, so that small tables are planned as large ones are.
     """
-    total = table.agg(F.sum(n)).first()[0] or 0
+    hinted = lambda t: t.hint(hint) if hint else t
+    total, most = table.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     least = max(LEAST_HOT, total // HOT_SHARE)
-    hot, cold = table.where(F.col(n) > least), table.where(F.col(n) <= least).hint("merge")
-    if hot.isEmpty():
-        return rows.join(table.hint("merge"), key, how)
+    if most <= least:
+        return rows.join(hinted(table), key, how)
+    hot = F.broadcast(table.where(F.col(n) > least))
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")  # a null key is in neither
-    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
+    return rows.join(hot, key).unionByName(rest.join(hinted(table.where(F.col(n) <= least)), key, how))
 
 
 def chunks(texts: Iterable[bytes], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:

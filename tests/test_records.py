@@ -282,3 +282,61 @@ def test_stream_of_batches(spark, tmp_path):
         S.ingest_latest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), 1).awaitTermination()
     log = spark.read.schema(S.STATE).parquet(str(tmp_path / "out"))
     assert log.count() == 2 and S.latest(log).first()["status"] == "ok"
+
+
+def test_threshold_modes_and_segment_rewards(spark):
+    from tracewise.functions import rewards as M
+
+    df = spark.createDataFrame([(0.8,), (0.5,), (None,)], "s double")
+    got = df.select(*[M.tau_score(F.col("s"), 0.6, m).alias(m) for m in ("none", "hard", "scaled")]).collect()
+    assert [tuple(r) for r in got] == [(0.8, 0.8, pytest.approx(0.5)), (0.5, 0.0, 0.0), (None, None, None)]
+    grid = spark.createDataFrame([([[0.5, 0.5], [1.0, 0.0], [0.0, 0.0]],), ([],)], "w array<array<double>>")
+    rows = grid.select(M.coverage_recall(F.col("w")).alias("r"), M.support_precision(F.col("w")).alias("p")).collect()
+    assert (rows[0]["r"], rows[0]["p"]) == (pytest.approx(1.75 / 3), 0.75) and tuple(rows[1]) == (0.0, 0.0)
+    for wrong in (lambda: M.tau_score(F.col("s"), 1.0), lambda: M.tau_score(F.col("s"), 0.5, "x"), lambda: M.ratio("0"), lambda: M.positive_int("-1"), lambda: M.unit_interval("tau", 1.0, True)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_reward_function_contract(spark):
+    from tracewise.functions import rewards as M
+
+    df = spark.createDataFrame([("d", "<answer>4</answer>", "4", (["accuracy"],)), ("d", "5", "4", (None,)), ("d", "x", "x", ([],))], "data_source string, solution string, truth string, extra struct<components:array<string>>")
+    cols = [F.col(c) for c in ("data_source", "solution", "truth")]
+    assert [r[0] for r in df.select(M.compute_score(*cols, F.col("extra"))).collect()] == [1.0, 0.25, 0.0]
+    assert [r[0] for r in df.select(M.compute_score(*cols)).collect()] == [1.0, 0.25, 0.75]
+    bad = df.withColumn("extra", F.struct(F.array(F.lit("wit")).alias("components")))
+    with pytest.raises(Exception, match="unknown reward component"):
+        bad.select(M.compute_score(*cols, F.col("extra"))).collect()
+
+
+def test_model_free_scorers(spark):
+    from tracewise.operators import scorers as V
+
+    pairs = spark.createDataFrame([("a b", "b a"), ("a", "c"), ("", "")], "text_a string, text_b string")
+    assert [round(r["raw_score"], 6) for r in V.score_pairs(pairs, "hashed_cosine").collect()] == [1.0, 0.0, 0.0]
+    assert [r["bertscore_f1"] for r in V.score_pairs(pairs, "token_overlap").collect()] == [1.0, 0.0, 0.0]
+    names = {0: "CONTRADICTION", 1: "neutral", 2: "Entailment"}
+    V.register("toy_nli", V.both_ways(lambda a, b: [[0.1, 0.2, 0.7] if len(x) >= len(y) else [0.6, 0.3, 0.1] for x, y in zip(a, b)], names), V.NLI_FIELDS)
+    rows = spark.createDataFrame([("p", "long text", "short")], "pair_id string, anchor string, generated string")
+    r = V.nli_cache(rows, "toy_nli", ("pair_id", "anchor", "generated")).first()
+    assert [r[c] for c in V.NLI_FIELDS] == [0.7, 0.1, 0.1, 0.6, 0.2, 0.3] and (r["nli_model"], r["error"]) == ("toy_nli", None)
+    with pytest.raises(ValueError):
+        V.label_map({0: "yes", 1: "no"})
+
+
+def test_staged_data_and_command_line(spark, tmp_path, capsys):
+    from tracewise import cli
+
+    path = jsonl(tmp_path / "d.jsonl", {"a": 1, "b": "x"})
+    assert files.load_staged(spark, path, "a long, b string", ["a"]).collect()[0].asDict() == {"a": 1}
+    with pytest.raises(ValueError):
+        files.load_staged(spark, path)
+    assert cli.main(["tables", "--output", "o", "--config-only"]) == 0 and json.loads(capsys.readouterr().out)["stage"] == "tables"
+    scores = jsonl(tmp_path / "s.jsonl", SCORE, "{")
+    cli.main(["tables", "--caption", scores, "--output", "o", "--validate-data-only"])
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1]) == {"rows": 1, "errors": 1}
+    examples = jsonl(tmp_path / "e.jsonl", *[{"anchor": "a", "generated": "b", "compatibility_label": 1, "source_sample_id": i} for i in range(20)])
+    cli.main(["split", "--data", examples, "--output", str(tmp_path / "split")])
+    assert spark.read.json(str(tmp_path / "split")).groupBy("split").count().count() == 3
+    assert files.split_list(" a, ,b") == ["a", "b"] and files.zip_uri("x.zip", "m") == "zip://x.zip::m"

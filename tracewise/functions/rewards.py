@@ -137,3 +137,62 @@ def noisy_or(weights: Column) -> Column:
 def f_beta(precision: Column, recall: Column, beta: float = 1.0) -> Column:
     b = beta * beta
     return F.coalesce(F.try_divide((1 + b) * precision * recall, b * precision + recall), F.lit(0.0))
+
+
+def tau_score(c: Column, tau: float, mode: str = "scaled") -> Column:
+    """A score by threshold: none as it is, hard 0 below tau, scaled as the share of the way from tau to 1."""
+    if not 0 <= tau < 1:
+        raise ValueError(f"tau must be in [0, 1): {tau}")
+    if mode == "none":
+        return c
+    if mode == "hard":
+        return F.when(c >= tau, c).when(c.isNotNull(), F.lit(0.0))
+    if mode == "scaled":
+        return scale_reward(c, tau)
+    raise ValueError(f"unknown mode: {mode}")
+
+
+def coverage_recall(weights: Column) -> Column:
+    """Of an array of rows of edge weights, a row for each reference segment: the mean of their noisy-or; 0 without rows."""
+    total = F.aggregate(F.transform(weights, noisy_or), F.lit(0.0), lambda a, x: a + x)
+    return F.coalesce(F.try_divide(total, F.size(weights).cast("double")), F.lit(0.0))
+
+
+def support_precision(weights: Column) -> Column:
+    """Of the same array: the mean over candidate segments of their best weight; 0 without candidates."""
+    columns = F.transform(F.sequence(F.lit(0), F.size(F.get(weights, 0)) - 1), lambda j: F.array_max(F.transform(weights, lambda row: F.get(row, j))))
+    total = F.aggregate(columns, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.coalesce(F.size(F.get(weights, 0)), F.lit(0)) > 0, total / F.size(columns)).otherwise(0.0)
+
+
+def compute_score(data_source: Column, solution: Column, truth: Column, extra_info: Column | None = None, components: tuple[str, ...] = ("accuracy", "format")) -> Column:
+    """The reward function that trainers call: the mean of components. extra_info may name a row's own, as an array `components`; an unknown one raises. data_source is not used."""
+    if extra_info is None:
+        return composite_reward(solution, truth, components)
+    own = F.coalesce(extra_info.getField("components"), F.array(*[F.lit(c) for c in components]))
+    known = F.create_map(F.lit("accuracy"), accuracy_reward(solution, truth), F.lit("format"), format_reward(solution))
+    wrong = F.exists(own, lambda c: ~F.map_contains_key(known, c))
+    total = F.aggregate(own, F.lit(0.0), lambda a, c: a + F.coalesce(F.try_element_at(known, c), F.lit(0.0)))
+    return F.when(wrong, F.raise_error(F.lit("unknown reward component")).cast("double")).when(F.size(own) > 0, total / F.size(own)).otherwise(0.0)
+
+
+def unit_interval(name: str, value: float, open_end: bool = False) -> float:
+    """A number in [0, 1], or below 1 with open_end; else ValueError."""
+    if not 0 <= value <= 1 or (open_end and value == 1):
+        raise ValueError(f"{name} must be in [0, 1{')' if open_end else ']'}: {value}")
+    return value
+
+
+def ratio(text: str | float) -> float:
+    """A number in (0, 1], else ValueError."""
+    value = float(text)
+    if not 0 < value <= 1:
+        raise ValueError(f"a ratio must be in (0, 1]: {value}")
+    return value
+
+
+def positive_int(text: str | int) -> int:
+    value = int(text)
+    if value <= 0:
+        raise ValueError(f"a count must be positive: {value}")
+    return value

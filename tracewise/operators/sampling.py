@@ -116,15 +116,14 @@ def balanced_sample(rows: DataFrame, group: str, key: str, n: int, seed: int = 4
 
 
 def _draws(seed: Column, size: Column, k: int) -> Column:
-    """k distinct places from 1 to size, by seed: each draw is a digest's number among the places that are left."""
-    picks, taken = [], F.array().cast("array<bigint>")
-    for j in range(k):
-        number = F.conv(F.substring(F.sha2(F.concat_ws(":", seed.cast("string"), F.lit(str(j))), 256), 1, 12), 16, 10).cast("long")
-        at = F.when(size > j, F.pmod(number, size - j) + 1)
-        pick = F.aggregate(taken, at, lambda p, t: F.when(t <= p, p + 1).otherwise(p))  # past those taken, in rising order
-        picks.append(pick)
-        taken = F.array_sort(F.array(*picks))
-    return F.array(*picks)
+    """k distinct places from 1 to size, by seed, or all if there are fewer: each draw is a digest's number among the places that are left."""
+    def drawn(taken: Column, j: Column) -> Column:
+        number = F.conv(F.substring(F.sha2(F.concat_ws(":", seed.cast("string"), j.cast("string")), 256), 1, 12), 16, 10).cast("long")
+        at = F.pmod(number, size - j) + 1
+        pick = F.aggregate(F.array_sort(taken), at, lambda p, t: F.when(t <= p, p + 1).otherwise(p))  # past those taken, in rising order
+        return F.when(j < size, F.concat(taken, F.array(pick))).otherwise(taken)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<bigint>"), drawn)
 
 
 def per_request_sample(requests: DataFrame, pool: DataFrame, on: str, request: str, item: str, k: int, short: str = "raise", seed: int = 42) -> DataFrame:
@@ -141,7 +140,7 @@ def per_request_sample(requests: DataFrame, pool: DataFrame, on: str, request: s
     if short == "raise":
         message = F.concat(F.lit(f"{k} items asked of the pool "), F.coalesce(F.col(on).cast("string"), F.lit("null")), F.lit(" of "), size.cast("string"))
         size = F.when(size < k, F.raise_error(message).cast("long")).otherwise(size)
-    drawn = asked.select(request, F.col(on).alias("_kind"), F.posexplode(F.filter(_draws(F.coalesce(F.col("generation_seed"), F.lit(0)), size, k), lambda p: p.isNotNull())).alias("_j", "_place"))
+    drawn = asked.select(request, F.col(on).alias("_kind"), F.posexplode(_draws(F.coalesce(F.col("generation_seed"), F.lit(0)), size.cast("long"), k)).alias("_j", "_place"))
     found = drawn.join(items, (F.col("_kind") == F.col("_on")) & (drawn["_place"] == items["_place"]))
     picked = F.transform(F.array_sort(F.collect_list(F.struct("_j", "_item"))), lambda x: x["_item"])
     return found.groupBy(request).agg(picked.alias("items"))

@@ -6,6 +6,8 @@ their row, so scores cannot be matched wrongly; a scorer that fails gives an err
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,7 +27,68 @@ def lexical(a: list[str], b: list[str]) -> dict[str, list[float]]:
     return {"raw_score": out}
 
 
-SCORERS: dict[str, tuple[Scorer, tuple[str, ...]]] = {"lexical": (lexical, ("raw_score",))}
+def _hashed(text: str, size: int = 256) -> dict[int, float]:
+    out: dict[int, float] = {}
+    for word in text.lower().split():
+        k = zlib.crc32(word.encode()) % size
+        out[k] = out.get(k, 0.0) + 1.0
+    return out
+
+
+def hashed_cosine(a: list[str], b: list[str]) -> dict[str, list[float]]:
+    """Cosine of word counts in hashed slots: what an embedding scorer returns, without its model."""
+    out = []
+    for x, y in zip(map(_hashed, a), map(_hashed, b), strict=True):
+        size = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        out.append(sum(v * y.get(k, 0.0) for k, v in x.items()) / size if size else 0.0)
+    return {"raw_score": out}
+
+
+def token_overlap(a: list[str], b: list[str]) -> dict[str, list[float]]:
+    """Precision, recall and f1 of words that both texts have: what a token matcher returns, without its model."""
+    fields: dict[str, list[float]] = {"bertscore_precision": [], "bertscore_recall": [], "bertscore_f1": []}
+    for x, y in zip(a, b, strict=True):
+        p, q = x.lower().split(), y.lower().split()
+        hits, back = sum(w in set(p) for w in q), sum(w in set(q) for w in p)
+        precision, recall = hits / len(q) if q else 0.0, back / len(p) if p else 0.0
+        for f, v in zip(fields, (precision, recall, 2 * precision * recall / (precision + recall) if precision + recall else 0.0), strict=True):
+            fields[f].append(v)
+    return fields
+
+
+def label_map(names: dict[int, str]) -> dict[str, int]:
+    """The places of entailment, contradiction and neutral among a model's label names; ValueError if one is missing."""
+    found = {want: int(i) for i, name in names.items() for want in ("entailment", "contradiction", "neutral") if want in str(name).lower()}
+    if missing := sorted({"entailment", "contradiction", "neutral"} - set(found)):
+        raise ValueError(f"no labels {missing} in {names}")
+    return found
+
+
+def both_ways(predict: Callable[[list[str], list[str]], list[list[float]]], names: dict[int, str]) -> Scorer:
+    """A scorer of entailment, contradiction and neutral probabilities in both directions, from a model of (premises, hypotheses)."""
+    at = label_map(names)
+
+    def score(a: list[str], b: list[str]) -> dict[str, list[float]]:
+        there, back = predict(a, b), predict(b, a)
+        return {f"{k}_{way}": [row[at[name]] for row in rows] for way, rows in (("ab", there), ("ba", back)) for k, name in (("E", "entailment"), ("C", "contradiction"), ("N", "neutral"))}
+
+    return score
+
+
+NLI_FIELDS = ("E_ab", "E_ba", "C_ab", "C_ba", "N_ab", "N_ba")
+
+
+def nli_cache(pairs: DataFrame, name: str, provenance: tuple[str, ...]) -> DataFrame:
+    """Pairs (anchor, generated, provenance) with the six probabilities of a registered scorer, its name and error: rows to calibrate on."""
+    return score_pairs(pairs.select(*provenance), name, "anchor", "generated").withColumnRenamed("scorer", "nli_model")
+
+
+#: Scorers by name, with their fields. Those with models are registered by their users; these need none.
+SCORERS: dict[str, tuple[Scorer, tuple[str, ...]]] = {
+    "lexical": (lexical, ("raw_score",)),
+    "hashed_cosine": (hashed_cosine, ("raw_score",)),
+    "token_overlap": (token_overlap, ("bertscore_precision", "bertscore_recall", "bertscore_f1")),
+}
 
 
 def register(name: str, scorer: Scorer, fields: tuple[str, ...]) -> None:

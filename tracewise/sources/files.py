@@ -188,3 +188,23 @@ def markdown(df: DataFrame, columns: list[str], limit: int = 10_000) -> str:
     cell = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
     body = ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *body]) + "\n"
+
+
+def load_staged(spark: SparkSession, path: str, schema: T.StructType | str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A dataset that was staged as Parquet, or as JSON lines if its name says so, with an explicit schema for JSON; columns are read alone."""
+    if path.rstrip("/").endswith((".json", ".jsonl")):
+        if schema is None:
+            raise ValueError("JSON needs a schema")
+        rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    else:
+        rows = spark.read.parquet(path)
+    return rows if columns is None else rows.select(*columns)
+
+
+def zip_uri(archive: str, member: str) -> str:
+    return f"zip://{archive}::{member}"
+
+
+def split_list(text: str) -> list[str]:
+    """The non-empty parts of a comma list."""
+    return [x.strip() for x in text.split(",") if x.strip()]

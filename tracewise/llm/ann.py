@@ -7,8 +7,8 @@ directions and compared within leaves of LEAF neighbours on the line. Rounds of
 each node, with its neighbours and up to REVERSE nodes that newly list it, is an owner whose members
 are compared with each other where one of the two is new to it; owners without news are left out; a member gets the candidates better than
 its worst neighbour. Owners, members and lists meet by joins and exchanges on node ids; a
-round's lists are written to the shared folder. Rounds end after LEAST_ROUNDS when fewer than SETTLED of
-all list places change, or after ROUNDS.
+round's lists are written to the shared folder. Rounds go on, LEAST_ROUNDS at least, until fewer than SETTLED of
+all list places change. Lists only get better, so they settle.
 
 A query searches greedily: it begins with its node's list and keeps a pool of the POOL best nodes; of
 the WIDE best, BEAM unexpanded ones a hop are joined with the graph, whose rows carry the
@@ -26,6 +26,7 @@ smaller id; an empty table gives an empty result; other columns are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from tracewise.llm.shared import drop_written, small_batches, written
 
 DEGREE, REVERSE, LEAF, TREES = 56, 32, 2048, 8
-ROUNDS, LEAST_ROUNDS, SETTLED = 8, 2, 0.01
-POOL, WIDE, BEAM, HOPS = 128, 96, 32, 12
+LEAST_ROUNDS, SETTLED = 2, 0.01
+POOL, WIDE, BEAM = 128, 96, 32
 #: Rows (query, node) of a hop that are broadcast at most, 16 bytes each; more of them are joined by an exchange.
 BROADCAST_ROWS = 500_000
 LIMIT = 20
@@ -248,15 +249,14 @@ def _offers(lists: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
 def graph(nodes: DataFrame, dim: int) -> DataFrame:
     """(node, ids, sims, fresh): lists of all nodes that have a neighbour, best first; written."""
     lists = written(_merged(_first_lists(nodes, dim).withColumn("old", F.lit(False))), "lists")
-    for n in range(1, ROUNDS + 1):
+    for n in count(1):
         offers = _offers(lists, nodes, dim).withColumn("old", F.lit(False))
         after = written(_merged(lists.select("node", "ids", "sims", F.lit(True).alias("old")).unionByName(offers)), "lists")
         drop_written(lists)
         lists = after
         changed = lists.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("ids"))).first()
         if n >= LEAST_ROUNDS and (changed[0] or 0) <= SETTLED * (changed[1] or 0):
-            break
-    return lists
+            return lists
 
 
 def search(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
@@ -294,7 +294,7 @@ def search(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int) ->
         for part in _parts(rows(), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float32(), pa.bool_(), pa.bool_()))], names=["query_id", "node", "sim", "done", "go"])
 
-    for _ in range(HOPS):
+    while True:  # pools only get better, so a query comes to have expanded its WIDE best
         ask = pools.where("go").select("query_id", "node")
         if not (asked := ask.count()):
             break

@@ -16,19 +16,19 @@ from pyspark.sql import functions as F
 from tracewise.llm.shared import drop_written, spread_join, written
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's neighbours to the smallest of them and the node: the larger neighbours, or the smaller ones and the node. Written."""
+def _stars(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """Links each node's neighbours to the smallest of them and the node: the larger neighbours, or the smaller ones and the node. Written. n: the number of edges."""
     if large:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")), "least")
+    least = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")), "least", 2 * n)
     linked = spread_join(both, least, "a", "n")
     if large:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.where("a <> m").select("a", F.col("m").alias("b")))
-    out = written(out.distinct(), "edges")
+    out = written(out.distinct(), "edges", 2 * n)
     drop_written(least)
     return out
 
@@ -39,12 +39,14 @@ def components(edges: DataFrame) -> DataFrame:
     Steps go on until they change nothing; their number grows with the logarithm of the nodes.
     Each step is written to the shared folder, so a lost executor costs one step.
     """
-    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    n = edges.count()
+    edges = written(edges.distinct(), "edges", n)
     before = None
     while True:
-        half = _stars(edges, True)
+        half = _stars(edges, True, n)
         drop_written(edges)
-        edges = _stars(half, False)
+        edges = _stars(half, False, n)
         drop_written(half)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:

@@ -295,40 +295,41 @@ def _rows(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFra
     """(doc_id, n_shingles, component_id) of each row."""
     small_batches(docs.sparkSession)
     base = written(described(docs, k, key, text), "described")
+    n = base.count()
     full = base.where("doc_id IS NOT NULL AND sig IS NOT NULL")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    own = full.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
+    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes", n)
+    own = full.join(classes.select("rep").distinct().hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
     entries = own.select("doc_id", F.explode("bands").alias("band"))
-    bands = written(entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
-    entries = written(spread_join(entries, bands, "band", "n", hint="merge").distinct(), "entries")
+    bands = written(entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands", BANDS * n)
+    entries = written(spread_join(entries, bands, "band", "n", hint="merge").distinct(), "entries", BANDS * n)
 
     weight = entries.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     hubs = entries.join(weight, "doc_id").groupBy("band").agg(F.min(F.struct(-F.col("weight"), "doc_id"))["doc_id"].alias("hub"), F.count("*").alias("m"))
-    members = written(spread_join(entries.select("band", "doc_id"), written(hubs, "hubs"), "band", "m").select("hub", "doc_id").distinct(), "members")
-    sizes = written(members.groupBy("hub").agg(F.count("*").alias("size")), "sizes")
+    members = written(spread_join(entries.select("band", "doc_id"), written(hubs, "hubs", BANDS * n), "band", "m").select("hub", "doc_id").distinct(), "members", BANDS * n)
+    sizes = written(members.groupBy("hub").agg(F.count("*").alias("size")), "sizes", n)
     members = spread_join(members, sizes, "hub", "size").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size")
     members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("x", F.explode(F.when(F.col("doc_id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
     links = _linked(dealt.withColumn("y", F.col("x")).withColumn("c", F.col("doc_id")), base, docs, k, percent, key, text)
 
-    strays = _strays(members, links)
+    strays = _strays(members, links, BANDS * n)
     if strays is not None:
         links = links.unionByName(_linked(strays, base, docs, k, percent, key, text))
 
     found = components(links).withColumnRenamed("node", "rep")
-    classes = written(classes.join(found, "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component")), "class-components")
+    classes = written(classes.join(found, "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component")), "class-components", n)
     rows = spread_join(base.select("doc_id", "digest", "n_shingles"), classes, "digest", "copies", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return rows.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def _strays(members: DataFrame, links: DataFrame) -> DataFrame | None:
+def _strays(members: DataFrame, links: DataFrame, n: int) -> DataFrame | None:
     """Runs (hub, x, y, doc_id, c, block) that hold each stray of a crowded hub, a member that its block does not link with the hub, with each member of the hub: x is a block of members, y less than 0 a part of the strays, whose block is -1. None if no hub is crowded or none has strays."""
     own = links.groupBy("hub", F.col("a").alias("doc_id")).agg(F.min("b").alias("c"))
     large = members.where("blocks > 1").join(own, ["hub", "doc_id"], "left").withColumn("c", F.when(F.col("doc_id") == F.col("hub"), F.col("hub")).otherwise(F.coalesce("c", "doc_id")))
-    large = written(large, "large")
+    large = written(large, "large", n)
     parts = large.groupBy("hub").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("hub")).alias("strays")).where("strays > 0")
-    parts = written(parts.select("hub", "n", F.ceil(F.col("strays") / BLOCK).cast("int").alias("parts")), "strays")
+    parts = written(parts.select("hub", "n", F.ceil(F.col("strays") / BLOCK).cast("int").alias("parts")), "strays", n)
     if parts.isEmpty():
         return None
     rows = spread_join(large, parts, "hub", "n")

@@ -44,9 +44,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back."""
+#: Rows of ids and numbers that a task writes, about.
+TASK_ROWS = 500_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back.
+
+    rows: at most how many it has, if they are narrow; it is then written in as many files as they ask for, but one a core
+    at least, instead of one for each shuffle partition.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // TASK_ROWS))
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tracewise_path = path

@@ -349,14 +349,14 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id",
 def deduped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs for each group. Of rows that share the kept id, that with the smallest text stays; rows with a null id all stay.
 
-    Rows that share a kept id are found by ids alone and reduced by a partial aggregate, so texts
-    of other rows stay in place.
+    Texts are shuffled once, to meet the ids that go. Rows that share a kept id are found by ids alone
+    and reduced by a partial aggregate.
     """
     rows, back = held(docs, {"doc_id": key, "text": text})
     slim, _ = held(docs, {"doc_id": key, "text": text}, packed=False)
     found = written(_rows(slim, k, percent, "doc_id", "text").select("doc_id", "component_id"), "found")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    rows = rows.join(gone, "doc_id", "left_anti")
+    rows = rows.join(gone.hint("merge"), "doc_id", "left_anti")  # ids that go grow with the rows: one shuffle of texts at any size
     twice = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1"), "repeated")
     if twice.isEmpty():
         return rows.select(*back)

@@ -82,9 +82,10 @@ def generation_requests(traces: DataFrame, seed: int = 42, context_steps: int =
 def context_examples(traces: DataFrame) -> DataFrame:
     """Traces (question, steps, step_labels, ...) as a row per non-empty step; its anchor is the question with all earlier non-empty steps."""
     rest = [c for c in traces.columns if c not in ("question", "steps", "step_labels")]
-    rows = traces.withColumn("_q", X.coerce_text(F.col("question"))).select(*rest, "_q", "steps", F.posexplode(F.arrays_zip("steps", "step_labels")).alias("step_index", "_s"))
-    earlier = F.filter(F.transform(F.slice("steps", F.lit(1), F.col("step_index")), lambda s: X.coerce_text(s)), lambda s: s != "")
-    generated = X.coerce_text(F.col("_s.steps"))
+    rows = traces.select(*rest, X.coerce_text(F.col("question")).alias("_q"), F.transform("steps", lambda s: X.coerce_text(s)).alias("_clean"), "step_labels")  # each step is stripped once
+    rows = rows.select(*rest, "_q", "_clean", F.posexplode(F.arrays_zip(F.col("_clean").alias("steps"), "step_labels")).alias("step_index", "_s"))
+    earlier = F.filter(F.slice("_clean", F.lit(1), F.col("step_index")), lambda s: s != "")
+    generated = F.col("_s.steps")
     bad = (generated == "") & (F.col("_s.step_labels") != 0)
     rows = rows.withColumn("generated", F.when(bad, F.raise_error(F.lit("empty non-neutral response step"))).otherwise(generated)).where("generated <> ''")
     return rows.select(*rest, "step_index", X.context_anchor(F.col("_q"), earlier).alias("anchor"), "generated", F.col("_s.step_labels").alias("compatibility_label"))

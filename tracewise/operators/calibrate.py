@@ -21,12 +21,12 @@ def with_case_modes(rows: DataFrame, keys: tuple[str, ...] = ("dataset", "case_i
 def with_sample_weights(rows: DataFrame) -> DataFrame:
     """rows with weight: the inverse count of (dataset, label), scaled so that weights sum to the rows.
 
-    The raw weights of a group sum to 1, so the scale is rows by groups; both come from one small grouping.
+    The raw weights of a group sum to 1, so the scale is rows by groups; both come from one small grouping, whose totals are one row.
     """
     counts = rows.groupBy("dataset", "label").agg(F.count("*").alias("_n"))
     totals = counts.agg(F.sum("_n").alias("_rows"), F.count("*").alias("_groups"))
-    counts = counts.join(F.broadcast(totals)).select("dataset", "label", (F.col("_rows") / (F.col("_groups") * F.col("_n"))).alias("weight"))
-    return rows.join(F.broadcast(counts), ["dataset", "label"])
+    counts = counts.crossJoin(totals).select("dataset", "label", (F.col("_rows") / (F.col("_groups") * F.col("_n"))).alias("weight"))
+    return rows.join(counts, ["dataset", "label"])
 
 
 def fit_logistic(rows: DataFrame, features: str = "features", max_iter: int = 1000) -> tuple[list[float], float]:

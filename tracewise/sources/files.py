@@ -39,7 +39,7 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     made = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
     first = made.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))  # a row per split
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = F.broadcast(first.select("file", "start", (before - F.col("first") + 1).alias("shift")))
+    first = first.select("file", "start", (before - F.col("first") + 1).alias("shift"))
     rows = made.join(first, ["file", "start"]).select("file", (F.col("id") + F.col("shift")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
     return rows.where(F.trim("value") != "")
 
@@ -54,14 +54,15 @@ def read_objects(spark: SparkSession, paths: list[str], schema: T.StructType) ->
     return good, errors
 
 
-def with_row_ids(rows: DataFrame, prefix: str = "row_", file: str = "file", line: str = "line") -> DataFrame:
-    """rows with row_id: their place by file and line, 12 digits. Files are counted first, so no task sorts all rows."""
+def with_row_ids(rows: DataFrame, prefix: str = "row_", file: str = "file", line: str = "line", share: int = 100_000) -> DataFrame:
+    """rows with row_id: their place by file and line, 12 digits. Runs of share lines of a file are counted first, so no task sorts a whole file."""
     from pyspark.sql import Window
 
-    counts = rows.groupBy(file).agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    n = F.col("_before") + F.row_number().over(Window.partitionBy(file).orderBy(line))
-    return rows.join(counts, file).withColumn("row_id", F.format_string(f"{prefix}%012d", n)).drop("_before")
+    rows = rows.withColumn("_run", F.floor(F.col(line) / share))
+    counts = rows.groupBy(file, "_run").agg(F.count("*").alias("_c"))  # a row per run
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy(file, "_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    n = F.col("_before") + F.row_number().over(Window.partitionBy(file, "_run").orderBy(line))
+    return rows.join(counts, [file, "_run"]).withColumn("row_id", F.format_string(f"{prefix}%012d", n)).drop("_before", "_run")
 
 
 def read_records(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:

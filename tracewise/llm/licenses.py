@@ -28,6 +28,7 @@ columns named n_sentences, n_known or matches (in any case) are replaced.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from importlib import resources
@@ -100,8 +101,8 @@ def normalised(text: str) -> str:
 
 #: Lines that a known sentence may go over, and sentences that a run of a whole license must have to be a rule.
 MOST_LINES, LEAST_RUN = 24, 3
-#: Sentences of a part of a long run.
-PART = 8
+#: Sentences of a part of a long run, and lists that the beginnings of known sentences are looked up in.
+PART, BUCKETS = 8, 64
 
 
 def sentences_of(text: str) -> list[str]:
@@ -160,6 +161,11 @@ def _text(piece: Column, first: bool) -> Column:
     return F.when(piece.startswith("\u0003"), F.trim(F.regexp_replace(piece, "^\u0003[a-z0-9]{1,2}|\u0002", ""))).otherwise(plain) if first else plain
 
 
+def _constant(value: list, kind: str) -> Column:
+    """A list as one literal: the optimizer folds it, where an expression for each entry would make plans large."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _key(sentence: Column) -> Column:
     return F.crc32(sentence.cast("binary"))
 
@@ -170,12 +176,13 @@ def _found(pieces: Column) -> Column:
     table: dict[int, list[int]] = {}
     for n, s in enumerate(names, 1):
         table.setdefault(zlib.crc32(s.encode()), []).append(n)
-    keys = F.lit(list(table))
-    numbers = F.lit([ns[0] for ns in table.values()])
+    keys = _constant(list(table), "array<bigint>")
+    numbers = _constant([ns[0] for ns in table.values()], "array<int>")
     if any(len(ns) > 1 for ns in table.values()):
         raise ValueError("two known sentences share a key")
-    texts = F.lit(names)
-    starts = F.lit(sorted({zlib.crc32(" ".join(s.split(" ")[:2]).encode()) for s in names}))
+    texts = _constant(names, "array<string>")
+    begun = {zlib.crc32(" ".join(s.split(" ")[:2]).encode()) for s in names}
+    starts = _constant([sorted(k for k in begun if k % BUCKETS == b) for b in range(BUCKETS)], "array<array<bigint>>")
     longest = max(map(len, names))
 
     def looked_up(sentence: Column) -> Column:
@@ -189,7 +196,8 @@ def _found(pieces: Column) -> Column:
         open_ = F.coalesce(F.nullif(F.array_position(F.transform(near, lambda p: ~F.endswith(p, F.lit("\u0002"))), True), F.lit(0).cast("long")), F.size(near).cast("long")).cast("int")
         tries = F.transform(F.sequence(open_, F.lit(1), F.lit(-1)), lambda k: F.struct(looked_up(F.concat_ws(" ", first, F.when(k > 1, F.array_join(F.transform(F.slice(near, 2, k - 1), lambda p: _text(p, False)), " ")))).alias("n"), k.alias("k")))
         best = F.try_element_at(F.filter(tries, lambda t: t["n"].isNotNull()), F.lit(1))
-        return F.when(F.array_contains(starts, _key(F.substring_index(first, " ", 2))), best)
+        key = _key(F.substring_index(first, " ", 2))
+        return F.when(F.array_contains(F.get(starts, (key % BUCKETS).cast("int")), key), best)
 
     return F.transform(pieces, at)
 
@@ -199,14 +207,12 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     made = ("n_sentences", "n_known", "matches")
     number = {s: n for n, s in enumerate(KNOWN.values(), 1)}
 
+    rules = _constant([{"license": name, "rule": n, "parts": [number[p] for p in parts]} for n, (name, parts) in enumerate(ALL_RULES)], "array<struct<license:string,rule:int,parts:array<int>>>")
+
     def at(ids: Column, i: Column) -> Column:
         """The first rule that matches at sentence i, else null."""
-        out = F.lit(None).cast("struct<license:string,rule:int,first:int,end:int>")
-        for n, (name, parts) in reversed(list(enumerate(ALL_RULES))):
-            same = (ids[i] == number[parts[0]]) & (F.slice(ids, i + 1, len(parts)) == F.lit([number[p] for p in parts]))
-            hit = F.struct(F.lit(name).alias("license"), F.lit(n).alias("rule"), i.cast("int").alias("first"), (i + len(parts)).cast("int").alias("end"))
-            out = F.when(same, hit).otherwise(out)
-        return out
+        hits = F.filter(rules, lambda r: (F.get(r["parts"], 0) == F.get(ids, i)) & (F.slice(ids, i + 1, F.size(r["parts"])) == r["parts"]))
+        return F.get(F.transform(hits, lambda r: F.struct(r["license"].alias("license"), r["rule"].alias("rule"), i.cast("int").alias("first"), (i + F.size(r["parts"])).cast("int").alias("end"))), 0)
 
     rows, back = held(docs, {"_lic_text": text}, made)
     rows = rows.withColumn("_lic_pieces", _pieces(F.col("_lic_text")))
@@ -218,8 +224,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     bare = lambda p, i: p.rlike("^\u0003[a-z0-9]{1,2}\\z") & F.get(found, i + 1).isNotNull()
     ids = F.filter(F.transform(pieces, lambda p, i: F.when(over(i) | bare(p, i), F.lit(-1)).otherwise(F.coalesce(F.get(found, i)["n"], F.lit(0)))), lambda n: n >= 0)
     any_ = F.exists(found, lambda f: f.isNotNull())
-    rows = rows.withColumn("_lic_ids", F.when(any_, ids)).withColumn("n_sentences", F.coalesce(F.size("_lic_ids"), F.size("_lic_pieces")).cast("long"))
-    rows = rows.withColumn("n_sentences", F.when(any_, F.size("_lic_ids")).otherwise(F.size("_lic_pieces")).cast("long"))
+    rows = rows.withColumn("_lic_ids", F.when(any_, ids)).withColumn("n_sentences", F.when(any_, F.size("_lic_ids")).otherwise(F.size("_lic_pieces")).cast("long"))
     rows = rows.withColumn("n_known", F.when(any_, F.size(F.filter("_lic_ids", lambda n: n > 0))).otherwise(0).cast("long"))
     hits = F.filter(F.transform("_lic_ids", lambda n, i: F.when(n > 0, at(F.col("_lic_ids"), i))), lambda m: m.isNotNull())
     none = F.array().cast("array<struct<license:string,rule:int,first:int,end:int>>")

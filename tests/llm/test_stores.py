@@ -146,3 +146,18 @@ def test_few_vectors(spark):
     assert [(r["vec_id"], r["score"]) for r in got] == [(1, 0.5), (2, -1.0)]
     assert ann.nearest(frame([(0, [1.0, 0.0])]), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(frame([]), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("n", [1200, 2400])
+def test_recall_on_clusters_with_many_leaves(spark, monkeypatch, n):
+    """Clustered vectors, a third of all rows one vector, and trees of many leaves, so that rounds and hops do the work, at two sizes."""
+    monkeypatch.setattr(ann, "LEAF", 64)
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(25, 16))
+    rows = [(i, centres[0].tolist() if i % 3 == 1 else (centres[i % 25] + rng.normal(scale=0.4, size=16)).tolist()) for i in range(n)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(*r, "x") for r in rows], VECTORS), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact(rows)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9

@@ -83,6 +83,13 @@ FROM b
 """
 
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS n FROM d)
+SELECT doc_id, keep_id, n::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+
 def _licenses() -> str:
     from tracewise.llm import licenses
 
@@ -119,4 +126,4 @@ FROM s
 """
 
 
-SQL = {"op4_warc": OP4, "op5_decontamination": OP5, "op6_line_dedup": OP6, "op7_license_scan": _licenses(), "op8_mixing": OP8}
+SQL = {"op4_warc": OP4, "op5_decontamination": OP5, "op6_line_dedup": OP6, "op7_license_scan": _licenses(), "op8_mixing": OP8, "op12_exact_dedup": OP12}

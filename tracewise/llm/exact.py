@@ -45,14 +45,14 @@ def _spread_left(rows: DataFrame, table: DataFrame, keys: list[str], n: str, lea
     more = [c for c in table.columns if c not in keys]
     hot = table.where(F.col(n) > least)
     if hot.isEmpty():
-        return rows.join(table, keys, "left")
+        return rows.join(table.hint("merge"), keys, "left")  # a shuffle at any size, so small tables are planned as large ones are
     met = rows.join(F.broadcast(hot.select(*keys, *[F.col(c).alias(f"_hot{c}") for c in more])), keys, "left")
     done = F.col(f"_hot{n}").isNotNull()
     # rows that have met go to the tasks that their ids and partitions give, under keys that no group has
     apart = F.when(done, -1 - F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(1 << 40))).otherwise(F.col(keys[0]))
     met = met.withColumn("_apart", apart)
     cold = table.where(F.col(n) <= least).withColumnRenamed(keys[0], "_apart")
-    joined = met.join(cold, ["_apart", *keys[1:]], "left")
+    joined = met.join(cold.hint("merge"), ["_apart", *keys[1:]], "left")
     return joined.select(*rows.columns, *[F.coalesce(f"_hot{c}", c).alias(c) for c in more])
 
 

@@ -8,8 +8,6 @@ from zlib import crc32
 
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
-
 from tracewise.llm import align, exact, queries, runs
 from tracewise.llm.tokens import byte_letters
 
@@ -205,8 +203,9 @@ def test_alignment_of_odd_texts(spark, aligned, monkeypatch):
     rows = list(enumerate(ODD_TEXTS)) + [(100 + k, "".join(draw.choice(["a", "B", " ", " ", "\n", "the", "é", "日", ".", "'s", " "]) for _ in range(draw.randint(1, 60)))) for k in range(300)] + [(None, "no id"), (5, "a")]
     counts, want = aligned(rows)
     docs = frame(spark, rows).repartition(3)
-    for block in (align.OCCURRENCES, 200):
+    for block, pairs in ((align.OCCURRENCES, align.PAIRS), (200, 0)):
         monkeypatch.setattr(align, "OCCURRENCES", block)
+        monkeypatch.setattr(align, "PAIRS", pairs)
         got = align.align(docs, A, B)
         assert got.documents.columns == ["doc_id", "Keep_ID", "a.b", "Runs", "_node", "_numbers", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
         found = got.documents.collect()
@@ -228,11 +227,16 @@ def test_alignment_refuses_other_files(spark):
         align.align(docs, public_tokenizers.path("word_bpe_49k.json"), B)
 
 
-def test_relations_of_alignment_are_planned_by_the_engine(spark):
-    """Tokens, ends and cuts are exploded rows, windows and joins."""
-    units = spark.createDataFrame([(0, [1, 2], [1, 2], [3], [3])], "unit long, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
-    a, b = align._tokens(units, "a"), align._tokens(units, "b")
-    assert sorted(map(tuple, a.collect())) == [(0, 0, 1, 1), (0, 1, 2, 3)]
-    plan = a.join(b, ["unit", "end"])._jdf.queryExecution().toString()
-    assert "posexplode" in plan and "Window" in plan and "Join" in plan
-    assert a.where(F.col("end") == 3).count() == 1
+def test_relations_of_alignment_are_planned_by_the_engine(spark, monkeypatch):
+    """Tokens, ends and cuts are exploded rows, windows and joins, and buckets save their shuffles."""
+    plans = []
+    real = align._bucketed
+
+    def seen(df, name, buckets):
+        plans.append(df._jdf.queryExecution().toString())
+        return real(df, name, buckets)
+
+    monkeypatch.setattr(align, "_bucketed", seen)
+    got = align.align(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), A, B)
+    assert got.documents.first()["groups"]
+    assert "posexplode" in plans[1] and "Window" in plans[1] and "Join" in plans[1] and "Exchange hashpartitioning" not in plans[1]

@@ -5,17 +5,18 @@ only in front, sentence-piece BPE because no piece of the vocabulary holds a spa
 checked). So tokens, ends, cuts, groups and links of a stretch between two such cuts are the same wherever it stands, and each
 distinct stretch is aligned once:
 
-1. Tasks split documents into stretches and give each document as numbers of stretches in a dictionary of its block. A block is a
-   run of one task's documents of about OCCURRENCES stretches, so its dictionary is bounded.
-2. Distinct stretches, with their counts, are encoded by both tokenizers. posexplode gives a row a token, a window sums its
-   bytes to its end, and an equi-join on stretch and end gives the cuts, which are the links. The running count of cuts before a
-   token numbers its group.
-3. Links times the count of their stretch sum to the count of each pair of ids, and the highest of each B id is marked. Links
-   meet their pair again and are summed by stretch.
-4. Results go back to the blocks' dictionaries by a join on the stretch, and each block puts its documents together from them.
-
-Stretches and pairs that hold a large share of all rows are broadcast (shared.spread_join), and a stretch is counted once a block before
-it is shuffled, so no word is a hot task. A text without such spaces is one stretch, and all of its tokens are rows of it.
+1. Tasks split documents into stretches and give each document as numbers of stretches in a dictionary of its block, with the ids and byte
+   lengths of each stretch's tokens. A block is a run of one task's documents of about OCCURRENCES stretches, so its dictionary is bounded. The
+   table is bucketed by block, and as a task makes whole blocks that takes no shuffle.
+2. posexplode gives a row a token, a window sums its bytes to its end, and an equi-join on stretch and end gives the cuts, which are the links;
+   their running count numbers the groups. All keys begin with the block, so buckets are read in place and nothing is shuffled.
+3. Links times the count of their stretch sum to the count of each pair of ids, and the highest of each B id is marked. Links meet their
+   pair again: up to PAIRS pairs are broadcast; more meet by a shuffle, but for pairs that hold a large share of all links
+   (shared.spread_join).
+4. A block's links meet its documents. A token's group is the first cut that is not before its end, and documents are put together from
+   the groups of their stretches.
+
+A text without such spaces is one stretch, and all of its tokens are rows of it.
 
 Defined results: a null or empty text, and one that holds U+2581, which B's pieces cannot give back, has no tokens: zeros and an
 empty text of groups, and it counts for no pair; strings of special tokens are plain text; texts are whole, of any length;
@@ -27,21 +28,28 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import held, small_batches, spread_join, written
+from tracewise.llm.shared import held, new_path, small_batches, spread_join, written
 from tracewise.llm.tokens import byte_letters, check_supported
 
 #: A block of documents ends after so many stretches, or bytes of distinct ones, and the batch that reaches it.
-OCCURRENCES, DICTIONARY_BYTES = 1_000_000, 32 << 20
+OCCURRENCES, DICTIONARY_BYTES = 4_000_000, 32 << 20
+#: Pairs of ids that are broadcast, at most: about 100 MB.
+PAIRS = 2_000_000
+#: Buckets of the tables of blocks, at most: the engine's own bound.
+MOST_BUCKETS = 100_000
 SPACE = "▁"
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -83,18 +91,43 @@ class _Tokenizers:
         piece = self.b.id_to_piece
         self.bytes_b = {i: bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace(SPACE, " ").encode() for i in range(self.b.vocab_size())}
 
-    def encoded(self, parts: list[str]) -> list[tuple[list[int], list[int], list[int], list[int]]]:
+        self.lengths_a = _lengths(self.bytes_a)
+        self.lengths_b = _lengths(self.bytes_b)
+
+    def encoded(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of both tokenizers: the ids of all parts in order, and the part that each is of. Parts are encoded together, and cut where they end."""
+        texts: list[str] = []  # runs of parts as one text; a part that ends in white space ends its run, as only the end of a document is one
+        run: list[str] = []
+        for part in parts:
+            run.append(part)
+            if part[-1].isspace():
+                texts.append(" ".join(run))
+                run = []
+        if run:
+            texts.append(" ".join(run))
+        ids_a = [i for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False) for i in e.ids]
+        ids_b = [i for e in self.b.encode(texts, num_threads=1) for i in e]
+        whole = f" {' '.join(texts)}".encode()
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
         out = []
-        all_b = self.b.encode(parts, num_threads=1)
-        for part, a, b in zip(parts, self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False), all_b, strict=True):
-            tokens_a, tokens_b = [self.bytes_a[i] for i in a.ids], [self.bytes_b[i] for i in b]
-            whole = b" " + part.encode()
-            if b"".join(tokens_a) != whole or b"".join(tokens_b) != whole:
-                raise ValueError(f"the tokenizers do not give back {part[:40]!r}")
-            out.append((a.ids, [len(t) for t in tokens_a], b, [len(t) for t in tokens_b]))
+        for ids, of, lengths in ((ids_a, self.bytes_a, self.lengths_a), (ids_b, self.bytes_b, self.lengths_b)):
+            if b"".join(map(of.__getitem__, ids)) != whole:
+                raise ValueError(f"the tokenizers do not give back {whole[:40]!r}")
+            flat = np.array(ids, np.int32)
+            token_ends = np.cumsum(lengths[flat])
+            last = np.searchsorted(token_ends, ends)
+            if not np.array_equal(token_ends[last], ends):
+                raise ValueError("a token goes on beyond a cut")
+            out.append((flat, np.repeat(np.arange(len(parts)), np.diff(last, prepend=-1))))
         return out
 
 
+def _lengths(of: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros(max(of) + 1, np.int64)
+    out[list(of)] = [len(t) for t in of.values()]
+    return out
+
+
 def check_pieces(path: str) -> None:
     """Raises ValueError unless a sentence-piece file is BPE with byte fallback that adds a space in front, changes no text, and has no piece with a space behind another character."""
     from sentencepiece import sentencepiece_model_pb2 as form
@@ -114,6 +147,9 @@ def check_pieces(path: str) -> None:
         raise ValueError(f"alignment does not support {', '.join(wrong)}")
 
 
+#: The setting by which a join takes partitions by some of its keys.
+_CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
 _loaded: dict[tuple[str, str], _Tokenizers] = {}
 
 
@@ -131,51 +167,57 @@ class _Block:
         self.counts = np.zeros(0, np.int64)
         self.total = self.bytes = 0
 
-    def add(self, texts: list[str | None]) -> list[list[int]]:
-        numbers, get, before = self.numbers, self.numbers.get, len(self.numbers)
-        rows = []
-        for text in texts:
-            parts = stretches(text) if text and SPACE not in text else []
-            row = list(map(get, parts))
-            if None in row:
-                row = [numbers.setdefault(p, len(numbers)) for p in parts]
-            rows.append(row)
-        self.bytes += sum(len(p) for p in list(numbers)[before:])
-        flat = np.fromiter((x for row in rows for x in row), np.int64)
+    def add(self, texts: list[str | None]) -> pa.ListArray:
+        """The numbers of each text's stretches."""
+        numbers, before = self.numbers, len(self.numbers)
+        each = [stretches(t) if t and SPACE not in t else [] for t in texts]
+        parts = list(chain.from_iterable(each))
+        found = list(map(numbers.get, parts))
+        if None in found:
+            found = [numbers.setdefault(p, len(numbers)) for p in parts]
+            self.bytes += sum(map(len, islice(numbers, before, None)))
+        flat = np.array(found, np.int32)
         grown = np.bincount(flat, minlength=len(numbers))
         grown[: len(self.counts)] += self.counts
         self.counts, self.total = grown, self.total + len(flat)
-        return rows
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(list(map(len, each)))]), pa.int32()), pa.array(flat))
 
     def full(self) -> bool:
         return self.total >= OCCURRENCES or self.bytes >= DICTIONARY_BYTES
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """A row a document with its numbers, and a row a stretch of each block's dictionary (number, text and count), both with their block."""
+_INTS = T.ArrayType(T.IntegerType())
+#: A document's row has its numbers, a row of the dictionary the rest: ids of tokens, their stretches, and A's byte lengths and counts, B's byte lengths.
+_BLOCK = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_numbers", _INTS), T.StructField("_first", T.IntegerType()), *[T.StructField(c, _INTS) for c in ("_a", "_a_unit", "_a_bytes")], T.StructField("_a_times", T.ArrayType(T.LongType())), *[T.StructField(c, _INTS) for c in ("_b", "_b_unit", "_b_bytes")]])
+_LIST, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
+_ARROW = [pa.int64(), _LIST, pa.int32(), _LIST, _LIST, _LIST, _LONGS, _LIST, _LIST, _LIST]
+#: Stretches in a row of the dictionary.
+ROW = 10_000
+
+
+def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """A row a document with its numbers, and rows of ROW stretches of each block's dictionary with their tokens, both with their block."""
     small_batches(docs.sparkSession)
-    made = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_numbers", T.ArrayType(T.IntegerType())), T.StructField("_number", T.IntegerType()), T.StructField("_part", T.StringType()), T.StructField("_times", T.LongType())])
     rest = [f for f in docs.schema.fields if f.name != "_text"]
-    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in rest], *made.fields])
+    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in rest], *_BLOCK.fields])  # null in a dictionary
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block = TaskContext.get().partitionId() << 32, _Block()
+        number, block, own = TaskContext.get().partitionId() << 32, _Block(), _of(path_a, path_b)
         kept: list[pa.DataType] = []
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             parts = list(block.numbers)
-            for k in range(0, len(parts), 10_000):
-                some = parts[k : k + 10_000]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.nulls(n, t) for t in kept], pa.array([number] * n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(range(k, k + n), pa.int32()), pa.array(some, pa.string()), pa.array(block.counts[k : k + n], pa.int64())], names=out.names
-                )
+            for k in range(0, len(parts), ROW):
+                (a, unit_a), (b, unit_b) = own.encoded(parts[k : k + ROW])
+                made = [a, unit_a + k, own.lengths_a[a], block.counts[unit_a + k], b, unit_b + k, own.lengths_b[b]]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t.value_type, safe=False)) for x, t in zip(made, _ARROW[3:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kept], pa.array([number], _ARROW[0]), pa.nulls(1, _LIST), pa.array([k], _ARROW[2]), *lists], names=out.names)
 
         for batch in batches:
             n, columns = batch.num_rows, batch.columns[1:]
             kept = [c.type for c in columns]
             rows = block.add(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([number] * n, pa.int64()), pa.array(rows, pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=out.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([number] * n, _ARROW[0]), rows, *[pa.nulls(n, t) for t in _ARROW[2:]]], names=out.names)
             if block.full():
                 yield from dictionary()
                 number, block = number + 1, _Block()
@@ -184,81 +226,102 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(deal, out)
 
 
-def _encoded(parts: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """parts (part, times, blocks) with both tokenizers' ids and byte lengths."""
-    ints = T.ArrayType(T.IntegerType())
-    out = T.StructType([*parts.schema.fields, *[T.StructField(c, ints) for c in ("a", "a_bytes", "b", "b_bytes")]])
+def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """df written into the shared folder in buckets by block, and read back."""
+    spark, table = df.sparkSession, f"tracewise_{name}_{uuid.uuid4().hex[:12]}"
+    df.write.format("parquet").option("path", new_path(spark, name)).bucketBy(buckets, "_block").saveAsTable(table)
+    return spark.table(table)
+
+
+_UNIT = ["_block", "unit"]
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _of(path_a, path_b)
-        for batch in batches:
-            found = own.encoded(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in range(4)]], names=out.names)
 
-    return parts.mapInArrow(encode, out)
+def _tokens(dictionary: DataFrame, side: str, *more: str) -> DataFrame:
+    """The tokens of a side: stretch, end, id and more. The end is the running sum of byte lengths."""
+    zipped = F.arrays_zip(F.col(f"_{side}").alias(side), F.col(f"_{side}_unit").alias("unit"), F.col(f"_{side}_bytes").alias("n"), *[F.col(f"_{side}_{c}").alias(c) for c in more])
+    rows = dictionary.select("_block", F.posexplode(zipped).alias("pos", "token")).select("_block", "pos", "token.*")
+    before = Window.partitionBy(*_UNIT).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select(*_UNIT, F.sum("n").over(before).alias("end"), side, *more)
 
 
-def _tokens(units: DataFrame, side: str) -> DataFrame:
-    """unit, pos, id and end of each token of a side: the end is the running sum of byte lengths."""
-    rows = units.select("unit", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_bytes").alias("n"))).alias("pos", "token"))
-    before = Window.partitionBy("unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("unit", "pos", F.col("token.id").alias("id"), F.sum("token.n").over(before).alias("end"))
+def _links(dictionary: DataFrame) -> DataFrame:
+    """The cuts of each stretch: end, the ids a and b of the tokens that end there, times (the count of the stretch), and group, the running count of cuts before it."""
+    cuts = _tokens(dictionary, "a", "times").join(_tokens(dictionary, "b"), [*_UNIT, "end"])
+    before = Window.partitionBy(*_UNIT).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    return cuts.withColumn("group", F.count("a").over(before))
 
 
-def _grouped(tokens: DataFrame, cuts: DataFrame, side: str) -> DataFrame:
-    """unit, group and the side's ids of the group in order: a token's group is the running count of cuts before it."""
-    before = Window.partitionBy("unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    marked = tokens.join(cuts.select("unit", "end", F.lit(1).alias("cut")), ["unit", "end"], "left")
-    rows = marked.withColumn("group", F.coalesce(F.sum("cut").over(before), F.lit(0)))
-    ids = F.array_sort(F.collect_list(F.struct("pos", "id")))
-    return rows.groupBy("unit", "group").agg(F.array_join(F.transform(ids, lambda x: x["id"].cast("string")), ",").alias(side))
+def _strings(ids: np.ndarray, unit: np.ndarray, lengths: np.ndarray, names: list[str], cuts: np.ndarray) -> list[str]:
+    """The ids of each group, over all stretches in order: cuts are stretch << 32 | end, and a token's group is the first cut that is not before its end."""
+    sums = np.concatenate([[0], np.cumsum(lengths[ids])])
+    ends = sums[1:] - sums[np.searchsorted(unit, unit)]
+    groups = np.searchsorted(cuts, (unit << 32) + ends)
+    tokens = list(map(names.__getitem__, ids.tolist()))
+    begins = np.searchsorted(groups, np.arange(len(cuts))).tolist()
+    return [tokens[x] if y == x + 1 else ",".join(tokens[x:y]) for x, y in zip(begins, [*begins[1:], len(tokens)], strict=True)]
 
 
-def _put_together(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """docs with the results of their stretches: sums of the counts, and the groups in order."""
-    rest = [f for f in docs.schema.fields if f.name not in ("_block", "_numbers", "_number", "_part", "_times")]
+def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, lengths_b: np.ndarray) -> DataFrame:
+    """The documents of blocks with the sums of their stretches' counts, and their groups in order."""
+    rest = [f for f in blocks.schema.fields if f.name not in _BLOCK.names]
     out = T.StructType([*rest, *[T.StructField(c, T.LongType()) for c in _COUNTS], T.StructField("groups", T.StringType())])
 
-    def join(rows: pa.Table, parts: pa.Table) -> pa.Table:
-        numbers = rows["_numbers"].combine_chunks()
-        flat, begins = numbers.values.to_numpy(), numbers.offsets.to_numpy()
-        order = np.argsort(parts["_number"].to_numpy())
+    def flat(lists: pa.ChunkedArray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *[c.flatten().to_numpy() for c in lists.chunks]]).astype(np.int64)
+
+    def join(rows: pa.Table, links: pa.Table) -> pa.Table:
+        is_doc = pc.is_null(rows["_first"])
+        docs, own = rows.filter(is_doc), rows.filter(pc.invert(is_doc))
+        own = own.take(pc.sort_indices(own, [("_first", "ascending")]))
+        a, unit_a, b, unit_b = (flat(own[c]) for c in ("_a", "_a_unit", "_b", "_b_unit"))
+        n = int(unit_a[-1]) + 1 if len(unit_a) else 0
+        cuts = (links["unit"].to_numpy().astype(np.int64) << 32) + links["end"].to_numpy()
+        order = np.argsort(cuts, kind="stable")
+        cuts = cuts[order]
+        edges = np.searchsorted(cuts >> 32, np.arange(n + 1))
+        by_unit = {"n_a": np.bincount(unit_a, minlength=n), "n_b": np.bincount(unit_b, minlength=n), "n_groups": np.diff(edges), "n_links": np.diff(edges)}
+        for name, column in (("n_best", "best"), ("count_sum", "count")):
+            sums = np.concatenate([[0], np.cumsum(links[column].to_numpy()[order].astype(np.int64))])
+            by_unit[name] = sums[edges[1:]] - sums[edges[:-1]]
+        names = list(map(str, range(max(len(lengths_a), len(lengths_b)))))
+        groups = list(map("|".join, zip(_strings(a, unit_a, lengths_a, names, cuts), _strings(b, unit_b, lengths_b, names, cuts), strict=True)))
+        edges = edges.tolist()
+        texts = [groups[x] if y == x + 1 else ";".join(groups[x:y]) for x, y in zip(edges, edges[1:])]
+        numbers = flat(docs["_numbers"])
+        sizes = pc.list_value_length(docs["_numbers"]).to_numpy()
+        begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         made = []
         for c in _COUNTS:
-            sums = np.concatenate([[0], np.cumsum(parts[c].to_numpy()[order][flat])]) if len(flat) else np.zeros(1, np.int64)
-            made.append(pa.array(sums[begins[1:]] - sums[begins[:-1]] if len(flat) else np.zeros(len(rows), np.int64), pa.int64()))
-        groups = parts["groups"].take(pa.array(order)).to_pylist()
-        of = groups.__getitem__
-        each = flat.tolist()
-        texts = pa.array([";".join(map(of, each[x:y])) for x, y in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)], pa.string())
-        return pa.table([*[rows[f.name] for f in rest], *made, texts], names=out.names)
+            sums = np.concatenate([[0], np.cumsum(by_unit[c][numbers])]).astype(np.int64)
+            made.append(pa.array(sums[begins[1:]] - sums[begins[:-1]], pa.int64()))
+        put = texts.__getitem__
+        whole = pa.array([";".join(map(put, numbers[x:y].tolist())) for x, y in zip(begins[:-1].tolist(), begins[1:].tolist())], pa.string())
+        return pa.table([*[docs[f.name] for f in rest], *made, whole], names=out.names)
 
-    docs = docs.select("_block", "_numbers", *[f.name for f in rest])
-    return docs.groupBy("_block").cogroup(dictionary.groupBy("_of")).applyInArrow(join, out)
+    blocks = blocks.select("_block", "_first", "_numbers", "_a", "_a_unit", "_b", "_b_unit", *[f.name for f in rest])
+    links = links.select(F.col("_block").alias("_of"), "unit", "end", "count", "best")
+    return blocks.groupBy("_block").cogroup(links.groupBy("_of")).applyInArrow(join, out)
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Alignment:
     """path_a: a byte-level BPE file of the tokenizers library, that encodes a space and the text; path_b: a sentence-piece BPE model, that adds the space. Both at the same place on the driver and every executor."""
+    spark = docs.sparkSession
     check_pieces(path_b)
-    _of(path_a, path_b)
+    own = _of(path_a, path_b)
     rows, back = held(docs, {"_text": text}, _MADE)
     names = [c for c in docs.columns if c.lower() not in _MADE]
     back = [b for b, c in zip(back, names, strict=True) if c.lower() != text.lower()]
-    blocks = written(_blocks(rows), "align-blocks")
-    parts = blocks.where("_number IS NOT NULL")
-    units = parts.groupBy("_part").agg(F.sum("_times").alias("_times"), F.count(F.lit(1)).alias("blocks"))
-    units = written(_encoded(units, path_a, path_b).withColumn("unit", F.monotonically_increasing_id()), "align-units")
-    a, b = _tokens(units, "a"), _tokens(units, "b")
-    cuts = written(a.select("unit", "end", F.col("id").alias("a_id")).join(b.select("unit", "end", F.col("id").alias("b_id")), ["unit", "end"]), "align-cuts")
-    pairs = cuts.join(units.select("unit", "_times"), "unit").groupBy("a_id", "b_id").agg(F.sum("_times").alias("count"), F.count(F.lit(1)).alias("rows"))
-    best = F.col("count") == F.max("count").over(Window.partitionBy("b_id"))  # at most one row for each A id
-    pairs = written(pairs.withColumn("best", best), "align-pairs")
-    links = spread_join(cuts, pairs, ["a_id", "b_id"], "rows")
-    links = links.groupBy("unit").agg(F.count(F.lit(1)).alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    groups = _grouped(a, cuts, "a").join(_grouped(b, cuts, "b"), ["unit", "group"])
-    each = F.array_sort(F.collect_list(F.struct("group", F.concat_ws("|", "a", "b").alias("ids"))))
-    groups = groups.groupBy("unit").agg(F.count(F.lit(1)).alias("n_groups"), F.array_join(F.transform(each, lambda g: g["ids"]), ";").alias("groups"))
-    counted = units.select("unit", "_part", "blocks", F.size("a").alias("n_a"), F.size("b").alias("n_b")).join(links, "unit").join(groups, "unit").drop("unit")
-    counted = written(counted, "align-counted")
-    dictionary = spread_join(parts.select("_block", "_number", "_part"), counted, "_part", "blocks").select(F.col("_block").alias("_of"), "_number", *_COUNTS, "groups")
-    return Alignment(_put_together(blocks.where("_number IS NULL"), dictionary).select(*back, *_MADE), pairs.select("a_id", "b_id", "count", "best"))
+    buckets = min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, 2 * rows.rdd.getNumPartitions()))
+    blocks = _bucketed(_blocks(rows, path_a, path_b), "blocks", buckets)
+    asked = spark.conf.get(_CO_PARTITION)
+    spark.conf.set(_CO_PARTITION, "false")  # buckets by block are enough for joins on block, number and end
+    try:
+        links = _bucketed(_links(blocks.where("_first IS NOT NULL")), "links", buckets)
+        pairs = links.groupBy("a", "b").agg(F.sum("times").alias("count"), F.count(F.lit(1)).alias("rows"))
+        best = F.col("count") == F.max("count").over(Window.partitionBy("b"))  # at most one row for each A id
+        pairs = written(pairs.withColumn("best", best), "align-pairs")
+    finally:
+        spark.conf.set(_CO_PARTITION, asked)
+    met = links.join(F.broadcast(pairs), ["a", "b"]) if pairs.count() <= PAIRS else spread_join(links, pairs, ["a", "b"], "rows")
+    documents = _put_together(blocks, met, own.lengths_a, own.lengths_b).select(*back, *_MADE)
+    return Alignment(documents, pairs.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), "count", "best"))

@@ -406,3 +406,13 @@ SELECT o_orderkey, m AS max_output_tokens, CASE WHEN a > 224 THEN 'DebertaAnchor
     "capped_cases": f"""WITH {_S}, i AS (SELECT dataset, case_id, row_number() OVER (PARTITION BY dataset ORDER BY {_hash("dataset", "case_id")}, case_id) AS n FROM (SELECT DISTINCT dataset, case_id FROM s))
 SELECT dataset, count(DISTINCT case_id)::BIGINT AS n_cases, count(*)::BIGINT AS n_rows, sum(case_id)::BIGINT AS sum_cases FROM s JOIN i USING (dataset, case_id) WHERE n <= 100 GROUP BY dataset""",
 }
+
+_ARCHIVED = """t AS (SELECT conv_id, string_split(string_agg(text, chr(10) ORDER BY turn), chr(10)) AS ls FROM conversations GROUP BY conv_id),
+a AS (SELECT printf('part-%02d', conv_id % 8) AS archive, printf('conv/%012d.jsonl', conv_id) AS member, unnest(ls) AS value, generate_subscripts(ls, 1)::BIGINT AS line FROM t),
+b AS (SELECT archive, member, line, row_number() OVER (ORDER BY archive, member, line) - 1 AS row_index, sha256(CASE WHEN value LIKE '%' || chr(13) THEN value[:-2] ELSE value END) AS digest FROM a WHERE trim(value, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '')"""
+
+SQL |= {
+    "archive_lines": f"WITH {_ARCHIVED} SELECT * FROM b",
+    "archive_rows": f"WITH {_ARCHIVED} SELECT p_partkey AS position, row_index, member, line, digest FROM b JOIN part ON row_index = p_partkey * 7 % 5000",
+    "archive_members": """SELECT page_id, printf('pages-%02d', page_id % 16) AS archive, CASE WHEN page_id % 3 = 0 THEN 'stored' ELSE 'deflated' END AS method, octet_length(encode(COALESCE(html, '')))::BIGINT AS size, true AS same_crc, sha256(COALESCE(html, '')) AS digest FROM pages""",
+}

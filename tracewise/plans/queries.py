@@ -36,6 +36,8 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    from tracewise.plans import stored  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 

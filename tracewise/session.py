@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -26,3 +27,14 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(str(folder / "tracewise"), "zip", folder / "src"))
     shutil.rmtree(folder / "src")
     spark.conf.set("tracewise.shipped", "true")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder that driver and executors share, spark.checkpoint.dir. Unset, a local session gets a temp folder; on a cluster that is an error."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tracewise.scratch.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tracewise-scratch-')}"
+        spark.conf.set("tracewise.scratch.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

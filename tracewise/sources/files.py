@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import json
 import os
-import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewise.functions import text as X
+from tracewise.sources import archives
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -88,40 +87,15 @@ def read_pool(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.when(bad, F.raise_error(F.lit("a pool example lacks a text"))).otherwise(F.lit(True)))
 
 
-_MEMBER = "archive string, member string, line long, value string"
-
-
-def _zip_lines(suffix: str):
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(n for n in z.namelist() if n.endswith(suffix)):
-                        with z.open(name) as f:
-                            lines = [(path, name, i, raw.decode().rstrip("\r\n")) for i, raw in enumerate(f, 1) if raw.strip()]
-                        if lines:
-                            yield pd.DataFrame(lines, columns=["archive", "member", "line", "value"])
-
-    return read
-
-
 def read_zip_lines(spark: SparkSession, path: str, suffix: str = ".jsonl") -> DataFrame:
-    """(archive, member, line, value) of the text members of ZIP files; an archive is one task's row."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_zip_lines(suffix), _MEMBER)
+    """(archive, member, line, value) of the text members of ZIP files; a bad archive or member raises."""
+    return indexed_zip_lines(spark, path, suffix).drop("row_index")
 
 
 def indexed_zip_lines(spark: SparkSession, path: str, suffix: str = ".jsonl", limit: int | None = None) -> DataFrame:
-    """read_zip_lines with row_index: the row's place by archive, member and line, from 0; limit keeps the first rows. Members are counted first, so no task numbers all rows."""
-    from pyspark.sql import Window
-
-    rows = read_zip_lines(spark, path, suffix)
-    sizes = rows.groupBy("archive", "member").agg(F.count("*").alias("_c"))  # a row per member
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("archive", "member").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("archive", "member").orderBy("line"))
-    out = rows.join(sizes.select("archive", "member", before.alias("_before")), ["archive", "member"]).withColumn("row_index", F.col("_before") + place - 1).drop("_before")
-    return out if limit is None else out.where(F.col("row_index") < limit)
+    """read_zip_lines with row_index: the row's place by archive, member and line, from 0; limit keeps the first rows."""
+    members = archives.directory(spark, path).where(F.col("member").endswith(suffix) | F.col("error").isNotNull())
+    return archives.lines(archives.strict(archives.line_index(members)), limit)
 
 
 def count_zip_rows(rows: DataFrame) -> DataFrame:
@@ -134,20 +108,9 @@ def zip_references(members: DataFrame) -> DataFrame:
     return members.withColumn("uri", F.concat(F.lit("zip://"), "archive", F.lit("::"), "member"))
 
 
-def _zip_members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import io
-
-    for frame in frames:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                rows = [(path, i.filename, i.file_size, z.read(i)) for i in z.infolist() if not i.is_dir()]
-            if rows:
-                yield pd.DataFrame(rows, columns=["archive", "member", "size", "content"])
-
-
 def read_zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, size, content) of the files in ZIP archives."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_zip_members, "archive string, member string, size long, content binary")
+    """(archive, member, size, content) of the files in ZIP archives; a bad archive or member raises."""
+    return archives.strict(archives.contents(archives.directory(spark, path))).drop("error")
 
 
 def rows_by_index(rows: DataFrame, wanted: DataFrame, index: str = "row_index", position: str = "position") -> DataFrame:

@@ -29,9 +29,10 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -163,24 +164,22 @@ class _Block:
     """Numbers of the stretches of a block's documents."""
 
     def __init__(self):
-        self.numbers: dict[str, int] = {}
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
         self.counts = np.zeros(0, np.int64)
         self.total = self.bytes = 0
 
-    def add(self, texts: list[str | None]) -> pa.ListArray:
-        """The numbers of each text's stretches."""
-        numbers, before = self.numbers, len(self.numbers)
+    def add(self, texts: list[str | None]) -> pa.Array:
+        """The numbers of each text's stretches, as bytes of 32-bit integers."""
+        before = len(self.numbers)
         each = [stretches(t) if t and SPACE not in t else [] for t in texts]
-        parts = list(chain.from_iterable(each))
-        found = list(map(numbers.get, parts))
-        if None in found:
-            found = [numbers.setdefault(p, len(numbers)) for p in parts]
-            self.bytes += sum(map(len, islice(numbers, before, None)))
-        flat = np.array(found, np.int32)
-        grown = np.bincount(flat, minlength=len(numbers))
+        flat = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(each)), np.int32)  # a new one gets the next number
+        self.bytes += sum(map(len, islice(self.numbers, before, None)))
+        grown = np.bincount(flat, minlength=len(self.numbers))
         grown[: len(self.counts)] += self.counts
         self.counts, self.total = grown, self.total + len(flat)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(list(map(len, each)))]), pa.int32()), pa.array(flat))
+        ends = np.cumsum([0, *map(len, each)]) * 4
+        offsets = pa.py_buffer(ends.astype(np.int32))
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(flat)])
 
     def full(self) -> bool:
         return self.total >= OCCURRENCES or self.bytes >= DICTIONARY_BYTES
@@ -188,9 +187,9 @@ class _Block:
 
 _INTS = T.ArrayType(T.IntegerType())
 #: A document's row has its numbers, a row of the dictionary the rest: ids of tokens, their stretches, and A's byte lengths and counts, B's byte lengths.
-_BLOCK = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_numbers", _INTS), T.StructField("_first", T.IntegerType()), *[T.StructField(c, _INTS) for c in ("_a", "_a_unit", "_a_bytes")], T.StructField("_a_times", T.ArrayType(T.LongType())), *[T.StructField(c, _INTS) for c in ("_b", "_b_unit", "_b_bytes")]])
+_BLOCK = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_numbers", T.BinaryType()), T.StructField("_first", T.IntegerType()), *[T.StructField(c, _INTS) for c in ("_a", "_a_unit", "_a_bytes")], T.StructField("_a_times", T.ArrayType(T.LongType())), *[T.StructField(c, _INTS) for c in ("_b", "_b_unit", "_b_bytes")]])
 _LIST, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
-_ARROW = [pa.int64(), _LIST, pa.int32(), _LIST, _LIST, _LIST, _LONGS, _LIST, _LIST, _LIST]
+_ARROW = [pa.int64(), pa.binary(), pa.int32(), _LIST, _LIST, _LIST, _LONGS, _LIST, _LIST, _LIST]
 #: Stretches in a row of the dictionary.
 ROW = 10_000
 
@@ -211,7 +210,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 (a, unit_a), (b, unit_b) = own.encoded(parts[k : k + ROW])
                 made = [a, unit_a + k, own.lengths_a[a], block.counts[unit_a + k], b, unit_b + k, own.lengths_b[b]]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t.value_type, safe=False)) for x, t in zip(made, _ARROW[3:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kept], pa.array([number], _ARROW[0]), pa.nulls(1, _LIST), pa.array([k], _ARROW[2]), *lists], names=out.names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kept], pa.array([number], _ARROW[0]), pa.nulls(1, _ARROW[1]), pa.array([k], _ARROW[2]), *lists], names=out.names)
 
         for batch in batches:
             n, columns = batch.num_rows, batch.columns[1:]
@@ -238,8 +237,9 @@ _UNIT = ["_block", "unit"]
 
 def _tokens(dictionary: DataFrame, side: str, *more: str) -> DataFrame:
     """The tokens of a side: stretch, end, id and more. The end is the running sum of byte lengths."""
-    zipped = F.arrays_zip(F.col(f"_{side}").alias(side), F.col(f"_{side}_unit").alias("unit"), F.col(f"_{side}_bytes").alias("n"), *[F.col(f"_{side}_{c}").alias(c) for c in more])
-    rows = dictionary.select("_block", F.posexplode(zipped).alias("pos", "token")).select("_block", "pos", "token.*")
+    at = lambda c: F.get(F.col(f"_{side}_{c}"), F.col("pos"))  # noqa: E731  arrays of one length, read in place
+    rows = dictionary.select("_block", f"_{side}_unit", f"_{side}_bytes", *[f"_{side}_{c}" for c in more], F.posexplode(f"_{side}").alias("pos", side))
+    rows = rows.select("_block", "pos", side, at("unit").alias("unit"), at("bytes").alias("n"), *[at(c).alias(c) for c in more])
     before = Window.partitionBy(*_UNIT).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.select(*_UNIT, F.sum("n").over(before).alias("end"), side, *more)
 
@@ -252,7 +252,7 @@ def _links(dictionary: DataFrame) -> DataFrame:
 
 
 def _strings(ids: np.ndarray, unit: np.ndarray, lengths: np.ndarray, names: list[str], cuts: np.ndarray) -> list[str]:
-    """The ids of each group, over all stretches in order: cuts are stretch << 32 | end, and a token's group is the first cut that is not before its end."""
+    """The ids of each group, over some stretches in order: cuts are stretch << 32 | end, and a token's group is the first cut that is not before its end."""
     sums = np.concatenate([[0], np.cumsum(lengths[ids])])
     ends = sums[1:] - sums[np.searchsorted(unit, unit)]
     groups = np.searchsorted(cuts, (unit << 32) + ends)
@@ -267,7 +267,7 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
     out = T.StructType([*rest, *[T.StructField(c, T.LongType()) for c in _COUNTS], T.StructField("groups", T.StringType())])
 
     def flat(lists: pa.ChunkedArray) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int64), *[c.flatten().to_numpy() for c in lists.chunks]]).astype(np.int64)
+        return np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in lists.chunks]]).astype(np.int64)
 
     def join(rows: pa.Table, links: pa.Table) -> pa.Table:
         is_doc = pc.is_null(rows["_first"])
@@ -284,18 +284,23 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
             sums = np.concatenate([[0], np.cumsum(links[column].to_numpy()[order].astype(np.int64))])
             by_unit[name] = sums[edges[1:]] - sums[edges[:-1]]
         names = list(map(str, range(max(len(lengths_a), len(lengths_b)))))
-        groups = list(map("|".join, zip(_strings(a, unit_a, lengths_a, names, cuts), _strings(b, unit_b, lengths_b, names, cuts), strict=True)))
-        edges = edges.tolist()
-        texts = [groups[x] if y == x + 1 else ";".join(groups[x:y]) for x, y in zip(edges, edges[1:])]
-        numbers = flat(docs["_numbers"])
-        sizes = pc.list_value_length(docs["_numbers"]).to_numpy()
-        begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        texts: list[str] = []
+        for k in range(0, n, ROW):  # some stretches at a time, so that their groups take little memory
+            end = min(n, k + ROW)
+            some = cuts[edges[k] : edges[end]]
+            sides = [_strings(ids[x:y], unit[x:y], lengths, names, some) for ids, unit, lengths in ((a, unit_a, lengths_a), (b, unit_b, lengths_b)) for x, y in [np.searchsorted(unit, (k, end))]]
+            groups = list(map("|".join, zip(*sides, strict=True)))
+            each = (edges[k : end + 1] - edges[k]).tolist()
+            texts += [groups[x] if y == x + 1 else ";".join(groups[x:y]) for x, y in zip(each, each[1:])]
+        lists = [np.frombuffer(x, np.int32) for x in docs["_numbers"].to_pylist()]
+        begins = np.cumsum([0, *map(len, lists)])
+        numbers = np.concatenate([np.zeros(0, np.int32), *lists])
         made = []
         for c in _COUNTS:
             sums = np.concatenate([[0], np.cumsum(by_unit[c][numbers])]).astype(np.int64)
             made.append(pa.array(sums[begins[1:]] - sums[begins[:-1]], pa.int64()))
         put = texts.__getitem__
-        whole = pa.array([";".join(map(put, numbers[x:y].tolist())) for x, y in zip(begins[:-1].tolist(), begins[1:].tolist())], pa.string())
+        whole = pa.array([";".join(map(put, x.tolist())) for x in lists], pa.string())
         return pa.table([*[docs[f.name] for f in rest], *made, whole], names=out.names)
 
     blocks = blocks.select("_block", "_first", "_numbers", "_a", "_a_unit", "_b", "_b_unit", *[f.name for f in rest])

@@ -46,7 +46,7 @@ from tracewise.llm.shared import held, new_path, small_batches, spread_join, wri
 from tracewise.llm.tokens import byte_letters, check_supported
 
 #: A block of documents ends after so many stretches, or bytes of distinct ones, and the batch that reaches it.
-OCCURRENCES, DICTIONARY_BYTES = 4_000_000, 32 << 20
+OCCURRENCES, DICTIONARY_BYTES = 1_600_000, 32 << 20
 #: Pairs of ids that are broadcast, at most: about 100 MB.
 PAIRS = 2_000_000
 #: Buckets of the tables of blocks, at most: the engine's own bound.
@@ -196,7 +196,7 @@ ROW = 10_000
 
 def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """A row a document with its numbers, and rows of ROW stretches of each block's dictionary with their tokens, both with their block."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, "2m")
     rest = [f for f in docs.schema.fields if f.name != "_text"]
     out = T.StructType([*[T.StructField(f.name, f.dataType) for f in rest], *_BLOCK.fields])  # null in a dictionary
 
@@ -255,7 +255,7 @@ def _strings(ids: np.ndarray, unit: np.ndarray, lengths: np.ndarray, names: list
     """The ids of each group, over some stretches in order: cuts are stretch << 32 | end, and a token's group is the first cut that is not before its end."""
     sums = np.concatenate([[0], np.cumsum(lengths[ids])])
     ends = sums[1:] - sums[np.searchsorted(unit, unit)]
-    groups = np.searchsorted(cuts, (unit << 32) + ends)
+    groups = np.searchsorted(cuts, (unit.astype(np.int64) << 32) + ends)
     tokens = list(map(names.__getitem__, ids.tolist()))
     begins = np.searchsorted(groups, np.arange(len(cuts))).tolist()
     return [tokens[x] if y == x + 1 else ",".join(tokens[x:y]) for x, y in zip(begins, [*begins[1:], len(tokens)], strict=True)]
@@ -267,7 +267,7 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
     out = T.StructType([*rest, *[T.StructField(c, T.LongType()) for c in _COUNTS], T.StructField("groups", T.StringType())])
 
     def flat(lists: pa.ChunkedArray) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in lists.chunks]]).astype(np.int64)
+        return np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in lists.chunks]])
 
     def join(rows: pa.Table, links: pa.Table) -> pa.Table:
         is_doc = pc.is_null(rows["_first"])
@@ -275,13 +275,14 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
         own = own.take(pc.sort_indices(own, [("_first", "ascending")]))
         a, unit_a, b, unit_b = (flat(own[c]) for c in ("_a", "_a_unit", "_b", "_b_unit"))
         n = int(unit_a[-1]) + 1 if len(unit_a) else 0
-        cuts = (links["unit"].to_numpy().astype(np.int64) << 32) + links["end"].to_numpy()
-        order = np.argsort(cuts, kind="stable")
-        cuts = cuts[order]
-        edges = np.searchsorted(cuts >> 32, np.arange(n + 1))
+        cuts, counts = links["cut"].to_numpy(), links["counts"].to_numpy()
+        if np.any(cuts[1:] < cuts[:-1]):
+            order = np.argsort(cuts, kind="stable")
+            cuts, counts = cuts[order], counts[order]
+        edges = np.searchsorted(cuts, np.arange(n + 1) << 32)
         by_unit = {"n_a": np.bincount(unit_a, minlength=n), "n_b": np.bincount(unit_b, minlength=n), "n_groups": np.diff(edges), "n_links": np.diff(edges)}
-        for name, column in (("n_best", "best"), ("count_sum", "count")):
-            sums = np.concatenate([[0], np.cumsum(links[column].to_numpy()[order].astype(np.int64))])
+        for name, values in (("n_best", counts & 1), ("count_sum", counts >> 1)):
+            sums = np.concatenate([[0], np.cumsum(values)])
             by_unit[name] = sums[edges[1:]] - sums[edges[:-1]]
         names = list(map(str, range(max(len(lengths_a), len(lengths_b)))))
         texts: list[str] = []
@@ -300,11 +301,12 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
             sums = np.concatenate([[0], np.cumsum(by_unit[c][numbers])]).astype(np.int64)
             made.append(pa.array(sums[begins[1:]] - sums[begins[:-1]], pa.int64()))
         put = texts.__getitem__
-        whole = pa.array([";".join(map(put, x.tolist())) for x in lists], pa.string())
+        whole = pa.chunked_array([pa.array([";".join(map(put, x.tolist())) for x in lists[k : k + 500]], pa.string()) for k in range(0, len(lists), 500)], pa.string())
         return pa.table([*[docs[f.name] for f in rest], *made, whole], names=out.names)
 
     blocks = blocks.select("_block", "_first", "_numbers", "_a", "_a_unit", "_b", "_b_unit", *[f.name for f in rest])
-    links = links.select(F.col("_block").alias("_of"), "unit", "end", "count", "best")
+    cut = F.shiftleft(F.col("unit").cast("long"), 32).bitwiseOR(F.col("end"))
+    links = links.select(F.col("_block").alias("_of"), cut.alias("cut"), (F.col("count") * 2 + F.col("best").cast("int")).alias("counts"))
     return blocks.groupBy("_block").cogroup(links.groupBy("_of")).applyInArrow(join, out)
 
 

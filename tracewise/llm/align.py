@@ -46,7 +46,7 @@ from tracewise.llm.shared import held, new_path, small_batches, spread_join, wri
 from tracewise.llm.tokens import byte_letters, check_supported
 
 #: A block of documents ends after so many stretches, or bytes of distinct ones, and the batch that reaches it.
-OCCURRENCES, DICTIONARY_BYTES = 800_000, 32 << 20
+OCCURRENCES, DICTIONARY_BYTES = 1_600_000, 32 << 20
 #: Pairs of ids that are broadcast, at most: about 100 MB.
 PAIRS = 2_000_000
 #: Buckets of the tables of blocks, at most: the engine's own bound.
@@ -96,7 +96,7 @@ class _Tokenizers:
         self.lengths_b = _lengths(self.bytes_b)
 
     def encoded(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of both tokenizers: the ids of all parts in order, and the part that each is of. Parts are encoded together, and cut where they end."""
+        """Of both tokenizers: the ids of all parts in order, and where each part's end. Parts are encoded together, and cut where they end."""
         texts: list[str] = []  # runs of parts as one text; a part that ends in white space ends its run, as only the end of a document is one
         run: list[str] = []
         for part in parts:
@@ -119,7 +119,7 @@ class _Tokenizers:
             last = np.searchsorted(token_ends, ends)
             if not np.array_equal(token_ends[last], ends):
                 raise ValueError("a token goes on beyond a cut")
-            out.append((flat, np.repeat(np.arange(len(parts)), np.diff(last, prepend=-1))))
+            out.append((flat, np.concatenate([[0], last + 1])))
         return out
 
 
@@ -185,11 +185,10 @@ class _Block:
         return self.total >= OCCURRENCES or self.bytes >= DICTIONARY_BYTES
 
 
-_INTS = T.ArrayType(T.IntegerType())
-#: A document's row has its numbers, a row of the dictionary the rest: ids of tokens, their stretches, and A's byte lengths and counts, B's byte lengths.
-_BLOCK = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_numbers", T.BinaryType()), T.StructField("_first", T.IntegerType()), *[T.StructField(c, _INTS) for c in ("_a", "_a_unit", "_a_bytes")], T.StructField("_a_times", T.ArrayType(T.LongType())), *[T.StructField(c, _INTS) for c in ("_b", "_b_unit", "_b_bytes")]])
-_LIST, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
-_ARROW = [pa.int64(), pa.binary(), pa.int32(), _LIST, _LIST, _LIST, _LONGS, _LIST, _LIST, _LIST]
+_IDS = T.ArrayType(T.ArrayType(T.IntegerType()))
+#: A document's row has its numbers; a row of the dictionary has the number of its first stretch, and of each stretch the count and both sides' ids.
+_BLOCK = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_numbers", T.BinaryType()), T.StructField("_first", T.IntegerType()), T.StructField("_times", T.ArrayType(T.LongType())), T.StructField("_a", _IDS), T.StructField("_b", _IDS)])
+_ARROW = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32()))]
 #: Stretches in a row of the dictionary.
 ROW = 10_000
 
@@ -207,10 +206,11 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         def dictionary() -> Iterator[pa.RecordBatch]:
             parts = list(block.numbers)
             for k in range(0, len(parts), ROW):
-                (a, unit_a), (b, unit_b) = own.encoded(parts[k : k + ROW])
-                made = [a, unit_a + k, own.lengths_a[a], block.counts[unit_a + k], b, unit_b + k, own.lengths_b[b]]
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t.value_type, safe=False)) for x, t in zip(made, _ARROW[3:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kept], pa.array([number], _ARROW[0]), pa.nulls(1, _ARROW[1]), pa.array([k], _ARROW[2]), *lists], names=out.names)
+                some = parts[k : k + ROW]
+                one = pa.array([0, len(some)], pa.int32())
+                lists = [pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))) for ids, ends in own.encoded(some)]
+                times = pa.ListArray.from_arrays(one, pa.array(block.counts[k : k + ROW], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kept], pa.array([number], _ARROW[0]), pa.nulls(1, _ARROW[1]), pa.array([k], _ARROW[2]), times, *lists], names=out.names)
 
         for batch in batches:
             n, columns = batch.num_rows, batch.columns[1:]
@@ -235,20 +235,22 @@ def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
 _UNIT = ["_block", "unit"]
 
 
-def _tokens(dictionary: DataFrame, side: str, *more: str) -> DataFrame:
-    """The tokens of a side: stretch, end, id and more. The end is the running sum of byte lengths."""
-    at = lambda c: F.get(F.col(f"_{side}_{c}"), F.col("pos"))  # noqa: E731  arrays of one length, read in place
-    rows = dictionary.select("_block", f"_{side}_unit", f"_{side}_bytes", *[f"_{side}_{c}" for c in more], F.posexplode(f"_{side}").alias("pos", side))
-    rows = rows.select("_block", "pos", side, at("unit").alias("unit"), at("bytes").alias("n"), *[at(c).alias(c) for c in more])
+def _tokens(dictionary: DataFrame, side: str, lengths: np.ndarray, *more: str) -> DataFrame:
+    """The tokens of a side: stretch, end, id and more. The end is the running sum of byte lengths, which are joined by id from the vocabulary."""
+    spark = dictionary.sparkSession
+    vocabulary = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], f"{side} int, n int")  # bounded by the tokenizer file
+    stretches = dictionary.select("_block", "_first", "_times", F.posexplode(f"_{side}").alias("at", "ids"))
+    rows = stretches.select("_block", (F.col("_first") + F.col("at")).alias("unit"), *[F.get("_times", F.col("at")).alias(c) for c in more], F.posexplode("ids").alias("pos", side))
+    rows = rows.join(F.broadcast(vocabulary), side)
     before = Window.partitionBy(*_UNIT).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(*_UNIT, F.sum("n").over(before).alias("end"), side, *more)
+    return rows.select(*_UNIT, F.sum("n").over(before).cast("int").alias("end"), side, *more)
 
 
-def _links(dictionary: DataFrame) -> DataFrame:
-    """The cuts of each stretch: end, the ids a and b of the tokens that end there, times (the count of the stretch), and group, the running count of cuts before it."""
-    cuts = _tokens(dictionary, "a", "times").join(_tokens(dictionary, "b"), [*_UNIT, "end"])
+def _links(dictionary: DataFrame, lengths_a: np.ndarray, lengths_b: np.ndarray) -> DataFrame:
+    """The cuts of each stretch: group (the running count of cuts before it), end, the ids a and b of the tokens that end there, and times (the count of the stretch)."""
+    cuts = _tokens(dictionary, "a", lengths_a, "times").join(_tokens(dictionary, "b", lengths_b), [*_UNIT, "end"])
     before = Window.partitionBy(*_UNIT).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    return cuts.withColumn("group", F.count("a").over(before))
+    return cuts.withColumn("group", F.count("a").over(before).cast("int"))
 
 
 def _strings(ids: np.ndarray, unit: np.ndarray, lengths: np.ndarray, names: list[str], cuts: np.ndarray) -> list[str]:
@@ -266,14 +268,17 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
     rest = [f for f in blocks.schema.fields if f.name not in _BLOCK.names]
     out = T.StructType([*rest, *[T.StructField(c, T.LongType()) for c in _COUNTS], T.StructField("groups", T.StringType())])
 
-    def flat(lists: pa.ChunkedArray) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in lists.chunks]])
+    def flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in order, and the stretch that each is of."""
+        each = [c.flatten() for c in lists.chunks]
+        sizes = np.concatenate([np.zeros(0, np.int32), *[pc.list_value_length(e).to_numpy() for e in each]])
+        return np.concatenate([np.zeros(0, np.int32), *[e.flatten().to_numpy() for e in each]]), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     def join(rows: pa.Table, links: pa.Table) -> pa.Table:
         is_doc = pc.is_null(rows["_first"])
         docs, own = rows.filter(is_doc), rows.filter(pc.invert(is_doc))
         own = own.take(pc.sort_indices(own, [("_first", "ascending")]))
-        a, unit_a, b, unit_b = (flat(own[c]) for c in ("_a", "_a_unit", "_b", "_b_unit"))
+        (a, unit_a), (b, unit_b) = flat(own["_a"]), flat(own["_b"])
         n = int(unit_a[-1]) + 1 if len(unit_a) else 0
         cuts, counts = links["cut"].to_numpy(), links["counts"].to_numpy()
         if np.any(cuts[1:] < cuts[:-1]):
@@ -304,7 +309,7 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
         whole = pa.chunked_array([pa.array([";".join(map(put, x.tolist())) for x in lists[k : k + 500]], pa.string()) for k in range(0, len(lists), 500)], pa.string())
         return pa.table([*[docs[f.name] for f in rest], *made, whole], names=out.names)
 
-    blocks = blocks.select("_block", "_first", "_numbers", "_a", "_a_unit", "_b", "_b_unit", *[f.name for f in rest])
+    blocks = blocks.select("_block", "_first", "_numbers", "_a", "_b", *[f.name for f in rest])
     cut = F.shiftleft(F.col("unit").cast("long"), 32).bitwiseOR(F.col("end"))
     links = links.select(F.col("_block").alias("_of"), cut.alias("cut"), (F.col("count") * 2 + F.col("best").cast("int")).alias("counts"))
     return blocks.groupBy("_block").cogroup(links.groupBy("_of")).applyInArrow(join, out)
@@ -323,7 +328,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Alig
     asked = spark.conf.get(_CO_PARTITION)
     spark.conf.set(_CO_PARTITION, "false")  # buckets by block are enough for joins on block, number and end
     try:
-        links = _bucketed(_links(blocks.where("_first IS NOT NULL")), "links", buckets)
+        links = _bucketed(_links(blocks.where("_first IS NOT NULL"), own.lengths_a, own.lengths_b), "links", buckets)
         pairs = links.groupBy("a", "b").agg(F.sum("times").alias("count"), F.count(F.lit(1)).alias("rows"))
         best = F.col("count") == F.max("count").over(Window.partitionBy("b"))  # at most one row for each A id
         pairs = written(pairs.withColumn("best", best), "align-pairs")

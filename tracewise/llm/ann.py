@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by NN-descent, largest inner product first.
 
-Equal vectors form a class, of which the smallest id is the node and the LIMIT + 1 smallest ids
-are kept; an answer never needs more of them. The graph gives each node its DEGREE best
+Rows are numbered, so rows that share an id stay apart. Equal vectors form a class, of which the row of smallest id is the node and the LIMIT + 1
+rows of smallest id are kept; an answer never needs more of them. The graph gives each node its DEGREE best
 neighbours. It begins from random projections: nodes are range-sorted on each of TREES
 directions and compared within leaves of LEAF neighbours on the line. Rounds of NN-descent follow:
 each node, with its neighbours and up to REVERSE nodes that newly list it, is an owner whose members
@@ -19,7 +19,7 @@ as recall in the tests.
 
 Defined results: vectors that are null, empty, all zero, or hold a null or non-finite component,
 vectors of another length than most, and rows with a null id take no part, neither as query nor
-as candidate; rows with equal ids are the row with the first vector in byte order; ties go to the
+as candidate; rows with equal ids are candidates each, also of each other, and queries each, whose answers share a query_id; ties go to the
 smaller id; an empty table gives an empty result; other columns are left out.
 """
 
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.llm.shared import drop_written, small_batches, written
+from tracewise.llm.shared import HOT_SHARE, LEAST_HOT, TASK_ROWS, drop_written, small_batches, written
 
 DEGREE, REVERSE, LEAF, TREES = 56, 32, 2048, 8
 LEAST_ROUNDS, SETTLED = 2, 0.01
@@ -45,9 +45,28 @@ LIMIT = 20
 #: Candidates that an owner gives a member in a round at most.
 GIVEN = 24
 
+_IDS = "array<struct<vec_id:bigint,row:bigint>>"
 _LISTS = "node long, ids array<long>, sims array<float>, fresh array<boolean>"
 
 
+def _by_key(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df with rows of one key together and in order, in as many tasks as so many rows ask for, whatever the session's shuffle partitions are."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, rows // TASK_ROWS)
+    return df.repartition(key).coalesce(tasks).sortWithinPartitions(key)
+
+
+def _met(rows: DataFrame, key: str, table: DataFrame, n: int) -> DataFrame:
+    """n rows joined with table, which has a row for each node, on key. Long vectors are in nearly every list: nodes of more than 1 / HOT_SHARE of all rows are broadcast, HOT_SHARE of them at most, and their rows stay where they are."""
+    least = max(LEAST_HOT, n // HOT_SHARE)
+    hubs = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select(key)
+    hubs = written(hubs, "hubs", HOT_SHARE)
+    table = table.withColumnRenamed("node", key)
+    if hubs.isEmpty():
+        return rows.join(table, key)
+    near = rows.join(F.broadcast(table.join(F.broadcast(hubs), key, "left_semi")), key)
+    return near.unionByName(rows.join(F.broadcast(hubs), key, "left_anti").join(table, key))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, kind: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
 
@@ -100,7 +119,7 @@ def _parts(rows: Iterator[tuple], size: int = 4096) -> Iterator[list[tuple]]:
 
 
 def valid(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, int]:
-    """(vec_id, vec, digest) of the vectors that take part, vec their doubles as bytes; and their length."""
+    """(row, vec_id, vec, digest) of the vectors that take part, vec their doubles as bytes; and their length."""
     rows = table.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     dim = common["d"] if common else 1
@@ -114,21 +133,21 @@ def valid(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> t
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array(kept, type=pa.binary()), pa.array(map(xxhash.xxh3_128_digest, kept), type=pa.binary())], names=["vec_id", "vec", "digest"])
 
     rows = rows.where(F.size("v") == dim).mapInArrow(check, "vec_id long, vec binary, digest binary")
-    return rows.groupBy("vec_id").agg(F.min(F.struct("vec", "digest")).alias("r")).select("vec_id", "r.vec", "r.digest"), dim
+    return rows.withColumn("row", F.monotonically_increasing_id()), dim
 
 
 def _nodes(rows: DataFrame, dim: int, limit: int) -> DataFrame:
-    """(node, vec, short, ids): a row for each distinct vector."""
-    near = Window.partitionBy("digest").orderBy("vec_id")
-    ids = rows.select("digest", "vec_id").withColumn("n", F.row_number().over(near)).where(F.col("n") <= limit + 1).groupBy("digest").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    firsts = rows.join(ids.select(F.col("ids")[0].alias("vec_id"), "ids"), "vec_id")
+    """(node, vec, short, ids): a row for each distinct vector; ids are its first rows (vec_id, row)."""
+    near = Window.partitionBy("digest").orderBy("vec_id", "row")
+    ids = rows.select("digest", "vec_id", "row").withColumn("n", F.row_number().over(near)).where(F.col("n") <= limit + 1).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("vec_id", "row"))).alias("ids"))
+    firsts = rows.join(ids.select(F.col("ids")[0]["row"].alias("row"), "ids"), "row")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             short = [s.tobytes() for s in _short(_matrix(batch.column(1), "f8", dim))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(short, type=pa.binary()), batch.column(2)], names=["node", "vec", "short", "ids"])
 
-    return firsts.select("vec_id", "vec", "ids").mapInArrow(shorten, "node long, vec binary, short binary, ids array<long>")
+    return firsts.select("row", "vec", "ids").mapInArrow(shorten, f"node long, vec binary, short binary, ids {_IDS}")
 
 
 def _best(node: int, ids: np.ndarray, sims: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +207,8 @@ def _first_lists(nodes: DataFrame, dim: int) -> DataFrame:
     return lines.repartitionByRange("tree", "p").sortWithinPartitions("tree", "p").mapInArrow(leaves, "node long, ids array<long>, sims array<float>")
 
 
-def _merged(lists: DataFrame) -> DataFrame:
-    """Of rows (node, ids, sims, old), each node's best list, fresh where the old list lacks an id."""
+def _merged(lists: DataFrame, n: int) -> DataFrame:
+    """Of rows (node, ids, sims, old), some for each of n nodes, each node's best list, fresh where the old list lacks an id."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -202,20 +221,21 @@ def _merged(lists: DataFrame) -> DataFrame:
         for part in _parts(rows()):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], type=pa.int64()), _list([r[1] for r in part], pa.int64()), _list([r[2] for r in part], pa.float32()), _list([r[3] for r in part], pa.bool_())], names=["node", "ids", "sims", "fresh"])
 
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(merge, _LISTS)
+    return _by_key(lists, "node", n * TREES).mapInArrow(merge, _LISTS)
 
 
-def _offers(lists: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
+def _offers(lists: DataFrame, nodes: DataFrame, dim: int, n: int) -> DataFrame:
     """One round: (node, ids, sims) of candidates better than a node's worst neighbour."""
     worst = F.when(F.size("ids") >= DEGREE, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float")
     about = lists.join(nodes.select("node", "short"), "node").withColumn("worst", worst)
-    about = written(about, "about")
+    about = written(about, "about", n)
     fresh = F.filter(F.arrays_zip("ids", "fresh"), lambda e: e["fresh"])
     back = about.select("node", "short", "worst", F.explode(F.transform(fresh, lambda e: e["ids"])).alias("owner"))
     back = back.select("owner", "node", F.lit(True).alias("fresh"), "short", "worst")
     busy = about.where(F.exists("fresh", lambda f: f)).select("node").unionByName(back.select(F.col("owner").alias("node"))).distinct()
     edges = lists.join(busy, "node", "left_semi").select(F.col("node").alias("owner"), F.explode(F.arrays_zip("ids", "fresh")).alias("e"))
-    forward = edges.select("owner", F.col("e.ids").alias("node"), F.col("e.fresh").alias("fresh")).join(about.select("node", "short", "worst"), "node").select("owner", "node", "fresh", "short", "worst")
+    edges = edges.select("owner", F.col("e.ids").alias("node"), F.col("e.fresh").alias("fresh"))
+    forward = _met(edges, "node", about.select("node", "short", "worst"), n * DEGREE).select("owner", "node", "fresh", "short", "worst")
     order = Window.partitionBy("owner").orderBy(F.xxhash64("owner", "node"))
     back = back.withColumn("n", F.row_number().over(order)).where(F.col("n") <= REVERSE).drop("n")
 
@@ -242,16 +262,17 @@ def _offers(lists: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
         for part in _parts(rows()):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], type=pa.int64()), _list([r[1] for r in part], pa.int64()), _list([r[2] for r in part], pa.float32())], names=["node", "ids", "sims"])
 
-    met = forward.unionByName(back).repartition("owner").sortWithinPartitions("owner")
+    met = _by_key(forward.unionByName(back), "owner", n * (DEGREE + REVERSE))
     return met.mapInArrow(compare, "node long, ids array<long>, sims array<float>")
 
 
 def graph(nodes: DataFrame, dim: int) -> DataFrame:
     """(node, ids, sims, fresh): lists of all nodes that have a neighbour, best first; written."""
-    lists = written(_merged(_first_lists(nodes, dim).withColumn("old", F.lit(False))), "lists")
+    size = nodes.count()
+    lists = written(_merged(_first_lists(nodes, dim).withColumn("old", F.lit(False)), size), "lists", size)
     for n in count(1):
-        offers = _offers(lists, nodes, dim).withColumn("old", F.lit(False))
-        after = written(_merged(lists.select("node", "ids", "sims", F.lit(True).alias("old")).unionByName(offers)), "lists")
+        offers = _offers(lists, nodes, dim, size).withColumn("old", F.lit(False))
+        after = written(_merged(lists.select("node", "ids", "sims", F.lit(True).alias("old")).unionByName(offers), size), "lists", size)
         drop_written(lists)
         lists = after
         changed = lists.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("ids"))).first()
@@ -264,11 +285,13 @@ def search(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int) ->
     back = lists.select(F.col("node").alias("n"), F.explode(F.arrays_zip("ids", "sims")).alias("e")).select(F.col("e.ids").alias("node"), "n", F.col("e.sims").alias("sim"))
     back = back.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "n"))).where(F.col("k") <= REVERSE // 2)
     edges = lists.select("node", F.explode("ids").alias("next")).unionByName(back.select("node", F.col("n").alias("next")))
-    around = written(edges.join(nodes.select(F.col("node").alias("next"), "short"), "next").select("node", "next", "short"), "around")
+    n = nodes.count() * (DEGREE + REVERSE // 2)
+    around = written(_met(edges, "next", nodes.select("node", "short"), n).select("node", "next", "short"), "around", n)
+    n_pool = queries.count() * POOL
     begun = queries.select("query_id", F.col("start").alias("node"), F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("done"), F.lit(True).alias("go"))
     near = queries.select("query_id", F.col("start").alias("node")).join(lists, "node").select("query_id", F.posexplode(F.arrays_zip("ids", "sims")).alias("at", "e"))
     near = near.select("query_id", F.col("e.ids").alias("node"), F.col("e.sims").alias("sim"), F.lit(False).alias("done"), (F.col("at") < BEAM - 1).alias("go"))
-    pools = written(begun.unionByName(near), "pools")
+    pools = written(begun.unionByName(near), "pools", n_pool)
     wide = queries.select(F.col("query_id"), "query_vec")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,8 +326,8 @@ def search(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int) ->
         none = F.lit(None).cast("binary")
         kept = pools.select("query_id", "node", none.alias("short"), none.alias("query_vec"), "sim", (F.col("done") | F.col("go")).alias("done"), F.lit(0).alias("kind"))
         own = wide.select("query_id", F.lit(-1).cast("long").alias("node"), none.alias("short"), "query_vec", F.lit(0).cast("float").alias("sim"), F.lit(True).alias("done"), F.lit(2).alias("kind"))
-        met = found.unionByName(kept).unionByName(own).repartition("query_id").sortWithinPartitions("query_id")
-        after = written(met.mapInArrow(score, "query_id long, node long, sim float, done boolean, go boolean"), "pools")
+        met = _by_key(found.unionByName(kept).unionByName(own), "query_id", n_pool + asked * DEGREE)
+        after = written(met.mapInArrow(score, "query_id long, node long, sim float, done boolean, go boolean"), "pools", n_pool)
         drop_written(pools)
         pools = after
     return pools.join(nodes.select("node", "vec", "ids"), "node").join(wide, "query_id")
@@ -315,11 +338,12 @@ def nearest(table: DataFrame, is_query, limit: int = LIMIT, key: str = "vec_id",
     small_batches(table.sparkSession)
     rows, dim = valid(table, key, vector)
     rows = written(rows, "vectors")
-    nodes = written(_nodes(rows, dim, limit), "nodes")
+    size = rows.count()
+    nodes = written(_nodes(rows, dim, limit), "nodes", size)
     lists = graph(nodes, dim)
     starts = nodes.select(F.col("node").alias("start"), F.col("vec").alias("v"))
-    queries = rows.where(is_query).join(starts, F.col("vec") == F.col("v")).select(F.col("vec_id").alias("query_id"), "start", F.col("vec").alias("query_vec"))
-    queries = written(queries, "queries")
+    queries = rows.where(is_query).join(starts, F.col("vec") == F.col("v")).select(F.col("row").alias("query_id"), F.col("vec_id").alias("query_vec_id"), "start", F.col("vec").alias("query_vec"))
+    queries = written(queries, "queries", size)
     pools = search(lists, nodes, queries, dim)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +351,8 @@ def nearest(table: DataFrame, is_query, limit: int = LIMIT, key: str = "vec_id",
             score = np.einsum("ij,ij->i", _matrix(batch.column(2), "f8", dim), _matrix(batch.column(3), "f8", dim))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "ids", "score"])
 
-    scored = pools.select("query_id", "ids", "vec", "query_vec").mapInArrow(exact, "query_id long, ids array<long>, score double")
-    hits = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "vec_id", "score")
+    scored = pools.select("query_id", "ids", "vec", "query_vec").mapInArrow(exact, f"query_id long, ids {_IDS}, score double")
+    hits = scored.select("query_id", "score", F.explode("ids").alias("hit")).where("hit.row <> query_id").select("query_id", "score", "hit.vec_id", "hit.row")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row"))
+    hits = hits.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return hits.join(queries.select("query_id", "query_vec_id"), "query_id").select(F.col("query_vec_id").alias("query_id"), "rank", "vec_id", "score")

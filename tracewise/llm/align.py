@@ -275,6 +275,8 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
         return np.concatenate([np.zeros(0, np.int32), *[e.flatten().to_numpy() for e in each]]), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     def join(rows: pa.Table, links: pa.Table) -> pa.Table:
+        _loaded.clear()  # a worker that has encoded needs its tokenizers no more
+        pa.default_memory_pool().release_unused()
         is_doc = pc.is_null(rows["_first"])
         docs, own = rows.filter(is_doc), rows.filter(pc.invert(is_doc))
         own = own.take(pc.sort_indices(own, [("_first", "ascending")]))
@@ -323,7 +325,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Alig
     rows, back = held(docs, {"_text": text}, _MADE)
     names = [c for c in docs.columns if c.lower() not in _MADE]
     back = [b for b, c in zip(back, names, strict=True) if c.lower() != text.lower()]
-    buckets = min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, 2 * rows.rdd.getNumPartitions()))
+    buckets = min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, 4 * rows.rdd.getNumPartitions()))
     blocks = _bucketed(_blocks(rows, path_a, path_b), "blocks", buckets)
     asked = spark.conf.get(_CO_PARTITION)
     spark.conf.set(_CO_PARTITION, "false")  # buckets by block are enough for joins on block, number and end

@@ -151,7 +151,7 @@ def test_loaders_and_registry(spark, tmp_path):
     }
     cases, errors = loaders.load_cases(spark, wanted)
     assert [(r["case_id"], r["mode"], r["positive"], r["negatives"]) for r in cases.collect()] == [
-        ("mcq::m::mcq::0", "separation", "b", ["a"]), ("mcq::m::mcq::1", "separation", "p", ["n"]), ("rank::r::0" if False else "rank::r::1", "ranking", "b", ["c"]), ("rank::r::i", "ranking", "b", ["c"]), ("sep::s::7", "separation", "a", ["b"]),
+        ("mcq::m::mcq::0", "separation", "b", ["a"]), ("mcq::m::mcq::1", "separation", "p", ["n"]), ("rank::r::1", "ranking", "b", ["c"]), ("rank::r::i", "ranking", "b", ["c"]), ("sep::s::7", "separation", "a", ["b"]),
     ]
     assert sorted((r["dataset"], r["subcategory"], r["error_type"]) for r in errors.collect()) == [("mcq", "no", "FileNotFoundError"), ("odd", "", "KeyError"), ("sep", "gone", "FileNotFoundError")]
     counts, first = reports.previews(cases)
@@ -163,7 +163,7 @@ def test_evaluation_inputs(spark, tmp_path):
     rows = loaders.load_evaluation(spark, pairs)
     assert [(r["row_index"], r["compatibility_label"]) for r in rows.orderBy("row_index").collect()] == [(1, -1), (3, 1)]
     assert loaders.load_evaluation(spark, pairs, max_samples=1).first()["row_index"] == 1
-    steps = jsonl(tmp_path / "c.jsonl", {"question": "q", "steps": ["s", "t"], "step_labels": [1, 0], "data_source": "d"})
+    steps = jsonl(tmp_path / "c.jsonl", {"question": "q", "response": {"steps": ["s", "t"], "process_correctness": [1, 0]}, "data_source": "d"})
     rows = loaders.load_evaluation(spark, steps, "context").orderBy("step_index").collect()
     assert [(r["generated"], r["compatibility_label"], r["data_source"]) for r in rows] == [("s", 1, "d"), ("t", 0, "d")]
     for wrong in ({"mode": "x"}, {"max_samples": 0}):
@@ -186,7 +186,7 @@ def test_rebuilt_tables(spark, tmp_path):
         reports.create_layout(str(tmp_path / "run"))
     with pytest.raises(ValueError):
         reports.rebuild_tables(spark, [caption], [numeric], str(tmp_path / "x"), kappa=1.0)
-    assert loaders.load_calibration_weights(str(tmp_path / "no.json")) is None and loaders.load_selected_tau(str(tmp_path / "best.json")) == 0.6
+    assert loaders.load_calibration_weights(spark, str(tmp_path / "no.json")) is None and loaders.load_selected_tau(spark, str(tmp_path / "best.json")) == 0.6
     predicted = spark.createDataFrame([("d", "s", "positive", "x/visualprm_numeric/y", 0.9), ("d", "s", "negative", None, 0.3)], "dataset string, subcategory string, pair_type string, source_path string, calibrated_score double")
     both = L.collected(*[loaders.load_scores(spark, [p])[0] for p in (caption, numeric)], predicted, {"E_ab": 1.0}, 0.0)
     assert sorted((r["source"], r["reward"]) for r in both.where("scorer = 'nli_calibrated_logistic'").collect()) == [("caption_negation", 0.3), ("visualprm_numeric", 0.9)]

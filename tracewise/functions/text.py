@@ -44,21 +44,13 @@ def ordered_unique(*arrays: Column) -> Column:
 SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
-def _marker_pattern() -> str:
-    """Of texts with single spaces: nothing but signs around nothing, a marker, or a step number. Signs may stand between letters too."""
-    sign, gap = "[^A-Za-z0-9 ]*", "[^A-Za-z0-9]*"
-    spread = lambda word: sign.join(word)
-    words = [f"{sign} {gap}".join(spread(w) for w in m.split(" ")) for m in sorted(MARKERS, key=len, reverse=True)]
-    number = f"(?:{spread('step')}{gap})?[0-9](?:{sign}[0-9])*(?:{sign}[a-z])?"
-    return f"(?i)^{gap}(?:{'|'.join([*words, number])})?{gap}\\z"
-
-
-_MARKER = _marker_pattern()
+#: What is left of a segment without content: nothing, a marker, or a step number.
+_MARKER = f"(?i)\\A(?:{'|'.join(m.replace(' ', ' +') for m in MARKERS)}|(?:step *)?[0-9]+[a-z]?)?\\z"
 
 
 def marker_only(segment: Column) -> Column:
-    """Whether a segment, its white space squeezed, has no content besides list signs, a marker or a step number."""
-    return segment.rlike(_MARKER)
+    """Whether a segment, its white space squeezed, has no content besides signs, a marker or a step number. Signs may stand between letters too."""
+    return F.trim(F.regexp_replace(segment, "[^A-Za-z0-9 ]+", "")).rlike(_MARKER)
 
 
 def segments(text: Column) -> Column:

@@ -102,6 +102,68 @@ def pair_examples(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+def _step_error(step: Column, i: Column) -> Column:
+    """What is wrong with a step (kind, text, label) at place i; null if nothing is."""
+    at = i.cast("string")
+    return (
+        F.when(step["kind"].isNull() | (step["kind"] != "STRING"), F.concat(F.lit("an invalid step at index "), at))
+        .when(~F.coalesce(step["label"].isin(-1, 0, 1), F.lit(False)), F.concat(F.lit("invalid process_correctness at step index "), at))
+        .when((step["text"] == "") & (step["label"] != 0), F.concat(F.lit("an empty non-neutral response step at index "), at))
+    )
+
+
+def context_steps(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Records (v, error) with question, response.steps and response.process_correctness as a row per non-empty step, labels -1, 0 and 1, and one row with error for a bad record.
+
+    A step's anchor is the question with all earlier non-empty steps. Empty neutral steps are left out, but count as places.
+    """
+    v = F.col("v")
+    nested, question = R.field(v, "metadata"), R.field(v, "question")
+    raw, labels = R.field(v, "response", "steps"), R.field(v, "response", "process_correctness")
+    parts = lambda c: F.try_variant_get(c, "$", "array<variant>")
+    steps = F.transform(F.arrays_zip(parts(raw).alias("s"), parts(labels).alias("l")), lambda x: F.struct(R.kind(x["s"]).alias("kind"), X.strip(R.string(x["s"])).alias("text"), R.integer(x["l"]).alias("label")))
+    n, n_labels = F.size(parts(raw)), F.size(parts(labels))
+    asked = X.strip(R.string(question))
+    given = F.coalesce(R.field(v, "source_sample_id"), R.field(nested, "source_sample_id"))
+    source = named_source(v, nested, False)
+    policy = F.coalesce(F.nullif(X.strip(R.identifier(F.coalesce(R.field(v, "policy_model"), R.field(nested, "policy_model")))), F.lit("")), F.lit("UNKNOWN"))
+    image = R.json_text(F.coalesce(R.field(v, "image"), R.field(v, "images")))
+    own_id = R.stable_id("vpb_", R.json_object({"question": R.json_string(asked), "image": image, "policy_model": R.json_string(policy), "data_source": R.json_string(source)}))
+    unnamed = R.none(given) | F.coalesce(R.integer(given) == 0, F.lit(False))
+    rows = _checked(
+        lines,
+        row_index=F.col(line),
+        question=asked,
+        data_source=source,
+        policy_model=policy,
+        source_sample_id=F.when(unnamed, own_id).otherwise(R.identifier(given)),
+        id_json=F.when(unnamed, R.json_string(own_id)).otherwise(R.json_text(given)),
+        metadata=R.compact(v, nested),
+        steps=steps,
+        error=_first(
+            (X.coerce_text(R.string(question)) == "", "no non-empty string 'question'"),
+            (F.coalesce(R.kind(R.field(v, "response")), F.lit("")) != "OBJECT", "no response object"),
+            (F.coalesce(R.kind(raw), F.lit("")) != "ARRAY", "response.steps must be a list"),
+            (F.coalesce(R.kind(labels), F.lit("")) != "ARRAY", "response.process_correctness must be a list"),
+            (n != n_labels, "step/label length mismatch"),
+            (n == 0, "no response steps"),
+            (R.bad_identifier(given), "invalid 'source_sample_id'"),
+        ),
+    )
+    wrong = F.try_element_at(F.filter(F.transform("steps", _step_error), lambda e: e.isNotNull()), F.lit(1))
+    rows = rows.withColumn("error", F.coalesce("error", wrong))
+    texts = F.transform("steps", lambda s: s["text"])
+    rows = rows.select("*", texts.alias("_texts"), F.posexplode_outer(F.when(F.col("error").isNull(), F.col("steps"))).alias("step_index", "_s")).where("error IS NOT NULL OR _s.text <> ''")
+    earlier = F.filter(F.slice("_texts", F.lit(1), F.col("step_index")), lambda s: s != "")
+    pair_id = R.stable_id("vpb_step_", R.json_object({"source_sample_id": F.col("id_json"), "step_index": F.col("step_index").cast("string"), "step": R.json_string(F.col("_s.text"))}))
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    kept = [c for c in rows.columns if c in lines.columns and c not in ("v", "error", "value")]
+    return rows.select(
+        *[c for c in kept if c != "row_index"], "row_index", good(X.context_anchor(F.col("question"), earlier)).alias("anchor"), F.col("_s.text").alias("generated"), F.col("_s.label").cast("int").alias("compatibility_label"), "data_source", "policy_model",
+        good(pair_id).alias("pair_id"), good(F.col("source_sample_id")).alias("source_sample_id"), F.col("step_index").cast("long").alias("step_index"), F.lit("context_step").alias("input_mode"), "metadata", "error",
+    )
+
+
 def label_of(value: Column, name: str) -> tuple[Column, Column]:
     """A label field as (1, 0 or null for neutral, whether it is unsupported). Truth values are unsupported; only process_correctness knows -1, and 0 as neutral."""
     words = F.create_map(*[F.lit(x) for kv in P.PAIR_LABELS.items() for x in kv])
@@ -173,26 +235,23 @@ def pair_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("pairs_written"), F.count_if(F.col("compatibility_label") == 1).alias("positive_pairs"), F.count_if(F.col("compatibility_label") == 0).alias("negative_pairs"), F.sort_array(F.collect_set("data_source")).alias("data_sources"))
 
 
-def nested_first(v: Column, names: tuple[str, ...]) -> Column:
-    """The first of a record's fields that has text: lists by line, objects by their first text; else empty."""
-    return F.coalesce(*[F.nullif(embedded.nested_text(F.to_json(R.known(R.field(v, n)))), F.lit("")) for n in names], F.lit(""))
-
-
-def trace_rows(lines: DataFrame, default_source: str, index: str = "line", prefix: str = "visualprm_") -> DataFrame:
-    """Records (v, error) as traces: trace_id, question, reasoning, subcategory, source, row_index; without reasoning an error."""
-    v = F.col("v")
-    source = F.coalesce(F.nullif(nested_first(v, SOURCE_FIELDS), F.lit("")), F.lit(default_source))
-    reasoning = nested_first(v, REASONING_FIELDS)
+def trace_rows(lines: DataFrame, default_source: str | Column, index: str = "line", made_id: Column | None = None) -> DataFrame:
+    """Records (v, error) as traces: trace_id, question, reasoning, subcategory, source, row_index; without reasoning an error. made_id names those without an id, else their index does."""
+    texts = embedded.first_texts(F.col("v"), {"id": ID_FIELDS, "question": QUESTION_FIELDS, "reasoning": REASONING_FIELDS, "subcategory": SUBCATEGORY_FIELDS, "source": SOURCE_FIELDS})
+    rows = lines.withColumn("_texts", texts)
+    own = lambda c: F.nullif(F.col(f"_texts.{c}"), F.lit(""))
+    source = F.coalesce(own("source"), F.lit(default_source) if isinstance(default_source, str) else default_source)
+    made_id = F.format_string("visualprm_%06d", F.col(index)) if made_id is None else made_id
     return _checked(
-        lines,
-        trace_id=F.coalesce(F.nullif(nested_first(v, ID_FIELDS), F.lit("")), F.format_string(f"{prefix}%06d", F.col(index))),
-        question=nested_first(v, QUESTION_FIELDS),
-        reasoning=reasoning,
-        subcategory=X.clean_label(F.coalesce(F.nullif(nested_first(v, SUBCATEGORY_FIELDS), F.lit("")), source)),
+        rows,
+        trace_id=F.coalesce(own("id"), made_id),
+        question=F.col("_texts.question"),
+        reasoning=F.col("_texts.reasoning"),
+        subcategory=X.clean_label(F.coalesce(own("subcategory"), source)),
         source=source,
         row_index=F.col(index),
-        error=_first((reasoning == "", "Missing reasoning text")),
-    )
+        error=_first((F.col("_texts.reasoning") == "", "Missing reasoning text")),
+    ).drop("_texts")
 
 
 def image_names(value: Column) -> Column:

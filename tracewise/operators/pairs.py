@@ -144,14 +144,17 @@ def turn_pairs(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> D
 
 
 def training_rows(examples: DataFrame, source: str, ability: str = "math") -> DataFrame:
-    """(prompt, response) as rows for reinforcement training."""
-    prompt = F.regexp_replace("prompt", r"^\s*<image>\s*", "")
+    """(prompt, response) and maybe images (texts) as rows for reinforcement training: the prompt and the truth are whole texts, and images are named beside them."""
+    images = F.coalesce(F.col("images"), F.array().cast("array<string>")) if "images" in examples.columns else F.array().cast("array<string>")
+    policy = F.when(F.size(images) > 0, "local_paths_in_images_column").otherwise("omitted_from_verl_parquet")
+    rest = [F.col(c) for c in examples.columns if c not in ("prompt", "response", "images")]
     return examples.select(
         F.lit(source).alias("data_source"),
-        F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content"))).alias("prompt"),
+        F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("prompt"),
         F.lit(ability).alias("ability"),
-        F.struct(F.lit("rule").alias("style"), X.extract_answer(F.col("response")).alias("ground_truth")).alias("reward_model"),
-        F.struct(*[F.col(c) for c in examples.columns if c not in ("prompt", "response")], F.col("response").alias("answer")).alias("extra_info"),
+        F.struct(F.lit("rule").alias("style"), F.col("response").alias("ground_truth")).alias("reward_model"),
+        F.struct(*rest, F.size(images).alias("num_images"), policy.alias("image_policy")).alias("extra_info"),
+        F.when(F.size(images) > 0, F.transform(images, lambda i: F.struct(i.alias("image")))).alias("images"),
     )
 
 

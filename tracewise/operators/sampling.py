@@ -5,9 +5,13 @@ The order is a digest of the seed and the key, so membership is not that of a se
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tracewise.session import scratch
 
 
 def hash_order(seed: int, *keys: str | Column) -> Column:
@@ -20,13 +24,21 @@ def capped(rows: DataFrame, group: list[str], key: list[str], cap: int, seed: in
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
 
 
-#: Ranges of the digest that places are counted by, in a group.
-RANGES = 256
+#: Rows of a range that places are counted by, about: one task sorts a range.
+RANGE_ROWS = 200_000
+
+
+def _digits(rows: DataFrame) -> int:
+    """Hex digits of a digest that part so many rows into ranges of RANGE_ROWS at most, about; 2 at least."""
+    n, digits = rows.count(), 2
+    while 16**digits * RANGE_ROWS < n:
+        digits += 1
+    return digits
 
 
 def ranked_groups(rows: DataFrame, within: list[str], key: str, seed: int) -> DataFrame:
-    """Distinct keys with _n, their place in hash order, and _of, their number, in each group of within. Ranges of the digest are counted first, so no task sorts all keys of a group."""
-    ids = rows.select(*within, key).distinct().withColumn("_h", hash_order(seed, *within, key)).withColumn("_b", F.substring("_h", 1, 2))
+    """Distinct keys with _n, their place in hash order, and _of, their number, in each group of within. Ranges of the digest, as many as rows ask for, are counted first, so no task sorts all keys of a group."""
+    ids = rows.select(*within, key).distinct().withColumn("_h", hash_order(seed, *within, key)).withColumn("_b", F.substring("_h", 1, _digits(rows)))
     counts = ids.groupBy(*within, "_b").agg(F.count("*").alias("_c"))
     own = Window.partitionBy(*within)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_of", F.sum("_c").over(own)).drop("_c")
@@ -52,37 +64,62 @@ def _numbered(rows: DataFrame, bucket: Column, order: list[str]) -> tuple[DataFr
     return numbered.drop("_b", "_bucket", "_before"), counts.agg(F.sum("_c")).first()[0] or 0
 
 
-def _placed(rows: DataFrame, key: str, seed: int, buckets: int) -> tuple[DataFrame, int]:
+def _placed(rows: DataFrame, key: str, seed: int) -> tuple[DataFrame, int]:
     """Distinct keys with _n, their place in the whole hash order, and their number."""
     ids = rows.select(key).distinct().withColumn("_h", hash_order(seed, key))
-    ids, total = _numbered(ids, F.substring("_h", 1, len(f"{buckets - 1:x}")), ["_h", key])
+    ids, total = _numbered(ids, F.substring("_h", 1, _digits(rows)), ["_h", key])
     return ids.select(key, "_n"), total
 
 
-def order_number(rows: DataFrame, column: str) -> Column:
-    """A column as a number that rises with it: numbers and times as they are, texts by their first six bytes in UTF-8."""
-    kind = rows.schema[column].dataType
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    if isinstance(kind, (T.DateType, T.TimestampType)):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double")
+def _tie(rows: DataFrame) -> Column:
+    """A digest of a row's columns, so that rows that tie in an order have one of their own."""
+    plain = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
+    return F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in plain])
+
+
+def placed_in_order(rows: DataFrame, order: list[str], range_rows: int | None = None) -> tuple[DataFrame, int]:
+    """rows with _n, their place in the order of columns, from 1, nulls first, and their number.
 
+    Splitters are sampled from whole order keys, with ties parted by a digest of the row and then by where it stands, so one value that many rows
+    hold is several ranges. Ranges are as many as rows ask for, written once into the shared folder, and counted there.
+    """
+    total = rows.count()
+    ranges = max(1, -(-total // (range_rows or RANGE_ROWS)))
+    keys = [*[F.col(c).asc_nulls_first() for c in order], F.col("_tie"), F.col("_at")]
+    placed = rows.withColumns({"_tie": _tie(rows), "_at": F.monotonically_increasing_id()}).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    placed = placed.drop("_tie", "_at").withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+    path = scratch(rows.sparkSession, "places")
+    placed.write.parquet(path)
+    placed = rows.sparkSession.read.schema(placed.schema).parquet(path)
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_c"), F.min("_place").alias("_least"))  # a row a range
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_range", (before + 1 - F.col("_least")).alias("_shift"))
+    return placed.join(F.broadcast(counts), "_range").withColumn("_n", F.col("_place") + F.col("_shift")).select(*rows.columns, "_n"), total
+
+
+#: Ids that a legacy order is made for, at most: the driver draws a place for each.
+LEGACY_IDS = 1_000_000
 
-def placed_in_order(rows: DataFrame, order: list[str], buckets: int = RANGES) -> tuple[DataFrame, int]:
-    """rows with _n, their place in the order of columns, from 1, and their number. Bounds are approximate quantiles of the first column, so a task sorts about one of buckets parts."""
-    number = order_number(rows, order[0])
-    bounds = rows.agg(F.percentile_approx(number, [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0] or []
-    found = sorted(set(bounds))  # at most buckets numbers
-    at = F.size(F.filter(F.array(*[F.lit(b) for b in found]), lambda b: b < number)) if found else F.lit(0)
-    return _numbered(rows, F.when(number.isNull(), -1).otherwise(at), [F.col(c).asc_nulls_first() for c in order])
+
+def legacy_order(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Distinct keys with _n, their place from 1 in the order that CPython's random.Random(seed).shuffle gives their sorted list. More than LEGACY_IDS keys are an error.
+
+    The permutation follows from seed and number alone: the driver draws it and ships a pair of numbers a key; keys stay where they are.
+    """
+    ids, n = placed_in_order(rows.select(key).where(F.col(key).isNotNull()).distinct(), [key])
+    if n > LEGACY_IDS:
+        raise ValueError(f"a legacy order has at most {LEGACY_IDS} ids, not {n}")
+    drawn = list(range(1, n + 1))
+    random.Random(seed).shuffle(drawn)
+    places = rows.sparkSession.createDataFrame(pd.DataFrame({"_n": pd.Series(drawn, dtype="int64"), "_new": pd.Series(range(1, n + 1), dtype="int64")}), "_n long, _new long")
+    return ids.join(F.broadcast(places), "_n").select(key, F.col("_new").alias("_n"))
 
 
-def grouped_split(rows: DataFrame, key: str, train: float = 0.8, val: float = 0.1, seed: int = 42, buckets: int = 256) -> DataFrame:
+def grouped_split(rows: DataFrame, key: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """rows with split train, val or test; all rows of a key go together. An empty split is an error."""
     if abs(train + val - 1) > 1 + 1e-8 or train <= 0 or val < 0 or train + val > 1 + 1e-8:
         raise ValueError(f"ratios out of range: {train}, {val}")
-    ids, total = _placed(rows, key, seed, buckets)
+    ids, total = _placed(rows, key, seed)
     first = round(total * train)
     second = first + round(total * val)
     if not 0 < first < second < total:
@@ -91,19 +128,19 @@ def grouped_split(rows: DataFrame, key: str, train: float = 0.8, val: float = 0.
     return rows.join(ids.select(key, name.alias("split")), key)
 
 
-def holdout_split(rows: DataFrame, key: str, ratio: float, seed: int = 42, buckets: int = 256) -> DataFrame:
+def holdout_split(rows: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
     """rows with split train or val by key; no val if ratio is 0 or there are fewer than 2 keys, else at least 1 and at least 1 left."""
-    ids, total = _placed(rows, key, seed, buckets)
+    ids, total = _placed(rows, key, seed)
     n = 0 if ratio == 0 or total < 2 else min(max(round(total * ratio), 1), total - 1)
     return rows.join(ids.select(key, F.when(F.col("_n") <= n, "val").otherwise("train").alias("split")), key)
 
 
-def ratio_sample(rows: DataFrame, key: str, ratio: float, cap: int | None = None, seed: int = 42, buckets: int = RANGES) -> DataFrame:
+def ratio_sample(rows: DataFrame, key: str, ratio: float, cap: int | None = None, seed: int = 42) -> DataFrame:
     """max(1, floor(n * ratio)) rows, at most cap. Rows are placed by counted digest ranges, so no task holds the sample."""
     if not 0 < ratio <= 1:
         raise ValueError(f"ratio must be in (0, 1]: {ratio}")
     placed = rows.withColumn("_h", hash_order(seed, key))
-    placed, total = _numbered(placed, F.substring("_h", 1, len(f"{buckets - 1:x}")), ["_h", key])
+    placed, total = _numbered(placed, F.substring("_h", 1, _digits(rows)), ["_h", key])
     n = max(1, int(total * ratio))
     return placed.where(F.col("_n") <= (n if cap is None else min(n, cap))).drop("_h", "_n")
 
@@ -161,9 +198,11 @@ def capped_groups(rows: DataFrame, group: list[str], key: str, cap: int, seed: i
     return rows.join(ids, [*group, key])
 
 
-def shuffled(rows: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
-    """rows in hash order, by ranges of the digest: an order that looks random and is the same on every run."""
-    return rows.orderBy(hash_order(seed, *keys), *keys)
+def shuffled(rows: DataFrame, keys: list[str], seed: int = 42, parts: int | None = None) -> DataFrame:
+    """rows dealt out by a digest of seed and keys, and in its order in each part: an order that looks random, without a sort of the whole. It is the same on every run with as many parts (by default, the session's shuffle partitions)."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = hash_order(seed, *keys)
+    return rows.repartition(parts, order).sortWithinPartitions(order, *keys)
 
 
 def leaks(rows: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ import math
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +97,49 @@ def register(name: str, scorer: Scorer, fields: tuple[str, ...]) -> None:
     SCORERS[name] = (scorer, fields)
 
 
+#: Bytes of a table's file, at most: each worker holds one.
+TABLE_BYTES = 1 << 30
+_tables: dict[str, tuple[dict[str, int], np.ndarray]] = {}
+
+
+class TableScorer:
+    """Cosine of the sums of word vectors from a table's file: Parquet with word and vector, loaded once a worker. Words that it does not know count for nothing; a text without known words scores 0."""
+
+    def __init__(self, path: str, word: str = "word", vector: str = "vector"):
+        self.path, self.word, self.vector = path, word, vector
+
+    def _table(self) -> tuple[dict[str, int], np.ndarray]:
+        if self.path not in _tables:
+            from pyarrow import parquet
+
+            from tracewise.sources.archives import opened
+
+            files, name = opened(self.path)
+            if (size := files.get_file_info(name).size or 0) > TABLE_BYTES:
+                raise ValueError(f"a table has at most {TABLE_BYTES} bytes, not {size}")
+            rows = parquet.read_table(name, columns=[self.word, self.vector], filesystem=files)
+            _tables[self.path] = {w: k for k, w in enumerate(rows[self.word].to_pylist())}, np.array(rows[self.vector].to_pylist(), dtype=float)
+        return _tables[self.path]
+
+    def _sums(self, texts: list[str]) -> np.ndarray:
+        places, vectors = self._table()
+        found = [[places[w] for w in t.lower().split() if w in places] for t in texts]
+        flat = np.array([k for f in found for k in f], dtype=np.int64)
+        out = np.zeros((len(texts), vectors.shape[1] if vectors.ndim == 2 else 0))
+        np.add.at(out, np.repeat(np.arange(len(texts)), [len(f) for f in found]), vectors[flat] if len(flat) else out[:0])
+        return out
+
+    def __call__(self, a: list[str], b: list[str]) -> dict[str, list[float]]:
+        x, y = self._sums(a), self._sums(b)
+        size = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+        return {"raw_score": np.divide((x * y).sum(axis=1), size, out=np.zeros(len(a)), where=size > 0).tolist()}
+
+
+def register_table(name: str, path: str, word: str = "word", vector: str = "vector") -> None:
+    """Adds a scorer over a table of word vectors. A table that cannot be read is an error on the rows that it should score."""
+    register(name, TableScorer(path, word, vector), ("raw_score",))
+
+
 def score_pairs(pairs: DataFrame, name: str, a: str = "text_a", b: str = "text_b") -> DataFrame:
     """pairs with scorer, its fields and error (null if the batch was scored). An unknown scorer gives errors."""
     scorer, fields = SCORERS.get(name, (None, ("raw_score",)))
@@ -132,10 +176,44 @@ def softmax(logits: Column) -> Column:
     return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda s, x: s + x))
 
 
+#: Rows of one side that are compared with all of the other at once.
+BLOCK = 1024
+_MATCH = pa.struct([(c, pa.float64()) for c in ("precision", "recall", "f1")])
+
+
+def _vectors(column: pa.Array) -> Iterator[np.ndarray | None]:
+    """Each row's token vectors as a matrix; null for a null, and where vectors are null or differ in length."""
+    rows = column.offsets.to_numpy()
+    tokens = column.values
+    begins, values = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False)
+    for i, (x, y) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)):
+        sizes = np.diff(begins[x : y + 1])
+        if not column[i].is_valid or len(sizes) and ((sizes != sizes[0]).any() or tokens.null_count and tokens[x:y].null_count):
+            yield None
+        else:
+            yield values[begins[x] : begins[y]].reshape(y - x, sizes[0] if len(sizes) else 0)
+
+
+def _matched(x: np.ndarray | None, y: np.ndarray | None) -> dict | None:
+    if x is None or y is None or len(x) and len(y) and x.shape[1] != y.shape[1]:
+        return None
+    if not len(x) or not len(y):
+        return {"precision": 0.0, "recall": 0.0, "f1": 0.0}
+    of_x, of_y = np.full(len(x), -np.inf), np.full(len(y), -np.inf)
+    for k in range(0, len(x), BLOCK):
+        sims = x[k : k + BLOCK] @ y.T
+        of_x[k : k + BLOCK] = sims.max(axis=1)
+        np.maximum(of_y, sims.max(axis=0), out=of_y)
+    p, r = float(of_y.mean()), float(of_x.mean())
+    return {"precision": p, "recall": r, "f1": 2 * p * r / (p + r) if p + r else 0.0}
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("precision", "recall", "f1")]))
+def _token_match(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([_matched(x, y) for x, y in zip(_vectors(a), _vectors(b), strict=True)], _MATCH)
+
+
 def token_match(a: Column, b: Column) -> Column:
-    """(precision, recall, f1) of two arrays of unit token vectors: mean best similarity of b's and of a's tokens; 0 if one is empty."""
-    best = lambda xs, ys: F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: dot(x, y))))
-    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
-    none = (F.size(a) == 0) | (F.size(b) == 0)
-    p, r = F.when(none, 0.0).otherwise(mean(best(b, a))), F.when(none, 0.0).otherwise(mean(best(a, b)))
-    return F.struct(p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+    """(precision, recall, f1) of two arrays of unit token vectors: mean best similarity of b's and of a's tokens; 0 if one is empty, null if one is null or vectors differ in length. A matrix product a pair, in Arrow batches."""
+    vectors = "array<array<double>>"
+    return _token_match(a.cast(vectors), b.cast(vectors))

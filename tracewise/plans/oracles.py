@@ -267,7 +267,8 @@ SELECT doc_id, len(segs)::BIGINT AS n_segments, md5(array_to_string(segs, '|'))
 SELECT conv_id, COALESCE(string_agg(t, chr(10) ORDER BY turn) FILTER (role <> 'assistant'), '') AS prompt, arg_max(t, turn) FILTER (role = 'assistant') AS response FROM c WHERE t <> '' GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') > 0""",
     "training_rows": r"""WITH c AS (SELECT conv_id, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations), g AS (
 SELECT conv_id, COALESCE(string_agg(t, chr(10) ORDER BY turn) FILTER (role <> 'assistant'), '') AS prompt, arg_max(t, turn) FILTER (role = 'assistant') AS response FROM c WHERE t <> '' GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') > 0)
-SELECT 'conversations' AS data_source, 'math' AS ability, conv_id, prompt AS content, response AS ground_truth FROM g""",
+SELECT 'conversations' AS data_source, 'math' AS ability, conv_id, CASE WHEN conv_id % 3 = 0 THEN '<image> ' ELSE '' END || prompt AS content, response || CASE WHEN conv_id % 2 = 0 THEN ' <answer>4</answer> #### 4' ELSE '' END AS ground_truth,
+CASE WHEN conv_id % 3 = 0 THEN conv_id || '.png' END AS image, (conv_id % 3 = 0)::BIGINT AS num_images, CASE WHEN conv_id % 3 = 0 THEN 'local_paths_in_images_column' ELSE 'omitted_from_verl_parquet' END AS image_policy FROM g""",
     "turn_pairs": """SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r2 = 'assistant'""",
     "conversation_steps": f"""WITH {_STEPS} SELECT source_sample_id, 'Question of ' || source_sample_id AS question, count(*)::BIGINT AS n_steps, md5(string_agg(step, '|' ORDER BY step_index)) AS digest, sum(label)::BIGINT AS label_sum, NULL::VARCHAR AS error FROM st GROUP BY source_sample_id""",
     "request_ids": f"{_REQUESTS} SELECT * FROM r",
@@ -367,8 +368,8 @@ SELECT dataset, subcategory, mode, error, count(*)::BIGINT AS n, sum(CASE pair_t
     "fixed_tau": f"{_TAU_TABLE} SELECT tau, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(balanced, 6) AS balanced, round(fpr, 6) AS selection_score FROM tt WHERE abs(tau - 0.6) < 1e-9",
     "separation_cases": """SELECT 'parts::' || p_brand || '::' || p_partkey AS case_id, 'parts' AS dataset, p_brand AS subcategory, 'separation' AS mode, p_name AS anchor, p_name AS positive, 'no ' || p_name AS negatives
 FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 5 <> 0) WHERE n <= 20""",
-    "ranking_cases": """SELECT 'parts::types::' || CASE WHEN p_partkey % 4 = 0 THEN p_partkey - (SELECT min(p_partkey) FROM part) ELSE p_partkey END AS case_id, 'parts' AS dataset, 'types' AS subcategory, 'ranking' AS mode, p_name AS anchor, p_type AS positive, 'no ' || p_name AS negatives
-FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0""",
+    "ranking_cases": """SELECT 'parts::types::' || CASE WHEN p_partkey % 4 = 0 THEN place ELSE p_partkey END AS case_id, 'parts' AS dataset, 'types' AS subcategory, 'ranking' AS mode, p_name AS anchor, p_type AS positive, 'no ' || p_name AS negatives
+FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part) WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0""",
     "choice_cases": """WITH c AS (SELECT *, p_partkey % 6 = 0 AS plain, p_partkey % 2 = 1 AS second FROM part)
 SELECT 'choices::parts::file::' || p_partkey AS case_id, 'choices' AS dataset, 'parts' AS subcategory, 'separation' AS mode, CASE WHEN plain OR NOT second THEN p_name ELSE p_type END AS anchor, anchor AS positive,
   CASE WHEN plain THEN CASE WHEN p_brand = p_type THEN p_brand ELSE p_brand || '|' || p_type END ELSE CASE WHEN second THEN p_name ELSE p_type END || CASE WHEN p_partkey % 4 <> 0 THEN '|' || p_brand ELSE '' END END AS negatives FROM c""",
@@ -416,3 +417,56 @@ SQL |= {
     "archive_rows": f"WITH {_ARCHIVED} SELECT p_partkey AS position, row_index, member, line, digest FROM b JOIN part ON row_index = p_partkey * 7 % 5000",
     "archive_members": """SELECT page_id, printf('pages-%02d', page_id % 16) AS archive, CASE WHEN page_id % 3 = 0 THEN 'stored' ELSE 'deflated' END AS method, octet_length(encode(COALESCE(html, '')))::BIGINT AS size, true AS same_crc, sha256(COALESCE(html, '')) AS digest FROM pages""",
 }
+
+SQL |= {
+    "context_evaluation": """WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment AS seg, row_number() OVER w + COALESCE(count(*) FILTER (c_custkey % 4 = 0) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM customer WINDOW w AS (ORDER BY c_custkey)),
+r AS (
+  SELECT *, CASE WHEN k % 5 = 0 THEN '' ELSE c_name END AS second, 'é ' || seg AS third, CASE WHEN k % 25 = 0 THEN [1, -1, 1] ELSE [1, 0, -1] END AS labels,
+    CASE WHEN k % 59 = 0 THEN 'invalid JSON' WHEN k % 61 = 0 THEN 'not a JSON object' WHEN k % 53 = 0 THEN 'no non-empty string ''question''' WHEN k % 41 = 0 THEN 'no response object' WHEN k % 43 = 0 THEN 'response.steps must be a list'
+         WHEN k % 47 = 0 THEN 'no response steps' WHEN k % 31 <> 0 AND k % 37 = 0 THEN 'step/label length mismatch' WHEN k % 31 <> 0 AND k % 25 = 0 THEN 'an empty non-neutral response step at index 1' WHEN k % 29 = 0 THEN 'an invalid step at index 2'
+         WHEN k % 31 = 0 THEN 'invalid process_correctness at step index 2' END AS error,
+    k % 59 <> 0 AND k % 61 <> 0 AS parsed, CASE WHEN parsed AND k % 4 = 1 THEN 'm' ELSE 'UNKNOWN' END AS policy_model, CASE WHEN parsed THEN seg ELSE 'UNKNOWN' END AS data_source
+  FROM c
+), s AS (
+  SELECT *, CASE WHEN k % 4 = 0 THEN k::VARCHAR WHEN k % 4 = 1 THEN 'c' || k ELSE 'vpb_' || substr(sha256('{"data_source":"' || seg || '","image":null,"policy_model":"UNKNOWN","question":"why?"}'), 1, 20) END AS sample FROM r
+), e AS (
+  SELECT *, unnest(['first', second, third]) AS generated, unnest(range(3)) AS step_index, 'Question:' || chr(10) || 'why?' AS q FROM s WHERE error IS NULL
+)
+SELECT line AS row_index, step_index, md5(CASE step_index WHEN 0 THEN q ELSE q || chr(10) || chr(10) || 'Previous response steps:' || chr(10) || '1. first' || CASE WHEN step_index = 2 AND second <> '' THEN chr(10) || '2. ' || second ELSE '' END END) AS anchor, generated, labels[step_index + 1] AS compatibility_label,
+  data_source, policy_model, 'vpb_step_' || substr(sha256('{"source_sample_id":' || CASE WHEN k % 4 = 0 THEN sample ELSE '"' || sample || '"' END || ',"step":"' || generated || '","step_index":' || step_index || '}'), 1, 20) AS pair_id, sample AS source_sample_id, 'context_step' AS input_mode, error
+FROM e WHERE generated <> ''
+UNION ALL SELECT line, NULL, NULL, NULL, NULL, data_source, policy_model, NULL, NULL, 'context_step', error FROM s WHERE error IS NOT NULL""",
+    "loaded_traces": """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, 'part ' || o_orderkey % 3 || '.jsonl' AS file, row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) AS row_index FROM orders),
+n AS (SELECT *, CASE k % 10 WHEN 3 THEN 'not a JSON object' WHEN 7 THEN 'invalid JSON' WHEN 2 THEN 'Missing reasoning text' END AS error, CASE WHEN k % 10 = 1 THEN 't' || k ELSE 'part_' || k % 3 || '_visualprm_' || lpad(row_index::VARCHAR, greatest(6, length(row_index::VARCHAR))::INT, '0') END AS name, k % 10 IN (3, 7) AS broken FROM o)
+SELECT file, row_index, CASE WHEN NOT broken THEN name END AS trace_id, CASE WHEN error IS NULL THEN CASE WHEN k % 10 = 1 THEN '' ELSE 'q' END END AS question, CASE WHEN error IS NULL THEN CASE WHEN k % 10 = 1 THEN 'a' || chr(10) || p ELSE p END END AS reasoning,
+  CASE WHEN NOT broken THEN file END AS source, CASE WHEN broken THEN NULL WHEN k % 10 = 1 THEN 'x_y' ELSE 'part_' || k % 3 END AS subcategory, error FROM n""",
+    "loaded_cases": """WITH p AS (SELECT p_partkey AS k, *, regexp_extract(p_brand, '([0-9]+)$', 1)::INT AS b FROM part),
+d AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY k) - 1 AS place FROM p),
+s AS (SELECT 'parts::' || p_brand || '::' || CASE WHEN b % 2 = 0 THEN place::VARCHAR ELSE 'k' || k END AS case_id, p_brand AS subcategory, 'separation' AS mode, p_name AS positive, 'no ' || p_name AS negatives, row_number() OVER (PARTITION BY p_brand ORDER BY k) AS n FROM d WHERE b % 7 <> 0 AND k % 11 <> 0 AND k % 5 <> 0),
+l AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS place FROM p WHERE b < 20)
+SELECT case_id, subcategory, mode, positive, negatives, NULL::VARCHAR AS error FROM s WHERE n <= 40
+UNION ALL SELECT 'parts::lines::' || CASE WHEN k % 2 = 0 THEN k ELSE place END, 'lines', 'ranking', p_type, 'no ' || p_name, NULL FROM l WHERE k % 13 <> 0 AND k % 11 <> 0 AND k % 5 <> 0
+UNION ALL SELECT NULL, p_brand, NULL, NULL, NULL, 'invalid JSON' FROM (SELECT DISTINCT p_brand FROM p WHERE b % 7 = 0)
+UNION ALL SELECT NULL, 'lines', NULL, NULL, NULL, 'lines:' || place + 1 || ': not a JSON object' FROM l WHERE k % 13 = 0 OR k % 11 = 0""",
+}
+
+SQL["state_snapshot"] = SQL["state_latest"]
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_SIDES = ", ".join(f"COALESCE(sum(('0x' || substr(md5(w), {k}, 1))::INT - 7.5::DOUBLE), 0) AS v{k}" for k in range(1, 9))
+_DOT = lambda x, y: "(" + " + ".join(f"{x}.v{k} * {y}.v{k}" for k in range(1, 9)) + ")"
+
+SQL |= {
+    "table_scorer": f"""WITH a AS (SELECT p_partkey, {_SIDES} FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE length(w) % 11 <> 0 GROUP BY p_partkey),
+b AS (SELECT p_partkey, {_SIDES} FROM (SELECT p_partkey, unnest(string_split(lower(p_type), ' ')) AS w FROM part) WHERE length(w) % 11 <> 0 GROUP BY p_partkey)
+SELECT p_partkey, 'word_table' AS scorer, round(COALESCE(CASE WHEN {_DOT("a", "a")} * {_DOT("b", "b")} > 0 THEN {_DOT("a", "b")} / sqrt({_DOT("a", "a")} * {_DOT("b", "b")}) END, 0), 6) AS raw_score, NULL::VARCHAR AS error FROM part LEFT JOIN a USING (p_partkey) LEFT JOIN b USING (p_partkey)""",
+    "text_gates": f"""WITH c AS (SELECT doc_id, COALESCE(len({_WORDS.format("string_split(text, chr(10))[1]")}), 0)::INT AS a, COALESCE(len({_WORDS.format("text")}), 0)::INT AS p FROM documents),
+b AS (SELECT *, greatest(0, least(greatest(64, floor(a * 1.1::DOUBLE)::INT + 16), 1024 - p, 512))::INT AS m FROM c)
+SELECT doc_id, a AS anchor_tokens, p AS prompt_tokens, m AS max_output_tokens, CASE WHEN a > 224 THEN 'DebertaAnchorTooLong' WHEN m < 64 OR p + m > 1024 THEN 'QwenContextOverflow' END AS error_type FROM b""",
+    "training_pairs": """WITH c AS (SELECT c_custkey, c_name, c_mktsegment, (c_custkey % 9)::INT AS n, (c_custkey % 7)::INT AS m, (c_custkey % 2)::INT AS labels FROM customer),
+w AS (SELECT *, regexp_extract_all(repeat(c_name || ' ', n), '[^ ]+') AS a, regexp_extract_all(repeat(c_mktsegment || ' ' || c_name || ' ', m), '[^ ]+') AS b FROM c),
+l AS (SELECT *, len(a) AS la, len(b) AS lb, CASE WHEN len(a) + len(b) <= 9 THEN len(a) WHEN len(a) <= len(b) THEN CASE WHEN len(a) <= 4 THEN len(a) ELSE 5 END WHEN len(b) <= 4 THEN 9 - len(b) ELSE 5 END AS ka FROM w),
+k AS (SELECT *, CASE WHEN la + lb <= 9 THEN lb ELSE 9 - ka END AS kb FROM l),
+i AS (SELECT *, list_transform(a[1:ka], lambda x: ('0x' || substr(md5(x), 1, 4))::INT) AS ia, list_transform(b[1:kb], lambda x: ('0x' || substr(md5(x), 1, 4))::INT) AS ib FROM k)
+SELECT c_custkey, array_to_string([1] || ia || [2] || ib || [2] || list_transform(range(9 - ka - kb), lambda x: 0), ',') AS input_ids, (3 + ka + kb)::INT AS length, (3 + la + lb)::INT AS n_tokens, la + lb > 9 AS truncated, labels, NULL::VARCHAR AS error FROM i""",
+}

@@ -190,8 +190,12 @@ def last_assistant(spark, d):
 
 @query
 def training_rows(spark, d):
-    rows = P.training_rows(P.supervised(D.table(spark, d, "conversations")), "conversations")
-    return rows.select("data_source", "ability", F.col("extra_info.conv_id").alias("conv_id"), F.element_at("prompt", 1)["content"].alias("content"), F.col("reward_model.ground_truth").alias("ground_truth"))
+    """Conversations as training rows: every third names an image in its prompt and beside it, and every second ends in a tagged answer; both stay as they are."""
+    k = F.col("conv_id")
+    rows = P.supervised(D.table(spark, d, "conversations"))
+    rows = rows.withColumns({"prompt": F.when(k % 3 == 0, F.concat(F.lit("<image> "), "prompt")).otherwise(F.col("prompt")), "response": F.when(k % 2 == 0, F.concat("response", F.lit(" <answer>4</answer> #### 4"))).otherwise(F.col("response"))})
+    rows = P.training_rows(rows.withColumn("images", F.when(k % 3 == 0, F.array(F.concat(k.cast("string"), F.lit(".png"))))), "conversations")
+    return rows.select("data_source", "ability", F.col("extra_info.conv_id").alias("conv_id"), F.element_at("prompt", 1)["content"].alias("content"), F.col("reward_model.ground_truth").alias("ground_truth"), F.try_element_at("images", F.lit(1))["image"].alias("image"), F.col("extra_info.num_images").cast("long").alias("num_images"), F.col("extra_info.image_policy").alias("image_policy"))
 
 
 @query
@@ -232,25 +236,25 @@ def _log(rows, pair_id):
     return S.recorded(log)
 
 
-def _state(spark, d):
+def state_log(spark, d):
     """All events, the later ones of a user and kind replacing the earlier."""
     return _log(D.table(spark, d, "events"), F.concat(F.lit("pair_"), F.col("user_id").cast("string"), F.lit("_"), F.col("event_type")))
 
 
 @query
 def state_latest(spark, d):
-    return S.latest(_state(spark, d)).select("pair_id", "status", "pair_json", "error_json")
+    return S.latest(state_log(spark, d)).select("pair_id", "status", "pair_json", "error_json")
 
 
 @query
 def state_counts(spark, d):
-    state = S.latest(_state(spark, d))
+    state = S.latest(state_log(spark, d))
     return S.counts(state).crossJoin(S.label_counts(state))  # a row each
 
 
 @query
 def state_errors(spark, d):
-    return S.error_types(S.latest(_state(spark, d)))
+    return S.error_types(S.latest(state_log(spark, d)))
 
 
 @query
@@ -504,7 +508,8 @@ def separation_cases(spark, d):
 
 @query
 def ranking_cases(spark, d):
-    return _case_table(loaders.ranking_cases(_captions(spark, d), "parts", "types", "id", ["key"]))
+    placed, _ = B.placed_in_order(_captions(spark, d), ["key"])
+    return _case_table(loaders.ranking_cases(placed.withColumn("place", F.col("_n") - 1), "parts", "types", "id", "place"))
 
 
 @query

@@ -44,14 +44,14 @@ DIRECTORY = "archive string, member string, method int, offset long, packed long
 _MEMBER = ("archive", "member", "method", "offset", "packed", "size", "crc")
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def _buffered(path: str) -> io.BufferedReader:
-    files, name = _opened(path)
+def buffered(path: str) -> io.BufferedReader:
+    files, name = opened(path)
     return io.BufferedReader(files.open_input_file(name), READ_BYTES)
 
 
@@ -91,7 +91,7 @@ class _DirectoryReader(DataSourceReader):
         bare = any(c == "member" for c, *_ in self.tests)  # a filter on members leaves no row without one
         for path in partition.paths:
             try:
-                with zipfile.ZipFile(_buffered(path)) as archive:
+                with zipfile.ZipFile(buffered(path)) as archive:
                     found = [(path, i.filename, i.compress_type, i.header_offset, i.compress_size, i.file_size, i.CRC, _refused(i)) for i in archive.infolist() if not i.is_dir() and self._passes("member", i.filename)]
             except Exception as e:  # noqa: BLE001  errors are data here
                 reason = "BadZipFile: no ZIP archive" if isinstance(e, zipfile.BadZipFile | pa.ArrowInvalid) else _reason(e)
@@ -203,7 +203,7 @@ class _Open:
     def __call__(self, path: str) -> io.BufferedReader:
         if path != self.path:
             self.close()
-            self.file, self.path = _buffered(path), path
+            self.file, self.path = buffered(path), path
         return self.file
 
     def close(self) -> None:
@@ -230,7 +230,7 @@ def contents(members: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     out = pa.schema([("archive", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = _Open()
+        held = _Open()
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
@@ -238,12 +238,12 @@ def contents(members: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
                     content, error = None, m["error"]
                     if error is None:
                         try:
-                            content = b"".join(_pieces(opened(m["archive"]), m["method"], m["offset"], m["packed"], m["crc"]))
+                            content = b"".join(_pieces(held(m["archive"]), m["method"], m["offset"], m["packed"], m["crc"]))
                         except Exception as e:  # noqa: BLE001
-                            opened.close()
+                            held.close()
                             error = _reason(e)
                     yield m["archive"], m["member"], m["size"], content, error
-            opened.close()
+            held.close()
 
         yield from _batches(rows(), out, lambda r: len(r[3] or b""))
 
@@ -291,8 +291,8 @@ def _shares(members: DataFrame, task_bytes: int) -> DataFrame:
     return rows.withColumn("begin", F.when(F.col("_n") > 1, cut(F.col("share"))).otherwise(F.lit(0).cast("long"))).withColumn("end", end).withColumn("whole", F.col("_n") == 1).drop("_n")
 
 
-def _of_share(opened: _Open, m: dict) -> Iterator[bytes]:
-    f = opened(m["archive"])
+def _of_share(held: _Open, m: dict) -> Iterator[bytes]:
+    f = held(m["archive"])
     if m["whole"]:
         return _lines(_pieces(f, m["method"], m["offset"], m["packed"], m["crc"]))
     return _share(f, m["offset"], m["size"], m["begin"], m["end"])
@@ -313,7 +313,7 @@ def line_index(members: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     spread = _dealt_shares(_shares(members, task_bytes), task_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = _Open()
+        held = _Open()
         for batch in batches:
             lines, rows, errors = [], [], []
             for m in batch.to_pylist():
@@ -321,18 +321,18 @@ def line_index(members: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
                 error = m["error"]
                 if error is None:
                     try:
-                        for line in _of_share(opened, m):
+                        for line in _of_share(held, m):
                             n += 1
                             filled += bool(line.strip())
                     except Exception as e:  # noqa: BLE001
-                        opened.close()
+                        held.close()
                         n, filled, error = 0, 0, _reason(e)
                 lines.append(n)
                 rows.append(filled)
                 errors.append(error)
             kept = [batch.column(c) for c in batch.schema.names if c != "error"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lines, pa.int64()), pa.array(rows, pa.int64()), pa.array(errors, pa.string())], names=[*[c for c in batch.schema.names if c != "error"], "n_lines", "n_rows", "error"])
-        opened.close()
+        held.close()
 
     fields = [f for f in spread.schema.fields if f.name != "error"]
     out = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_rows", T.LongType()), T.StructField("error", T.StringType())])
@@ -354,23 +354,24 @@ def lines(index: DataFrame, limit: int | None = None, task_bytes: int = TASK_BYT
         shares = shares.where(F.col("first_row") < limit)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = _Open()
+        held = _Open()
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for m in batch.to_pylist():
                     place = m["first_row"]
-                    for n, line in enumerate(_of_share(opened, m), m["first_line"]):
+                    for n, line in enumerate(_of_share(held, m), m["first_line"]):
                         if line.strip():
                             yield m["archive"], m["member"], n, place, line.removesuffix(b"\r").decode("utf-8", "replace")
                             place += 1
                             if place == limit:
                                 break
-            opened.close()
+            held.close()
 
         yield from _batches(rows(), pa.schema([("archive", pa.string()), ("member", pa.string()), ("line", pa.int64()), ("row_index", pa.int64()), ("value", pa.string())]), lambda r: len(r[4]))
 
-    return _dealt_shares(shares, task_bytes).mapInArrow(read, "archive string, member string, line long, row_index long, value string")
+    in_order = _dealt_shares(shares, task_bytes).sortWithinPartitions("first_row")
+    return in_order.mapInArrow(read, "archive string, member string, line long, row_index long, value string")
 
 
 def rows_at(index: DataFrame, wanted: DataFrame, place: str = "row_index", position: str = "position") -> DataFrame:
@@ -379,8 +380,8 @@ def rows_at(index: DataFrame, wanted: DataFrame, place: str = "row_index", posit
     held = index.where("error IS NULL AND n_rows > 0").withColumn("_run", F.explode(F.sequence(of(F.col("first_row")), of(F.col("first_row") + F.col("n_rows") - 1))))
     asked = wanted.select(F.col(place).alias("_place")).distinct().withColumn("_run", of(F.col("_place")))
     within = (F.col("_place") >= F.col("first_row")) & (F.col("_place") < F.col("first_row") + F.col("n_rows"))
-    opened = held.join(asked, "_run").where(within).select("archive", "member", "share").distinct()
-    found = lines(index.join(opened, ["archive", "member", "share"], "left_semi"))
+    asked = held.join(asked, "_run").where(within).select("archive", "member", "share").distinct()
+    found = lines(index.join(asked, ["archive", "member", "share"], "left_semi"))
     return found.join(wanted.withColumnRenamed(place, "row_index"), "row_index")
 
 
@@ -394,7 +395,7 @@ def write(rows: DataFrame, folder: str, archive: Column, member: Column, content
     spread = (made.repartition("archive") if tasks is None else made.repartition(tasks, "archive")).sortWithinPartitions("archive", "member")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _opened(folder)
+        files, root = opened(folder)
         name, out, zipped = None, None, None
         draft = f"attempt-{TaskContext.get().taskAttemptId()}"
 
@@ -417,6 +418,6 @@ def write(rows: DataFrame, folder: str, archive: Column, member: Column, content
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
         close()
 
-    files, root = _opened(folder)
+    files, root = opened(folder)
     files.create_dir(root, recursive=True)
     spread.mapInArrow(put, "n long").write.format("noop").mode("overwrite").save()

@@ -45,31 +45,62 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_objects(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Good rows (file, line and schema) and errors (file, line, error_type, error_message) of JSON-line files."""
+    return parsed_objects(read_lines(spark, paths), schema)
+
+
+def parsed_objects(rows: DataFrame, schema: T.StructType, kept: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Lines (file, line, value and kept) as good rows (file, line, kept and schema) and errors (file, line, error_type, error_message)."""
     corrupt = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = read_lines(spark, paths).withColumn("o", F.from_json("value", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    rows = rows.withColumn("o", F.from_json("value", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("o").isNull() | F.col("o._corrupt").isNotNull() | ~F.ltrim("value").startswith("{")
-    good = rows.where(~bad).select("file", "line", *[F.col(f"o.{f}").alias(f) for f in schema.fieldNames()])
+    good = rows.where(~bad).select("file", "line", *kept, *[F.col(f"o.{f}").alias(f) for f in schema.fieldNames()])
     errors = rows.where(bad).select("file", "line", F.lit("ValueError").alias("error_type"), F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(": not a JSON object")).alias("error_message"))
     return good, errors
 
 
-def with_row_ids(rows: DataFrame, prefix: str = "row_", file: str = "file", line: str = "line", share: int = 100_000) -> DataFrame:
-    """rows with row_id: their place by file and line, 12 digits. Runs of share lines of a file are counted first, so no task sorts a whole file."""
+def with_places(rows: DataFrame, place: str = "place", file: str = "file", line: str = "line", share: int = 100_000) -> DataFrame:
+    """rows with their place by file and line, from 0. Runs of share lines of a file are counted first, so no task sorts a whole file."""
     from pyspark.sql import Window
 
     rows = rows.withColumn("_run", F.floor(F.col(line) / share))
     counts = rows.groupBy(file, "_run").agg(F.count("*").alias("_c"))  # a row per run
     counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy(file, "_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     n = F.col("_before") + F.row_number().over(Window.partitionBy(file, "_run").orderBy(line))
-    return rows.join(counts, [file, "_run"]).withColumn("row_id", F.format_string(f"{prefix}%012d", n)).drop("_before", "_run")
+    return rows.join(counts, [file, "_run"]).withColumn(place, n - 1).drop("_before", "_run")
+
+
+def with_row_ids(rows: DataFrame, prefix: str = "row_", file: str = "file", line: str = "line", share: int = 100_000) -> DataFrame:
+    """rows with row_id: their place by file and line, from 1, in 12 digits."""
+    return with_places(rows, "_place", file, line, share).withColumn("row_id", F.format_string(f"{prefix}%012d", F.col("_place") + 1)).drop("_place")
+
+
+def read_documents(spark: SparkSession, paths: list[str], fields: T.StructType) -> DataFrame:
+    """(file, at, key, fields, error) of JSON documents that are lists of records, or objects of records by id.
+
+    at is the record's place in its document, from 0, and key its id, or the place in a list. Entries that are no objects are left
+    out but count as places. A document that is cut off, no JSON, or neither a list nor an object is one row with an error.
+    """
+    if clash := [f for f in fields.fieldNames() if f in ("file", "at", "key", "error")]:
+        raise ValueError(f"a record's fields cannot be named {', '.join(clash)}")
+    doc = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    kind = F.regexp_extract(F.schema_of_variant(F.try_parse_json("value")), r"^[A-Z]+", 0)
+    text, listed = T.StringType(), kind == "ARRAY"
+    entry = lambda key, value: F.struct(key.cast("string").alias("key"), value.alias("value"))
+    by_place = F.transform(F.from_json("value", T.ArrayType(text)), lambda x, i: entry(i, x))
+    by_id = F.transform(F.map_entries(F.from_json("value", T.MapType(text, text))), lambda e: entry(e["key"], e["value"]))
+    error = F.when(kind.isNull(), "invalid JSON").when(~kind.isin("ARRAY", "OBJECT"), "neither a list nor an object of records")
+    doc = doc.select("file", error.alias("error"), F.when(error.isNull(), F.when(listed, by_place).otherwise(by_id)).alias("entries"))
+    rows = doc.select("file", "error", F.posexplode_outer("entries").alias("at", "entry"))
+    rows = rows.where(F.col("error").isNotNull() | F.ltrim("entry.value").startswith("{"))
+    record = F.from_json("entry.value", fields)
+    return rows.withColumn("r", record).select("file", F.col("at").cast("long").alias("at"), F.col("entry.key").alias("key"), *[F.col(f"r.{f}").alias(f) for f in fields.fieldNames()], "error")
 
 
 def read_records(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
-    """A JSON document that is a list of records, or an object of them by id (then `key` is the id, else the place)."""
-    doc = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-    named = doc.where(F.col("v").startswith("{")).select(F.explode(F.from_json("v", T.MapType(T.StringType(), fields))).alias("key", "r"))
-    listed = doc.where(F.col("v").startswith("[")).select(F.posexplode(F.from_json("v", T.ArrayType(fields))).alias("key", "r")).withColumn("key", F.col("key").cast("string"))
-    return named.unionByName(listed).select("key", "r.*")
+    """The records of a JSON document with their key; a bad document raises."""
+    rows = read_documents(spark, [path], fields)
+    good = rows.where(F.when(F.col("error").isNotNull(), F.raise_error(F.concat("file", F.lit(": "), "error")).cast("boolean")).otherwise(F.lit(True)))
+    return good.select("key", *fields.fieldNames())
 
 
 def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:

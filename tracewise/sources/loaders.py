@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
+from functools import reduce
 from pathlib import Path, PurePath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,8 +13,7 @@ from pyspark.sql import types as T
 
 from tracewise.functions import text as X
 from tracewise.operators import normalise as N
-from tracewise.operators import pairs as P
-from tracewise.sources import files
+from tracewise.sources import archives, files, ranges
 
 #: Columns that may hold the positive and the negatives of a CSV row, in the order they are tried.
 POSITIVE_FIELDS = ("positive", "positive_caption", "affirmative_caption", "control_caption", "caption", "true_caption", "answer", "correct", "option_0", "choice_0", "A")
@@ -41,15 +41,15 @@ SCORES = _struct(
 Loaded = tuple[DataFrame, DataFrame]
 
 
-def _cases(rows: DataFrame, dataset: str, subcategory: Column | str, mode: str, anchor: Column, positive: Column, negatives: Column, source_id: Column, metadata: dict[str, Column], order: list[str], limit: int | None) -> DataFrame:
+def _cases(rows: DataFrame, dataset: str, subcategory: Column | str, mode: str, anchor: Column, positive: Column, negatives: Column, source_id: Column, metadata: dict[str, Column], order: list[str], limit: int | None, kept: Iterable[str] = ()) -> DataFrame:
     """rows as cases; those without a positive or a negative are left out, and each subcategory keeps its first limit cases in order."""
     sub = F.lit(subcategory) if isinstance(subcategory, str) else subcategory
     about = F.map_from_arrays(F.array(*[F.lit(k) for k in metadata]), F.array(*[v.cast("string") for v in metadata.values()]))
-    made = rows.select(F.concat_ws("::", F.lit(dataset), sub, source_id).alias("case_id"), F.lit(dataset).alias("dataset"), sub.alias("subcategory"), F.lit(mode).alias("mode"), anchor.alias("anchor"), positive.alias("positive"), F.filter(negatives, lambda t: t != "").alias("negatives"), about.alias("metadata"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)])
+    made = rows.select(F.concat_ws("::", F.lit(dataset), sub, source_id).alias("case_id"), F.lit(dataset).alias("dataset"), sub.alias("subcategory"), F.lit(mode).alias("mode"), anchor.alias("anchor"), positive.alias("positive"), F.filter(negatives, lambda t: t != "").alias("negatives"), about.alias("metadata"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], *kept)
     made = made.where("anchor <> '' AND positive <> '' AND size(negatives) > 0")
     if limit is not None and limit > 0:
         made = made.withColumn("_n", F.row_number().over(Window.partitionBy("subcategory").orderBy(*[f"_o{k}" for k in range(len(order))]))).where(F.col("_n") <= limit)
-    return made.select(*CASE.fieldNames())
+    return made.select(*CASE.fieldNames(), *kept)
 
 
 def separation_cases(rows: DataFrame, dataset: str, subcategory: Column | str, key: str, order: list[str], limit: int | None = None) -> DataFrame:
@@ -58,11 +58,10 @@ def separation_cases(rows: DataFrame, dataset: str, subcategory: Column | str, k
     return _cases(rows, dataset, subcategory, "separation", positive, positive, F.array(X.coerce_text(F.col("negative_caption"))), F.col(key).cast("string"), {"source_id": F.col(key), "filename": F.col("filename")}, order, limit)
 
 
-def ranking_cases(rows: DataFrame, dataset: str, subcategory: Column | str, key: str, order: list[str], limit: int | None = None) -> DataFrame:
-    """Records (caption, caption2, negative_caption, filename) as ranking cases; the place in order, from 0, stands for an empty key."""
-    first = F.min(order[0]).over(Window.partitionBy(F.lit(subcategory) if isinstance(subcategory, str) else subcategory)) if order else None
-    name = F.coalesce(F.nullif(X.coerce_text(F.col(key)), F.lit("")), (F.col(order[0]) - first).cast("string"))
-    return _cases(rows.withColumn("_id", name), dataset, subcategory, "ranking", X.coerce_text(F.col("caption")), X.coerce_text(F.col("caption2")), F.array(X.coerce_text(F.col("negative_caption"))), F.col("_id"), {"source_id": F.col("_id"), "filename": F.col("filename")}, order, limit)
+def ranking_cases(rows: DataFrame, dataset: str, subcategory: Column | str, key: str, place: str, limit: int | None = None) -> DataFrame:
+    """Records (caption, caption2, negative_caption, filename) as ranking cases in the order of place; it stands for an empty key."""
+    name = F.coalesce(F.nullif(X.coerce_text(F.col(key)), F.lit("")), F.col(place).cast("string"))
+    return _cases(rows.withColumn("_id", name), dataset, subcategory, "ranking", X.coerce_text(F.col("caption")), X.coerce_text(F.col("caption2")), F.array(X.coerce_text(F.col("negative_caption"))), F.col("_id"), {"source_id": F.col("_id"), "filename": F.col("filename")}, [place], limit)
 
 
 def choice_parts(rows: DataFrame) -> tuple[Column, Column]:
@@ -85,23 +84,28 @@ def choice_parts(rows: DataFrame) -> tuple[Column, Column]:
     return F.when(good, chosen).otherwise(plain), F.when(good, rest).otherwise(negatives)
 
 
-def choice_cases(rows: DataFrame, dataset: str, subcategory: Column | str, stem: str, order: list[str], limit: int | None = None) -> DataFrame:
-    """Rows of a CSV of choices as separation cases. Rows are named by id, image_id or their place, from 0."""
+def choice_cases(rows: DataFrame, dataset: str, subcategory: Column | str, stem: str, order: list[str], limit: int | None = None, kept: Iterable[str] = ()) -> DataFrame:
+    """Rows of a CSV of choices as separation cases, with columns kept beside them. Rows are named by id, image_id or their place, from 0."""
     positive, negatives = choice_parts(rows)
     ids = [F.nullif(X.coerce_text(F.col(c)), F.lit("")) for c in ("id", "image_id") if c in rows.columns]
     name = F.coalesce(*ids, F.col(order[0]).cast("string"))
-    return _cases(rows, dataset, subcategory, "separation", positive, positive, negatives, F.concat_ws("::", F.lit(stem), name), {"source_id": name}, order, limit)
+    return _cases(rows, dataset, subcategory, "separation", positive, positive, negatives, F.concat_ws("::", F.lit(stem), name), {"source_id": name}, order, limit, kept)
 
 
-def _attempt(spark: SparkSession, dataset: str, parts: dict[str, Callable[[], DataFrame]]) -> Loaded:
-    """The union of parts by subcategory; a part that cannot be read gives an error row."""
-    cases, errors = spark.createDataFrame([], CASE), []
+def _attempt(spark: SparkSession, dataset: str, parts: dict[str, Callable[[], Loaded]]) -> Loaded:
+    """The unions of cases and errors of parts by subcategory; a part that cannot be read gives an error row."""
+    cases, errors, failed = spark.createDataFrame([], CASE), spark.createDataFrame([], LOAD_ERROR), []
     for subcategory, read in parts.items():
         try:
-            cases = cases.unionByName(read())
+            found, bad = read()
+            cases, errors = cases.unionByName(found), errors.unionByName(bad)
         except Exception as e:  # noqa: BLE001  errors are data here
-            errors.append((dataset, subcategory, type(e).__name__, str(e).split("\n")[0]))
-    return cases, spark.createDataFrame(errors, LOAD_ERROR)
+            failed.append((dataset, subcategory, type(e).__name__, str(e).split("\n")[0]))
+    return cases, errors.unionByName(spark.createDataFrame(failed, LOAD_ERROR))
+
+
+def _load_errors(rows: DataFrame, dataset: str, subcategory: str, message: Column) -> DataFrame:
+    return rows.select(F.lit(dataset).alias("dataset"), F.lit(subcategory).alias("subcategory"), F.lit("ValueError").alias("error_type"), message.alias("error_message"))
 
 
 def _there(spark: SparkSession, path: str) -> str:
@@ -110,40 +114,45 @@ def _there(spark: SparkSession, path: str) -> str:
     return path
 
 
-_CAPTIONS = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "caption", "caption2", "negative_caption", "filename")])
+CAPTIONS = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "caption", "caption2", "negative_caption", "filename")])
 
 
 def load_separation(spark: SparkSession, paths: dict[str, str], dataset: str, limit: int | None = None) -> Loaded:
-    """JSON documents of caption records by subcategory, a list or an object by id."""
-    def read(subcategory: str, path: str) -> DataFrame:
-        rows = files.read_records(spark, _there(spark, path), _CAPTIONS)
-        return separation_cases(rows.withColumn("_at", F.coalesce(F.col("key").try_cast("long"), F.lit(0))), dataset, subcategory, "key", ["_at", "key"], limit)
+    """JSON documents of caption records by subcategory, a list or an object by id; a document that is none is an error row. limit keeps a document's first cases."""
+    def read(subcategory: str, path: str) -> Loaded:
+        rows = files.read_documents(spark, [_there(spark, path)], CAPTIONS)
+        bad = _load_errors(rows.where("error IS NOT NULL"), dataset, subcategory, F.concat("file", F.lit(": "), "error"))
+        return separation_cases(rows.where("error IS NULL"), dataset, subcategory, "key", ["at"], limit), bad
 
     return _attempt(spark, dataset, {s: (lambda s=s, p=p: read(s, p)) for s, p in paths.items()})
 
 
 def load_ranking(spark: SparkSession, paths: dict[str, str], dataset: str, limit: int | None = None) -> Loaded:
-    """JSON-line files of caption records by configuration."""
-    def read(config: str, path: str) -> DataFrame:
-        good, _ = files.read_objects(spark, [_there(spark, path)], _CAPTIONS)
-        return ranking_cases(good, dataset, config, "id", ["line"], limit)
+    """JSON-line files of caption records by configuration. A bad line is an error row and keeps its place among the lines that are not blank."""
+    def read(config: str, path: str) -> Loaded:
+        lines = files.with_places(files.read_lines(spark, [_there(spark, path)]))
+        good, bad = files.parsed_objects(lines, CAPTIONS, ["place"])
+        return ranking_cases(good, dataset, config, "id", "place", limit), _load_errors(bad, dataset, config, F.col("error_message"))
 
     return _attempt(spark, dataset, {c: (lambda c=c, p=p: read(c, p)) for c, p in paths.items()})
 
 
 def load_choices(spark: SparkSession, names: dict[str, list[str]], roots: Iterable[str], dataset: str, limit: int | None = None, all_files: frozenset[str] = frozenset()) -> Loaded:
-    """CSV files of choices by subcategory: the first file found below roots (also in images, videos and medical), or all of them."""
-    folders = [str(Path(r) / sub) for r in roots for sub in ("", "images", "videos", "medical")]
+    """CSV files of choices by subcategory: the first file found below roots (also in images, videos and medical), or all of them. limit keeps the first rows, by file as found and row."""
+    folders = [f"{r.rstrip('/')}/{sub}".rstrip("/") for r in map(str, roots) for sub in ("", "images", "videos", "medical")]
 
-    def read(subcategory: str) -> DataFrame:
-        found = files.candidates(folders, names[subcategory])
+    def read(subcategory: str) -> Loaded:
+        found = [p for f in folders for n in names[subcategory] if files.exists(spark, p := f"{f}/{n}")]
         if not found:
             raise FileNotFoundError(f"no file of {', '.join(names[subcategory])}")
-        out = spark.createDataFrame([], CASE)
-        for path in found if subcategory in all_files else found[:1]:
+        parts = []
+        for k, path in enumerate(found if subcategory in all_files else found[:1]):
             rows = files.read_csv(spark, [path]).withColumn("_row", F.monotonically_increasing_id())  # one small file, in file order
-            out = out.unionByName(choice_cases(rows, dataset, subcategory, PurePath(path).stem, ["_row"], None))
-        return out if not limit else out.withColumn("_n", F.row_number().over(Window.partitionBy("subcategory").orderBy("case_id"))).where(F.col("_n") <= limit).drop("_n")
+            cases = choice_cases(rows, dataset, subcategory, PurePath(path).stem, ["_row"], limit, kept=["_row"])
+            parts.append(cases.withColumn("_file", F.lit(k)))
+        out = reduce(DataFrame.unionByName, parts)
+        out = out.orderBy("_file", "_row").limit(limit) if limit else out
+        return out.drop("_file", "_row"), spark.createDataFrame([], LOAD_ERROR)
 
     return _attempt(spark, dataset, {s: (lambda s=s: read(s)) for s in names})
 
@@ -179,29 +188,70 @@ def load_scores(spark: SparkSession, paths: list[str]) -> Loaded:
 
 
 def load_traces(spark: SparkSession, paths: list[str]) -> Loaded:
-    """JSON-line files of traces, and errors (file, line, error_type, error_message)."""
-    lines = files.read_lines(spark, paths)
-    return N.split_errors(N.trace_rows(N.records(lines), PurePath(paths[0]).name), ["file", "line"])
+    """JSON-line files of traces, and errors (file, row_index, trace_id, source, subcategory, error_type, error_message).
+
+    Each file counts its own rows, from 1, without blank lines, and gives its name to rows without a source. A row without an id is named by its
+    row, and where there are several files by its file's name too, so no two rows share a made name.
+    """
+    return traces(numbered_by_file(files.read_lines(spark, paths)), len(paths) > 1)
+
+
+def numbered_by_file(lines: DataFrame) -> DataFrame:
+    """Lines (file, line, value) with row_index, their place in their file from 1."""
+    rows = files.with_places(lines, "_all")
+    first = rows.groupBy("file").agg(F.min("_all").alias("_first"))  # a row a file
+    return rows.join(first, "file").withColumn("row_index", F.col("_all") - F.col("_first") + 1).drop("_all", "_first", "line")
+
+
+def traces(rows: DataFrame, by_file: bool = False) -> Loaded:
+    """Rows (file, row_index, value) of JSON texts as traces and errors. by_file: made names hold the file's name."""
+    name = F.regexp_extract("file", r"([^/]+)$", 1)
+    made = F.format_string("visualprm_%06d", F.col("row_index"))
+    made = F.concat(X.clean_label(name), F.lit("_"), made) if by_file else made
+    found = N.trace_rows(N.records(rows), name, "row_index", made)
+    bad = found.where("error IS NOT NULL")
+    known = F.col("error") == "Missing reasoning text"  # the record was an object, so its names count
+    named = [F.when(known, F.col(c)).alias(c) for c in ("trace_id", "source", "subcategory")]
+    errors = bad.select("file", "row_index", *named, F.lit("ValueError").alias("error_type"), F.col("error").alias("error_message"))
+    return found.where("error IS NULL").drop("error"), errors
+
+
+def load_archived_traces(spark: SparkSession, path: str, limit: int | None = None) -> Loaded:
+    """Traces of the JSON-line members of ZIP archives, and errors, of archives and members too. A trace's source is its member's file name, its subcategory the name's label, and its id begins with it; limit takes the first rows, and opens no member behind them."""
+    members = archives.directory(spark, path)
+    index = archives.line_index(members.where(F.col("member").endswith(".jsonl") | F.col("error").isNotNull()))
+    lines = archives.lines(index, limit)
+    lines = lines.select(F.concat("archive", F.lit("::"), "member").alias("file"), (F.col("row_index") + 1).alias("row_index"), "line", "value", F.regexp_extract("member", r"([^/]+)$", 1).alias("source"))
+    records = N.records(lines)
+    records = records.withColumn("error", F.coalesce("error", F.when(N.bad_image(N.R.field(F.col("v"), "image")), "image is not a text")))
+    found = N.trace_rows(records, F.col("source"), "row_index").drop("subcategory", "source").join(lines.select("file", "row_index", "source"), ["file", "row_index"])
+    found = found.withColumn("subcategory", X.clean_label(F.col("source"))).withColumn("trace_id", F.concat("subcategory", F.lit("_"), X.clean_label(F.col("trace_id"))))
+    known = F.col("error") == "Missing reasoning text"
+    errors = found.where("error IS NOT NULL").select("file", "row_index", F.when(known, F.col("trace_id")).alias("trace_id"), "source", "subcategory", F.lit("ValueError").alias("error_type"), F.col("error").alias("error_message"))
+    broken = index.where("error IS NOT NULL").select(F.concat_ws("::", "archive", "member").alias("file"), *[F.lit(None).cast(t).alias(c) for c, t in (("row_index", "long"), ("trace_id", "string"), ("source", "string"), ("subcategory", "string"))], F.lit("BadZipFile").alias("error_type"), F.col("error").alias("error_message"))
+    return found.where("error IS NULL").drop("error"), errors.unionByName(broken)
+
+
+def evaluation_rows(spark: SparkSession, path: str, mode: str = "pair", lines: int | None = None) -> DataFrame:
+    """Evaluation examples of a JSON-line file with error: `pair` records, or the steps of `context` records (question, response.steps, response.process_correctness). A bad record is one row with its error. lines: only so many of the first lines that are not blank are read."""
+    if mode not in ("pair", "context"):
+        raise ValueError(f"unknown input mode: {mode}")
+    found = files.read_lines(spark, [_there(spark, path)]) if lines is None else ranges.first_lines(spark, _there(spark, path), lines)
+    return N.pair_examples(N.records(found)) if mode == "pair" else N.context_steps(N.records(found))
 
 
 def load_evaluation(spark: SparkSession, path: str, mode: str = "pair", max_samples: int | None = None) -> DataFrame:
-    """Evaluation examples of a JSON-line file: `pair` records, or the steps of `context` records (question, steps, step_labels). A bad record raises; max_samples keeps the first."""
-    if mode not in ("pair", "context"):
-        raise ValueError(f"unknown input mode: {mode}")
-    if max_samples is not None and max_samples <= 0:
+    """evaluation_rows, but a bad record raises; max_samples keeps the first examples, and reads the file only as far as they go."""
+    if max_samples is None:
+        return N.strict(evaluation_rows(spark, path, mode))
+    if max_samples <= 0:
         raise ValueError("max_samples must be positive")
-    lines = N.records(files.read_lines(spark, [path]))
-    if mode == "pair":
-        rows = N.strict(N.pair_examples(lines))
-        order = ["row_index"]
-    else:
-        v = F.col("v")
-        fields = {"question": F.try_variant_get(v, "$.question", "string"), "steps": F.try_variant_get(v, "$.steps", "array<string>"), "step_labels": F.try_variant_get(v, "$.step_labels", "array<int>")}
-        meta = F.try_variant_get(v, "$.metadata", "variant")
-        rows = N.strict(lines).select(F.col("line").alias("row_index"), N.named_source(v, meta, False).alias("data_source"), *[c.alias(n) for n, c in fields.items()])
-        rows = P.context_examples(rows)
-        order = ["row_index", "step_index"]
-    return rows if max_samples is None else rows.orderBy(*order).limit(max_samples)
+    lines = max_samples
+    while True:  # a context record may have no step that counts
+        rows = N.strict(evaluation_rows(spark, path, mode, lines))
+        if mode == "pair" or rows.count() >= max_samples or ranges.first_lines(spark, path, lines).count() < lines:
+            return rows.orderBy("row_index", "step_index").limit(max_samples)
+        lines *= 4
 
 
 def load_reward_examples(spark: SparkSession, path: str) -> DataFrame:
@@ -209,17 +259,20 @@ def load_reward_examples(spark: SparkSession, path: str) -> DataFrame:
     return N.strict(N.reward_examples(N.records(files.read_lines(spark, [path])))).drop("file", "line")
 
 
-def load_calibration_weights(path: str) -> dict | None:
-    """weights and bias of a calibration document; None if it is missing or has no weights."""
-    if not Path(path).is_file():
+def _document(spark: SparkSession, path: str) -> dict | None:
+    """A small JSON document at a path of any file system; None if there is none."""
+    if not files.exists(spark, path):
         return None
-    found = json.loads(Path(path).read_text())
-    return found if isinstance(found.get("weights"), dict) else None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def load_calibration_weights(spark: SparkSession, path: str) -> dict | None:
+    """weights and bias of a calibration document; None if it is missing or has no weights."""
+    found = _document(spark, path)
+    return found if found is not None and isinstance(found.get("weights"), dict) else None
 
 
-def load_selected_tau(path: str) -> float | None:
+def load_selected_tau(spark: SparkSession, path: str) -> float | None:
     """The threshold that a calibration document chose."""
-    if not Path(path).is_file():
-        return None
-    tau = json.loads(Path(path).read_text()).get("tau")
+    tau = (_document(spark, path) or {}).get("tau")
     return None if tau is None else float(tau)

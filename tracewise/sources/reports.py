@@ -84,10 +84,10 @@ def rebuild_tables(spark: SparkSession, caption: list[str], numeric: list[str],
     create_layout(root)
     (caption_rows, caption_errors), (numeric_rows, numeric_errors) = loaders.load_scores(spark, caption), loaders.load_scores(spark, numeric)
     predicted = loaders.load_scores(spark, predictions)[0] if predictions else None
-    model = loaders.load_calibration_weights(best) if best else None
+    model = loaders.load_calibration_weights(spark, best) if best else None
     rewards = L.collected(caption_rows, numeric_rows, predicted, model and model["weights"], float((model or {}).get("bias") or 0.0), kappa).cache()
     tables = {name: (t, [c for c in REWARD_COLUMNS if c in t.columns]) for name, t in L.reward_tables(rewards).items()}
-    sensitivity = L.sensitivity_table(L.sensitivity_scores(caption_rows, numeric_rows, predicted), loaders.load_selected_tau(best) if best else None)
+    sensitivity = L.sensitivity_table(L.sensitivity_scores(caption_rows, numeric_rows, predicted), loaders.load_selected_tau(spark, best) if best else None)
     tables["tau_sensitivity"] = sensitivity.orderBy("scorer", "score_field", "tau"), list(SENSITIVITY_COLUMNS)
     out = {}
     for name, (table, columns) in tables.items():

@@ -113,3 +113,17 @@ def test_catalogue():
     known, rules = licenses.catalogue()
     assert len(known) > 900 and len(rules) > 100 and all(" " in s for s in known)
     assert {p for _, parts in rules for p in parts} <= set(known.values()) and rules[: len(licenses.RULES)] == licenses.RULES
+
+
+@pytest.mark.parametrize("width", [16, 24])
+def test_sentences_over_any_number_of_lines(spark, width):
+    """Paragraphs wrapped to two words a line or so: the grants go over some forty lines, and are known as they are over five."""
+    import textwrap
+
+    def narrow(text):
+        return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+
+    rows = [(name, "# " + narrow(text).replace("\n", "\n# ")) for name, (text, _) in WHOLE.items() if name in ("MIT", "GPL-3.0-or-later")]
+    assert max(t.count("\n") for _, t in rows) > 50
+    got = licenses.scanned(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert [[(m["license"], m["end"] - m["first"]) for m in r["matches"]] for r in got] == [[(name, WHOLE[name][1])] for name, _ in rows]

@@ -15,7 +15,7 @@ lower-cased, each run of other characters than ASCII letters and digits a space,
 sentences do not count.
 
 A known sentence may also go over lines that begin with indentation, comment marks, digits or
-capitals, though not over a blank line or more than MOST_LINES lines: its pieces are joined to one sentence.
+capitals, though not over a blank line: its pieces are joined to one sentence, as many of them as it has words.
 Its first line must hold its first two words. A list number or
 letter before it (`1.`, `2)`, `(a)`) is not a sentence of its own. All other sentences stay as above.
 Comment marks are signs; words such as `dnl` or `REM` are not taken for marks.
@@ -99,8 +99,8 @@ def normalised(text: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text).lower().split())
 
 
-#: Lines that a known sentence may go over, and sentences that a run of a whole license must have to be a rule.
-MOST_LINES, LEAST_RUN = 24, 3
+#: Sentences that a run of a whole license must have to be a rule.
+LEAST_RUN = 3
 #: Sentences of a part of a long run, and lists that the beginnings of known sentences are looked up in.
 PART, BUCKETS = 8, 64
 
@@ -181,8 +181,11 @@ def _found(pieces: Column) -> Column:
     if any(len(ns) > 1 for ns in table.values()):
         raise ValueError("two known sentences share a key")
     texts = _constant(names, "array<string>")
-    begun = {zlib.crc32(" ".join(s.split(" ")[:2]).encode()) for s in names}
-    starts = _constant([sorted(k for k in begun if k % BUCKETS == b) for b in range(BUCKETS)], "array<array<bigint>>")
+    words: dict[int, int] = {}  # of sentences that begin with two words, the most words: each line of one holds at least a word
+    for s in names:
+        key = zlib.crc32(" ".join(s.split(" ")[:2]).encode())
+        words[key] = max(words.get(key, 0), len(s.split(" ")))
+    starts = _constant([[{"key": k, "words": n} for k, n in sorted(words.items()) if k % BUCKETS == b] for b in range(BUCKETS)], "array<array<struct<key:bigint,words:int>>>")
     longest = max(map(len, names))
 
     def looked_up(sentence: Column) -> Column:
@@ -192,12 +195,13 @@ def _found(pieces: Column) -> Column:
 
     def at(piece: Column, i: Column) -> Column:
         first = _text(piece, True)
-        near = F.slice(pieces, i + 1, F.lit(MOST_LINES))
+        key = _key(F.substring_index(first, " ", 2))
+        most = F.get(F.filter(F.get(starts, (key % BUCKETS).cast("int")), lambda s: s["key"] == key), 0)["words"]
+        near = F.slice(pieces, i + 1, F.coalesce(most, F.lit(1)))
         open_ = F.coalesce(F.nullif(F.array_position(F.transform(near, lambda p: ~F.endswith(p, F.lit("\u0002"))), True), F.lit(0).cast("long")), F.size(near).cast("long")).cast("int")
         tries = F.transform(F.sequence(open_, F.lit(1), F.lit(-1)), lambda k: F.struct(looked_up(F.concat_ws(" ", first, F.when(k > 1, F.array_join(F.transform(F.slice(near, 2, k - 1), lambda p: _text(p, False)), " ")))).alias("n"), k.alias("k")))
         best = F.try_element_at(F.filter(tries, lambda t: t["n"].isNotNull()), F.lit(1))
-        key = _key(F.substring_index(first, " ", 2))
-        return F.when(F.array_contains(F.get(starts, (key % BUCKETS).cast("int")), key), best)
+        return F.when(most.isNotNull(), best)
 
     return F.transform(pieces, at)
 
@@ -219,8 +223,9 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_lic_found", _found(F.col("_lic_pieces")))
     # pieces that a known sentence before them goes over are none of their own, nor is a bare list number before one
     found, pieces = F.col("_lic_found"), F.col("_lic_pieces")
-    before = lambda i: F.slice(found, F.greatest(i - MOST_LINES + 2, F.lit(1)), F.least(i, F.lit(MOST_LINES - 1)))
-    over = lambda i: F.exists(F.transform(before(i), lambda f, k: F.coalesce(f["k"] > F.least(i, F.lit(MOST_LINES - 1)) - k, F.lit(False))), lambda x: x)
+    wide = F.filter(F.transform(found, lambda f, i: F.struct(i.alias("at"), (i + f["k"]).alias("end"))), lambda x: x["end"] > x["at"] + 1)
+    rows = rows.withColumn("_lic_wide", wide)
+    over = lambda i: F.exists("_lic_wide", lambda x: (x["at"] < i) & (x["end"] > i))
     bare = lambda p, i: p.rlike("^\u0003[a-z0-9]{1,2}\\z") & F.get(found, i + 1).isNotNull()
     ids = F.filter(F.transform(pieces, lambda p, i: F.when(over(i) | bare(p, i), F.lit(-1)).otherwise(F.coalesce(F.get(found, i)["n"], F.lit(0)))), lambda n: n >= 0)
     any_ = F.exists(found, lambda f: f.isNotNull())

@@ -46,7 +46,7 @@ from tracewise.llm.shared import held, new_path, small_batches, spread_join, wri
 from tracewise.llm.tokens import byte_letters, check_supported
 
 #: A block of documents ends after so many stretches, or bytes of distinct ones, and the batch that reaches it.
-OCCURRENCES, DICTIONARY_BYTES = 800_000, 32 << 20
+OCCURRENCES, DICTIONARY_BYTES = 400_000, 32 << 20
 #: Pairs of ids that are broadcast, at most: about 100 MB.
 PAIRS = 2_000_000
 #: Buckets of the tables of blocks, at most: the engine's own bound.

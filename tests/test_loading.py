@@ -166,7 +166,7 @@ def test_objects_take_linear_time(text):
 def test_first_lines_read_little(spark, tmp_path, monkeypatch):
     """Samples come from the first ranges of a file: what is behind them is neither parsed nor read."""
     path = tmp_path / "f.jsonl"
-    record = lambda k: json.dumps({"anchor": f"a{k}", "generated": "g" * (k % 90), "compatibility_label": k % 2})
+    record = lambda k: json.dumps({"anchor": f"a{k}", "generated": "g" * (k % 90 + 1), "compatibility_label": k % 2})
     path.write_text("\n" + "\n\n".join(record(k + 1) for k in range(3000)) + "\n{broken\n" + "x" * 400_000)
     read = []
     real = DataFrameReader.options

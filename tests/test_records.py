@@ -210,6 +210,13 @@ def test_grid_and_layout(tmp_path):
     assert reports.parameter_grid(a=[1, 2], b=["x"]) == [{"a": 1, "b": "x"}, {"a": 2, "b": "x"}]
     assert reports.run_stamp().startswith("run_2") and reports.now().endswith("+00:00")
     assert (reports.create_layout(str(tmp_path / "r")) / "tables").is_dir()
+    store = f"file://{tmp_path}/store"  # a root as Spark names it
+    assert (reports.create_layout(store) / "logs").is_dir()
+    reports.log_line(store, "one")
+    reports.log_line(store, "two")
+    assert [x.split("] ")[1] for x in (tmp_path / "store" / "logs" / "run.log").read_text().splitlines()] == ["one", "two"]
+    with pytest.raises(FileExistsError):
+        reports.create_layout(store)
 
 
 def test_orders_and_places(spark):

@@ -81,3 +81,11 @@ def test_tables_of_word_vectors(spark, tmp_path, monkeypatch):
     rows = V.score_pairs(df, "gone").collect()
     assert len(rows) == 6 and all(r["raw_score"] is None and "FileNotFoundError" in r["error"] for r in rows)
     V.SCORERS.pop("abc"), V.SCORERS.pop("gone")
+
+
+def test_lexical_stays_in_the_engine(spark):
+    texts = [("a B c", "b\u3000C d"), ("", None), (None, "x"), ("same same", "same"), ("é Ä", "ä é")]
+    df = spark.createDataFrame(texts, "text_a string, text_b string")
+    rows = V.score_pairs(df, "lexical")
+    assert [r["raw_score"] for r in rows.collect()] == V.lexical(*[[t or "" for t in side] for side in zip(*texts)])["raw_score"]
+    assert "Arrow" not in rows._jdf.queryExecution().executedPlan().toString() and rows.columns == ["text_a", "text_b", "scorer", "raw_score", "error"]

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewise.functions import text as X
+
 Scorer = Callable[[list[str], list[str]], dict[str, list[float]]]
 
 
@@ -92,8 +94,23 @@ SCORERS: dict[str, tuple[Scorer, tuple[str, ...]]] = {
 }
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"[{X.SPACE}]+"), lambda w: w != "")
+
+
+def lexical_columns(a: Column, b: Column) -> dict[str, Column]:
+    """lexical as expressions, so that no row leaves the JVM."""
+    p, q = _words(a), _words(b)
+    return {"raw_score": F.coalesce(F.try_divide(F.size(F.array_intersect(p, q)).cast("double"), F.size(F.array_union(p, q)).cast("double")), F.lit(0.0))}
+
+
+#: Scorers that are expressions: they take two columns and give a column for each field.
+EXPRESSIONS: dict[str, Callable[[Column, Column], dict[str, Column]]] = {"lexical": lexical_columns}
+
+
 def register(name: str, scorer: Scorer, fields: tuple[str, ...]) -> None:
     """Adds a scorer with the fields that it returns. Load a model on first call, so a worker holds one."""
+    EXPRESSIONS.pop(name, None)
     SCORERS[name] = (scorer, fields)
 
 
@@ -143,6 +160,9 @@ def register_table(name: str, path: str, word: str = "word", vector: str = "vect
 def score_pairs(pairs: DataFrame, name: str, a: str = "text_a", b: str = "text_b") -> DataFrame:
     """pairs with scorer, its fields and error (null if the batch was scored). An unknown scorer gives errors."""
     scorer, fields = SCORERS.get(name, (None, ("raw_score",)))
+    if name in EXPRESSIONS:
+        made = EXPRESSIONS[name](F.col(a), F.col(b))
+        return pairs.select("*", F.lit(name).alias("scorer"), *[made[f].alias(f) for f in fields], F.lit(None).cast("string").alias("error"))
     schema = T.StructType([*pairs.schema.fields, T.StructField("scorer", T.StringType()), *[T.StructField(f, T.DoubleType()) for f in fields], T.StructField("error", T.StringType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,12 +6,14 @@ from datetime import datetime, timezone
 from itertools import product
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewise.operators import aggregate as A
 from tracewise.operators import collect as L
 from tracewise.sources import files, loaders
+from tracewise.sources.archives import opened
 
 FOLDERS = ("configs", "data", "raw", "tables", "errors", "logs")
 #: The columns of a calibration table, in their order.
@@ -34,21 +36,28 @@ def run_stamp() -> str:
 
 
 def create_layout(root: str, folders: tuple[str, ...] = FOLDERS, fresh: bool = True) -> Path:
-    """The folder of a run with its parts; with fresh, one that holds anything is an error."""
-    path = Path(root)
-    if fresh and path.exists() and any(path.iterdir()):
+    """The folder of a run with its parts, on a file system that pyarrow opens; with fresh, one that holds anything is an error."""
+    store, name = opened(root)
+    if fresh and store.get_file_info(name).type == fs.FileType.Directory and store.get_file_info(fs.FileSelector(name)):
         raise FileExistsError(f"the folder is not empty: {root}")
     for f in folders:
-        (path / f).mkdir(parents=True, exist_ok=True)
-    return path
+        store.create_dir(f"{name}/{f}", recursive=True)
+    return Path(name)
 
 
 def log_line(root: str, text: str, name: str = "run.log") -> None:
     """Adds a line with the time to the run's log."""
-    path = Path(root) / "logs" / name
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("a", encoding="utf-8") as f:
-        f.write(f"[{now()}] {text}\n")
+    store, folder = opened(f"{root}/logs")
+    store.create_dir(folder, recursive=True)
+    with store.open_append_stream(f"{folder}/{name}") as f:
+        f.write(f"[{now()}] {text}\n".encode())
+
+
+def write_text(path: str, text: str) -> None:
+    """A small document beside the tables, on the same file system."""
+    store, name = opened(path)
+    with store.open_output_stream(name, compression=None) as f:
+        f.write(text.encode())
 
 
 def parameter_grid(**choices: list) -> list[dict]:
@@ -93,7 +102,7 @@ def rebuild_tables(spark: SparkSession, caption: list[str], numeric: list[str],
     for name, (table, columns) in tables.items():
         out[name] = f"{root}/tables/{name}"
         files.write_csv(table, out[name], columns)
-        Path(f"{out[name]}.md").write_text(files.markdown(table, columns))
+        write_text(f"{out[name]}.md", files.markdown(table, columns))
     files.write_jsonl(caption_errors.unionByName(numeric_errors), f"{root}/errors/load_errors")
     log_line(root, f"{len(out)} tables")
     rewards.unpersist()

@@ -185,7 +185,8 @@ def _found(pieces: Column) -> Column:
     for s in names:
         key = zlib.crc32(" ".join(s.split(" ")[:2]).encode())
         words[key] = max(words.get(key, 0), len(s.split(" ")))
-    starts = _constant([[{"key": k, "words": n} for k, n in sorted(words.items()) if k % BUCKETS == b] for b in range(BUCKETS)], "array<array<struct<key:bigint,words:int>>>")
+    begun = [[k for k in sorted(words) if k % BUCKETS == b] for b in range(BUCKETS)]
+    starts, lengths = _constant(begun, "array<array<bigint>>"), _constant([[words[k] for k in ks] for ks in begun], "array<array<int>>")
     longest = max(map(len, names))
 
     def looked_up(sentence: Column) -> Column:
@@ -196,12 +197,13 @@ def _found(pieces: Column) -> Column:
     def at(piece: Column, i: Column) -> Column:
         first = _text(piece, True)
         key = _key(F.substring_index(first, " ", 2))
-        most = F.get(F.filter(F.get(starts, (key % BUCKETS).cast("int")), lambda s: s["key"] == key), 0)["words"]
-        near = F.slice(pieces, i + 1, F.coalesce(most, F.lit(1)))
+        bucket = (key % BUCKETS).cast("int")
+        most = F.element_at(F.get(lengths, bucket), F.array_position(F.get(starts, bucket), key).cast("int"))
+        near = F.slice(pieces, i + 1, most)
         open_ = F.coalesce(F.nullif(F.array_position(F.transform(near, lambda p: ~F.endswith(p, F.lit("\u0002"))), True), F.lit(0).cast("long")), F.size(near).cast("long")).cast("int")
         tries = F.transform(F.sequence(open_, F.lit(1), F.lit(-1)), lambda k: F.struct(looked_up(F.concat_ws(" ", first, F.when(k > 1, F.array_join(F.transform(F.slice(near, 2, k - 1), lambda p: _text(p, False)), " ")))).alias("n"), k.alias("k")))
         best = F.try_element_at(F.filter(tries, lambda t: t["n"].isNotNull()), F.lit(1))
-        return F.when(most.isNotNull(), best)
+        return F.when(F.array_contains(F.get(starts, bucket), key), best)
 
     return F.transform(pieces, at)
 

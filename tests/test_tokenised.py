@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tracewise.operators import generation as G
+from tracewise.operators import normalise as N
 from tracewise.operators import scorers as V
 from tracewise.operators import tokenised as K
 
@@ -89,3 +91,19 @@ def test_lexical_stays_in_the_engine(spark):
     rows = V.score_pairs(df, "lexical")
     assert [r["raw_score"] for r in rows.collect()] == V.lexical(*[[t or "" for t in side] for side in zip(*texts)])["raw_score"]
     assert "Arrow" not in rows._jdf.queryExecution().executedPlan().toString() and rows.columns == ["text_a", "text_b", "scorer", "raw_score", "error"]
+
+
+def test_error_profiles_and_chat_templates(spark):
+    rows = spark.createDataFrame([("p", "s", 1, 300, 10), ("q", "s", 2, 5, 4090), ("r", "s", 3, 5, 10)], "pair_id string, source_sample_id string, step_index int, anchor_tokens int, prompt_tokens int")
+    errors = G.gate_errors(rows)
+    got = {r["pair_id"]: r for r in N.profiled_errors(errors).collect()}
+    assert (got["p"]["error_type"], got["p"]["observed_tokens"], got["p"]["limit"], got["p"]["prompt_tokens"]) == ("DebertaAnchorTooLong", 300, 224, None)
+    assert (got["q"]["error_message"], got["q"]["prompt_tokens"], got["q"]["max_output_tokens"], got["q"]["min_output_tokens"], got["q"]["limit"]) == ("Prompt and output budget do not fit the context window", 4090, 6, 64, 4096) and "r" not in got
+    assert "step_index" not in N.profiled_errors(errors).columns and N.profiled_errors(errors, "audit").columns[-2:] == ["source_sample_id", "step_index"]
+    with pytest.raises(ValueError):
+        N.profiled_errors(errors, "all")
+    prompts = spark.createDataFrame([("hi",), ("you",)], "prompt string")
+    template = lambda: lambda messages: "".join(f"<{m['role']}>{m['content']}" for m in messages) + "<assistant>"
+    assert [r["rendered"] for r in G.rendered(prompts, template).collect()] == ["<user>hi<assistant>", "<user>you<assistant>"]
+    assert [(r["rendered"], r["error"]) for r in G.rendered(prompts).collect()] == [("hi", None), ("you", None)]
+    assert all("KeyError" in r["error"] and r["rendered"] is None for r in G.rendered(prompts, lambda: lambda m: m[0]["none"]).collect())

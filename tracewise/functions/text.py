@@ -44,6 +44,11 @@ def ordered_unique(*arrays: Column) -> Column:
 SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
+def filled(text: Column) -> Column:
+    """Whether a text is more than white space."""
+    return text.rlike(f"[^{SPACE}]")
+
+
 #: What is left of a segment without content: nothing, a marker, or a step number.
 _MARKER = f"(?i)\\A(?:{'|'.join(m.replace(' ', ' +') for m in MARKERS)}|(?:step *)?[0-9]+[a-z]?)?\\z"
 

@@ -86,7 +86,34 @@ def gated(requests: DataFrame, max_anchor: int = 224, max_model_len: int = 4096,
     return rows.withColumn("error_type", F.when(F.col("anchor_tokens") > max_anchor, "DebertaAnchorTooLong").when(overflow, "QwenContextOverflow"))
 
 
+#: What errors of the gates say.
+GATE_MESSAGES = {"DebertaAnchorTooLong": "Anchor exceeds the configured DeBERTa token limit", "QwenContextOverflow": "Prompt and output budget do not fit the context window"}
+
+
+def gate_errors(requests: DataFrame, max_anchor: int = 224, max_model_len: int = 4096, least_output: int = 64, cap: int = 512) -> DataFrame:
+    """Of requests (anchor_tokens, prompt_tokens, ...) those that do not fit, with error_type, error_message and the details of their error: observed_tokens and limit, or prompt_tokens, max_output_tokens, min_output_tokens and limit. The others of these are null."""
+    rows = gated(requests, max_anchor, max_model_len, least_output, cap).where("error_type IS NOT NULL")
+    anchor = F.col("error_type") == "DebertaAnchorTooLong"
+    message = F.create_map(*[F.lit(x) for kv in GATE_MESSAGES.items() for x in kv])
+    details = {"observed_tokens": F.when(anchor, F.col("anchor_tokens")), "limit": F.when(anchor, F.lit(max_anchor)).otherwise(F.lit(max_model_len)), "min_output_tokens": F.when(~anchor, F.lit(least_output))}
+    details |= {c: F.when(~anchor, F.col(c)) for c in ("prompt_tokens", "max_output_tokens")}
+    return rows.withColumns({"error_message": F.try_element_at(message, "error_type"), **details}).drop("anchor_tokens")
+
+
 Generator = Callable[[list[str]], list[str]]
+Template = Callable[[list[dict[str, str]]], str]
+
+
+def rendered(requests: DataFrame, make: Callable[[], Template] | None = None, prompt: str = "prompt") -> DataFrame:
+    """requests with their prompt as a chat's user turn in a model's template: make() gives a worker its template, once, a function from messages (role, content) to text. Without one the prompt stays as it is; a template that fails gives its error on the batch's rows."""
+    if make is None:
+        return requests.withColumns({"rendered": F.col(prompt), "error": F.lit(None).cast("string")})
+
+    def batches() -> Generator:
+        own = make()
+        return lambda prompts: [own([{"role": "user", "content": p}]) for p in prompts]
+
+    return generated(requests, batches, prompt).withColumnRenamed("output", "rendered")
 
 
 def generated(requests: DataFrame, make: Callable[[], Generator], prompt: str = "prompt") -> DataFrame:

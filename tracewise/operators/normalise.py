@@ -34,6 +34,8 @@ PROFILES = {
     "audit": ("generation_type", "generation_seed", "in_context_example_ids", "prompt_tokens", "anchor_tokens", "max_output_tokens"),
     "debug": ("generation_backend", "generation_model", "prompt_version", "prompt", "raw_output"),
 }
+#: What errors of generation tell beside their type and message.
+ERROR_DETAILS = ("observed_tokens", "prompt_tokens", "max_output_tokens", "min_output_tokens", "limit")
 
 
 def split_errors(rows: DataFrame, kept: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -403,9 +405,18 @@ def numeric_pair_rows(cases: DataFrame) -> DataFrame:
     return rows.select(*base, "text_a", "_p.*").where("text_a <> '' AND text_b <> ''")
 
 
-def profiled(pairs: DataFrame, profile: str = "train") -> DataFrame:
-    """The columns of an output profile: audit has those of train too, debug those of audit."""
+def _profile(profile: str) -> list[str]:
     if profile not in PROFILES:
         raise ValueError(f"unknown profile: {profile}")
-    wanted = [c for name in ("train", "audit", "debug")[: ("train", "audit", "debug").index(profile) + 1] for c in PROFILES[name]]
-    return pairs.select(*[c for c in wanted if c in pairs.columns])
+    return [c for name in ("train", "audit", "debug")[: ("train", "audit", "debug").index(profile) + 1] for c in PROFILES[name]]
+
+
+def profiled(pairs: DataFrame, profile: str = "train") -> DataFrame:
+    """The columns of an output profile: audit has those of train too, debug those of audit."""
+    return pairs.select(*[c for c in _profile(profile) if c in pairs.columns])
+
+
+def profiled_errors(errors: DataFrame, profile: str = "train") -> DataFrame:
+    """Errors of requests in an output profile: what was wrong with its details, and in audit and debug the request too, without a generated text."""
+    wanted = ["pair_id", "error_type", "error_message", *ERROR_DETAILS] + ([] if profile == "train" else [c for c in _profile(profile) if c != "generated"])
+    return errors.select(*[c for c in dict.fromkeys(wanted) if c in errors.columns])

@@ -470,3 +470,17 @@ k AS (SELECT *, CASE WHEN la + lb <= 9 THEN lb ELSE 9 - ka END AS kb FROM l),
 i AS (SELECT *, list_transform(a[1:ka], lambda x: ('0x' || substr(md5(x), 1, 4))::INT) AS ia, list_transform(b[1:kb], lambda x: ('0x' || substr(md5(x), 1, 4))::INT) AS ib FROM k)
 SELECT c_custkey, array_to_string([1] || ia || [2] || ib || [2] || list_transform(range(9 - ka - kb), lambda x: 0), ',') AS input_ids, (3 + ka + kb)::INT AS length, (3 + la + lb)::INT AS n_tokens, la + lb > 9 AS truncated, labels, NULL::VARCHAR AS error FROM i""",
 }
+
+SQL |= {
+    "table_files": f"WITH r AS ({SQL['reward_by_dataset']}) SELECT form, r.* FROM r, (SELECT unnest(['csv', 'jsonl', 'staged', 'parquet']) AS form)",
+    "state_stream": SQL["state_latest"],
+    "numbered_lines": """WITH o AS (SELECT o_orderkey AS k, 'part' || o_orderkey % 4 AS file FROM orders)
+SELECT file, row_number() OVER w + COALESCE(count(*) FILTER (k % 5 = 0) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line, 'row_' || lpad((row_number() OVER (ORDER BY file, k))::VARCHAR, 12, '0') AS row_id, k FROM o WINDOW w AS (PARTITION BY file ORDER BY k)""",
+    "archive_counts": f"WITH {_ARCHIVED} SELECT archive, count(*)::BIGINT AS n FROM b GROUP BY archive",
+}
+
+SQL["gate_errors"] = f"""WITH c AS (SELECT doc_id, source, string_split(text, chr(10))[1] AS anchor, COALESCE(len({_WORDS.format("string_split(text, chr(10))[1]")}), 0)::INT AS a, COALESCE(len({_WORDS.format("text")}), 0)::INT AS p FROM documents),
+b AS (SELECT *, greatest(0, least(greatest(64, floor(a * 1.1::DOUBLE)::INT + 16), 1024 - p, 512))::INT AS m FROM c)
+SELECT doc_id AS pair_id, CASE WHEN a > 224 THEN 'DebertaAnchorTooLong' ELSE 'QwenContextOverflow' END AS error_type, CASE WHEN a > 224 THEN 'Anchor exceeds the configured DeBERTa token limit' ELSE 'Prompt and output budget do not fit the context window' END AS error_message,
+  CASE WHEN a > 224 THEN a END AS observed_tokens, CASE WHEN a <= 224 THEN p END AS prompt_tokens, CASE WHEN a <= 224 THEN m END AS max_output_tokens, CASE WHEN a <= 224 THEN 64 END AS min_output_tokens, CASE WHEN a > 224 THEN 224 ELSE 1024 END AS "limit", source AS source_sample_id, md5(anchor) AS anchor
+FROM b WHERE a > 224 OR m < 64 OR p + m > 1024"""

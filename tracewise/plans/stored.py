@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewise.operators import generation as G
 from tracewise.operators import normalise as N
 from tracewise.operators import scorers as V
 from tracewise.operators import tokenised as K
-from tracewise.plans.queries import query, state_log
+from tracewise.plans.queries import query, reward_by_dataset, state_log
 from tracewise.session import scratch
 from tracewise.sources import adapters as D
 from tracewise.sources import archives as Z
 from tracewise.sources import files, loaders
+from tracewise.streaming import state as S
 from tracewise.streaming.snapshots import StateTable
 
 
@@ -162,3 +164,51 @@ def training_pairs(spark, d):
     pairs = D.table(spark, d, "customer").select(k, F.array_join(F.array_repeat("c_name", (k % 9).cast("int")), " ").alias("anchor"), F.array_join(F.array_repeat(F.concat_ws(" ", "c_mktsegment", "c_name"), (k % 7).cast("int")), " ").alias("generated"), (k % 2).alias("label"))
     rows = K.training_pairs(pairs, "words", "anchor", "generated", 12, "label", ([1], [2], [2]), 0)
     return rows.select("c_custkey", F.array_join("input_ids", ",").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).alias("length"), "n_tokens", "truncated", "labels", "error")
+
+
+@query
+def table_files(spark, d):
+    """A reward table written as CSV, JSON lines and Parquet, and read from each."""
+    table, root = reward_by_dataset(spark, d), scratch(spark, "tables")
+    files.write_csv(table, f"{root}/csv", table.columns)
+    files.write_jsonl(table, f"{root}/rows.jsonl")
+    files.write_parquet(table, f"{root}/parquet")
+    read = {"csv": files.read_csv(spark, [f"{root}/csv"]), "jsonl": files.read_jsonl(spark, f"{root}/rows.jsonl", table.schema), "staged": files.load_staged(spark, f"{root}/rows.jsonl", table.schema), "parquet": files.load_staged(spark, f"{root}/parquet", columns=table.columns)}
+    parts = [rows.select(F.lit(form).alias("form"), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema]) for form, rows in read.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query
+def state_stream(spark, d):
+    """Events as result files, which a stream takes into the log until none are left; then the last result of each key."""
+    root = scratch(spark, "stream")
+    results = state_log(spark, d).drop("status")
+    results.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{root}/in")
+    S.ingest(spark, f"{root}/in", f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    return S.latest(S.load(spark, f"{root}/log")).select("pair_id", "status", "pair_json", "error_json")
+
+
+@query
+def numbered_lines(spark, d):
+    """Lines of four files, every fifth followed by a blank one, with their numbers in the file and ids over all files."""
+    k = F.col("o_orderkey")
+    value = F.concat(F.to_json(F.struct(k.alias("k"), "o_orderpriority")), F.when(k % 5 == 0, "\n \t").otherwise(""))
+    rows = D.table(spark, d, "orders").select(k.alias("line"), F.concat(F.lit("part"), (k % 4).cast("string")).alias("name"), value.alias("value"))
+    lines = files.with_row_ids(_lines_of(_files(rows, spark, "orders", F.col("name"), F.col("line"), F.col("value")), spark))
+    return lines.select("file", "line", "row_id", F.get_json_object("value", "$.k").cast("long").alias("k"))
+
+
+@query
+def archive_counts(spark, d):
+    """Rows of each archive."""
+    rows = Z.lines(Z.strict(Z.line_index(_conversation_archives(spark, d))))
+    return files.count_zip_rows(rows).select(_archive_name().alias("archive"), "n")
+
+
+@query
+def gate_errors(spark, d):
+    """Documents that do not fit the gates, as error records of the audit profile."""
+    docs = D.table(spark, d, "documents").select(F.col("doc_id").alias("pair_id"), "source", F.substring_index("text", "\n", 1).alias("anchor"), F.col("text").alias("prompt"))
+    counted = K.gated_texts(docs, "words", "words", max_model_len=1024).drop("max_output_tokens", "error_type")
+    errors = G.gate_errors(counted.withColumnsRenamed({"source": "source_sample_id"}), max_model_len=1024)
+    return N.profiled_errors(errors, "audit").withColumn("anchor", F.md5("anchor"))

@@ -40,7 +40,7 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = first.select("file", "start", (before - F.col("first") + 1).alias("shift"))
     rows = made.join(first, ["file", "start"]).select("file", (F.col("id") + F.col("shift")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
-    return rows.where(F.trim("value") != "")
+    return rows.where(X.filled(F.col("value")))
 
 
 def read_objects(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:

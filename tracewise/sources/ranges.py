@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tracewise.functions import text as X
 from tracewise.sources.archives import buffered, opened
 
 #: Bytes of a range.
@@ -71,7 +72,7 @@ def first_lines(spark: SparkSession, path: str, wanted: int, step: int = RANGE_B
     source = lambda a, b: spark.read.format("line_ranges").options(path=path, size=size, step=step, first=a, last=b).load()
     while first < ranges and held < wanted:
         last = min(last, ranges)
-        counts = {r["range"]: r for r in source(first, last).groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.trim("value") != "").alias("filled")).collect()}  # a row a range
+        counts = {r["range"]: r for r in source(first, last).groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.count_if(X.filled(F.col("value"))).alias("filled")).collect()}  # a row a range
         for k in range(first, last):
             counted.append((k, before, held))
             before, held = before + (counts[k]["n"] if k in counts else 0), held + (counts[k]["filled"] if k in counts else 0)
@@ -79,6 +80,6 @@ def first_lines(spark: SparkSession, path: str, wanted: int, step: int = RANGE_B
                 break
         first, last = last, last + 2 * (last - first)
     at = spark.createDataFrame(counted, "range int, before long, filled long")
-    rows = source(0, len(counted)).join(F.broadcast(at), "range").where(F.trim("value") != "")
+    rows = source(0, len(counted)).join(F.broadcast(at), "range").where(X.filled(F.col("value")))
     place = F.col("filled") + F.row_number().over(Window.partitionBy("range").orderBy("n"))
     return rows.withColumn("_place", place).where(F.col("_place") <= wanted).select(F.lit(path).alias("file"), (F.col("before") + F.col("n")).alias("line"), "value")

@@ -163,6 +163,10 @@ def _draws(seed: Column, size: Column, k: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<bigint>"), drawn)
 
 
+#: Items of a pool that are broadcast to their requests, at most; the places of a larger one are many keys.
+SMALL_POOL = 100_000
+
+
 def per_request_sample(requests: DataFrame, pool: DataFrame, on: str, request: str, item: str, k: int, short: str = "raise", seed: int = 42) -> DataFrame:
     """(request, items): k distinct pool items of the request's kind, drawn by the request's generation_seed.
 
@@ -178,6 +182,8 @@ def per_request_sample(requests: DataFrame, pool: DataFrame, on: str, request: s
         message = F.concat(F.lit(f"{k} items asked of the pool "), F.coalesce(F.col(on).cast("string"), F.lit("null")), F.lit(" of "), size.cast("string"))
         size = F.when(size < k, F.raise_error(message).cast("long")).otherwise(size)
     drawn = asked.select(request, F.col(on).alias("_kind"), F.posexplode(_draws(F.coalesce(F.col("generation_seed"), F.lit(0)), size.cast("long"), k)).alias("_j", "_place"))
+    if items.count() <= SMALL_POOL:  # of few places each has many requests
+        items = F.broadcast(items)
     found = drawn.join(items, (F.col("_kind") == F.col("_on")) & (drawn["_place"] == items["_place"]))
     picked = F.transform(F.array_sort(F.collect_list(F.struct("_j", "_item"))), lambda x: x["_item"])
     return found.groupBy(request).agg(picked.alias("items"))

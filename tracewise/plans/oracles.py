@@ -409,17 +409,18 @@ SELECT dataset, count(DISTINCT case_id)::BIGINT AS n_cases, count(*)::BIGINT AS
 }
 
 _ARCHIVED = """t AS (SELECT conv_id, string_split(string_agg(text, chr(10) ORDER BY turn), chr(10)) AS ls FROM conversations GROUP BY conv_id),
-a AS (SELECT printf('part-%02d', conv_id % 8) AS archive, printf('conv/%012d.jsonl', conv_id) AS member, unnest(ls) AS value, generate_subscripts(ls, 1)::BIGINT AS line FROM t),
+a AS (SELECT 'part-' || conv_id % 4 || printf('-%06d', conv_id // 100000) AS archive, printf('conv/%012d.jsonl', conv_id) AS member, unnest(ls) AS value, generate_subscripts(ls, 1)::BIGINT AS line FROM t),
 b AS (SELECT archive, member, line, row_number() OVER (ORDER BY archive, member, line) - 1 AS row_index, sha256(CASE WHEN value LIKE '%' || chr(13) THEN value[:-2] ELSE value END) AS digest FROM a WHERE trim(value, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '')"""
 
 SQL |= {
     "archive_lines": f"WITH {_ARCHIVED} SELECT * FROM b",
     "archive_rows": f"WITH {_ARCHIVED} SELECT p_partkey AS position, row_index, member, line, digest FROM b JOIN part ON row_index = p_partkey * 7 % 5000",
-    "archive_members": """SELECT page_id, printf('pages-%02d', page_id % 16) AS archive, CASE WHEN page_id % 3 = 0 THEN 'stored' ELSE 'deflated' END AS method, octet_length(encode(COALESCE(html, '')))::BIGINT AS size, true AS same_crc, sha256(COALESCE(html, '')) AS digest FROM pages""",
+    "archive_members": """SELECT page_id, 'pages-' || page_id % 4 || printf('-%06d', page_id // 100000) AS archive, CASE WHEN page_id % 3 = 0 THEN 'stored' ELSE 'deflated' END AS method, octet_length(encode(COALESCE(html, '')))::BIGINT AS size, true AS same_crc, sha256(COALESCE(html, '')) AS digest FROM pages""",
 }
 
 SQL |= {
-    "context_evaluation": """WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment AS seg, row_number() OVER w + COALESCE(count(*) FILTER (c_custkey % 4 = 0) OVER (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM customer WINDOW w AS (ORDER BY c_custkey)),
+    "context_evaluation": """WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment AS seg, printf('judged-%06d', c_custkey // 100000) AS file,
+  row_number() OVER w + COALESCE(count(*) FILTER (c_custkey % 4 = 0) OVER (PARTITION BY c_custkey // 100000 ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM customer WINDOW w AS (PARTITION BY c_custkey // 100000 ORDER BY c_custkey)),
 r AS (
   SELECT *, CASE WHEN k % 5 = 0 THEN '' ELSE c_name END AS second, 'é ' || seg AS third, CASE WHEN k % 25 = 0 THEN [1, -1, 1] ELSE [1, 0, -1] END AS labels,
     CASE WHEN k % 59 = 0 THEN 'invalid JSON' WHEN k % 61 = 0 THEN 'not a JSON object' WHEN k % 53 = 0 THEN 'no non-empty string ''question''' WHEN k % 41 = 0 THEN 'no response object' WHEN k % 43 = 0 THEN 'response.steps must be a list'
@@ -432,22 +433,22 @@ r AS (
 ), e AS (
   SELECT *, unnest(['first', second, third]) AS generated, unnest(range(3)) AS step_index, 'Question:' || chr(10) || 'why?' AS q FROM s WHERE error IS NULL
 )
-SELECT line AS row_index, step_index, md5(CASE step_index WHEN 0 THEN q ELSE q || chr(10) || chr(10) || 'Previous response steps:' || chr(10) || '1. first' || CASE WHEN step_index = 2 AND second <> '' THEN chr(10) || '2. ' || second ELSE '' END END) AS anchor, generated, labels[step_index + 1] AS compatibility_label,
+SELECT file, line AS row_index, step_index, md5(CASE step_index WHEN 0 THEN q ELSE q || chr(10) || chr(10) || 'Previous response steps:' || chr(10) || '1. first' || CASE WHEN step_index = 2 AND second <> '' THEN chr(10) || '2. ' || second ELSE '' END END) AS anchor, generated, labels[step_index + 1] AS compatibility_label,
   data_source, policy_model, 'vpb_step_' || substr(sha256('{"source_sample_id":' || CASE WHEN k % 4 = 0 THEN sample ELSE '"' || sample || '"' END || ',"step":"' || generated || '","step_index":' || step_index || '}'), 1, 20) AS pair_id, sample AS source_sample_id, 'context_step' AS input_mode, error
 FROM e WHERE generated <> ''
-UNION ALL SELECT line, NULL, NULL, NULL, NULL, data_source, policy_model, NULL, NULL, 'context_step', error FROM s WHERE error IS NOT NULL""",
-    "loaded_traces": """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, 'part ' || o_orderkey % 3 || '.jsonl' AS file, row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) AS row_index FROM orders),
-n AS (SELECT *, CASE k % 10 WHEN 3 THEN 'not a JSON object' WHEN 7 THEN 'invalid JSON' WHEN 2 THEN 'Missing reasoning text' END AS error, CASE WHEN k % 10 = 1 THEN 't' || k ELSE 'part_' || k % 3 || '_visualprm_' || lpad(row_index::VARCHAR, greatest(6, length(row_index::VARCHAR))::INT, '0') END AS name, k % 10 IN (3, 7) AS broken FROM o)
+UNION ALL SELECT file, line, NULL, NULL, NULL, NULL, data_source, policy_model, NULL, NULL, 'context_step', error FROM s WHERE error IS NOT NULL""",
+    "loaded_traces": """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderkey % 3 || printf('-%06d', o_orderkey // 100000) AS part, 'part ' || part || '.jsonl' AS file, row_number() OVER (PARTITION BY o_orderkey % 3, o_orderkey // 100000 ORDER BY o_orderkey) AS row_index FROM orders),
+n AS (SELECT *, CASE k % 10 WHEN 3 THEN 'not a JSON object' WHEN 7 THEN 'invalid JSON' WHEN 2 THEN 'Missing reasoning text' END AS error, CASE WHEN k % 10 = 1 THEN 't' || k ELSE 'part_' || part || '_visualprm_' || lpad(row_index::VARCHAR, greatest(6, length(row_index::VARCHAR))::INT, '0') END AS name, k % 10 IN (3, 7) AS broken FROM o)
 SELECT file, row_index, CASE WHEN NOT broken THEN name END AS trace_id, CASE WHEN error IS NULL THEN CASE WHEN k % 10 = 1 THEN '' ELSE 'q' END END AS question, CASE WHEN error IS NULL THEN CASE WHEN k % 10 = 1 THEN 'a' || chr(10) || p ELSE p END END AS reasoning,
-  CASE WHEN NOT broken THEN file END AS source, CASE WHEN broken THEN NULL WHEN k % 10 = 1 THEN 'x_y' ELSE 'part_' || k % 3 END AS subcategory, error FROM n""",
-    "loaded_cases": """WITH p AS (SELECT p_partkey AS k, *, regexp_extract(p_brand, '([0-9]+)$', 1)::INT AS b FROM part),
-d AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY k) - 1 AS place FROM p),
-s AS (SELECT 'parts::' || p_brand || '::' || CASE WHEN b % 2 = 0 THEN place::VARCHAR ELSE 'k' || k END AS case_id, p_brand AS subcategory, 'separation' AS mode, p_name AS positive, 'no ' || p_name AS negatives, row_number() OVER (PARTITION BY p_brand ORDER BY k) AS n FROM d WHERE b % 7 <> 0 AND k % 11 <> 0 AND k % 5 <> 0),
-l AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS place FROM p WHERE b < 20)
+  CASE WHEN NOT broken THEN file END AS source, CASE WHEN broken THEN NULL WHEN k % 10 = 1 THEN 'x_y' ELSE 'part_' || part END AS subcategory, error FROM n""",
+    "loaded_cases": """WITH p AS (SELECT p_partkey AS k, *, regexp_extract(p_brand, '([0-9]+)$', 1)::INT AS b, k // 100000 AS run, p_brand || printf('-%06d', run) AS brand FROM part),
+d AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY k) - 1 AS place FROM p),
+s AS (SELECT 'parts::' || brand || '::' || CASE WHEN b % 2 = 0 THEN place::VARCHAR ELSE 'k' || k END AS case_id, brand AS subcategory, 'separation' AS mode, p_name AS positive, 'no ' || p_name AS negatives, row_number() OVER (PARTITION BY brand ORDER BY k) AS n FROM d WHERE b % 7 <> 0 AND k % 11 <> 0 AND k % 5 <> 0),
+l AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS place, row_number() OVER (PARTITION BY run ORDER BY k) AS line FROM p WHERE b < 20)
 SELECT case_id, subcategory, mode, positive, negatives, NULL::VARCHAR AS error FROM s WHERE n <= 40
 UNION ALL SELECT 'parts::lines::' || CASE WHEN k % 2 = 0 THEN k ELSE place END, 'lines', 'ranking', p_type, 'no ' || p_name, NULL FROM l WHERE k % 13 <> 0 AND k % 11 <> 0 AND k % 5 <> 0
-UNION ALL SELECT NULL, p_brand, NULL, NULL, NULL, 'invalid JSON' FROM (SELECT DISTINCT p_brand FROM p WHERE b % 7 = 0)
-UNION ALL SELECT NULL, 'lines', NULL, NULL, NULL, 'lines:' || place + 1 || ': not a JSON object' FROM l WHERE k % 13 = 0 OR k % 11 = 0""",
+UNION ALL SELECT NULL, brand, NULL, NULL, NULL, 'invalid JSON' FROM (SELECT DISTINCT brand FROM p WHERE b % 7 = 0)
+UNION ALL SELECT NULL, 'lines', NULL, NULL, NULL, printf('lines-%06d', run) || ':' || line || ': not a JSON object' FROM l WHERE k % 13 = 0 OR k % 11 = 0""",
 }
 
 SQL["state_snapshot"] = SQL["state_latest"]
@@ -474,7 +475,7 @@ SELECT c_custkey, array_to_string([1] || ia || [2] || ib || [2] || list_transfor
 SQL |= {
     "table_files": f"WITH r AS ({SQL['reward_by_dataset']}) SELECT form, r.* FROM r, (SELECT unnest(['csv', 'jsonl', 'staged', 'parquet']) AS form)",
     "state_stream": SQL["state_latest"],
-    "numbered_lines": """WITH o AS (SELECT o_orderkey AS k, 'part' || o_orderkey % 4 AS file FROM orders)
+    "numbered_lines": """WITH o AS (SELECT o_orderkey AS k, 'part' || o_orderkey % 4 || printf('-%06d', o_orderkey // 100000) AS file FROM orders)
 SELECT file, row_number() OVER w + COALESCE(count(*) FILTER (k % 5 = 0) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line, 'row_' || lpad((row_number() OVER (ORDER BY file, k))::VARCHAR, 12, '0') AS row_id, k FROM o WINDOW w AS (PARTITION BY file ORDER BY k)""",
     "archive_counts": f"WITH {_ARCHIVED} SELECT archive, count(*)::BIGINT AS n FROM b GROUP BY archive",
 }

@@ -18,11 +18,11 @@ from tracewise.streaming.snapshots import StateTable
 
 
 def _conversation_archives(spark, d):
-    """Conversations as members of eight archives, one of their turns' texts after another; every second is stored, the rest deflated."""
+    """Conversations as members of archives, one of their turns' texts after another; every second is stored, the rest deflated."""
     turns = D.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     texts = F.array_join(F.transform("t", lambda t: t["text"]), "\n")
     folder = scratch(spark, "conversations")
-    name, member = F.format_string("part-%02d", F.col("conv_id") % 8), F.format_string("conv/%012d.jsonl", F.col("conv_id"))
+    name, member = F.concat(F.format_string("part-%d", F.col("conv_id") % 4), _part(F.col("conv_id"))), F.format_string("conv/%012d.jsonl", F.col("conv_id"))
     Z.write(turns.select("conv_id", texts.alias("text")), folder, name, member, F.col("text"), F.col("conv_id") % 2 == 0)
     return Z.directory(spark, folder)
 
@@ -51,17 +51,26 @@ def archive_members(spark, d):
     """Pages as members of archives, with their packed form's checksum, and their contents read back."""
     folder = scratch(spark, "pages")
     page = F.col("page_id")
-    Z.write(D.table(spark, d, "pages"), folder, F.format_string("pages-%02d", page % 16), F.concat("page_id", F.lit(".html")), F.coalesce("html", F.lit("")), page % 3 == 0)
+    Z.write(D.table(spark, d, "pages"), folder, F.concat(F.format_string("pages-%d", page % 4), _part(page)), F.concat("page_id", F.lit(".html")), F.coalesce("html", F.lit("")), page % 3 == 0)
     members = Z.directory(spark, folder)
     rows = Z.strict(Z.contents(members)).join(members.select("archive", "member", "method", "crc"), ["archive", "member"])
     return rows.select(F.regexp_extract("member", r"^(\d+)\.html$", 1).cast("long").alias("page_id"), _archive_name().alias("archive"), F.when(F.col("method") == Z.STORED, "stored").otherwise("deflated").alias("method"), "size", (F.col("crc") == F.crc32("content")).alias("same_crc"), F.sha2("content", 256).alias("digest"))
 
 
+#: Keys whose rows go to one file, so that files grow in number and not in size.
+KEYS = 100_000
+
+
+def _part(key):
+    """The run of keys that a key is in, as it stands in file names."""
+    return F.format_string("-%06d", F.floor(key / KEYS))
+
+
 def _files(rows, spark, name, file, line, value):
-    """rows as text files of lines in order below a new folder; their paths by file."""
+    """rows as text files of lines in order below a new folder."""
     folder = scratch(spark, name)
-    texts = rows.groupBy(file.alias("_file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(line.alias("line"), value.alias("value")))), lambda x: x["value"]), "\n").alias("value"))
-    texts.repartition("_file").write.partitionBy("_file").text(folder)
+    lines = rows.select(file.alias("_file"), line.alias("_line"), value.alias("value")).repartition("_file").sortWithinPartitions("_file", "_line")
+    lines.select("_file", "value").write.partitionBy("_file").text(folder)
     return folder
 
 
@@ -87,17 +96,17 @@ def _judged(spark, d):
 def context_evaluation(spark, d):
     """Raw records of judged steps from a file, good and bad: each step with its question and earlier steps, or what is wrong with the record. Every fourth line is followed by a blank one."""
     rows = _judged(spark, d).withColumn("value", F.when(F.col("line") % 4 == 0, F.concat("value", F.lit("\n"))).otherwise(F.col("value")))
-    lines = _lines_of(_files(rows, spark, "judged", F.lit("judged"), F.col("line"), F.col("value")), spark)
+    lines = _lines_of(_files(rows, spark, "judged", F.concat(F.lit("judged"), _part(F.col("line"))), F.col("line"), F.col("value")), spark)
     steps = N.context_steps(N.records(lines))
-    return steps.select("row_index", "step_index", F.md5("anchor").alias("anchor"), "generated", "compatibility_label", "data_source", "policy_model", "pair_id", "source_sample_id", "input_mode", "error")
+    return steps.select("file", "row_index", "step_index", F.md5("anchor").alias("anchor"), "generated", "compatibility_label", "data_source", "policy_model", "pair_id", "source_sample_id", "input_mode", "error")
 
 
 @query
 def loaded_traces(spark, d):
-    """Traces from three files, whose rows count from 1 in each, with error rows beside them; names come from the file where the record has none."""
+    """Traces from files, whose rows count from 1 in each, with error rows beside them; names come from the file where the record has none."""
     k = F.col("o_orderkey")
     value = F.when(k % 10 == 3, F.lit("[1]")).when(k % 10 == 7, F.lit("{cut off")).when(k % 10 == 1, F.concat(F.lit('{"id":"t'), k.cast("string"), F.lit('","steps":["a","'), "o_orderpriority", F.lit('"],"domain":"x y"}'))).when(k % 10 == 2, F.lit('{"question":"q"}')).otherwise(F.concat(F.lit('{"solution":{"text":"'), "o_orderpriority", F.lit('"},"question":" q "}')))
-    rows = D.table(spark, d, "orders").select(k.alias("line"), F.concat(value, F.when(k % 6 == 0, "\n  \n").otherwise("\n")).alias("value"), F.concat(F.lit("part "), (k % 3).cast("string"), F.lit(".jsonl")).alias("name"))
+    rows = D.table(spark, d, "orders").select(k.alias("line"), F.concat(value, F.when(k % 6 == 0, "\n  \n").otherwise("\n")).alias("value"), F.concat(F.lit("part "), (k % 3).cast("string"), _part(k), F.lit(".jsonl")).alias("name"))
     lines = _lines_of(_files(rows, spark, "traces", F.col("name"), F.col("line"), F.col("value")), spark)
     good, errors = loaders.traces(loaders.numbered_by_file(lines.withColumn("file", F.regexp_replace("file", "%20", " "))), by_file=True)
     good = good.select("file", "row_index", "trace_id", "question", "reasoning", "source", "subcategory", F.lit(None).cast("string").alias("error"))
@@ -106,20 +115,20 @@ def loaded_traces(spark, d):
 
 @query
 def loaded_cases(spark, d):
-    """Caption records of parts by brand as JSON documents, lists or objects by id, some cut off, and as JSON lines with bad ones among them: the first cases of each, and all errors."""
+    """Caption records of parts by brand and run of keys as JSON documents, lists or objects by id, some cut off, and as JSON lines with bad ones among them: the first cases of each, and all errors."""
     k = F.col("p_partkey")
     caption = F.concat(F.lit('{"caption":" '), "p_name", F.lit('","caption2":"'), "p_type", F.lit('","negative_caption":'), F.when(k % 5 == 0, '""').otherwise(F.concat(F.lit('"no '), "p_name", F.lit('"'))), F.when(k % 2 == 0, F.concat(F.lit(',"id":'), k.cast("string"))).otherwise(F.lit("")), F.lit(',"filename":"a.jpg"}'))
-    parts = D.table(spark, d, "part").select(k.alias("k"), "p_brand", F.when(k % 11 == 0, "7").otherwise(caption).alias("record"), F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("b"))
+    parts = D.table(spark, d, "part").select(k.alias("k"), F.concat("p_brand", _part(k)).alias("brand"), F.when(k % 11 == 0, "7").otherwise(caption).alias("record"), F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("b"))
     listed = F.col("b") % 2 == 0
     entries = F.transform(F.array_sort(F.collect_list(F.struct("k", "record", "b"))), lambda x: F.when(x["b"] % 2 == 0, x["record"]).otherwise(F.concat(F.lit('"k'), x["k"].cast("string"), F.lit('":'), x["record"])))
-    documents = parts.groupBy("p_brand", listed.alias("listed"), (F.col("b") % 7 == 0).alias("cut")).agg(F.array_join(entries, ",\n").alias("t"))
+    documents = parts.groupBy("brand", listed.alias("listed"), (F.col("b") % 7 == 0).alias("cut")).agg(F.array_join(entries, ",\n").alias("t"))
     text = F.concat(F.when(F.col("listed"), "[").otherwise("{"), "t", F.when(F.col("cut"), "").when(F.col("listed"), "]").otherwise("}"))
     folder = scratch(spark, "documents")
-    documents.select(F.translate("p_brand", "#", "-").alias("_file"), text.alias("value")).repartition("_file").write.partitionBy("_file").text(folder)
+    documents.select(F.translate("brand", "#", "_").alias("_file"), text.alias("value")).repartition("_file").write.partitionBy("_file").text(folder)
     brand = F.regexp_extract("file", r"_file=([^/]+)/", 1)
-    rows = files.read_documents(spark, [folder], loaders.CAPTIONS).withColumn("file", F.translate(brand, "-", "#"))
+    rows = files.read_documents(spark, [folder], loaders.CAPTIONS).withColumn("file", F.translate(brand, "_", "#"))
     cases = loaders.separation_cases(rows.where("error IS NULL"), "parts", F.col("file"), "key", ["at"], 40)
-    lines = _files(parts.where("b < 20").withColumn("record", F.when(F.col("k") % 13 == 0, "{cut off").otherwise(F.col("record"))), spark, "lines", F.lit("lines"), F.col("k"), F.col("record"))
+    lines = _files(parts.where("b < 20").withColumn("record", F.when(F.col("k") % 13 == 0, "{cut off").otherwise(F.col("record"))), spark, "lines", F.concat(F.lit("lines"), _part(F.col("k"))), F.col("k"), F.col("record"))
     good, bad = files.parsed_objects(files.with_places(_lines_of(lines, spark)), loaders.CAPTIONS, ["place"])
     cases = cases.unionByName(loaders.ranking_cases(good, "parts", "lines", "id", "place"))
     made = cases.select("case_id", "subcategory", "mode", "positive", F.array_join("negatives", "|").alias("negatives"), F.lit(None).cast("string").alias("error"))
@@ -190,10 +199,10 @@ def state_stream(spark, d):
 
 @query
 def numbered_lines(spark, d):
-    """Lines of four files, every fifth followed by a blank one, with their numbers in the file and ids over all files."""
+    """Lines of files, every fifth followed by a blank one, with their numbers in the file and ids over all files."""
     k = F.col("o_orderkey")
     value = F.concat(F.to_json(F.struct(k.alias("k"), "o_orderpriority")), F.when(k % 5 == 0, "\n \t").otherwise(""))
-    rows = D.table(spark, d, "orders").select(k.alias("line"), F.concat(F.lit("part"), (k % 4).cast("string")).alias("name"), value.alias("value"))
+    rows = D.table(spark, d, "orders").select(k.alias("line"), F.concat(F.lit("part"), (k % 4).cast("string"), _part(k)).alias("name"), value.alias("value"))
     lines = files.with_row_ids(_lines_of(_files(rows, spark, "orders", F.col("name"), F.col("line"), F.col("value")), spark))
     return lines.select("file", "line", "row_id", F.get_json_object("value", "$.k").cast("long").alias("k"))
 

@@ -224,8 +224,8 @@ def _merged(lists: DataFrame, n: int) -> DataFrame:
     return _by_key(lists, "node", n * TREES).mapInArrow(merge, _LISTS)
 
 
-def _offers(lists: DataFrame, nodes: DataFrame, dim: int, n: int) -> DataFrame:
-    """One round: (node, ids, sims) of candidates better than a node's worst neighbour."""
+def _offers(lists: DataFrame, nodes: DataFrame, dim: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """One round: (node, ids, sims) of candidates better than a node's worst neighbour, and the table that they are made from, for which there is no use afterwards."""
     worst = F.when(F.size("ids") >= DEGREE, F.element_at("sims", -1)).otherwise(F.lit(float("-inf"))).cast("float")
     about = lists.join(nodes.select("node", "short"), "node").withColumn("worst", worst)
     about = written(about, "about", n)
@@ -263,7 +263,7 @@ def _offers(lists: DataFrame, nodes: DataFrame, dim: int, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], type=pa.int64()), _list([r[1] for r in part], pa.int64()), _list([r[2] for r in part], pa.float32())], names=["node", "ids", "sims"])
 
     met = _by_key(forward.unionByName(back), "owner", n * (DEGREE + REVERSE))
-    return met.mapInArrow(compare, "node long, ids array<long>, sims array<float>")
+    return met.mapInArrow(compare, "node long, ids array<long>, sims array<float>"), about
 
 
 def graph(nodes: DataFrame, dim: int) -> DataFrame:
@@ -271,9 +271,11 @@ def graph(nodes: DataFrame, dim: int) -> DataFrame:
     size = nodes.count()
     lists = written(_merged(_first_lists(nodes, dim).withColumn("old", F.lit(False)), size), "lists", size)
     for n in count(1):
-        offers = _offers(lists, nodes, dim, size).withColumn("old", F.lit(False))
+        offers, about = _offers(lists, nodes, dim, size)
+        offers = offers.withColumn("old", F.lit(False))
         after = written(_merged(lists.select("node", "ids", "sims", F.lit(True).alias("old")).unionByName(offers), size), "lists", size)
         drop_written(lists)
+        drop_written(about)
         lists = after
         changed = lists.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("ids"))).first()
         if n >= LEAST_ROUNDS and (changed[0] or 0) <= SETTLED * (changed[1] or 0):
@@ -281,7 +283,7 @@ def graph(nodes: DataFrame, dim: int) -> DataFrame:
 
 
 def search(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
-    """(query_id, node, vec, query_vec): the pools of queries (query_id, start, query_vec), start a node of the graph."""
+    """(query_id, node, vec, query_vec): the pools of queries (query_id, start, query_vec), start a node of the graph; lists are removed at the end."""
     back = lists.select(F.col("node").alias("n"), F.explode(F.arrays_zip("ids", "sims")).alias("e")).select(F.col("e.ids").alias("node"), "n", F.col("e.sims").alias("sim"))
     back = back.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "n"))).where(F.col("k") <= REVERSE // 2)
     edges = lists.select("node", F.explode("ids").alias("next")).unionByName(back.select("node", F.col("n").alias("next")))
@@ -330,6 +332,8 @@ def search(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int) ->
         after = written(met.mapInArrow(score, "query_id long, node long, sim float, done boolean, go boolean"), "pools", n_pool)
         drop_written(pools)
         pools = after
+    drop_written(around)
+    drop_written(lists)
     return pools.join(nodes.select("node", "vec", "ids"), "node").join(wide, "query_id")
 
 

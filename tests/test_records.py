@@ -347,3 +347,16 @@ def test_staged_data_and_command_line(spark, tmp_path, capsys):
     cli.main(["split", "--data", examples, "--output", str(tmp_path / "split")])
     assert spark.read.json(str(tmp_path / "split")).groupBy("split").count().count() == 3
     assert files.split_list(" a, ,b") == ["a", "b"] and files.zip_uri("x.zip", "m") == "zip://x.zip::m"
+
+
+def test_filters_do_not_repeat_records(spark):
+    parsed = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
+    for rows in (N.normalized_pairs(lines(spark, "{}")), N.split_errors(N.pair_examples(lines(spark, "{}")))[0]):
+        assert parsed(rows) == 1
+
+
+def test_strip(spark):
+    white = "\t\n\x0b\x0c\r \x85\xa0      　"
+    texts = [f"{white}a{white}b{white}", white, "", "a\r\n", "\x1ca\x1c", "\na \n"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.strip(F.col("t"))).collect()]
+    assert got == [f"a{white}b", "", "", "a", "\x1ca\x1c", "a"]

@@ -33,17 +33,17 @@ def known(value: Column) -> Column:
 
 def string(value: Column) -> Column:
     """The text of a string; null for any other kind."""
-    return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def integer(value: Column) -> Column:
     """The number of an integer; null for any other kind, truth values too."""
-    return F.when(kind(value) == "BIGINT", F.try_variant_get(value, "$", "long"))
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "long"))
 
 
 def identifier(value: Column) -> Column:
     """A string or an integer as text; null for any other kind."""
-    return F.when(kind(value).isin("STRING", "BIGINT"), F.try_variant_get(value, "$", "string"))
+    return F.when(F.schema_of_variant(value).isin("STRING", "BIGINT"), F.try_variant_get(value, "$", "string"))
 
 
 def bad_identifier(value: Column) -> Column:

@@ -11,9 +11,13 @@ RELATIONS = (("<=", ">="), (">=", "<="), ("≤", "≥"), ("≥", "≤"), ("=", "
 ANSWER_TAGS = ("answer", "final", "conclusion", "CONCLUSION")
 
 
+#: White space of Unicode as a class of ranges, which is much faster than the regex engine's Unicode mode.
+_WHITE = r"[\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
 def strip(c: Column) -> Column:
     """Without white space (of Unicode) at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^{_WHITE}+|(?<!{_WHITE}){_WHITE}+$", "")
 
 
 def coerce_text(c: Column) -> Column:

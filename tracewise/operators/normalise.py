@@ -61,10 +61,14 @@ def records(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def _checked(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with columns, and error set to the earlier error if there is one."""
-    error = F.coalesce(F.col("error"), columns.pop("error"))
-    kept = [c for c in rows.columns if c not in ("v", "error", "value", *columns)]
-    return rows.select(*kept, *[c.alias(n) for n, c in columns.items()], error.alias("error"))
+    """rows with columns, and error set to the earlier error if there is one.
+
+    Columns are the one element of an array, so a filter on them, such as split_errors has, stays above the step and does not work them out once more.
+    """
+    columns["error"] = F.coalesce(F.col("error"), columns["error"])
+    kept = [c for c in rows.columns if c not in ("v", "value", *columns) and not c.startswith("_raw_")]
+    made = rows.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made"))
+    return made.select(*kept, *[F.col("_made")[n].alias(n) for n in columns])
 
 
 def named_source(v: Column, nested: Column, record_first: bool) -> Column:
@@ -186,11 +190,15 @@ def normalized_pairs(lines: DataFrame, label_field: str | None = None, neutral:
     """
     v = F.col("v")
     nested, inner = R.field(v, "metadata"), R.field(v, "pair")
-    here = lambda n: F.coalesce(R.field(v, n), R.field(inner, n))  # noqa: E731  a null in the record counts before the pair
-    anchor, generated, step = (here(n) for n in ("anchor", "generated", "step_index"))
-    ids = {n: F.coalesce(R.known(here(n)), R.field(nested, n)) for n in ("pair_id", "source_sample_id")}
-    raw = (R.kind(R.field(v, "response", "steps")) == "ARRAY") & (R.kind(R.field(v, "response", "process_correctness")) == "ARRAY")
     fields = [label_field] if label_field else list(LABEL_FIELDS)
+    # a step for each that later ones name several times: the variants, the texts, the made ids
+    wanted = dict.fromkeys(["anchor", "generated", "step_index", "pair_id", "source_sample_id", *fields])
+    lines = lines.withColumns({f"_raw_{n}": F.coalesce(R.field(v, n), R.field(inner, n)) for n in wanted})  # a null in the record counts before the pair
+    here = lambda n: F.col(f"_raw_{n}")
+    step = here("step_index")
+    lines = lines.withColumns({f"_raw_{n}": F.coalesce(R.known(here(n)), R.field(nested, n)) for n in ("pair_id", "source_sample_id")})
+    ids = {n: here(n) for n in ("pair_id", "source_sample_id")}
+    raw = (R.kind(R.field(v, "response", "steps")) == "ARRAY") & (R.kind(R.field(v, "response", "process_correctness")) == "ARRAY")
     labels, wrong, present = [], F.lit(False), F.lit(False)
     for f in fields:
         value, unsupported = label_of(here(f), f)
@@ -199,13 +207,15 @@ def normalized_pairs(lines: DataFrame, label_field: str | None = None, neutral:
         wrong |= there & unsupported
         present |= there
     values = F.array_distinct(F.array_compact(F.array(*labels)))
-    source = named_source(v, nested, True)
-    a, g = X.strip(R.string(anchor)), X.strip(R.string(generated))
+    lines = lines.withColumns({"_raw_source": named_source(v, nested, True), "_raw_a": X.strip(R.string(here("anchor"))), "_raw_g": X.strip(R.string(here("generated"))), "_raw_values": values})
+    source, a, g, values = (F.col(f"_raw_{n}") for n in ("source", "a", "g", "values"))
     made_source = R.stable_id("vpb_", R.json_object({"data_source": R.json_string(source), "question": R.json_text(R.field(v, "question")), "image": R.json_text(F.coalesce(R.field(v, "image"), R.field(v, "images"))), "policy_model": R.json_text(R.field(v, "policy_model")), "anchor": R.json_string(a)}))
+    lines = lines.withColumn("_raw_made", made_source)
+    made_source = F.col("_raw_made")
     sample = F.coalesce(R.identifier(ids["source_sample_id"]), made_source)
     sample_json = F.when(R.none(ids["source_sample_id"]), R.json_string(made_source)).otherwise(R.json_text(ids["source_sample_id"]))
     made_pair = R.stable_id("pair_", R.json_object({"source_sample_id": sample_json, "step_index": R.json_text(step), "anchor": R.json_string(a), "generated": R.json_string(g)}))
-    empty = (X.coerce_text(R.string(anchor)) == "") | (X.coerce_text(R.string(generated)) == "")
+    no_anchor, no_generated = (F.coalesce(c, F.lit("")) == "" for c in (a, g))
     rows = _checked(
         lines,
         pair_id=F.coalesce(R.identifier(ids["pair_id"]), made_pair),
@@ -217,9 +227,9 @@ def normalized_pairs(lines: DataFrame, label_field: str | None = None, neutral:
         compatibility_label=F.try_element_at(values, F.lit(1)),
         metadata=R.compact(v, nested),
         error=_first(
-            (empty & raw, "a raw record without a pair"),
-            (X.coerce_text(R.string(anchor)) == "", "no non-empty string 'anchor'"),
-            (X.coerce_text(R.string(generated)) == "", "no non-empty string 'generated'"),
+            ((no_anchor | no_generated) & raw, "a raw record without a pair"),
+            (no_anchor, "no non-empty string 'anchor'"),
+            (no_generated, "no non-empty string 'generated'"),
             (~present, "no label field"),
             (wrong, "unsupported label"),
             (F.size(values) > 1, "conflicting labels"),

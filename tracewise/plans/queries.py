@@ -521,8 +521,8 @@ def choice_cases(spark, d):
 
 
 def _lines(rows, *fields, extra=""):
-    """Rows as JSON lines: file, line and value."""
-    return N.records(rows.select(F.col("line"), F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}).alias("value")))
+    """Rows as JSON lines: line and value. A row takes few bytes and much work, so rows are spread over all tasks, which the table's few bytes do not ask for."""
+    return N.records(rows.repartition("line").select(F.col("line"), F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}).alias("value")))
 
 
 def _customer_pairs(spark, d):

@@ -1,5 +1,6 @@
 """Tokenizers as plug-ins: ids, truncation, training pairs and gates; and scorers over a table's file."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,20 @@ def test_error_profiles_and_chat_templates(spark):
     assert [r["rendered"] for r in G.rendered(prompts, template).collect()] == ["<user>hi<assistant>", "<user>you<assistant>"]
     assert [(r["rendered"], r["error"]) for r in G.rendered(prompts).collect()] == [("hi", None), ("you", None)]
     assert all("KeyError" in r["error"] and r["rendered"] is None for r in G.rendered(prompts, lambda: lambda m: m[0]["none"]).collect())
+
+
+def test_counts_hold_a_slice_at_once(monkeypatch):
+    held = []
+    monkeypatch.setattr(K, "SLICE_CHARS", 100)
+    got = K._counts(lambda texts: (held.append(sum(map(len, texts))), [t.split() for t in texts])[1], pa.array(["a b "] * 90 + [None, "x " * 500, "", "y"]))
+    assert got.to_pylist() == [2] * 90 + [0, 500, 0, 1] and sum(held) == 1361 and sorted(held)[-2] <= 104
+    split = K._words("words")
+    split([" ".join(map(str, range(3 * K.KNOWN_WORDS)))])
+    assert len(split.__closure__[0].cell_contents.__closure__[0].cell_contents) <= K.KNOWN_WORDS + 1
+
+
+def test_gates_are_one_pass(spark):
+    df = spark.createDataFrame([("a b", None)], "anchor string, prompt string")
+    rows = K.gated_texts(df, "words", "words")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert (rows.first()["anchor_tokens"], rows.first()["prompt_tokens"]) == (2, 0)

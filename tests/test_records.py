@@ -360,3 +360,14 @@ def test_strip(spark):
     texts = [f"{white}a{white}b{white}", white, "", "a\r\n", "\x1ca\x1c", "\na \n"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.strip(F.col("t"))).collect()]
     assert got == [f"a{white}b", "", "", "a", "\x1ca\x1c", "a"]
+
+
+def test_calibration_groups_without_sorting_or_more_exchanges(spark):
+    rows = [("calib", "d", "s", "c", "ranking", "positive", None, 7, 1, 0.9), ("calib", "d", "s", "c", "ranking", "positive", None, 7, 1, 0.4), ("calib", "d", "t", "c", "ranking", "negative", "x", 1, 0, 0.3), ("calib", "d", "s", None, "ranking", "negative", "x", 1, 0, 0.2)]
+    df = spark.createDataFrame(rows, "split string, dataset string, subcategory string, case_id string, mode string, pair_type string, negative_type string, row_id long, label int, calibrated_score double")
+    for report in (C.report(df, 0.35), C.by_negative_type(df, 0.35)):
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "case_id" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "REPARTITION" not in x)
+    got = {(r["table"], r["subcategory"]): (r["num_cases"], r["num_pairs"], r["mean_margin"] and round(r["mean_margin"], 6)) for r in C.report(df, 0.35).collect()}
+    assert got == {("overall", None): (1, 4, 0.1), ("dataset", None): (1, 4, 0.1), ("subcategory", "s"): (1, 3, None), ("subcategory", "t"): (1, 1, None)}  # the lower of two scores of one row_id; a case without an id is none
+    assert C.by_negative_type(df, 0.35).select("num_cases", "num_pairs").collect() == [(1, 4)]

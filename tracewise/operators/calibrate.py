@@ -58,8 +58,21 @@ def rate(label: int, tau: float | Column) -> Column:
     return F.avg(F.when(F.col("label") == label, passes(F.col("calibrated_score"), F.lit(tau) if isinstance(tau, float) else tau)))
 
 
+#: Rows of a task that works on cases, about.
+CASE_ROWS = 500_000
+
+
+def by_case(rows: DataFrame) -> DataFrame:
+    """rows with those of a case in one task: the one exchange, which later steps find as they need it.
+
+    Tasks follow from rows, up to the number that an exchange writes without sorting rows in memory first.
+    """
+    most = int(rows.sparkSession.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return rows.repartition(max(1, min(most, -(-rows.count() // CASE_ROWS))), "dataset", "case_id")
+
+
 def _case_parts(rows: DataFrame, keys: list[str], tau: float) -> DataFrame:
-    """A row per case and kind within keys, with the sums that all metrics follow from: the one exchange of whole rows."""
+    """A row per case, kind and first positives' row_id within keys, with the sums that all metrics follow from. All columns are plain, so rows are grouped without a sort."""
     score, label, ranking = F.col("calibrated_score"), F.col("label"), F.col("mode") == "ranking"
     pos, neg = F.col("pair_type") == "positive", F.col("pair_type") == "negative"
     kind = F.when(neg, F.coalesce(F.nullif("negative_type", F.lit("")), F.lit("__all__")))
@@ -67,16 +80,17 @@ def _case_parts(rows: DataFrame, keys: list[str], tau: float) -> DataFrame:
     for k in (0, 1):
         own = F.when(label == k, score)
         sums += [F.count(own).alias(f"_n{k}"), F.sum(own).alias(f"_s{k}"), F.sum(F.when(label == k, passes(score, F.lit(tau)))).alias(f"_t{k}")]
-    first = F.min(F.when(ranking & pos & F.col("row_id").isNotNull(), F.struct("row_id", "calibrated_score"))).alias("_pos")
+    least = F.when(F.count_if(score.isNull()) == 0, F.min(score)).alias("_pos")  # of one row_id a null comes first
     case = list(dict.fromkeys([*keys, "dataset", "case_id"]))
-    return rows.groupBy(*case, kind.alias("_kind")).agg(*sums, first, F.max(F.when(ranking & neg, score)).alias("_neg"))
+    return rows.groupBy(*case, kind.alias("_kind"), F.when(ranking & pos, F.col("row_id")).alias("_row")).agg(*sums, least, F.max(F.when(ranking & neg, score)).alias("_neg"))
 
 
 def _margins(parts: DataFrame, keys: list[str], levels: list[list[str]]) -> DataFrame:
     """By each level: ranking accuracy and mean margin of (case, negative type) pairs within keys: the case's first positive less the type's hardest negative."""
     case = list(dict.fromkeys([*keys, "dataset", "case_id"]))
-    by_type = parts.groupBy(*case, "_kind").agg(F.min("_pos").alias("_pos"), F.max("_neg").alias("_neg"))
-    by_type = by_type.withColumn("_first", F.min("_pos").over(Window.partitionBy(*case))["calibrated_score"]).where("_neg IS NOT NULL AND _first IS NOT NULL")
+    ranked = parts.where("_row IS NOT NULL OR _neg IS NOT NULL")
+    first = F.first(F.when(F.col("_row").isNotNull(), F.col("_pos"))).over(Window.partitionBy(*case).orderBy(F.col("_row").asc_nulls_last(), F.col("_pos").asc_nulls_first()))
+    by_type = ranked.withColumn("_first", first).groupBy(*case, "_kind").agg(F.max("_first").alias("_first"), F.max("_neg").alias("_neg")).where("_neg IS NOT NULL AND _first IS NOT NULL")
     margin = F.col("_first") - F.col("_neg")
     return _grouped(by_type, levels, F.avg((margin > 0).cast("double")).alias("ranking_acc"), F.avg(margin).alias("mean_margin"))
 
@@ -90,11 +104,15 @@ def _grouped(rows: DataFrame, levels: list[list[str]], *columns: Column) -> Data
 
 
 def metrics(rows: DataFrame, levels: list[list[str]], tau: float) -> DataFrame:
-    """Threshold and ranking metrics at levels of keys, each beginning with the one before; _level is the number of keys. Rows are exchanged once, by case; what follows has a row per case and kind."""
+    """Threshold and ranking metrics at levels of keys, each beginning with the one before; _level is the number of keys. Rows come from by_case; what follows has a row per case and kind and stays in its task until it is a sum."""
     deepest = max(levels, key=len)
     parts = _case_parts(rows, deepest, tau)
     sums = [F.sum(c).alias(c) for c in ("_rows", "_n0", "_n1", "_s0", "_s1", "_t0", "_t1")]
-    by = _grouped(parts, levels, F.count_distinct("dataset", "case_id").alias("num_cases"), *sums)
+    # a case counts at a level in the first of its rows there
+    whole = F.col("dataset").isNotNull() & F.col("case_id").isNotNull()
+    firsts = {f"_case{len(ks)}": F.when(whole & (F.row_number().over(Window.partitionBy(*dict.fromkeys([*ks, "dataset", "case_id"])).orderBy(*[F.col(k) for k in deepest])) == 1), 1) for ks in levels}
+    by = _grouped(parts.withColumns(firsts), levels, *[F.count(c).alias(c) for c in firsts], *sums)
+    by = by.withColumn("num_cases", F.coalesce(*[F.when(F.col("_level") == len(ks), F.col(f"_case{len(ks)}")) for ks in levels])).drop(*firsts)
     # a case is ranked within the keys of its level, but dataset and case tell cases apart already
     plain = [ks for ks in levels if set(ks) <= {deepest[0], "dataset"}]
     deep = [ks for ks in levels if ks not in plain]
@@ -145,7 +163,7 @@ def choose_tau(table: DataFrame, metric: str = "fpr_at_fixed_tpr", target_tpr: f
 
 def report(rows: DataFrame, tau: float) -> DataFrame:
     """Metrics of each split: overall (component is the mean of its datasets'), by dataset and by subcategory."""
-    out = metrics(rows, [["split"], ["split", "dataset"], ["split", "dataset", "subcategory"]], tau)
+    out = metrics(by_case(rows), [["split"], ["split", "dataset"], ["split", "dataset", "subcategory"]], tau)
     names = F.create_map(F.lit(1), F.lit("overall"), F.lit(2), F.lit("dataset"), F.lit(3), F.lit("subcategory"))
     mean = F.avg(F.when(F.col("_level") == 2, F.col("component"))).over(Window.partitionBy("split"))  # a row per subcategory at most
     return out.withColumns({"table": names[F.col("_level")], "component": F.when(F.col("_level") == 1, mean).otherwise(F.col("component"))}).drop("_level")
@@ -153,10 +171,12 @@ def report(rows: DataFrame, tau: float) -> DataFrame:
 
 def by_negative_type(rows: DataFrame, tau: float) -> DataFrame:
     """Metrics by split, dataset and negative type; a case's positives count for each type that the case has."""
-    negatives = rows.where("pair_type = 'negative'").withColumn("kind", F.coalesce(F.nullif("negative_type", F.lit("")), F.lit("__all__")))
-    kinds = negatives.select("dataset", "case_id", "kind").distinct()
-    positives = rows.where("pair_type = 'positive'").join(kinds, ["dataset", "case_id"])
-    return metrics(negatives.unionByName(positives), [["split", "dataset", "kind"]], tau).drop("_level")
+    own = F.when(F.col("pair_type") == "negative", F.coalesce(F.nullif("negative_type", F.lit("")), F.lit("__all__")))
+    kinds = F.collect_set(own).over(Window.partitionBy("dataset", "case_id"))
+    named = (F.col("pair_type") == "positive") & F.col("dataset").isNotNull() & F.col("case_id").isNotNull()
+    rows = by_case(rows).withColumns({"_own": own, "_kinds": kinds})
+    rows = rows.withColumn("kind", F.explode(F.when(F.col("_own").isNotNull(), F.array("_own")).when(named, F.col("_kinds")))).drop("_own", "_kinds")
+    return metrics(rows, [["split", "dataset", "kind"]], tau).drop("_level")
 
 
 def scored(rows: DataFrame, weights: list[float], bias: float) -> DataFrame:

@@ -244,3 +244,29 @@ def test_files(spark, tmp_path):
     files.write_jsonl(table, str(tmp_path / "out"))
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         files.write_jsonl(table, str(tmp_path / "out"))
+
+
+def test_tasks_by_key_follow_from_rows(spark, monkeypatch):
+    monkeypatch.setattr(B, "KEY_ROWS", 100)
+    rows = spark.range(1000).select((F.col("id") % 2).alias("dataset"), F.floor(F.col("id") / 2).alias("case_id"))
+    assert B.together(rows, "case_id").rdd.getNumPartitions() == 10 and B.together(rows.limit(0), "case_id").rdd.getNumPartitions() == 1
+    split = B.calibration_split(rows)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and split.groupBy("dataset", "split").count().count() == 4 and split.count() == 1000
+
+
+def test_a_fit_counts_same_rows_once(spark, monkeypatch):
+    seen = []
+
+    class Fit(C.LogisticRegression):
+        def fit(self, data):
+            seen.append((data.count(), data.rdd.getNumPartitions()))
+            return super().fit(data)
+
+    monkeypatch.setattr(C, "LogisticRegression", Fit)
+    monkeypatch.setattr(C, "FIT_ROWS", 2)
+    rows = spark.range(600).select((F.col("id") % 2).cast("int").alias("label"), F.array((F.col("id") % 3).cast("double")).alias("features"), F.lit(1.0).alias("weight"))
+    weights, bias = C.fit_logistic(rows)
+    assert seen == [(6, 3)] and abs(weights[0]) < 1e-6 and abs(bias) < 1e-6
+    with pytest.raises(ValueError):
+        C.fit_logistic(rows.where("label = 1"))

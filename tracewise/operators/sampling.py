@@ -36,6 +36,23 @@ def _digits(rows: DataFrame) -> int:
     return digits
 
 
+#: Rows of a task that works on keys, about.
+KEY_ROWS = 500_000
+
+
+def together(rows: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """rows with those of a key in one task: the one exchange, which later steps by the key find as they need it.
+
+    Tasks follow from rows, if not given, up to the number that an exchange writes without sorting rows in memory first.
+    """
+    return rows.repartition(tasks or _tasks(rows), *keys)
+
+
+def _tasks(rows: DataFrame) -> int:
+    most = int(rows.sparkSession.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return max(1, min(most, -(-rows.count() // KEY_ROWS)))
+
+
 def ranked_groups(rows: DataFrame, within: list[str], key: str, seed: int) -> DataFrame:
     """Distinct keys with _n, their place in hash order, and _of, their number, in each group of within. Ranges of the digest, as many as rows ask for, are counted first, so no task sorts all keys of a group."""
     ids = rows.select(*within, key).distinct().withColumn("_h", hash_order(seed, *within, key)).withColumn("_b", F.substring("_h", 1, _digits(rows)))
@@ -48,10 +65,12 @@ def ranked_groups(rows: DataFrame, within: list[str], key: str, seed: int) -> Da
 
 def calibration_split(rows: DataFrame, fraction: float = 0.85, dataset: str = "dataset", case: str = "case_id", seed: int = 42) -> DataFrame:
     """rows with split: of each dataset's cases, the rounded fraction (half to even; at least 1, and 1 less than all) is `calib`, the rest `heldout`."""
+    tasks = _tasks(rows)
+    rows = together(rows, dataset, case, tasks=tasks)
     ids = ranked_groups(rows, [dataset], case, seed)
     n = F.when(F.col("_of") == 1, 1).otherwise(F.greatest(F.lit(1), F.least(F.bround(F.col("_of") * F.lit(fraction)).cast("long"), F.col("_of") - 1)))
     ids = ids.select(dataset, case, F.when(F.col("_n") <= n, "calib").otherwise("heldout").alias("split"))
-    return rows.join(ids, [dataset, case])
+    return rows.join(together(ids, dataset, case, tasks=tasks), [dataset, case])
 
 
 def _numbered(rows: DataFrame, bucket: Column, order: list[str]) -> tuple[DataFrame, int]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewise.functions import rewards as M
+from tracewise.operators import sampling as B
 from tracewise.operators.aggregate import passes
 
 
@@ -29,12 +30,18 @@ def with_sample_weights(rows: DataFrame) -> DataFrame:
     return rows.join(counts, ["dataset", "label"])
 
 
+#: Rows of a task of a fit, at most, about.
+FIT_ROWS = 500_000
+
+
 def fit_logistic(rows: DataFrame, features: str = "features", max_iter: int = 1000) -> tuple[list[float], float]:
     """Coefficients and bias of a logistic fit with weights and an L2 penalty of unit strength."""
-    if rows.select("label").distinct().count() < 2:
+    # rows that are the same count as one of their whole weight
+    data = rows.groupBy(F.col("label").cast("double").alias("label"), F.col(features).alias("x")).agg(F.sum("weight").alias("weight"))
+    n, total, least, most = data.agg(F.count("*"), F.sum("weight"), F.min("label"), F.max("label")).first()
+    if least == most:
         raise ValueError("both labels are needed")
-    data = rows.select(F.col("label").cast("double").alias("label"), "weight", array_to_vector(features).alias("x"))
-    total = data.agg(F.sum("weight")).first()[0]
+    data = data.repartition(-(-n // FIT_ROWS), "x").withColumn("x", array_to_vector("x"))
     model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=1.0 / total, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8).fit(data)
     return [float(w) for w in model.coefficients], float(model.intercept)
 
@@ -58,19 +65,6 @@ def rate(label: int, tau: float | Column) -> Column:
     return F.avg(F.when(F.col("label") == label, passes(F.col("calibrated_score"), F.lit(tau) if isinstance(tau, float) else tau)))
 
 
-#: Rows of a task that works on cases, about.
-CASE_ROWS = 500_000
-
-
-def by_case(rows: DataFrame) -> DataFrame:
-    """rows with those of a case in one task: the one exchange, which later steps find as they need it.
-
-    Tasks follow from rows, up to the number that an exchange writes without sorting rows in memory first.
-    """
-    most = int(rows.sparkSession.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
-    return rows.repartition(max(1, min(most, -(-rows.count() // CASE_ROWS))), "dataset", "case_id")
-
-
 def _case_parts(rows: DataFrame, keys: list[str], tau: float) -> DataFrame:
     """A row per case, kind and first positives' row_id within keys, with the sums that all metrics follow from. All columns are plain, so rows are grouped without a sort."""
     score, label, ranking = F.col("calibrated_score"), F.col("label"), F.col("mode") == "ranking"
@@ -104,7 +98,7 @@ def _grouped(rows: DataFrame, levels: list[list[str]], *columns: Column) -> Data
 
 
 def metrics(rows: DataFrame, levels: list[list[str]], tau: float) -> DataFrame:
-    """Threshold and ranking metrics at levels of keys, each beginning with the one before; _level is the number of keys. Rows come from by_case; what follows has a row per case and kind and stays in its task until it is a sum."""
+    """Threshold and ranking metrics at levels of keys, each beginning with the one before; _level is the number of keys. Rows of a case come together; what follows has a row per case and kind and stays in its task until it is a sum."""
     deepest = max(levels, key=len)
     parts = _case_parts(rows, deepest, tau)
     sums = [F.sum(c).alias(c) for c in ("_rows", "_n0", "_n1", "_s0", "_s1", "_t0", "_t1")]
@@ -163,7 +157,7 @@ def choose_tau(table: DataFrame, metric: str = "fpr_at_fixed_tpr", target_tpr: f
 
 def report(rows: DataFrame, tau: float) -> DataFrame:
     """Metrics of each split: overall (component is the mean of its datasets'), by dataset and by subcategory."""
-    out = metrics(by_case(rows), [["split"], ["split", "dataset"], ["split", "dataset", "subcategory"]], tau)
+    out = metrics(B.together(rows, "dataset", "case_id"), [["split"], ["split", "dataset"], ["split", "dataset", "subcategory"]], tau)
     names = F.create_map(F.lit(1), F.lit("overall"), F.lit(2), F.lit("dataset"), F.lit(3), F.lit("subcategory"))
     mean = F.avg(F.when(F.col("_level") == 2, F.col("component"))).over(Window.partitionBy("split"))  # a row per subcategory at most
     return out.withColumns({"table": names[F.col("_level")], "component": F.when(F.col("_level") == 1, mean).otherwise(F.col("component"))}).drop("_level")
@@ -174,7 +168,7 @@ def by_negative_type(rows: DataFrame, tau: float) -> DataFrame:
     own = F.when(F.col("pair_type") == "negative", F.coalesce(F.nullif("negative_type", F.lit("")), F.lit("__all__")))
     kinds = F.collect_set(own).over(Window.partitionBy("dataset", "case_id"))
     named = (F.col("pair_type") == "positive") & F.col("dataset").isNotNull() & F.col("case_id").isNotNull()
-    rows = by_case(rows).withColumns({"_own": own, "_kinds": kinds})
+    rows = B.together(rows, "dataset", "case_id").withColumns({"_own": own, "_kinds": kinds})
     rows = rows.withColumn("kind", F.explode(F.when(F.col("_own").isNotNull(), F.array("_own")).when(named, F.col("_kinds")))).drop("_own", "_kinds")
     return metrics(rows, [["split", "dataset", "kind"]], tau).drop("_level")
 

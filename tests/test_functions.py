@@ -1,11 +1,14 @@
 """Text and reward functions against hand-computed values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracewise.functions import embedded
 from tracewise.functions import rewards as M
 from tracewise.functions import text as X
+from tracewise.plans import queries
 
 
 def one(spark, column, **values):
@@ -93,3 +96,19 @@ def test_embedded_json(spark):
     text = 'noise {bad {"a": [1]} {"generated_segment": "  "} {"generated_segment": " s "}'
     df = spark.createDataFrame([(text,), ("none",), (None,)], "t string").select(embedded.first_object("t").alias("o"), embedded.generated_segment("t").alias("g"))
     assert [tuple(r) for r in df.collect()] == [('{"a":[1]}', "s"), (None, None), (None, None)]
+
+
+def test_segments_by_plain_rules(spark):
+    draw = random.Random(5)
+    parts = [" ", "  ", "\t", "　", " \x85", "\n", "\r\n", ". ", ".", "! \n", "a", "Step 2", "final - answer", "x=1", ":", "é", "a long sentence of words", "-", "9" * 20]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = [r[0] for r in df.select(X.segments(F.col("t"))).collect()]
+    inner = F.regexp_replace("t", rf"[{X.SPACE}&&[^\r\n]]+", " ")
+    plain = F.filter(F.transform(F.split(inner, r"(?<=[.!?;:])[ \r\n]+|[\r\n]+"), lambda s: F.trim(s)), lambda s: ~F.trim(F.regexp_replace(s, "[^A-Za-z0-9 ]+", "")).rlike(X._MARKER))
+    assert got == [r[0] for r in df.select(plain).collect()]
+
+
+def test_segments_are_spread_over_tasks(spark, sf):
+    plan = queries.queries()["segments"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc_id" in plan

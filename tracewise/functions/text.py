@@ -55,17 +55,20 @@ def filled(text: Column) -> Column:
 
 #: What is left of a segment without content: nothing, a marker, or a step number.
 _MARKER = f"(?i)\\A(?:{'|'.join(m.replace(' ', ' +') for m in MARKERS)}|(?:step *)?[0-9]+[a-z]?)?\\z"
+#: More letters than any marker has, so that most segments are told from markers by their first letters.
+_LETTERS = f"(?:[A-Za-z][^A-Za-z]*+){{{max(map(len, MARKERS)) + 1}}}"
 
 
 def marker_only(segment: Column) -> Column:
     """Whether a segment, its white space squeezed, has no content besides signs, a marker or a step number. Signs may stand between letters too."""
-    return F.trim(F.regexp_replace(segment, "[^A-Za-z0-9 ]+", "")).rlike(_MARKER)
+    return ~segment.rlike(_LETTERS) & F.trim(F.regexp_replace(segment, "[^A-Za-z0-9 ]+", "")).rlike(_MARKER)
 
 
 def segments(text: Column) -> Column:
     """Sentence-like segments: lines, split after . ! ? ; : before white space, without markers."""
-    inner = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{SPACE}&&[^\r\n]]+", " ")
-    parts = F.split(inner, r"(?<=[.!?;:])[ \r\n]+|[\r\n]+")
+    space = rf"[{SPACE}&&[^\r\n]]"
+    inner = F.regexp_replace(F.coalesce(text, F.lit("")), rf" {space}+|[{SPACE}&&[^ \r\n]]{space}*", " ")  # single spaces stay as they are
+    parts = F.split(inner, r"[ \r\n](?<=[.!?;:][ \r\n])[ \r\n]*|[\r\n]+")  # what stands before is looked at only from white space
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: ~marker_only(s))
 
 

@@ -60,13 +60,15 @@ def records(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.withColumn("v", v).withColumn("error", _first((F.col("v").isNull(), "invalid JSON"), (R.kind(F.col("v")) != "OBJECT", "not a JSON object")))
 
 
-def _checked(rows: DataFrame, **columns: Column) -> DataFrame:
+def _checked(rows: DataFrame, once: bool = True, **columns: Column) -> DataFrame:
     """rows with columns, and error set to the earlier error if there is one.
 
-    Columns are the one element of an array, so a filter on them, such as split_errors has, stays above the step and does not work them out once more.
+    With once, columns are the one element of an array, so a filter on them, such as split_errors has, stays above the step and does not work them out once more.
     """
     columns["error"] = F.coalesce(F.col("error"), columns["error"])
     kept = [c for c in rows.columns if c not in ("v", "value", *columns) and not c.startswith("_raw_")]
+    if not once:
+        return rows.select(*kept, *[c.alias(n) for n, c in columns.items()])
     made = rows.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made"))
     return made.select(*kept, *[F.col("_made")[n].alias(n) for n in columns])
 
@@ -256,6 +258,7 @@ def trace_rows(lines: DataFrame, default_source: str | Column, index: str = "lin
     made_id = F.format_string("visualprm_%06d", F.col(index)) if made_id is None else made_id
     return _checked(
         rows,
+        once=False,  # the texts are one Arrow step, and a filter needs little of the rest
         trace_id=F.coalesce(own("id"), made_id),
         question=F.col("_texts.question"),
         reasoning=F.col("_texts.reasoning"),

@@ -62,20 +62,30 @@ def calibrated_value(rows: DataFrame, weights: dict[str, float], bias: float) ->
     return M.logistic_score(M.nli_features(*[raw_value(rows, n) for n in NLI_VALUES]), tuple(weights[n] for n in ("E_ab", "E_ba", "C_max", "N_max")), bias)
 
 
-def _rewards(rows: DataFrame, source: Column | str, value: Column, kappa: float, dataset: Column | None = None) -> DataFrame:
+def _rewards(rows: DataFrame, source: Column | str, value: Column, kappa: float, dataset: Column | None = None, calibrated: Column | None = None) -> DataFrame:
+    """rows as reward rows by value, and by calibrated where that is not null. Values are elements of an array, so the filter and the scaling name them and do not work them out again."""
     kind = M.pair_type(column(rows, "pair_type"))
+    scored = [F.struct("scorer", "score_field", value.alias("value"))]
+    if calibrated is not None:
+        scored.append(F.struct(F.lit(CALIBRATED[0]).alias("scorer"), F.lit(CALIBRATED[1]).alias("score_field"), calibrated.alias("value")))
     made = rows.select(
         F.coalesce(dataset if dataset is not None else column(rows, "dataset"), F.lit("")).alias("dataset"), F.coalesce(column(rows, "subcategory"), F.lit("")).alias("subcategory"),
-        (F.lit(source) if isinstance(source, str) else source).alias("source"), "scorer", "score_field", kind.alias("pair_type"), M.scale_reward(value, kappa).alias("reward"),
+        (F.lit(source) if isinstance(source, str) else source).alias("source"), kind.alias("pair_type"), F.explode(F.array(*scored)).alias("_s"),
     )
-    return made.where(F.col("pair_type").isin("positive", "negative") & F.col("reward").isNotNull())
+    known = made.where(F.col("pair_type").isin("positive", "negative") & F.col("_s.value").isNotNull())
+    return known.select("dataset", "subcategory", "source", "_s.scorer", "_s.score_field", "pair_type", M.scale_reward(F.col("_s.value"), kappa).alias("reward"))
 
 
-def collect_caption(scores: DataFrame, kappa: float = 0.0) -> DataFrame:
-    """Caption scores as reward rows, one for each score field of the scorer."""
+def _weighted(rows: DataFrame, weights: dict[str, float] | None, bias: float) -> Column | None:
+    """The calibrated value of NLI rows, null for others; None without weights."""
+    return None if weights is None else F.when(F.col("scorer") == "nli", calibrated_value(rows, weights, bias))
+
+
+def collect_caption(scores: DataFrame, kappa: float = 0.0, weights: dict[str, float] | None = None, bias: float = 0.0) -> DataFrame:
+    """Caption scores as reward rows, one for each score field of the scorer; with weights, those of collect_caption_calibrated too, in the same pass."""
     rows = routed(scores, REWARD_FIELDS)
     value = F.when((F.col("scorer") == "nli") & (F.col("score_field") == "nli_heuristic"), _heuristic(rows)).otherwise(field_value(rows, ("raw_score", *BERTSCORE_FIELDS)))
-    return _rewards(rows, CAPTION, value, kappa)
+    return _rewards(rows, CAPTION, value, kappa, calibrated=_weighted(rows, weights, bias))
 
 
 def _numeric_deduped(rows: DataFrame, by_values: Column, order: tuple[str, ...]) -> DataFrame:
@@ -86,8 +96,8 @@ def _numeric_deduped(rows: DataFrame, by_values: Column, order: tuple[str, ...])
     return deduped_first(keyed, [*keys, *values], [c for c in order if c in rows.columns]).drop(*values)
 
 
-def collect_numeric(scores: DataFrame, kappa: float = 0.0, order: tuple[str, ...] = ("file", "line")) -> DataFrame:
-    """Numeric scores as reward rows; of repeated rows the first in order counts."""
+def collect_numeric(scores: DataFrame, kappa: float = 0.0, order: tuple[str, ...] = ("file", "line"), weights: dict[str, float] | None = None, bias: float = 0.0) -> DataFrame:
+    """Numeric scores as reward rows; of repeated rows the first in order counts. With weights, those of collect_numeric_calibrated too, from the same rows: an NLI row has one score field, so both drop the same repeats."""
     rows = scores.withColumn("_field", F.col("score_field"))
     named = F.when(F.coalesce(F.col("_field"), F.lit("")) != "", F.array("_field"))
     fallback = F.when(F.col("scorer") == "bertscore", F.array(*[F.lit(n) for n in BERTSCORE_FIELDS])).otherwise(F.array(F.lit("raw_score")))
@@ -95,7 +105,7 @@ def collect_numeric(scores: DataFrame, kappa: float = 0.0, order: tuple[str, ...
     rows = _numeric_deduped(rows, F.col("score_field") == "nli_heuristic", order)
     score = M.num(F.col("score"))
     value = F.when((F.col("scorer") == "nli") & (F.col("score_field") == "nli_heuristic"), _heuristic(rows)).when((F.col("scorer") == "bge_reranker") & (F.col("score_field") == "sigmoid_raw_score"), M.sigmoid(score)).when(F.col("_field") == F.col("score_field"), score)
-    return _rewards(rows, NUMERIC, value, kappa, F.coalesce(column(rows, "dataset"), F.lit(NUMERIC_DATASET)))
+    return _rewards(rows, NUMERIC, value, kappa, F.coalesce(column(rows, "dataset"), F.lit(NUMERIC_DATASET)), _weighted(rows, weights, bias))
 
 
 def _calibrated_columns(rows: DataFrame) -> DataFrame:
@@ -122,12 +132,10 @@ def collect_numeric_calibrated(scores: DataFrame, weights: dict[str, float], bia
 
 def collected(caption: DataFrame, numeric: DataFrame, predictions: DataFrame | None = None, weights: dict[str, float] | None = None, bias: float = 0.0, kappa: float = 0.0) -> DataFrame:
     """Reward rows of all sources: calibrated ones from predictions if there are any, else by weights if given."""
-    out = collect_caption(caption, kappa).unionByName(collect_numeric(numeric, kappa))
-    if predictions is not None and not predictions.isEmpty():
-        return out.unionByName(collect_calibrated(predictions, kappa))
-    if weights is not None:
-        out = out.unionByName(collect_caption_calibrated(caption, weights, bias, kappa)).unionByName(collect_numeric_calibrated(numeric, weights, bias, kappa))
-    return out
+    predicted = predictions is not None and not predictions.isEmpty()
+    own = None if predicted else weights
+    out = collect_caption(caption, kappa, own, bias).unionByName(collect_numeric(numeric, kappa, weights=own, bias=bias))
+    return out.unionByName(collect_calibrated(predictions, kappa)) if predicted else out
 
 
 def reward_tables(rewards: DataFrame) -> dict[str, DataFrame]:

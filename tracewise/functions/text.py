@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +19,12 @@ _WHITE = r"[\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u30
 
 def strip(c: Column) -> Column:
     """Without white space (of Unicode) at both ends."""
-    return F.regexp_replace(c, rf"^{_WHITE}+|(?<!{_WHITE}){_WHITE}+$", "")
+    return F.regexp_replace(c, rf"^{_WHITE}+|{_WHITE}(?<!{_WHITE}{{2}}){_WHITE}*$", "")  # what stands before is looked at only from white space
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value that it names several times; the value is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def coerce_text(c: Column) -> Column:
@@ -151,10 +158,13 @@ PLAIN_FOLDERS = ("images", "train", "val", "test", "raw")
 
 def clean_label(text: Column) -> Column:
     """A text's last path part without a known ending, other characters than ASCII letters, digits, dot, minus and underscore as one underscore; unknown if nothing is left of a text, empty for an empty one."""
-    plain = coerce_text(text)
-    name = F.regexp_replace(F.regexp_extract(plain, r"([^/]*)/*\z", 1), rf"\.(?:{'|'.join(SUFFIXES)})\z", "")
-    clean = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_.-]+", "_"), r"^_+|_+\z", "")
-    return F.when(plain == "", F.lit("")).otherwise(F.coalesce(F.nullif(clean, F.lit("")), F.lit("unknown")))
+
+    def label(plain: Column) -> Column:
+        name = F.regexp_replace(F.regexp_extract(plain, r"(?<![^/])([^/]*+)/*+\z", 1), rf"\.(?:{'|'.join(SUFFIXES)})\z", "")
+        clean = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_.-]+", "_"), r"^_+|(?<!_)_+\z", "")
+        return F.when(plain == "", F.lit("")).otherwise(once(clean, lambda c: F.when(c == "", F.lit("unknown")).otherwise(c)))
+
+    return once(coerce_text(text), label)
 
 
 def source_subcategory(path: Column, skip: str = "VisualPRM400K") -> Column:

@@ -55,8 +55,8 @@ def _first(*checks: tuple[Column, str]) -> Column:
 
 
 def records(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Text lines with `v`, the line's JSON object as a variant, and `error` where it is none."""
-    v = F.try_parse_json(F.col(value))
+    """Text lines with `v`, the line's JSON object as a variant, and `error` where it is none. The variant is the one element of an array, so filters on what is taken from it do not parse the line again."""
+    v = F.explode(F.array(F.try_parse_json(F.col(value))))
     return lines.withColumn("v", v).withColumn("error", _first((F.col("v").isNull(), "invalid JSON"), (R.kind(F.col("v")) != "OBJECT", "not a JSON object")))
 
 
@@ -252,13 +252,13 @@ def pair_summary(rows: DataFrame) -> DataFrame:
 def trace_rows(lines: DataFrame, default_source: str | Column, index: str = "line", made_id: Column | None = None) -> DataFrame:
     """Records (v, error) as traces: trace_id, question, reasoning, subcategory, source, row_index; without reasoning an error. made_id names those without an id, else their index does."""
     texts = embedded.first_texts(F.col("v"), {"id": ID_FIELDS, "question": QUESTION_FIELDS, "reasoning": REASONING_FIELDS, "subcategory": SUBCATEGORY_FIELDS, "source": SOURCE_FIELDS})
-    rows = lines.withColumn("_texts", texts)
+    rows = lines.withColumn("_texts", F.explode(F.array(texts)))  # one element, so a filter does not call for the texts again
     own = lambda c: F.nullif(F.col(f"_texts.{c}"), F.lit(""))
     source = F.coalesce(own("source"), F.lit(default_source) if isinstance(default_source, str) else default_source)
     made_id = F.format_string("visualprm_%06d", F.col(index)) if made_id is None else made_id
     return _checked(
         rows,
-        once=False,  # the texts are one Arrow step, and a filter needs little of the rest
+        once=False,  # the texts are a step of their own, and a filter needs little of the rest
         trace_id=F.coalesce(own("id"), made_id),
         question=F.col("_texts.question"),
         reasoning=F.col("_texts.reasoning"),

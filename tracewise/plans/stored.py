@@ -108,9 +108,9 @@ def loaded_traces(spark, d):
     value = F.when(k % 10 == 3, F.lit("[1]")).when(k % 10 == 7, F.lit("{cut off")).when(k % 10 == 1, F.concat(F.lit('{"id":"t'), k.cast("string"), F.lit('","steps":["a","'), "o_orderpriority", F.lit('"],"domain":"x y"}'))).when(k % 10 == 2, F.lit('{"question":"q"}')).otherwise(F.concat(F.lit('{"solution":{"text":"'), "o_orderpriority", F.lit('"},"question":" q "}')))
     rows = D.table(spark, d, "orders").select(k.alias("line"), F.concat(value, F.when(k % 6 == 0, "\n  \n").otherwise("\n")).alias("value"), F.concat(F.lit("part "), (k % 3).cast("string"), _part(k), F.lit(".jsonl")).alias("name"))
     lines = _lines_of(_files(rows, spark, "traces", F.col("name"), F.col("line"), F.col("value")), spark)
-    good, errors = loaders.traces(loaders.numbered_by_file(lines.withColumn("file", F.regexp_replace("file", "%20", " "))), by_file=True)
-    good = good.select("file", "row_index", "trace_id", "question", "reasoning", "source", "subcategory", F.lit(None).cast("string").alias("error"))
-    return good.unionByName(errors.select("file", "row_index", "trace_id", F.lit(None).cast("string").alias("question"), F.lit(None).cast("string").alias("reasoning"), "source", "subcategory", F.col("error_message").alias("error")))
+    found = loaders.trace_table(loaders.numbered_by_file(lines.withColumn("file", F.regexp_replace("file", "%20", " "))), by_file=True)
+    texts = [F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("question", "reasoning")]
+    return found.select("file", "row_index", "trace_id", *texts, "source", "subcategory", "error")
 
 
 @query

@@ -58,13 +58,13 @@ def parsed_objects(rows: DataFrame, schema: T.StructType, kept: Iterable[str] =
     return good, errors
 
 
-def with_places(rows: DataFrame, place: str = "place", file: str = "file", line: str = "line", share: int = 100_000) -> DataFrame:
-    """rows with their place by file and line, from 0. Runs of share lines of a file are counted first, so no task sorts a whole file."""
+def with_places(rows: DataFrame, place: str = "place", file: str = "file", line: str = "line", share: int = 100_000, by_file: bool = False) -> DataFrame:
+    """rows with their place by file and line, from 0, or in their file with by_file. Runs of share lines of a file are counted first, so no task sorts a whole file."""
     from pyspark.sql import Window
 
     rows = rows.withColumn("_run", F.floor(F.col(line) / share))
     counts = rows.groupBy(file, "_run").agg(F.count("*").alias("_c"))  # a row per run
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy(file, "_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over((Window.partitionBy(file).orderBy("_run") if by_file else Window.orderBy(file, "_run")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     n = F.col("_before") + F.row_number().over(Window.partitionBy(file, "_run").orderBy(line))
     return rows.join(counts, [file, "_run"]).withColumn(place, n - 1).drop("_before", "_run")
 

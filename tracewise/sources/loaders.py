@@ -198,21 +198,23 @@ def load_traces(spark: SparkSession, paths: list[str]) -> Loaded:
 
 def numbered_by_file(lines: DataFrame) -> DataFrame:
     """Lines (file, line, value) with row_index, their place in their file from 1."""
-    rows = files.with_places(lines, "_all")
-    first = rows.groupBy("file").agg(F.min("_all").alias("_first"))  # a row a file
-    return rows.join(first, "file").withColumn("row_index", F.col("_all") - F.col("_first") + 1).drop("_all", "_first", "line")
+    return files.with_places(lines, "_place", by_file=True).withColumn("row_index", F.col("_place") + 1).drop("_place", "line")
 
 
-def traces(rows: DataFrame, by_file: bool = False) -> Loaded:
-    """Rows (file, row_index, value) of JSON texts as traces and errors. by_file: made names hold the file's name."""
+def trace_table(rows: DataFrame, by_file: bool = False) -> DataFrame:
+    """Rows (file, row_index, value) of JSON texts as traces with error, good and bad in one pass; a bad row has names only if it was an object. by_file: made names hold the file's name."""
     name = F.regexp_extract("file", r"([^/]+)$", 1)
     made = F.format_string("visualprm_%06d", F.col("row_index"))
     made = F.concat(X.clean_label(name), F.lit("_"), made) if by_file else made
     found = N.trace_rows(N.records(rows), name, "row_index", made)
-    bad = found.where("error IS NOT NULL")
-    known = F.col("error") == "Missing reasoning text"  # the record was an object, so its names count
-    named = [F.when(known, F.col(c)).alias(c) for c in ("trace_id", "source", "subcategory")]
-    errors = bad.select("file", "row_index", *named, F.lit("ValueError").alias("error_type"), F.col("error").alias("error_message"))
+    known = F.col("error").isNull() | (F.col("error") == "Missing reasoning text")  # the record was an object, so its names count
+    return found.withColumns({c: F.when(known, F.col(c)) for c in ("trace_id", "source", "subcategory")})
+
+
+def traces(rows: DataFrame, by_file: bool = False) -> Loaded:
+    """trace_table as traces and errors."""
+    found = trace_table(rows, by_file)
+    errors = found.where("error IS NOT NULL").select("file", "row_index", "trace_id", "source", "subcategory", F.lit("ValueError").alias("error_type"), F.col("error").alias("error_message"))
     return found.where("error IS NULL").drop("error"), errors
 
 

@@ -240,3 +240,38 @@ def test_relations_of_alignment_are_planned_by_the_engine(spark, monkeypatch):
     got = align.align(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), A, B)
     assert got.documents.first()["groups"]
     assert "posexplode" in plans[1] and "Window" in plans[1] and "Join" in plans[1] and "Exchange hashpartitioning" not in plans[1]
+
+
+def test_encoding_takes_from_the_block_before(monkeypatch):
+    """Dictionaries of one block after another are encoded as each alone, in short texts, and what the block before had is not encoded again."""
+    import numpy as np
+    import public_tokenizers
+
+    from tracewise.llm import align
+
+    own = align._of(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    asked, plain = [], own.encoded
+    monkeypatch.setattr(own, "encoded", lambda parts: asked.append(list(parts)) or plain(parts))
+    monkeypatch.setattr(align, "ROW", 4)
+    encoder = align._Encoder(own)
+    for block, fresh in ((["a", "the", "été\n", "x1", "Word,", "end "], 6), (["the", "new", "x1", "é", "a", "old\t", "Word,"], 3), (["é", "the"], 0), ([], 0), (["é", "a"], 1)):
+        asked.clear()
+        got = list(encoder.encoded({p: i for i, p in enumerate(block)}))
+        assert sum(map(len, asked)) == fresh and [k for k, _ in got] == list(range(0, len(block), 4))
+        for k, sides in got:
+            for x, y, lengths in zip(sides, plain(block[k : k + 4]), (own.lengths_a, own.lengths_b), strict=True):
+                assert all(np.array_equal(a, b) for a, b in zip(x, y, strict=True))
+                assert all(np.array_equal(x[1][i:j], np.cumsum(lengths[x[0][i:j]])) for i, j in zip(x[2], x[2][1:]))
+    texts = []
+    monkeypatch.setattr(own, "b", type("B", (), {"encode": lambda _, t, num_threads, b=own.b: texts.extend(t) or b.encode(t, num_threads=num_threads)})())
+    plain([f"w{i}" for i in range(2 * align.RUN + 1)])
+    assert [t.count(" ") + 1 for t in texts] == [align.RUN, align.RUN, 1]
+
+
+def test_ends_come_with_the_tokens(spark):
+    from tracewise.llm import align
+
+    rows = spark.createDataFrame([(0, None, 0, [2], [[5, 6]], [[1, 3]], [[7]], [[3]])], align._BLOCK)
+    links = align._links(rows)
+    assert [tuple(r[c] for c in ("unit", "end", "a", "b", "times", "group")) for r in links.collect()] == [(0, 3, 6, 7, 2, 0)]
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1

@@ -5,10 +5,10 @@ only in front, sentence-piece BPE because no piece of the vocabulary holds a spa
 checked). So tokens, ends, cuts, groups and links of a stretch between two such cuts are the same wherever it stands, and each
 distinct stretch is aligned once:
 
-1. Tasks split documents into stretches and give each document as numbers of stretches in a dictionary of its block, with the ids and byte
-   lengths of each stretch's tokens. A block is a run of one task's documents of about OCCURRENCES stretches, so its dictionary is bounded. The
+1. Tasks split documents into stretches and give each document as numbers of stretches in a dictionary of its block, with the ids of each
+   stretch's tokens and the running sums of their bytes, which are their ends. A block is a run of one task's documents of about OCCURRENCES stretches, so its dictionary is bounded. The
    table is bucketed by block, and as a task makes whole blocks that takes no shuffle.
-2. posexplode gives a row a token, a window sums its bytes to its end, and an equi-join on stretch and end gives the cuts, which are the links;
+2. posexplode gives a row a token with its end, and an equi-join on stretch and end gives the cuts, which are the links;
    their running count numbers the groups. All keys begin with the block, so buckets are read in place and nothing is shuffled.
 3. Links times the count of their stretch sum to the count of each pair of ids, and the highest of each B id is marked. Links meet their
    pair again: up to PAIRS pairs are broadcast; more meet by a shuffle, but for pairs that hold a large share of all links
@@ -32,7 +32,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count, islice
+from itertools import chain, compress, count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ from tracewise.llm.tokens import byte_letters, check_supported
 OCCURRENCES, DICTIONARY_BYTES = 400_000, 32 << 20
 #: Pairs of ids that are broadcast, at most: about 100 MB.
 PAIRS = 2_000_000
+#: Stretches that are encoded as one text, at most: the tokenizers' queues of merges grow with a text, and its cost by more than its length.
+RUN = 300
 #: Buckets of the tables of blocks, at most: the engine's own bound.
 MOST_BUCKETS = 100_000
 SPACE = "▁"
@@ -74,7 +76,7 @@ def stretches(text: str) -> list[str]:
 
 
 class _Tokenizers:
-    """Ids and byte lengths of a stretch's tokens by both files."""
+    """Ids and ends of a stretch's tokens by both files."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -95,34 +97,78 @@ class _Tokenizers:
         self.lengths_a = _lengths(self.bytes_a)
         self.lengths_b = _lengths(self.bytes_b)
 
-    def encoded(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of both tokenizers: the ids of all parts in order, and where each part's end. Parts are encoded together, and cut where they end."""
+    def encoded(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of both tokenizers: the ids of all parts in order, the byte of its part that each token ends at, and where each part's tokens end. Parts are encoded together, and cut where they end."""
         texts: list[str] = []  # runs of parts as one text; a part that ends in white space ends its run, as only the end of a document is one
         run: list[str] = []
         for part in parts:
             run.append(part)
-            if part[-1].isspace():
+            if part[-1].isspace() or len(run) == RUN:
                 texts.append(" ".join(run))
                 run = []
         if run:
             texts.append(" ".join(run))
-        ids_a = [i for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False) for i in e.ids]
-        ids_b = [i for e in self.b.encode(texts, num_threads=1) for i in e]
+        ids_a = chain.from_iterable([e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)])
+        ids_b = chain.from_iterable(self.b.encode(texts, num_threads=1))
         whole = f" {' '.join(texts)}".encode()
         ends = np.cumsum([len(p.encode()) + 1 for p in parts])
         out = []
         for ids, of, lengths in ((ids_a, self.bytes_a, self.lengths_a), (ids_b, self.bytes_b, self.lengths_b)):
-            if b"".join(map(of.__getitem__, ids)) != whole:
+            flat = np.fromiter(ids, np.int32)
+            if b"".join(map(of.__getitem__, flat.tolist())) != whole:
                 raise ValueError(f"the tokenizers do not give back {whole[:40]!r}")
-            flat = np.array(ids, np.int32)
             token_ends = np.cumsum(lengths[flat])
             last = np.searchsorted(token_ends, ends)
             if not np.array_equal(token_ends[last], ends):
                 raise ValueError("a token goes on beyond a cut")
-            out.append((flat, np.concatenate([[0], last + 1])))
+            edges = np.concatenate([[0], last + 1])
+            within = token_ends - np.repeat(ends - np.diff(ends, prepend=0), np.diff(edges))
+            out.append((flat, within.astype(np.int32), edges))
         return out
 
 
+_Sides = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+class _Encoder:
+    """Encodes the dictionaries of one block after another: stretches that the block before had are taken from it, as many come again."""
+
+    def __init__(self, own: _Tokenizers):
+        self.own = own
+        self.numbers: dict[str, int] = {}
+        self.sides: _Sides = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64))] * 2
+
+    def _some(self, parts: list[str]) -> _Sides:
+        """As _Tokenizers.encoded."""
+        at = np.fromiter(map(self.numbers.get, parts, repeat(-1)), np.int64, len(parts))
+        fresh = at < 0
+        if fresh.all():
+            return self.own.encoded(parts)
+        new = self.own.encoded(list(compress(parts, fresh.tolist()))) if fresh.any() else self.sides
+        out = []
+        for (ids, ends, edges), (ids_new, ends_new, edges_new) in zip(self.sides, new, strict=True):
+            rank = np.cumsum(fresh) - 1
+            begins = np.where(fresh, len(ids) + edges_new[rank], edges[at])
+            sizes = np.where(fresh, edges_new[rank + 1] - edges_new[rank], edges[at + 1] - edges[at])
+            until = np.concatenate([[0], np.cumsum(sizes)])
+            take = np.repeat(begins - until[:-1], sizes) + np.arange(until[-1])
+            out.append((np.concatenate([ids, ids_new])[take], np.concatenate([ends, ends_new])[take], until))
+        return out
+
+    def encoded(self, numbers: dict[str, int]) -> Iterator[tuple[int, _Sides]]:
+        """The stretches of a block by ROW, with the number of the first."""
+        parts, made = list(numbers), []
+        for k in range(0, len(parts), ROW):
+            made.append(self._some(parts[k : k + ROW]))
+            yield k, made[-1]
+        joined = []
+        for side in zip(*made, strict=True):
+            sizes = [np.diff(edges) for _, _, edges in side]
+            joined.append((np.concatenate([x[0] for x in side]), np.concatenate([x[1] for x in side]), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])))
+        if made:
+            self.numbers, self.sides = numbers, joined
+
+
 def _lengths(of: dict[int, bytes]) -> np.ndarray:
     out = np.zeros(max(of) + 1, np.int64)
     out[list(of)] = [len(t) for t in of.values()]
@@ -186,9 +232,9 @@ class _Block:
 
 
 _IDS = T.ArrayType(T.ArrayType(T.IntegerType()))
-#: A document's row has its numbers; a row of the dictionary has the number of its first stretch, and of each stretch the count and both sides' ids.
-_BLOCK = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_numbers", T.BinaryType()), T.StructField("_first", T.IntegerType()), T.StructField("_times", T.ArrayType(T.LongType())), T.StructField("_a", _IDS), T.StructField("_b", _IDS)])
-_ARROW = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32()))]
+#: A document's row has its numbers; a row of the dictionary has the number of its first stretch, and of each stretch the count and both sides' ids and ends.
+_BLOCK = T.StructType([T.StructField("_block", T.LongType()), T.StructField("_numbers", T.BinaryType()), T.StructField("_first", T.IntegerType()), T.StructField("_times", T.ArrayType(T.LongType())), *[T.StructField(n, _IDS) for n in ("_a", "_a_ends", "_b", "_b_ends")]])
+_ARROW = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.list_(pa.int32()))] * 4]
 #: Stretches in a row of the dictionary.
 ROW = 10_000
 
@@ -200,15 +246,13 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     out = T.StructType([*[T.StructField(f.name, f.dataType) for f in rest], *_BLOCK.fields])  # null in a dictionary
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block, own = TaskContext.get().partitionId() << 32, _Block(), _of(path_a, path_b)
+        number, block, encoder = TaskContext.get().partitionId() << 32, _Block(), _Encoder(_of(path_a, path_b))
         kept: list[pa.DataType] = []
 
         def dictionary() -> Iterator[pa.RecordBatch]:
-            parts = list(block.numbers)
-            for k in range(0, len(parts), ROW):
-                some = parts[k : k + ROW]
-                one = pa.array([0, len(some)], pa.int32())
-                lists = [pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))) for ids, ends in own.encoded(some)]
+            for k, sides in encoder.encoded(block.numbers):
+                one = pa.array([0, len(sides[0][2]) - 1], pa.int32())
+                lists = [pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x))) for ids, ends, edges in sides for x in (ids, ends)]
                 times = pa.ListArray.from_arrays(one, pa.array(block.counts[k : k + ROW], pa.int64()))
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in kept], pa.array([number], _ARROW[0]), pa.nulls(1, _ARROW[1]), pa.array([k], _ARROW[2]), times, *lists], names=out.names)
 
@@ -235,20 +279,16 @@ def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
 _UNIT = ["_block", "unit"]
 
 
-def _tokens(dictionary: DataFrame, side: str, lengths: np.ndarray, *more: str) -> DataFrame:
-    """The tokens of a side: stretch, end, id and more. The end is the running sum of byte lengths, which are joined by id from the vocabulary."""
-    spark = dictionary.sparkSession
-    vocabulary = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], f"{side} int, n int")  # bounded by the tokenizer file
-    stretches = dictionary.select("_block", "_first", "_times", F.posexplode(f"_{side}").alias("at", "ids"))
-    rows = stretches.select("_block", (F.col("_first") + F.col("at")).alias("unit"), *[F.get("_times", F.col("at")).alias(c) for c in more], F.posexplode("ids").alias("pos", side))
-    rows = rows.join(F.broadcast(vocabulary), side)
-    before = Window.partitionBy(*_UNIT).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(*_UNIT, F.sum("n").over(before).cast("int").alias("end"), side, *more)
+def _tokens(dictionary: DataFrame, side: str, *more: str) -> DataFrame:
+    """The tokens of a side: stretch, end, id and more."""
+    stretches = dictionary.select("_block", "_first", "_times", f"_{side}_ends", F.posexplode(f"_{side}").alias("at", "ids"))
+    rows = stretches.select("_block", (F.col("_first") + F.col("at")).alias("unit"), *[F.get("_times", F.col("at")).alias(c) for c in more], F.get(f"_{side}_ends", F.col("at")).alias("ends"), F.posexplode("ids").alias("pos", side))
+    return rows.select(*_UNIT, F.get("ends", F.col("pos")).alias("end"), side, *more)
 
 
-def _links(dictionary: DataFrame, lengths_a: np.ndarray, lengths_b: np.ndarray) -> DataFrame:
+def _links(dictionary: DataFrame) -> DataFrame:
     """The cuts of each stretch: group (the running count of cuts before it), end, the ids a and b of the tokens that end there, and times (the count of the stretch)."""
-    cuts = _tokens(dictionary, "a", lengths_a, "times").join(_tokens(dictionary, "b", lengths_b), [*_UNIT, "end"])
+    cuts = _tokens(dictionary, "a", "times").join(_tokens(dictionary, "b"), [*_UNIT, "end"])
     before = Window.partitionBy(*_UNIT).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     return cuts.withColumn("group", F.count("a").over(before).cast("int"))
 
@@ -330,7 +370,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Alig
     asked = spark.conf.get(_CO_PARTITION)
     spark.conf.set(_CO_PARTITION, "false")  # buckets by block are enough for joins on block, number and end
     try:
-        links = _bucketed(_links(blocks.where("_first IS NOT NULL"), own.lengths_a, own.lengths_b), "links", buckets)
+        links = _bucketed(_links(blocks.where("_first IS NOT NULL")), "links", buckets)
         pairs = links.groupBy("a", "b").agg(F.sum("times").alias("count"), F.count(F.lit(1)).alias("rows"))
         best = F.col("count") == F.max("count").over(Window.partitionBy("b"))  # at most one row for each A id
         pairs = written(pairs.withColumn("best", best), "align-pairs")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import chunks, held, new_path, quoted, small_batches, word_table
+from tracewise.llm.shared import chunks, giving_back, held, new_path, quoted, small_batches, word_table
 
 #: Text bytes of a benchmark block, and of a training shard.
 BLOCK_BYTES = 8 << 20
@@ -267,7 +267,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
     made = dict(_MADE) | ({"clean_text": "string"} if clean else {})
     rows, back = held(docs, {"text": text}, (*_MADE, "clean_text"))
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(", ".join(f"{a} {b}" for a, b in made.items())).fields])
-    return rows.mapInArrow(_searcher(store, names, window, tuple(made)), schema).select(*back, *made)
+    return rows.mapInArrow(giving_back(_searcher(store, names, window, tuple(made))), schema).select(*back, *made)
 
 
 def _searcher(store: str, names: list[str], window: int, made: tuple[str, ...]):

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.llm.components import components
-from tracewise.llm.shared import NOT_SPACE, chunks, drop_written, held, mix64, small_batches, spread_join, word_table, written
+from tracewise.llm.shared import NOT_SPACE, chunks, drop_written, giving_back, held, mix64, small_batches, spread_join, word_table, written
 
 BANDS, ROWS, VALUES = 40, 5, 200
 #: Signature values that a batch adds, and the chance of dropping a pair at the threshold that is accepted.
@@ -149,7 +149,7 @@ def described(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text")
                 )
                 done += len(part)
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(describe, schema)
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(giving_back(describe), schema)
 
 
 _RUN = ["hub", "x", "y"]
@@ -281,12 +281,12 @@ def _linked(runs: DataFrame, base: DataFrame, docs: DataFrame, k: int, percent:
     """Links (hub, a, b) in runs (hub, x, y, doc_id, c, block), written."""
     about = base.where("sig IS NOT NULL").select("doc_id", "n_shingles", "sig")
     marked = _dealt(runs.join(about.hint("merge"), "doc_id").select(*_RUN, "doc_id", "c", "block", "n_shingles", "sig"))
-    likely = written(marked.mapInArrow(_likely(percent), "hub long, x int, y int, doc_id long, c long, block int").distinct(), "likely")
+    likely = written(marked.mapInArrow(giving_back(_likely(percent)), "hub long, x int, y int, doc_id long, c long, block int").distinct(), "likely")
     ends = likely.select("doc_id").distinct()
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).join(ends, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_packed_sets(k), "doc_id long, n_shingles long, shingles binary, sig binary")
+    sets = texts.mapInArrow(giving_back(_packed_sets(k)), "doc_id long, n_shingles long, shingles binary, sig binary")
     whole = _dealt(likely.join(sets, "doc_id").select(*_RUN, "doc_id", "c", "block", "n_shingles", "sig", "shingles"))
-    links = written(whole.mapInArrow(_linker(percent), "hub long, a long, b long"), "links")
+    links = written(whole.mapInArrow(giving_back(_linker(percent)), "hub long, a long, b long"), "links")
     drop_written(likely)
     return links
 

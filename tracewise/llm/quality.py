@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import NOT_SPACE, chunks, held, quoted, small_batches, word_table
+from tracewise.llm.shared import NOT_SPACE, chunks, giving_back, held, quoted, small_batches, word_table
 
 WORD_SLOTS = 1 << 12
 RANK = 8
@@ -183,7 +183,7 @@ def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     own = own.where(~held_out(F.col("_q_id"))).orderBy(F.md5(F.col("_q_id").cast("string")), "_q_id").limit(rows)
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_q_doc"), F.col(text).alias("t"))
     one = texts.join(F.broadcast(own), F.col("_q_doc") == F.col("_q_id")).groupBy("_q_id").agg(F.min("t").alias("t"), F.max("y").alias("y"))
-    sample = one.select("t", "y").mapInArrow(_sampled, _SAMPLE)
+    sample = one.select("t", "y").mapInArrow(giving_back(_sampled), _SAMPLE)
     got = sorted((tuple(r) for r in sample.collect()), key=lambda r: (bytes(r[0]), bytes(r[1]), r[3]))
     y = np.array([r[3] for r in got])
     if len(set(y.tolist())) < 2:
@@ -208,4 +208,4 @@ def scored(docs: DataFrame, model: Machine | Constant, text: str = "text") -> Da
             got = np.concatenate([np.zeros(0), *[model_.value.score(part) for part in chunks(texts)]])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return rows.mapInArrow(score, schema).select(*back, "score", "predicted")
+    return rows.mapInArrow(giving_back(score), schema).select(*back, "score", "predicted")

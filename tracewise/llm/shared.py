@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,6 +145,30 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+def release() -> None:
+    """Gives memory that this process no longer uses back to the system: tables of powers, Arrow's pool, and the heap where the C library can."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def giving_back(step: Step) -> Step:
+    """A step of mapInArrow that ends with release(). Workers outlive their tasks, and idle ones of earlier stages would hold what their largest task took."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            release()
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads all bits."""
     x = x ^ (x >> _U64(33))

@@ -275,3 +275,38 @@ def test_ends_come_with_the_tokens(spark):
     links = align._links(rows)
     assert [tuple(r[c] for c in ("unit", "end", "a", "b", "times", "group")) for r in links.collect()] == [(0, 3, 6, 7, 2, 0)]
     assert links._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_known_stretches_are_encoded_once(monkeypatch):
+    """A process keeps the tokens of the first stretches, up to bounds, and gives the same with them as without."""
+    import numpy as np
+    import public_tokenizers
+
+    from tracewise.llm import align
+
+    monkeypatch.setattr(align, "KNOWN", 8)
+    monkeypatch.setattr(align, "KNOWN_TOKENS", 40)
+    own = align._Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    asked, plain = [], own._encode
+    monkeypatch.setattr(own, "_encode", lambda parts: asked.append(list(parts)) or plain(parts))
+    for parts, fresh in ((["a", "the", "x1", "I", "été"], 5), (["the", "new", "a", "Wörd,qq"], 2), (["x1", "I", "a"], 0), (["y" * 300 + "é"], 1), (["y" * 300 + "é", "new"], 1), (["k", "l"], 2), (["l", "k"], 2)):
+        asked.clear()
+        got = own.encoded(parts)
+        assert sum(map(len, asked)) == fresh
+        for x, y in zip(got, plain(parts), strict=True):
+            assert all(np.array_equal(a, b) for a, b in zip(x, y, strict=True))
+
+
+def test_stretches_of_blocks_keep_their_order():
+    """Texts cut at each space and texts that are not are numbered together, in order."""
+    import numpy as np
+
+    from tracewise.llm import align
+
+    texts = [None, "a b  a", " a", "b c", "", "a\n b", "c", "x ", "\u2581 no", "a a"]
+    block = align._Block()
+    for part in (texts, texts[::-1], [None], ["only plain", "a b"]):
+        got = block.add(part).to_pylist()
+        words = list(block.numbers)
+        assert [[words[i] for i in np.frombuffer(x, np.int32)] for x in got] == [align.stretches(t) if t and align.SPACE not in t else [] for t in part]
+    assert block.total == block.counts.sum() and len(block.counts) == len(block.numbers)

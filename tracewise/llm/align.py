@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import held, new_path, small_batches, spread_join, written
+from tracewise.llm.shared import giving_back, held, new_path, small_batches, spread_join, written
 from tracewise.llm.tokens import byte_letters, check_supported
 
 #: A block of documents ends after so many stretches, or bytes of distinct ones, and the batch that reaches it.
@@ -51,6 +51,8 @@ OCCURRENCES, DICTIONARY_BYTES = 400_000, 32 << 20
 PAIRS = 2_000_000
 #: Stretches that are encoded as one text, at most: the tokenizers' queues of merges grow with a text, and its cost by more than its length.
 RUN = 300
+#: Stretches whose tokens a process keeps for the blocks to come, at most, and their tokens of a side: about 100 MB.
+KNOWN, KNOWN_TOKENS = 400_000, 2_600_000
 #: Buckets of the tables of blocks, at most: the engine's own bound.
 MOST_BUCKETS = 100_000
 SPACE = "▁"
@@ -67,14 +69,25 @@ class Alignment:
     pairs: DataFrame
 
 
+def _plain(text: str) -> bool:
+    return not text.endswith(" ") and not text.startswith(" ") and not re.search(r"\s ", text)
+
+
 def stretches(text: str) -> list[str]:
     """The parts of a text, with a space in front, between cuts; each stands without the space that it begins with."""
-    if not text.endswith(" ") and not text.startswith(" ") and not re.search(r"\s ", text):
+    if _plain(text):
         return text.split(" ")
     parts = re.split(r"(?<=\S)(?= +[^ ])", " " + text)
     return [p[1:] for p in parts]
 
 
+def _dealt(text: str | None) -> str | list[str]:
+    """The text itself if it is cut at each of its spaces, else its stretches; none of a text without tokens."""
+    if not text or SPACE in text:
+        return []
+    return text if _plain(text) else stretches(text)
+
+
 class _Tokenizers:
     """Ids and ends of a stretch's tokens by both files."""
 
@@ -96,8 +109,28 @@ class _Tokenizers:
 
         self.lengths_a = _lengths(self.bytes_a)
         self.lengths_b = _lengths(self.bytes_b)
+        self.known: dict[str, int] = {}  # the first stretches that came, which are the frequent ones
+        self.kept = [(np.empty(KNOWN_TOKENS, np.int32), np.empty(KNOWN_TOKENS, np.int32), np.zeros(KNOWN + 1, np.int64)) for _ in "ab"]
 
     def encoded(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """As _encode, but for what is known."""
+        at = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        fresh = at < 0
+        if not fresh.any():
+            return _merged(self.kept, at, fresh, [_NONE] * 2)
+        some = list(compress(parts, fresh.tolist()))
+        new = self._encode(some)
+        out = new if fresh.all() else _merged(self.kept, at, fresh, new)
+        n = len(self.known)
+        if n + len(some) <= KNOWN and all(edges[n] + len(ids) <= KNOWN_TOKENS for (_, _, edges), (ids, _, _) in zip(self.kept, new, strict=True)):
+            for (ids, ends, edges), (ids_new, ends_new, edges_new) in zip(self.kept, new, strict=True):
+                ids[edges[n] : edges[n] + len(ids_new)] = ids_new
+                ends[edges[n] : edges[n] + len(ids_new)] = ends_new
+                edges[n + 1 : n + len(edges_new)] = edges[n] + edges_new[1:]
+            self.known.update(zip(some, range(n, n + len(some)), strict=True))
+        return out
+
+    def _encode(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of both tokenizers: the ids of all parts in order, the byte of its part that each token ends at, and where each part's tokens end. Parts are encoded together, and cut where they end."""
         texts: list[str] = []  # runs of parts as one text; a part that ends in white space ends its run, as only the end of a document is one
         run: list[str] = []
@@ -128,6 +161,26 @@ class _Tokenizers:
 
 
 _Sides = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+_NONE = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+
+def _merged(old: _Sides, at: np.ndarray, fresh: np.ndarray, new: _Sides) -> _Sides:
+    """The sides of parts in order: the fresh ones are those of new, the others are in old at their place."""
+    out = []
+    for (ids, ends, edges), (ids_new, ends_new, edges_new) in zip(old, new, strict=True):
+        begins = edges[at[~fresh]]
+        sizes_old = edges[at[~fresh] + 1] - begins
+        take = np.repeat(begins - np.cumsum(sizes_old) + sizes_old, sizes_old) + np.arange(sizes_old.sum())
+        sizes = np.empty(len(fresh), np.int64)
+        sizes[fresh], sizes[~fresh] = np.diff(edges_new), sizes_old
+        is_new = np.repeat(fresh, sizes)
+        made = []
+        for x, y in ((ids, ids_new), (ends, ends_new)):
+            one = np.empty(len(is_new), np.int32)
+            one[is_new], one[~is_new] = y, x[take]
+            made.append(one)
+        out.append((*made, np.concatenate([[0], np.cumsum(sizes)])))
+    return out
 
 
 class _Encoder:
@@ -136,7 +189,7 @@ class _Encoder:
     def __init__(self, own: _Tokenizers):
         self.own = own
         self.numbers: dict[str, int] = {}
-        self.sides: _Sides = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64))] * 2
+        self.sides: _Sides = [_NONE] * 2
 
     def _some(self, parts: list[str]) -> _Sides:
         """As _Tokenizers.encoded."""
@@ -144,16 +197,7 @@ class _Encoder:
         fresh = at < 0
         if fresh.all():
             return self.own.encoded(parts)
-        new = self.own.encoded(list(compress(parts, fresh.tolist()))) if fresh.any() else self.sides
-        out = []
-        for (ids, ends, edges), (ids_new, ends_new, edges_new) in zip(self.sides, new, strict=True):
-            rank = np.cumsum(fresh) - 1
-            begins = np.where(fresh, len(ids) + edges_new[rank], edges[at])
-            sizes = np.where(fresh, edges_new[rank + 1] - edges_new[rank], edges[at + 1] - edges[at])
-            until = np.concatenate([[0], np.cumsum(sizes)])
-            take = np.repeat(begins - until[:-1], sizes) + np.arange(until[-1])
-            out.append((np.concatenate([ids, ids_new])[take], np.concatenate([ends, ends_new])[take], until))
-        return out
+        return _merged(self.sides, at, fresh, self.own.encoded(list(compress(parts, fresh.tolist()))) if fresh.any() else [_NONE] * 2)
 
     def encoded(self, numbers: dict[str, int]) -> Iterator[tuple[int, _Sides]]:
         """The stretches of a block by ROW, with the number of the first."""
@@ -217,16 +261,34 @@ class _Block:
     def add(self, texts: list[str | None]) -> pa.Array:
         """The numbers of each text's stretches, as bytes of 32-bit integers."""
         before = len(self.numbers)
-        each = [stretches(t) if t and SPACE not in t else [] for t in texts]
-        flat = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(each)), np.int32)  # a new one gets the next number
+        each = [_dealt(t) for t in texts]
+        flat, sizes = self._numbered(each)
         self.bytes += sum(map(len, islice(self.numbers, before, None)))
         grown = np.bincount(flat, minlength=len(self.numbers))
         grown[: len(self.counts)] += self.counts
         self.counts, self.total = grown, self.total + len(flat)
-        ends = np.cumsum([0, *map(len, each)]) * 4
-        offsets = pa.py_buffer(ends.astype(np.int32))
+        offsets = pa.py_buffer((np.concatenate([[0], np.cumsum(sizes)]) * 4).astype(np.int32))
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(flat)])
 
+    def _numbered(self, each: list[str | list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all stretches in order, and how many each text has. A text as such is cut at its spaces."""
+        lists = pc.split_pattern(pa.array([t if isinstance(t, str) else None for t in each], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()  # a word of many occurrences is numbered once
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        words = _joined(coded.dictionary, np.array([0, len(coded.dictionary)]), " ")[0].as_py().split(" ") if len(coded) else []
+        plain = self._of(words)[coded.indices.to_numpy()]
+        odd = [k for k, t in enumerate(each) if not isinstance(t, str)]
+        if not odd:
+            return plain, sizes
+        at, parts, done = np.cumsum(sizes), [], 0
+        for k in odd:
+            parts += [plain[done : at[k]], self._of(each[k])]
+            done, sizes[k] = at[k], len(each[k])
+        return np.concatenate([*parts, plain[done:]]), sizes
+
+    def _of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))  # a new one gets the next number
+
     def full(self) -> bool:
         return self.total >= OCCURRENCES or self.bytes >= DICTIONARY_BYTES
 
@@ -266,7 +328,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 number, block = number + 1, _Block()
         yield from dictionary()
 
-    return docs.mapInArrow(deal, out)
+    return docs.mapInArrow(giving_back(deal), out)
 
 
 def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
@@ -293,14 +355,17 @@ def _links(dictionary: DataFrame) -> DataFrame:
     return cuts.withColumn("group", F.count("a").over(before).cast("int"))
 
 
-def _strings(ids: np.ndarray, unit: np.ndarray, lengths: np.ndarray, names: list[str], cuts: np.ndarray) -> list[str]:
+def _strings(ids: np.ndarray, unit: np.ndarray, lengths: np.ndarray, names: pa.Array, cuts: np.ndarray) -> pa.Array:
     """The ids of each group, over some stretches in order: cuts are stretch << 32 | end, and a token's group is the first cut that is not before its end."""
     sums = np.concatenate([[0], np.cumsum(lengths[ids])])
     ends = sums[1:] - sums[np.searchsorted(unit, unit)]
     groups = np.searchsorted(cuts, (unit.astype(np.int64) << 32) + ends)
-    tokens = list(map(names.__getitem__, ids.tolist()))
-    begins = np.searchsorted(groups, np.arange(len(cuts))).tolist()
-    return [tokens[x] if y == x + 1 else ",".join(tokens[x:y]) for x, y in zip(begins, [*begins[1:], len(tokens)], strict=True)]
+    return _joined(names.take(pa.array(ids)), np.searchsorted(groups, np.arange(len(cuts) + 1)), ",")
+
+
+def _joined(texts: pa.Array, edges: np.ndarray, sign: str) -> pa.Array:
+    """Runs of texts, each joined by a sign; run k is from edges[k] to edges[k + 1]."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), texts), pa.scalar(sign, texts.type))
 
 
 def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, lengths_b: np.ndarray) -> DataFrame:
@@ -331,15 +396,15 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
         for name, values in (("n_best", counts & 1), ("count_sum", counts >> 1)):
             sums = np.concatenate([[0], np.cumsum(values)])
             by_unit[name] = sums[edges[1:]] - sums[edges[:-1]]
-        names = list(map(str, range(max(len(lengths_a), len(lengths_b)))))
-        texts: list[str] = []
+        names = pa.array(list(map(str, range(max(len(lengths_a), len(lengths_b))))), pa.large_string())
+        made_texts: list[pa.Array] = []
         for k in range(0, n, ROW):  # some stretches at a time, so that their groups take little memory
             end = min(n, k + ROW)
             some = cuts[edges[k] : edges[end]]
             sides = [_strings(ids[x:y], unit[x:y], lengths, names, some) for ids, unit, lengths in ((a, unit_a, lengths_a), (b, unit_b, lengths_b)) for x, y in [np.searchsorted(unit, (k, end))]]
-            groups = list(map("|".join, zip(*sides, strict=True)))
-            each = (edges[k : end + 1] - edges[k]).tolist()
-            texts += [groups[x] if y == x + 1 else ";".join(groups[x:y]) for x, y in zip(each, each[1:])]
+            made_texts.append(_joined(pc.binary_join_element_wise(*sides, pa.scalar("|", names.type)), edges[k : end + 1] - edges[k], ";"))
+        texts = pa.concat_arrays(made_texts or [pa.array([], pa.large_string())])
+        del names, made_texts
         lists = [np.frombuffer(x, np.int32) for x in docs["_numbers"].to_pylist()]
         begins = np.cumsum([0, *map(len, lists)])
         numbers = np.concatenate([np.zeros(0, np.int32), *lists])
@@ -347,8 +412,8 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
         for c in _COUNTS:
             sums = np.concatenate([[0], np.cumsum(by_unit[c][numbers])]).astype(np.int64)
             made.append(pa.array(sums[begins[1:]] - sums[begins[:-1]], pa.int64()))
-        put = texts.__getitem__
-        whole = pa.chunked_array([pa.array([";".join(map(put, x.tolist())) for x in lists[k : k + 500]], pa.string()) for k in range(0, len(lists), 500)], pa.string())
+        parts = [_joined(texts.take(pa.array(numbers[begins[k] : begins[end]])), begins[k : end + 1] - begins[k], ";") for k in range(0, len(lists), 500) for end in [min(len(lists), k + 500)]]
+        whole = pa.chunked_array([x.cast(pa.string()) for x in parts], pa.string())
         return pa.table([*[docs[f.name] for f in rest], *made, whole], names=out.names)
 
     blocks = blocks.select("_block", "_first", "_numbers", "_a", "_b", *[f.name for f in rest])

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewise.llm.shared import giving_back, held, new_path, small_batches, spread_join, written
+from tracewise.llm.shared import giving_back, held, new_path, release, small_batches, spread_join, written
 from tracewise.llm.tokens import byte_letters, check_supported
 
 #: A block of documents ends after so many stretches, or bytes of distinct ones, and the batch that reaches it.
@@ -381,7 +381,7 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
 
     def join(rows: pa.Table, links: pa.Table) -> pa.Table:
         _loaded.clear()  # a worker that has encoded needs its tokenizers no more
-        pa.default_memory_pool().release_unused()
+        release()
         is_doc = pc.is_null(rows["_first"])
         docs, own = rows.filter(is_doc), rows.filter(pc.invert(is_doc))
         own = own.take(pc.sort_indices(own, [("_first", "ascending")]))
@@ -412,8 +412,8 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
         for c in _COUNTS:
             sums = np.concatenate([[0], np.cumsum(by_unit[c][numbers])]).astype(np.int64)
             made.append(pa.array(sums[begins[1:]] - sums[begins[:-1]], pa.int64()))
-        parts = [_joined(texts.take(pa.array(numbers[begins[k] : begins[end]])), begins[k : end + 1] - begins[k], ";") for k in range(0, len(lists), 500) for end in [min(len(lists), k + 500)]]
-        whole = pa.chunked_array([x.cast(pa.string()) for x in parts], pa.string())
+        parts = [_joined(texts.take(pa.array(numbers[begins[k] : begins[end]])), begins[k : end + 1] - begins[k], ";").cast(pa.string()) for k in range(0, len(lists), 500) for end in [min(len(lists), k + 500)]]
+        whole = pa.chunked_array(parts, pa.string())
         return pa.table([*[docs[f.name] for f in rest], *made, whole], names=out.names)
 
     blocks = blocks.select("_block", "_first", "_numbers", "_a", "_b", *[f.name for f in rest])

@@ -278,7 +278,7 @@ def test_ends_come_with_the_tokens(spark):
 
 
 def test_known_stretches_are_encoded_once(monkeypatch):
-    """A process keeps the tokens of the first stretches, up to bounds, and gives the same with them as without."""
+    """A task keeps the tokens of the first stretches, up to bounds, and gives the same with them as without."""
     import numpy as np
     import public_tokenizers
 

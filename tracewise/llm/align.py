@@ -51,7 +51,7 @@ OCCURRENCES, DICTIONARY_BYTES = 400_000, 32 << 20
 PAIRS = 2_000_000
 #: Stretches that are encoded as one text, at most: the tokenizers' queues of merges grow with a text, and its cost by more than its length.
 RUN = 300
-#: Stretches whose tokens a process keeps for the blocks to come, at most, and their tokens of a side: about 100 MB.
+#: Stretches whose tokens a task keeps for its blocks to come, at most, and their tokens of a side: about 100 MB.
 KNOWN, KNOWN_TOKENS = 400_000, 2_600_000
 #: Buckets of the tables of blocks, at most: the engine's own bound.
 MOST_BUCKETS = 100_000
@@ -327,6 +327,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 yield from dictionary()
                 number, block = number + 1, _Block()
         yield from dictionary()
+        _loaded.clear()  # else an idle worker holds tokenizers and known stretches while the last step runs
 
     return docs.mapInArrow(giving_back(deal), out)
 

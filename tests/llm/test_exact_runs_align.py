@@ -310,3 +310,17 @@ def test_stretches_of_blocks_keep_their_order():
         words = list(block.numbers)
         assert [[words[i] for i in np.frombuffer(x, np.int32)] for x in got] == [align.stretches(t) if t and align.SPACE not in t else [] for t in part]
     assert block.total == block.counts.sum() and len(block.counts) == len(block.numbers)
+
+
+def test_steps_take_no_tokenizers_along(spark):
+    """Steps of alignment are sent without the driver's tokenizers, which they would load again beside their own."""
+    from pyspark import cloudpickle
+    from pyspark.sql import types as T
+
+    from tracewise.llm import align
+
+    align._of(A, B)
+    sent = []
+    docs = type("Docs", (), {"sparkSession": spark, "schema": T.StructType([T.StructField("_text", T.StringType())]), "mapInArrow": lambda _, f, s: sent.append(f)})()
+    align._blocks(docs, A, B)
+    assert len(cloudpickle.dumps(sent[0])) < 100_000

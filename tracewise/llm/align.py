@@ -250,6 +250,12 @@ def _of(path_a: str, path_b: str) -> _Tokenizers:
     return _loaded[path_a, path_b]
 
 
+def _forget() -> None:
+    """Drops this process's tokenizers. Steps call it by name: a step that named _loaded itself would get a copy of the driver's, tokenizers and all."""
+    _loaded.clear()
+    release()
+
+
 class _Block:
     """Numbers of the stretches of a block's documents."""
 
@@ -327,7 +333,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 yield from dictionary()
                 number, block = number + 1, _Block()
         yield from dictionary()
-        _loaded.clear()  # else an idle worker holds tokenizers and known stretches while the last step runs
+        _forget()  # else an idle worker holds tokenizers and known stretches while the last step runs
 
     return docs.mapInArrow(giving_back(deal), out)
 
@@ -381,8 +387,7 @@ def _put_together(blocks: DataFrame, links: DataFrame, lengths_a: np.ndarray, le
         return np.concatenate([np.zeros(0, np.int32), *[e.flatten().to_numpy() for e in each]]), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     def join(rows: pa.Table, links: pa.Table) -> pa.Table:
-        _loaded.clear()  # a worker that has encoded needs its tokenizers no more
-        release()
+        _forget()  # a worker that has encoded needs its tokenizers no more
         is_doc = pc.is_null(rows["_first"])
         docs, own = rows.filter(is_doc), rows.filter(pc.invert(is_doc))
         own = own.take(pc.sort_indices(own, [("_first", "ascending")]))
